@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sonagrid.llm import decontamination, line_dedup, packing, token_counts
+from sonagrid.llm import decontamination, language_id, license_scan, line_dedup, packing, token_counts
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -20,6 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def held_out(modulus: int) -> Column:
+    """Whether a document is kept from training."""
+    return F.crc32(F.col("doc_id").cast("string")) % modulus == 2
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fitted = language_id.train(docs.filter(~held_out(4)).select("text", "lang"))
+    found = language_id.identify(docs.select("doc_id", "text"), fitted)
+    return found.select("doc_id", F.coalesce(held_out(4), F.lit(False)).alias("held_out"), "lang_pred", "score", "known")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -28,6 +41,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("blocks")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
