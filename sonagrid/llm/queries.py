@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonagrid.llm import decontamination, fingerprints, language_id, license_scan, line_dedup, packing, token_counts
+from sonagrid.llm import decontamination, fingerprints, language_id, language_model, license_scan, line_dedup, packing, token_counts
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -49,6 +49,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_model.train(docs.select("doc_id", "text"), held_out(7))
+    scored = language_model.score(docs, model)
+    return scored.select("doc_id", F.coalesce(held_out(7), F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents")).drop("keep_bitmap")
 
