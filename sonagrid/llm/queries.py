@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonagrid.llm import decontamination, fingerprints, language_id, language_model, license_scan, line_dedup, packing, token_counts
+from sonagrid.llm import decontamination, fingerprints, language_id, language_model, license_scan, line_dedup, near_dedup, packing, token_counts
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -41,6 +41,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("blocks")
 
