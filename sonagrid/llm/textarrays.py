@@ -102,15 +102,25 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+class SpanHasher:
+    """64-bit hashes of byte spans of one array, equal for equal bytes wherever they stand."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        with np.errstate(over="ignore"):
+            self.total = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data)), out=self.total[1:])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if not len(start):
+            return np.zeros(0, np.uint64)
+        with np.errstate(over="ignore"):
+            h = (self.total[end] - self.total[start]) * powers(_INVERSE, int(start.max()) + 1)[start]
+        return mix(h ^ (end - start).astype(np.uint64))
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, equal for equal bytes wherever they stand."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data)), out=total[1:])
-        h = (total[end] - total[start]) * powers(_INVERSE, int(start.max()) + 1)[start]
-    return mix(h ^ (end - start).astype(np.uint64))
+    """Hashes of some spans of ``data``; see :class:`SpanHasher`."""
+    return SpanHasher(data)(start, end) if len(start) else np.zeros(0, np.uint64)
 
 
 def gram_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:
