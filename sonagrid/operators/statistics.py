@@ -58,7 +58,7 @@ def correlations(rows: DataFrame, metrics: list[str], least: int = 3) -> DataFra
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
         x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
         varied = (F.count(x) >= least) & (F.stddev_pop(x) > 1e-12) & (F.stddev_pop(y) > 1e-12)
-        cells += [F.when(varied, F.corr(x, y)).alias(f"r{i}"), F.count(x).alias(f"n{i}")]
+        cells += [F.when(varied, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))).alias(f"r{i}"), F.count(x).alias(f"n{i}")]
     wide = rows.agg(*cells)
     out = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("n")) for i, (a, b) in enumerate(pairs)])
     return wide.select(F.explode(out).alias("x")).select("x.*")
