@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,9 +26,17 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
+def _load() -> None:
+    """The modules that register the queries; they import this one."""
+    for name in ("density", "classification", "pairs", "tables", "metrics", "scalars", "signal", "streams"):
+        import_module(f"sonagrid.plans.{name}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
