@@ -87,11 +87,11 @@ class Counter:
 
     def counts(self, found: Pretokens) -> np.ndarray:
         fresh, place = new_spans(found, self.known)
+        if len(fresh) and len(self.known) and len(self.known) + len(fresh) > REMEMBERED:
+            self.known, self.sizes = self.known[:0], self.sizes[:0]
+            return self.counts(found)
         if len(fresh):
             sizes = self.merger.merge(found.data, found.start[place], found.end[place])
-            if len(self.known) + len(fresh) > REMEMBERED:
-                self.known, self.sizes = self.known[:0], self.sizes[:0]
-                return self.counts(found) if len(fresh) < len(found.hash) else self._once(found, fresh, sizes)
             keys = np.concatenate([self.known, fresh])
             order = np.argsort(keys, kind="stable")
             self.known, self.sizes = keys[order], np.concatenate([self.sizes, sizes])[order]
