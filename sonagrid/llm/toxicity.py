@@ -89,7 +89,7 @@ def hits(grams: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray, np.nd
     return counted(text[own], at[own])
 
 
-def fit(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, n_features: int, n_grades: int, penalty: float = 2e-4, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, n_features: int, n_grades: int, penalty: float = 5e-5, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by gradient steps on the mean log-likelihood (Adam); rows and columns name the ones of x.
 
     Thresholds are t_0 and positive gaps, so they stay in order.
@@ -118,7 +118,7 @@ def fit(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, n_features: i
     return theta[:n_features], np.cumsum(np.concatenate([theta[n_features : n_features + 1], np.exp(theta[n_features + 1 :])]))
 
 
-def train(labelled: DataFrame, grade: Column, n_grades: int, sample_docs: int = 20_000, features: int = 4096, least_docs: int = 3, least_ratio: float = 8.0) -> Model:
+def train(labelled: DataFrame, grade: Column, n_grades: int, sample_docs: int = 20_000, features: int = 8192, least_docs: int = 3, least_ratio: float = 5.0) -> Model:
     """Fit on rows with text and a grade from 0 to n_grades - 1; rows without either are left out.
 
     The sample holds ``sample_docs`` rows on average, picked by a hash of the text. Features of at
@@ -172,11 +172,11 @@ def grade_probabilities(column: pa.Array, model: Model) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(eta[:, None] - model.thresholds, -30, 30)))
 
 
-def rate(docs: DataFrame, model: Model) -> DataFrame:
+def rate(docs: DataFrame, model: Model, threshold: float = 0.35) -> DataFrame:
     """doc_id, severity, grade, toxic and p_toxic of every document.
 
     severity is the expected grade, grade the most probable one, p_toxic is P(grade > 0) and toxic
-    whether that is at least one half. Null and empty texts have no words: the model's base rate.
+    whether that is at least ``threshold``. Null and empty texts have no words: the model's base rate.
     Without a positive label nothing is toxic. Repeated rows come out as often as they are; a null
     doc_id stays null; an empty table gives an empty result; other columns are not read.
     """
@@ -186,7 +186,7 @@ def rate(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             p = grade_probabilities(b.column(1), shared.value)
             padded = np.column_stack([np.ones(len(p)), p, np.zeros(len(p))])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p.sum(axis=1)), pa.array((padded[:, :-1] - padded[:, 1:]).argmax(axis=1).astype(np.int32)), pa.array(p[:, 0] >= 0.5), pa.array(p[:, 0])], names=["doc_id", "severity", "grade", "toxic", "p_toxic"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p.sum(axis=1)), pa.array((padded[:, :-1] - padded[:, 1:]).argmax(axis=1).astype(np.int32)), pa.array(p[:, 0] >= threshold), pa.array(p[:, 0])], names=["doc_id", "severity", "grade", "toxic", "p_toxic"])
 
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("severity", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("toxic", T.BooleanType()), T.StructField("p_toxic", T.DoubleType())])
     return docs.select("doc_id", "text").mapInArrow(rows, schema)
