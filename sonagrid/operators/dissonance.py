@@ -109,8 +109,8 @@ def curve(partials: DataFrame, low: float = 1.0, high: float = 2.0, steps: int =
     return cross_dissonance(rows, shifted, ["note", "step"]).withColumn("interval", ratio)
 
 
-def local_minima(curves: DataFrame) -> DataFrame:
-    """Strict local minima of each note's curve."""
+def local_minima(curves: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """Strict local minima of each note's curve; differences up to the tolerance are none."""
     order = Window.partitionBy("note").orderBy("step")
     rows = curves.withColumn("_l", F.lag("dissonance").over(order)).withColumn("_r", F.lead("dissonance").over(order))
-    return rows.filter("dissonance < _l and dissonance < _r").drop("_l", "_r")
+    return rows.filter((F.col("dissonance") < F.col("_l") - tolerance) & (F.col("dissonance") < F.col("_r") - tolerance)).drop("_l", "_r")

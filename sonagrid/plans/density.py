@@ -53,7 +53,7 @@ def ewsd_from_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     rounded_sql(
-        with_ctes(COMPONENTS, "t AS (SELECT note, avg(0) AS z, " + ", ".join(f"sum({s.format('amp')}) AS {k}" for k, s in PHI_SQL.items()) + " FROM components GROUP BY note)")
+        with_ctes(COMPONENTS, "t AS (SELECT note, " + ", ".join(f"sum({s.format('amp')}) AS {k}" for k, s in PHI_SQL.items()) + " FROM components GROUP BY note)")
         + "\nSELECT note, phi, value FROM (" + " UNION ALL ".join(f"SELECT note, '{k}' AS phi, {k} AS value FROM t" for k in PHI_SQL) + ") AS u",
         "value",
         "note phi",

@@ -96,13 +96,7 @@ def dissonance_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rounded_sql(with_ctes(COMPONENTS, _TOP8, _SWEEP, "g AS (SELECT *, lag(dissonance) OVER w AS l, lead(dissonance) OVER w AS r FROM c WINDOW w AS (PARTITION BY note ORDER BY step))") + "SELECT note, step FROM g WHERE dissonance < l - 1e-9 AND dissonance < r - 1e-9", "", "note step"))
 def dissonance_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Minima of the curve; differences of less than 1e-9 are none."""
-    curves = dissonance.curve(components(spark, sf_dir)).withColumn("dissonance", F.col("dissonance"))
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("note").orderBy("step")
-    rows = curves.withColumn("l", F.lag("dissonance").over(order)).withColumn("r", F.lead("dissonance").over(order))
-    return rows.filter("dissonance < l - 1e-9 and dissonance < r - 1e-9").select("note", "step")
+    return dissonance.local_minima(dissonance.curve(components(spark, sf_dir))).select("note", "step")
 
 
 @query(
