@@ -120,6 +120,8 @@ class Encoder:
 
     def __init__(self, path: str, end_id: int | None, remembered: int = 1_000_000) -> None:
         self.pre, self.end_id, self.remembered = Pretokenizer(path), end_id, remembered
+        self.last = np.zeros(max(self.pre.vocab.values(), default=0) + 1, bool)  # ids that end a pre-token
+        self.last[[i for token, i in self.pre.vocab.items() if token.endswith(self.pre.suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -135,11 +137,16 @@ class Encoder:
             self._forget()
             return self._learn(found)
         raw = found.data.tobytes()
-        texts = [raw[s:e].decode("utf-8", "replace") for s, e in zip(found.start[place].tolist(), found.end[place].tolist(), strict=True)]
-        got = [x.ids for x in self.pre.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        size = np.array([len(x) for x in got], np.int64)
+        spans = list(zip(found.start[place].tolist(), found.end[place].tolist(), strict=True))
+        # Pre-tokens apart by spaces are cut as they are; an id that ends a word ends a pre-token.
+        texts = [b" ".join(raw[s:e] for s, e in spans[i : i + 2000]).decode("utf-8", "replace") for i in range(0, len(spans), 2000)]
+        got = np.concatenate([np.array(x.ids, np.uint32) for x in self.pre.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.flatnonzero(self.last[got]) + 1
+        size = np.diff(ends, prepend=0)
+        if len(size) != len(spans):
+            raise ValueError("the tokenizer's pre-tokens don't end with its suffix")
         start = len(self.flat) + np.cumsum(size) - size
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in got for i in x), np.uint32, int(size.sum()))])
+        self.flat = np.concatenate([self.flat, got])
         keys = np.concatenate([self.known, fresh])
         order = np.argsort(keys, kind="stable")
         self.known, self.start, self.size = keys[order], np.concatenate([self.start, start])[order], np.concatenate([self.size, size])[order]
