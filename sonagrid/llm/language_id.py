@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonagrid.llm import storage
-from sonagrid.llm.textarrays import Block, blocks, mix
+from sonagrid.llm.textarrays import Block, blocks, mix, parts
 
 UNDETERMINED = "und"
 GRAMS = (3, 5)  # bytes
@@ -68,8 +68,11 @@ def gram_keys(block: Block) -> tuple[np.ndarray, np.ndarray]:
 
 def _folded(column: pa.Array) -> Iterator[Block]:
     """Blocks of lower-cased texts, each with a space at both ends."""
-    padded = pc.binary_join_element_wise(pa.scalar("", column.type), pc.utf8_lower(pc.fill_null(column, "")), pa.scalar("", column.type), pa.scalar(" ", column.type))
-    yield from blocks(padded)
+    for first, some in parts(column):
+        edge = pa.scalar("", column.type)
+        padded = pc.binary_join_element_wise(edge, pc.utf8_lower(pc.fill_null(some, "")), edge, pa.scalar(" ", column.type))
+        for block in blocks(padded):
+            yield block._replace(first=block.first + first)
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

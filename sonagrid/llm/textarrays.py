@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers = {_BASE: np.ones(1, np.uint64), _INVERSE: np.ones(1, np.uint64)}
@@ -70,6 +70,12 @@ def blocks(column: pa.Array | pa.ChunkedArray, block_bytes: int = BLOCK_BYTES) -
         i = j
 
 
+def parts(column: pa.Array, rows: int = 512) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, slice) of a column, for what copies texts before it cuts them into blocks."""
+    for first in range(0, len(column), rows):
+        yield first, column.slice(first, rows)
+
+
 def words(block: Block, held: np.ndarray) -> Words:
     """Runs of bytes in the class ``held``; no run crosses from one text into the next."""
     inside = held[block.data]
