@@ -11,6 +11,7 @@ Each task packs the documents it reads: no shuffle, no key, memory bounded by th
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -118,7 +119,8 @@ class VectorPacker:
 class Encoder:
     """Token ids of whole texts; the tokenizers library encodes each pre-token once a task."""
 
-    def __init__(self, path: str, end_id: int | None, remembered: int = 1_000_000) -> None:
+    def __init__(self, path: str, end_id: int | None, remembered: int = 500_000) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one thread; the library's own threads each keep memory
         self.pre, self.end_id, self.remembered = Pretokenizer(path), end_id, remembered
         self.last = np.zeros(max(self.pre.vocab.values(), default=0) + 1, bool)  # ids that end a pre-token
         self.last[[i for token, i in self.pre.vocab.items() if token.endswith(self.pre.suffix)]] = True
@@ -220,7 +222,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits
                 own[n] = [doc, ids, len(ids)]
                 take(packer.add(n, len(ids)))
                 n += 1
-                if len(out) > 8192:
+                if len(out) > 1024:
                     yield batch()
         if id_kind is not None:
             take(packer.finish())
