@@ -1,18 +1,18 @@
 """Language-model scores by a weighted backoff automaton.
 
-Counts come from all training texts. Unigrams are counted exactly, for every word: their table
-is as large as the vocabulary, lies in the shared folder and is never broadcast. The automaton's
-states are the empty history, words, and pairs of words that have arcs; an arc carries a smoothed
-log-probability, and a failure arc carries the weight of backing off to the next shorter history.
-Arcs are n-grams whose share of all tokens is at least ``arc_share`` (and at least two places),
-over words whose share is at least ``word_share``; whatever the corpus's size there are at most
-1 / share of them, which bounds what is broadcast. Every other word takes the failure arcs down
-to its exact unigram.
-
-A text is read once, from left to right: the state after a word is the longest of its last words
-that is a state. All positions of a block are stepped in numpy. Words whose share is below
-``hot_share`` are scored by a join with the unigram table; since frequent ones are scored where
-they stand, no key of that join is hot.
+Counts come from all training texts. The automaton's states are the empty history, words, and
+pairs of words; an arc carries a smoothed log-probability, and a failure arc carries the weight of
+backing off to the next shorter history. Every n-gram of at least two training places is an arc,
+however large the corpus is: words and arcs are tables in the shared folder that grow with it.
+
+What the automaton adds up along a text is regrouped by n-gram: a word brings its unigram and its
+failure arc, a pair or triple brings its arc less the way round it (the failure arc of its history
+and the arc of its shorter n-gram) and, for a pair, its own failure arc. So a text's score is the
+sum of one weight for each word, pair and triple that it holds, and n-grams without arcs bring 0.
+
+Frequent words and n-grams are scored where they stand, from a broadcast of at most 1 / share of
+them; the others are dealt by ranges of their hashes, each range to one task, and meet the weights of that
+range there. Since frequent ones are not dealt, no range is hot.
 """
 
 from __future__ import annotations
@@ -23,37 +23,44 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonagrid.llm import storage
-from sonagrid.llm.textarrays import LOWER, NOT_BLANK, Block, blocks, lookup, span_hashes, words
+from sonagrid.llm.textarrays import LOWER, NOT_BLANK, Block, blocks, lookup, mix, span_hashes, words
 
 #: The key of the end token; words never have it.
 END = np.uint64(0)
 #: Distinct keys a task gathers before it sends them on.
 GATHERED = 1_000_000
-_SHIFT = np.int64(20)
+#: Pairs, and as many triples, that a task gathers before it deals them.
+DEALT = 1 << 20
+#: Tokens whose n-grams share a range of hashes, about.
+RANGE_TOKENS = 1 << 20
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_HALF = np.uint64(32)
+#: Bits of a frequent word's number; three of them make one key.
+_BITS = np.uint64(21)
 
 
 class Shares(NamedTuple):
     hot: float = 5e-7  # words scored where they stand: 2,000,000 at most
-    word: float = 1e-5  # words of the automaton: 100,000 at most
-    arc: float = 1e-6  # arcs of each order: 1,000,000 at most
+    word: float = 0.0  # least share of a word in arcs; two places at any rate
+    arc: float = 0.0  # least share of an arc; two places at any rate
+    gram: float = 2e-6  # pairs and triples scored where they stand: 500,000 of each at most
 
 
 class Automaton(NamedTuple):
-    unigram: np.ndarray  # log10 per hot word
-    words: np.ndarray  # hot words' keys, ascending
-    known: np.ndarray  # bool per hot word: seen in training
-    ids: np.ndarray  # per hot word: its number among the automaton's words, or -1
-    pairs: np.ndarray  # ascending keys id << 20 | id
-    pair_log: np.ndarray
-    triples: np.ndarray  # ascending keys id << 40 | id << 20 | id
-    triple_log: np.ndarray
-    fail_word: np.ndarray  # log10 weight of the failure arc of each word's state
-    fail_pair: np.ndarray  # ... and of each pair's
+    """What is scored where it stands; keys ascend."""
+
+    words: np.ndarray
+    unigram: np.ndarray  # log10
+    known: np.ndarray  # bool: seen in training
+    fail: np.ndarray  # log10 weight of the failure arc of a word's state
+    grams: np.ndarray
+    weights: np.ndarray
 
 
 def tokens(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -117,133 +124,203 @@ def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(keys, counts)
 
 
-def _history(text: np.ndarray, ids: np.ndarray, back: int) -> np.ndarray:
-    """The id of the token so many places before, -1 outside the text."""
-    out = np.full(len(ids), -1, np.int64)
-    if len(ids) > back:
-        out[back:] = np.where(text[back:] == text[:-back], ids[:-back], -1)
-    return out
+def gram_keys(first: np.ndarray, second: np.ndarray, order: int) -> np.ndarray:
+    """Hashes of n-grams: of two words, or of a triple's two pairs."""
+    with np.errstate(over="ignore"):
+        return mix((first * _ODD + second) * _ODD + np.uint64(order))
 
 
-def _grams(shared, order: int):
-    """(gram, n) of the training texts, summed within the task; triples only if both their pairs are arcs."""
+def _places(text: np.ndarray, key: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By order: (last token, text, first, second) of every pair and triple of a block."""
+    same = text[1:] == text[:-1]
+    pair = gram_keys(key[:-1], key[1:], 2)
+    two, three = np.flatnonzero(same) + 1, np.flatnonzero(same[1:] & same[:-1]) + 2
+    return {2: (two, text[two], key[two - 1], key[two]), 3: (three, text[three], pair[three - 2], pair[three - 1])}
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a: Automaton = shared.value
-        gather = _Gather()
 
-        def out() -> pa.RecordBatch:
-            keys, counts = gather.drain()
-            return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts[:, 0].copy())], names=["gram", "n"])
+def _ranges(n_tokens: int) -> int:
+    return max(8, -(-n_tokens // RANGE_TOKENS))
 
-        for batch in batches:
-            for block in blocks(batch.column(0)):
-                text, key = tokens(block)
-                place = lookup(a.words, key)
-                ids = np.where(place >= 0, a.ids[np.maximum(place, 0)], -1) if len(a.words) else place
-                p1 = _history(text, ids, 1)
-                pair = np.where((p1 >= 0) & (ids >= 0), (p1 << _SHIFT) | np.maximum(ids, 0), -1)
-                if order == 2:
-                    gram = pair[pair >= 0]
-                else:
-                    arc = lookup(a.pairs, pair)
-                    p2 = _history(text, ids, 2)
-                    good = (arc >= 0) & (_history(text, arc, 1) >= 0) & (p2 >= 0)
-                    gram = (p2[good] << (2 * _SHIFT)) | pair[good]
-                if len(gram):
-                    gather.add(gram, np.ones((1, len(gram))))
-                if gather.full():
-                    yield out()
-        if gather.n:
-            yield out()
 
-    return grams
+def _deal(key: np.ndarray, ranges: int, *columns: np.ndarray) -> list[pa.Array]:
+    """One row a range of keys: its number, and per column the bytes of its values."""
+    part = ((key >> _HALF) * np.uint64(ranges) >> _HALF).astype(np.min_scalar_type(ranges))
+    order = np.argsort(part, kind="stable")
+    held, first = np.unique(part[order], return_index=True)
+    bounds = np.append(first, len(order))
+    packed = [pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer((bounds * c.itemsize).astype(np.int32)), pa.py_buffer(c[order].tobytes())]) for c in columns]
+    return [pa.array(held.astype(np.int32)), *packed]
+
 
+def _thin(places: bytes) -> bytes:
+    """Differences of int32 values, byte by byte, so that blocks on disk compress them."""
+    return np.diff(np.frombuffer(places, np.int32), prepend=np.int32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
 
-def _arcs(docs: DataFrame, shared, order: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    counted = docs.mapInArrow(_grams(shared, order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    kept = counted.filter(F.col("n") >= least).toArrow()  # at most 1 / arc_share rows
-    gram, n = kept["gram"].to_numpy(), kept["n"].to_numpy()
-    order_ = np.argsort(gram)
-    return gram[order_].astype(np.int64), n[order_].astype(np.float64)
 
+def _thick(places: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(places, np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel(), dtype=np.int32)
 
-def _smoothed(context: np.ndarray, total: np.ndarray, n: np.ndarray, lower: np.ndarray, states: int, discount: float) -> tuple[np.ndarray, np.ndarray]:
-    """Absolute discounting: log10 of each arc, and of each state's failure arc (0 where it has no arcs)."""
-    taken = np.bincount(context, (n - discount) / total, states)
-    rest = np.maximum(1 - taken, 1e-12)
-    p = (n - discount) / total + rest[context] * lower
-    has = np.bincount(context, minlength=states) > 0
-    return np.log10(p), np.where(has, np.log10(rest), 0.0)
+
+def _values(column: list[bytes], kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind)
+
+
+def _summed(key: np.ndarray, payload: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Distinct keys, ascending, what belongs to them, and sums of their counts."""
+    by = np.argsort(key)
+    key = key[by]
+    heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[heads], [x[by[heads]] for x in payload], [np.add.reduceat(c[by].astype(np.int64), heads) if len(key) else np.zeros(0, np.int64) for c in counts]
+
+
+_DEALT_GRAMS = "part int, size int, first binary, second binary, training binary, other binary"
+
+
+def _grams(shared, ranges: int):
+    """Counts of all pairs and triples, summed over DEALT places and dealt by ranges of their keys.
+
+    N-grams of frequent words alone are sent as their words' numbers in one value, under a
+    negative size; the others as two hashes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent: np.ndarray = shared.value
+        held: dict[int, list] = {2: [], 3: [], -2: [], -3: []}
+        n = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for size in held:
+                first, second, other = (np.concatenate(x) for x in zip(*held[size], strict=True))
+                held[size] = []
+                key = gram_keys(first, second, size) if size > 0 else mix(first)
+                key, (first, second), (c, m) = _summed(key, [first, second] if size > 0 else [first, first], [~other, other])
+                part, *packed = _deal(key, ranges, first, second if size > 0 else np.zeros(len(key), "V0"), c.astype(np.int32), m.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part, pa.array(np.full(len(part), size, np.int32)), *packed], names=["part", "size", "first", "second", "training", "other"])
+
+        for batch in batches:
+            kept = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
+            for block in blocks(batch.column(1)):
+                text, key = tokens(block)
+                number = lookup(frequent, key)
+                number[number >= (1 << int(_BITS))] = -1
+                for size, (last, at, first, second) in _places(text, key).items():
+                    other = kept[block.first + at]
+                    short, code = np.ones(len(last), bool), np.zeros(len(last), np.uint64)
+                    for back in range(size - 1, -1, -1):
+                        short &= number[last - back] >= 0
+                        code = (code << _BITS) | number[last - back].astype(np.uint64)
+                    held[size].append((first[~short], second[~short], other[~short]))
+                    held[-size].append((code[short], code[:0], other[short]))
+                n += len(key)
+                if n >= DEALT:
+                    yield from out()
+                    n = 0
+        if n:
+            yield from out()
+
+    return run
+
+
+def _counts(shared, least: int, hot: int):
+    """The counts of one range: n-grams that are arcs, or frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent: np.ndarray = shared.value
+        held: dict[int, list] = {2: [], 3: [], -2: [], -3: []}
+        for batch in batches:
+            for size, *packed in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                held[size].append(packed)
+        for size in held:
+            if not held[size]:
+                continue
+            first, second, training, other = (_values(c, kind) for c, kind in zip(zip(*held[size], strict=True), (np.uint64, np.uint64, np.int32, np.int32), strict=True))
+            held[size] = []
+            key, payload, (c, m) = _summed(gram_keys(first, second, size) if size > 0 else first, [first, second] if size > 0 else [], [training, other])
+            kept = (c >= least) | (c + m >= hot)
+            key, payload, c, m = key[kept], [x[kept] for x in payload], c[kept], m[kept]
+            if size < 0:
+                mask = np.uint64((1 << int(_BITS)) - 1)
+                word = [frequent[(key >> (_BITS * np.uint64(back)) & mask).astype(np.int64)] for back in range(-size - 1, -1, -1)]
+                payload = word if size == -2 else [gram_keys(word[0], word[1], 2), gram_keys(word[1], word[2], 2)]
+                key = gram_keys(*payload, -size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), abs(size), np.int32)), *(pa.array(x.view(np.int64)) for x in (key, *payload, c, c + m))], names=["size", "key", "first", "second", "n", "places"])
+
+    return run
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """:func:`storage.written`; Spark removes what the writing shuffled when it ends."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return storage.written(df, name)
+    finally:
+        conf.set(key, before)
 
 
 class Model(NamedTuple):
     automaton: Automaton
-    unigrams: DataFrame  # word, training, other
+    words: DataFrame  # word, training, fail
+    grams: DataFrame  # key, weight: arcs that aren't scored where they stand
     n_tokens: int  # N
     n_words: int  # V
+    ranges: int
 
 
 def train(docs: DataFrame, held_out: Column, shares: Shares = Shares(), discount: float = 0.5) -> Model:
-    """Count all training texts (rows where ``held_out`` is not true) and smooth.
+    """Count all training texts (rows where ``held_out`` is not true) and smooth by absolute discounting.
 
     The unigram of a word with c training places among N tokens and V distinct ones is
     (c + 1) / (N + V + 1), which leaves one part for all words never seen.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.coalesce(held_out, F.lit(False)).alias("_held"), "text")
-    unigrams = storage.written(rows.mapInArrow(_unigrams, "word long, training long, other long").groupBy("word").agg(F.sum("training").alias("training"), F.sum("other").alias("other")), "unigrams")
+    unigrams = _written(rows.mapInArrow(_unigrams, "word long, training long, other long").groupBy("word").agg(F.sum("training").alias("training"), F.sum("other").alias("other")), "unigrams")
     sums = unigrams.agg(F.sum("training").alias("n"), F.sum("other").alias("m"), F.count(F.when(F.col("training") > 0, 1)).alias("v")).first()
     n, m, v = sums.n or 0, sums.m or 0, sums.v or 0
-    hot = unigrams.filter(F.col("training") + F.col("other") >= max(2, math.ceil(shares.hot * (n + m)))).toArrow()  # at most 1 / hot_share rows
-    key, count = hot["word"].to_numpy().view(np.uint64), hot["training"].to_numpy()
+    ranges = _ranges(n + m)
+    often, least, frequent = (max(2, math.ceil(share * of)) for share, of in ((shares.word, n), (shares.arc, n), (shares.gram, n + m)))
+    hot = unigrams.filter(F.col("training") + F.col("other") >= max(2, math.ceil(shares.hot * (n + m))))
+    numbered = docs.sparkSession.sparkContext.broadcast(np.sort(hot.select("word").toArrow()["word"].to_numpy().view(np.uint64)))  # at most 1 / hot_share
+    counted = rows.mapInArrow(_grams(numbered, ranges), _DEALT_GRAMS).repartitionById(ranges, "part").mapInArrow(_counts(numbered, least, frequent), "size int, key long, first long, second long, n long, places long")
+    grams = _written(counted, "grams")
+    arcs = grams.filter(F.col("n") >= least)
+
+    # Each join with words or pairs reads one side by its own key: large histories are split by Spark, not gathered.
+    own = unigrams.filter(F.col("training") >= often).select("word", F.col("training").alias("c"))
+    p1 = (F.col("c") + 1).cast("double") / F.lit(float(n + v + 1))
+    pairs = _written(arcs.filter("size = 2").join(own.select(F.col("word").alias("second"), p1.alias("lower")), "second").select("key", "first", "n", "places", "lower"), "pairs")
+    taken = lambda of: of.groupBy("first").agg(F.sum(F.col("n") - discount).alias("taken"))
+    rest = lambda c: F.when(F.col("taken").isNull(), 1.0).otherwise(F.greatest(1 - F.col("taken") / c, F.lit(1e-12)))
+    words_ = unigrams.join(taken(pairs).withColumnRenamed("first", "word"), "word", "left")
+    c = F.col("training")
+    words_ = _written(words_.select("word", "training", (c + F.col("other")).alias("places"), F.when(c >= often, rest(c)).alias("rest")), "words")
+    states = words_.filter("rest is not null").select(F.col("word").alias("first"), F.col("training").alias("c"), "rest")
+    p = (F.col("n") - discount) / F.col("c") + F.col("rest") * F.col("lower")
+    gain = F.log10(p) - F.log10("rest") - F.log10("lower")
+    counted_pairs, pairs = pairs, _written(pairs.join(states, "first").select("key", "n", "places", p.alias("p"), gain.alias("gain")), "pairs")
+    storage.delete(counted_pairs)
+
+    triples = _written(arcs.filter("size = 3").join(pairs.select(F.col("key").alias("second"), F.col("p").alias("lower")), "second").select("key", "first", "n", "places", "lower"), "triples")
+    states = pairs.join(taken(triples).withColumnRenamed("first", "key"), "key", "left")
+    pairs = _written(states.select("key", F.col("n").alias("c"), "places", rest(F.col("n")).alias("rest"), "gain"), "pairs")
+    states = pairs.select(F.col("key").alias("first"), "c", "rest")
+    weights = pairs.select("key", "places", (F.col("gain") + F.log10("rest")).alias("weight")).unionByName(triples.join(states, "first").select("key", "places", gain.alias("weight")))
+    weights = _written(weights, "weights")
+    for done in (unigrams, triples, pairs):
+        storage.delete(done)
+
+    hot = words_.filter(F.col("places") >= max(2, math.ceil(shares.hot * (n + m)))).toArrow()  # at most 1 / hot_share rows
+    key, count, fail = hot["word"].to_numpy().view(np.uint64), hot["training"].to_numpy(), np.log10(hot["rest"].fill_null(1.0).to_numpy())
     order = np.argsort(key)
-    key, count = key[order], count[order].astype(np.float64)
-    unigram = (count + 1) / (n + v + 1)
-    often = count >= max(2, math.ceil(shares.word * n))
-    ids = np.where(often, np.cumsum(often) - 1, -1).astype(np.int64)
-    own, low = count[often], unigram[often]
-    none = np.zeros(0, np.int64)
-    a = Automaton(np.log10(unigram), key, count > 0, ids, none, np.zeros(0), none, np.zeros(0), np.zeros(len(own)), np.zeros(0))
-    least, mask = max(2, math.ceil(shares.arc * n)), (np.int64(1) << _SHIFT) - 1
-    training = rows.filter(~F.col("_held")).select("text")
-    pairs, c2 = _arcs(training, spark.sparkContext.broadcast(a), 2, least)
-    first = pairs >> _SHIFT
-    pair_log, fail_word = _smoothed(first, own[first], c2, low[pairs & mask], len(own), discount)
-    a = a._replace(pairs=pairs, pair_log=pair_log, fail_word=fail_word, fail_pair=np.zeros(len(pairs)))
-    if len(pairs):
-        triples, c3 = _arcs(training, spark.sparkContext.broadcast(a), 3, least)
-        context = lookup(pairs, triples >> _SHIFT)
-        shorter = lookup(pairs, triples & ((mask << _SHIFT) | mask))
-        triple_log, fail_pair = _smoothed(context, c2[context], c3, 10.0 ** pair_log[shorter], len(pairs), discount)
-        a = a._replace(triples=triples, triple_log=triple_log, fail_pair=fail_pair)
-    return Model(a, unigrams, n, v)
-
-
-def walk(a: Automaton, text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Read a block's tokens: (place among hot words or -1, log10 unigram, log10 of the automaton).
-
-    For a word that isn't hot the unigram is left out of both; what its failure arcs cost is in.
-    """
-    place = lookup(a.words, key)
-    hot = place >= 0
-    unigram = np.where(hot, a.unigram[np.maximum(place, 0)], 0.0) if len(a.words) else np.zeros(len(key))
-    ids = np.where(hot, a.ids[np.maximum(place, 0)], -1) if len(a.words) else place
-    p1, p2 = _history(text, ids, 1), _history(text, ids, 2)
-    # The state after a token: the pair that ends there, else its word, else the empty history.
-    pair = lookup(a.pairs, np.where((p1 >= 0) & (ids >= 0), (p1 << _SHIFT) | np.maximum(ids, 0), -1)) if len(a.pairs) else np.full(len(key), -1)
-    state = _history(text, pair, 1)
-    score = unigram.copy()
-    if len(a.fail_word):
-        score += np.where(p1 >= 0, a.fail_word[np.maximum(p1, 0)], 0.0)
-    if len(a.pairs):
-        score = np.where(pair >= 0, a.pair_log[np.maximum(pair, 0)], score)
-        score += np.where(state >= 0, a.fail_pair[np.maximum(state, 0)], 0.0)
-    if len(a.triples):
-        wanted = np.where((state >= 0) & (pair >= 0), (np.maximum(p2, 0) << (2 * _SHIFT)) | (np.maximum(p1, 0) << _SHIFT) | np.maximum(ids, 0), -1)
-        triple = lookup(a.triples, wanted)
-        score = np.where(triple >= 0, a.triple_log[np.maximum(triple, 0)], score)
-    return place, unigram, score
+    count = count[order].astype(np.float64)
+    keys = np.sort(grams.filter(F.col("places") >= frequent).select("key").toArrow()["key"].to_numpy().view(np.uint64))  # at most 2 / gram_share rows
+    known = weights.filter(F.col("places") >= frequent).select("key", "weight").toArrow()
+    weight = np.zeros(len(keys))
+    weight[lookup(keys, known["key"].to_numpy().view(np.uint64))] = known["weight"].to_numpy()
+    storage.delete(grams)
+    a = Automaton(key[order], np.log10((count + 1) / (n + v + 1)), count > 0, fail[order], keys, weight)
+    return Model(a, words_.select("word", "training", F.log10(F.coalesce("rest", F.lit(1.0))).alias("fail")), weights.filter(F.col("places") < frequent).select("key", "weight"), n, v, ranges)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -258,17 +335,37 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model.automaton)
+    ranges = model.ranges
     kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("automaton", T.DoubleType()), T.StructField("word", T.ArrayType(T.LongType())), T.StructField("n", T.ArrayType(T.IntegerType()))])
+    scores = [T.StructField("row", T.LongType()), T.StructField("automaton", T.DoubleType()), T.StructField("doc_id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("word", T.ArrayType(T.LongType())), T.StructField("n", T.ArrayType(T.IntegerType()))]
+    places = [T.StructField("part", T.IntegerType()), T.StructField("key", T.BinaryType()), T.StructField("place", T.BinaryType()), T.StructField("weight", T.BinaryType())]
+    schema, width = T.StructType(scores + places), len(scores)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row a text, and the n-grams that aren't frequent in a row a range; ``row`` of these is that of place 0."""
         a: Automaton = shared.value
+        first_row = TaskContext.get().partitionId() << 33
+        done = n = 0
+        held: list = []
+        kinds: list = []
+
+        def out() -> pa.RecordBatch:
+            key, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            base = int(place[0])
+            part, key, place = _deal(key, ranges, key, (place - base).astype(np.int32))
+            place = pa.array([_thin(x) for x in place.to_pylist()], pa.binary())
+            none = [pa.nulls(len(part), k) for k in kinds]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(part), first_row + base)), *none[1:width], part, key, place, none[-1]], names=schema.names)
+
         for batch in batches:
             for block in blocks(batch.column(1)):
                 text, key = tokens(block)
                 texts = len(block.bounds) - 1
-                place, unigram, own = walk(a, text, key)
-                known = (place >= 0) & a.known[np.maximum(place, 0)] if len(a.words) else np.zeros(len(key), bool)
+                place = lookup(a.words, key)
+                hot = np.flatnonzero(place >= 0)
+                base = np.bincount(text[hot], a.unigram[place[hot]], texts).astype(np.float64)
+                own = base + np.bincount(text[hot], a.fail[place[hot]], texts)
+                known = np.bincount(text[hot], a.known[place[hot]], texts).astype(np.int64)
                 cold = np.flatnonzero(place < 0)
                 order = cold[np.lexsort((key[cold], text[cold]))]
                 ct, ck = text[order], key[order]
@@ -277,16 +374,72 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 heads = np.flatnonzero(new)
                 bounds = np.searchsorted(ct[heads], np.arange(texts + 1)).astype(np.int32)
                 words_ = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ck[heads].view(np.int64)))
-                n = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.diff(np.append(heads, len(order))).astype(np.int32)))
-                sums = (np.bincount(text, w, texts) for w in (unigram, own))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, texts), pa.array(np.bincount(text, minlength=texts)), pa.array(np.bincount(text[known], minlength=texts)), *(pa.array(x) for x in sums), words_, n], names=schema.names)
+                times = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.diff(np.append(heads, len(order))).astype(np.int32)))
+                for length, (_, at, first, second) in _places(text, key).items():
+                    gram = gram_keys(first, second, length)
+                    found = lookup(a.grams, gram)
+                    here = found >= 0
+                    own += np.bincount(at[here], a.weights[found[here]], texts).astype(np.float64)
+                    if not here.all():
+                        held.append((gram[~here], done + at[~here]))
+                        n += len(held[-1][0])
+                number = np.full(texts, first_row) + done + np.arange(texts)
+                arrays = [pa.array(number), pa.array(own), batch.column(0).slice(block.first, texts), pa.array(np.bincount(text, minlength=texts)), pa.array(known), pa.array(base), words_, times, pa.array((number % ranges).astype(np.int32)), *(pa.nulls(texts, pa.binary()) for _ in range(3))]
+                kinds = [x.type for x in arrays]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+                done += texts
+                if n >= DEALT:
+                    yield out()
+                    held, n = [], 0
+        if n:
+            yield out()
 
-    scored = storage.written(docs.select("doc_id", "text").mapInArrow(rows, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    cold = scored.filter(F.size("word") > 0).select("row", F.explode(F.arrays_zip("word", "n")).alias("c")).select("row", F.col("c.word").alias("word"), F.col("c.n").alias("times"))
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, weight = (c.to_numpy() for c in batch.columns)
+            if len(key):
+                part, key, weight = _deal(key.view(np.uint64), ranges, key, weight)
+                yield pa.RecordBatch.from_arrays([part, key, weight], names=["part", "key", "weight"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts as they are, and what the n-grams of this range add to a text."""
+        keys, weights, held, kinds = [], [], [], None
+        for batch in batches:
+            part = batch.select(["row", "key", "place", "weight"])
+            texts = batch.filter(batch["key"].is_null()).select(schema.names[:width])
+            kinds = texts.schema
+            if len(texts):
+                yield texts
+            for row, key, place, weight in zip(*(c.to_pylist() for c in part.filter(batch["key"].is_valid()).columns), strict=True):
+                if place is None:
+                    keys.append(key)
+                    weights.append(weight)
+                else:
+                    held.append((row, key, place))
+        if not keys or not held:
+            return
+        key, weight = _values(keys, np.uint64), _values(weights, np.float64)
+        order = np.argsort(key)
+        key, weight = key[order], weight[order]
+        for row, gram, place in held:
+            found = lookup(key, np.frombuffer(gram, np.uint64))
+            here = found >= 0
+            at, back = np.unique(_thick(place)[here], return_inverse=True)
+            if len(at):
+                sums = np.bincount(back, weight[found[here]])
+                yield pa.RecordBatch.from_arrays([pa.array(row + at.astype(np.int64)), pa.array(sums), *(pa.nulls(len(at), f.type) for f in list(kinds)[2:])], schema=kinds)
+
+    weights = model.grams.mapInArrow(packed, "part int, key binary, weight binary")
+    both = docs.select("doc_id", "text").mapInArrow(rows, schema).unionByName(weights, allowMissingColumns=True)
+    scored = _written(both.repartitionById(ranges, "part").mapInArrow(meet, T.StructType(scores)), "scored")
+    texts = scored.filter("n_tokens is not null")
+    cold = texts.filter(F.size("word") > 0).select("row", F.explode(F.arrays_zip("word", "n")).alias("c")).select("row", F.col("c.word").alias("word"), F.col("c.n").alias("times"))
     c = F.coalesce("training", F.lit(0))
     log = F.log10((c + 1).cast("double") / F.lit(float(model.n_tokens + model.n_words + 1)))
-    found = cold.join(model.unigrams.select("word", "training"), "word", "left")
-    sums = found.groupBy("row").agg(F.sum(log * F.col("times")).alias("cold"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("cold_known"))
-    out = scored.select("row", "doc_id", "n_tokens", "n_known", "base", "automaton").join(sums, "row", "left")
+    found = cold.join(model.words, "word", "left")
+    added = found.select("row", (log * F.col("times")).alias("cold"), F.when(c > 0, F.col("times")).otherwise(0).alias("cold_known"), (F.coalesce("fail", F.lit(0.0)) * F.col("times")).alias("arcs"))
+    grams = scored.filter("n_tokens is null").select("row", F.lit(0.0).alias("cold"), F.lit(0).alias("cold_known"), F.col("automaton").alias("arcs"))
+    sums = added.unionByName(grams).groupBy("row").agg(*(F.sum(x).alias(x) for x in ("cold", "cold_known", "arcs")))
+    out = texts.select("row", "doc_id", "n_tokens", "n_known", "base", "automaton").join(sums, "row", "left")
     rest = F.coalesce("cold", F.lit(0.0))
-    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("cold_known", F.lit(0))).cast("long").alias("n_known"), F.lit(model.n_tokens).cast("long").alias("train_tokens"), (F.col("base") + rest).alias("base_score"), (F.col("automaton") + rest).alias("score"))
+    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("cold_known", F.lit(0))).cast("long").alias("n_known"), F.lit(model.n_tokens).cast("long").alias("train_tokens"), (F.col("base") + rest).alias("base_score"), (F.col("automaton") + rest + F.coalesce("arcs", F.lit(0.0))).alias("score"))

@@ -399,6 +399,35 @@ def test_scores_equal_a_plain_model(spark):
         assert sum(p3(g, h, w) for w in [*c1, "never seen"]) == pytest.approx(1)
 
 
+def lm_scores(docs, held, shares):
+    return {r.doc_id: r for r in language_model.score(docs, language_model.train(docs.select("doc_id", "text"), held, shares)).collect()}
+
+
+def test_scores_are_the_same_wherever_ngrams_are_scored(spark):
+    rng = random.Random(9)
+    docs = table(spark, [" ".join(f"w{int(30 * rng.random() ** 2)}" for _ in range(rng.randrange(40))) for _ in range(80)] + [None, "", "a"])
+    held = F.col("doc_id") % 7 == 2
+    here, dealt = (lm_scores(docs, held, language_model.Shares(hot=share, gram=share)) for share in (0.0, 1.0))
+    some = lm_scores(docs, held, language_model.Shares(hot=0.01, gram=0.01))
+    assert len(here) == 83
+    for i, row in here.items():
+        for other in (dealt[i], some[i]):
+            assert other.score == pytest.approx(row.score) and other.base_score == pytest.approx(row.base_score)
+            assert (other.n_tokens, other.n_known) == (row.n_tokens, row.n_known)
+
+
+def test_an_arc_of_two_places_stays_one_as_the_table_grows(spark):
+    texts = ["once upon time", "once upon time", "once upon time", *["the of " * 1000] * 300]
+    row = lm_scores(table(spark, texts), F.col("doc_id") == 0, language_model.Shares())[0]
+    n, v = 600_302 + 6, 6
+    p1 = 3 / (n + v + 1)
+    ends = (302 + 1) / (n + v + 1)
+    after = lambda lower: 1.5 / 2 + 0.25 * lower
+    want = [p1, after(p1), after(after(p1)), after(after(ends))]
+    assert row.train_tokens == n
+    assert row.score == pytest.approx(sum(map(math.log10, want)))
+
+
 # 10 fingerprints
 
 
