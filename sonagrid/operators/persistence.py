@@ -47,7 +47,7 @@ def rolling_floor(spectrum: DataFrame, quantile: float = 0.15, multiplier: float
     return spectrum.withColumn("p", p).withColumn("floor", floor).withColumn("gated", F.greatest(F.lit(0.0), F.col("p") - F.col("floor")))
 
 
-def cfar(spectrum: DataFrame, false_alarms: float = 1e-2, guard: int = 2, train: int = 8, trim: float = 0.25) -> DataFrame:
+def cfar(spectrum: DataFrame, false_alarms: float = 1e-2, guard: int = 2, train: int = 64, trim: float = 0.25) -> DataFrame:
     """Cell-averaging detection: power against alpha x mean of training cells without their largest quarter.
 
     Training cells lie beyond ``guard`` bins on both sides; alpha = N (Pfa^(-1/N) - 1).

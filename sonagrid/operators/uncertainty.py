@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def bootstrap_effective(components: DataFrame, draws: int = 100, level: float = 0.95, seed: int = 7) -> DataFrame:
+def bootstrap_effective(components: DataFrame, draws: int = 1200, level: float = 0.95, seed: int = 7) -> DataFrame:
     """Percentile interval of the effective number of components per note, null with fewer than three.
 
     A note's amplitudes are one array; draw b takes element pmod(hash(note, b, j), n) at place j. The

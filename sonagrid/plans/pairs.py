@@ -257,7 +257,7 @@ def noise_floor_rolling_percentile(spark: SparkSession, sf_dir: str) -> DataFram
     )
 )
 def cfar_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(persistence.cfar(spectrum(spark, sf_dir)).select("note", "bin", "threshold", "margin_db", "detected"))
+    return rounded(persistence.cfar(spectrum(spark, sf_dir), train=8).select("note", "bin", "threshold", "margin_db", "detected"))
 
 
 @query(

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sonagrid.functions import guards, notes, phi, publication, scales
-from sonagrid.operators import adaptive, classify, density, dissonance, normalise, ranges, relational, signal, statistics
+from sonagrid.operators import adaptive, classify, density, dissonance, normalise, persistence, ranges, relational, signal, statistics, uncertainty
 from sonagrid.sources import audio, sheets
 from sonagrid.streaming import profiles
 
@@ -89,6 +89,26 @@ def test_roughness_equals_brute_force(spark):
     assert one(dissonance.roughness(df)).roughness == pytest.approx(want, rel=1e-6)
 
 
+def test_cfar_trains_on_64_bins_a_side(spark):
+    amp = np.random.default_rng(4).uniform(0, 1, 150)
+    df = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate(amp)], "note long, bin long, amp double")
+    got = {r.bin: r.threshold for r in persistence.cfar(df).collect()}
+    p = amp * amp
+    for i in range(150):
+        cells = np.sort(np.concatenate([p[max(0, i - 66) : max(0, i - 2)], p[i + 3 : i + 67]]))
+        cells = cells[: int(len(cells) * 0.75)]
+        assert got[i] == pytest.approx(len(cells) * (0.01 ** (-1 / len(cells)) - 1) * cells.mean())
+
+
+def test_bootstrap_takes_1200_draws(spark):
+    amp = np.random.default_rng(5).uniform(0, 1, 12)
+    df = spark.createDataFrame([(1, float(x)) for x in amp], "note long, amp double")
+    got = one(uncertainty.bootstrap_effective(df))
+    assert got == one(uncertainty.bootstrap_effective(df, draws=1200))
+    assert (got.low, got.high) != one(uncertainty.bootstrap_effective(df, draws=100))[3:5]
+    assert got.low < got.estimate < got.high
+
+
 def test_band_pairs_meet_once(spark):
     rng = np.random.default_rng(2)
     v = [round(float(x), 1) for x in rng.uniform(0, 20, 60)]
