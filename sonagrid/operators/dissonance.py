@@ -100,7 +100,7 @@ def cross_dissonance(first: DataFrame, second: DataFrame, keys: list[str]) -> Da
     return a.join(b, keys).groupBy(*keys).agg(F.sum(sethares(f1, f2, a1, a2)).alias("dissonance"))
 
 
-def curve(partials: DataFrame, low: float = 1.0, high: float = 2.0, steps: int = 25, most: int = 8) -> DataFrame:
+def curve(partials: DataFrame, low: float = 1.0, high: float = 2.0, steps: int = 100, most: int = MOST_PARTIALS) -> DataFrame:
     """Sethares dissonance of a timbre against itself, shifted by each interval of a grid."""
     grid = F.sequence(F.lit(0), F.lit(steps - 1))
     rows = loudest(partials, most).select("note", "freq_hz", "amp", F.explode(grid).alias("step"))

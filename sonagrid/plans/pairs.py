@@ -91,12 +91,12 @@ _SWEEP = f"""c AS (SELECT note, step, sum({_SETHARES}) AS dissonance FROM (
 
 @query(rounded_sql(with_ctes(COMPONENTS, _TOP8, _SWEEP) + "SELECT note, step, dissonance, 1 + step * (1.0::DOUBLE / 24) AS interval_ratio FROM c", "dissonance interval_ratio", "note step"))
 def dissonance_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(dissonance.curve(components(spark, sf_dir)).withColumnRenamed("interval", "interval_ratio"))
+    return rounded(dissonance.curve(components(spark, sf_dir), steps=25, most=8).withColumnRenamed("interval", "interval_ratio"))
 
 
 @query(rounded_sql(with_ctes(COMPONENTS, _TOP8, _SWEEP, "g AS (SELECT *, lag(dissonance) OVER w AS l, lead(dissonance) OVER w AS r FROM c WINDOW w AS (PARTITION BY note ORDER BY step))") + "SELECT note, step FROM g WHERE dissonance < l - 1e-9 AND dissonance < r - 1e-9", "", "note step"))
 def dissonance_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dissonance.local_minima(dissonance.curve(components(spark, sf_dir))).select("note", "step")
+    return dissonance.local_minima(dissonance.curve(components(spark, sf_dir), steps=25, most=8)).select("note", "step")
 
 
 @query(

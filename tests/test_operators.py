@@ -109,6 +109,20 @@ def test_bootstrap_takes_1200_draws(spark):
     assert got.low < got.estimate < got.high
 
 
+def test_curve_takes_all_partials_at_100_intervals(spark):
+    rng = np.random.default_rng(6)
+    f, a = rng.uniform(100, 2000, 12), rng.uniform(0.1, 1, 12)
+    df = spark.createDataFrame([(1, float(x), float(y)) for x, y in zip(f, a, strict=True)], "note long, freq_hz double, amp double")
+    got = {r.step: r.dissonance for r in dissonance.curve(df).collect()}
+    assert sorted(got) == list(range(100))
+    for step in (0, 1, 50, 99):
+        g = f * (1 + step / 99)
+        low, high = np.minimum(f[:, None], g), np.maximum(f[:, None], g)
+        y = 0.24 * (high - low) / (0.0207 * low + 18.96)
+        want = (np.minimum(a[:, None], a) * (np.exp(-3.5 * y) - np.exp(-5.75 * y))).sum()
+        assert got[step] == pytest.approx(want)
+
+
 def test_band_pairs_meet_once(spark):
     rng = np.random.default_rng(2)
     v = [round(float(x), 1) for x in rng.uniform(0, 20, 60)]
