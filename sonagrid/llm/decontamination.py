@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sonagrid.llm.columns import carried, restored
 from sonagrid.llm.textarrays import ALNUM, LOWER, Block, blocks, gram_hashes, lookup, span_hashes, words
 
 SHINGLE = 4
@@ -216,6 +217,5 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, with their columns."""
-    others = [c for c in docs.columns if c != "text"]
-    found = marked(docs.select("text", F.struct(F.lit(0).alias("_"), *others).alias("_row")), benchmark)
-    return found.filter(~contaminated()).select(*["text" if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
+    found = marked(docs.select("text", carried(docs, "text").alias("row")), benchmark)
+    return found.filter(~contaminated()).select(*restored(docs.columns, "row", "text"))

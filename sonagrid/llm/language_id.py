@@ -5,7 +5,7 @@ gives, in one read per hash function, the set of all languages whose filter has
 n-grams are counted per language (popcounts); the share of hits that each language's fill makes
 by chance is taken off, and the largest corrected count decides.
 
-Training reads a bounded sample of labelled rows (``sample_docs`` a language); its n-gram counts
+Training reads a bounded sample of labelled texts (``sample_docs`` a language); its n-gram counts
 are made in Spark and only the slots, at most ``slots`` rows, come to the driver.
 """
 
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonagrid.llm import storage
+from sonagrid.llm.columns import carried, restored
+from sonagrid.llm.sampling import distinct_texts
 from sonagrid.llm.textarrays import Block, blocks, mix, parts
 
 UNDETERMINED = "und"
@@ -102,7 +104,7 @@ def train(labelled: DataFrame, sample_docs: int = 1500, slots: int = 1 << 20, ha
 
     An n-gram enters a language's filter if it occurs there at least twice and at least ``share``
     times as often as in the language where it is most frequent, each relative to all n-grams.
-    The sample holds ``sample_docs`` rows a language on average, picked by a hash of the text.
+    The sample holds at most ``sample_docs`` distinct texts a language, see :func:`sampling.distinct_texts`.
     """
     rows = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"))
     found = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
@@ -112,8 +114,8 @@ def train(labelled: DataFrame, sample_docs: int = 1500, slots: int = 1 << 20, ha
     if not languages:
         return empty
     spark = labelled.sparkSession
-    code = spark.createDataFrame([(x, i, min(1.0, sample_docs / found[x])) for i, x in enumerate(languages)], "lang string, code long, rate double")
-    picked = rows.join(F.broadcast(code), "lang").filter(F.pmod(F.xxhash64(F.lit(11), "text"), F.lit(1 << 40)) < F.col("rate") * (1 << 40))
+    code = spark.createDataFrame(list(zip(languages, range(len(languages)), strict=True)), "lang string, code long")  # one row a language
+    picked = distinct_texts(rows, "lang", sample_docs, True).join(F.broadcast(code), "lang")
     counts = storage.written(picked.select("code", "text").mapInArrow(_count_grams, "code long, gram long, n long").groupBy("gram", "code").agg(F.sum("n").alias("n")), "grams")
     totals = counts.groupBy("code").agg(F.sum("n").cast("double").alias("total"))
     rated = counts.join(F.broadcast(totals), "code").withColumn("rate", F.col("n") / F.col("total"))
@@ -166,7 +168,6 @@ def identify(docs: DataFrame, f: Filter) -> DataFrame:
     with more labelled rows, then by name. Only ``text`` decides; other columns pass through,
     repeated rows are all kept, an empty table gives an empty result.
     """
-    others = [c for c in docs.columns if c not in ("text", *_NEW)]
     shared = docs.sparkSession.sparkContext.broadcast(f)  # slots x slices x 8 bytes
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 
@@ -180,8 +181,9 @@ def identify(docs: DataFrame, f: Filter) -> DataFrame:
             decided = b.column(1).to_numpy(zero_copy_only=False) & bool(own.languages)
             pred = np.where(decided, np.array([*own.languages, UNDETERMINED], object)[hits.argmax(axis=1) if own.languages else -1], UNDETERMINED)
             score, known = (np.where(decided, np.clip(x / n, 0, 1), 0.0) for x in (best - second, best))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(known), *(b.column(i) for i in range(2, b.num_columns))], names=[b.schema.names[0], *_NEW, *b.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(known), b.column(2)], names=["text", *_NEW, "rest"])
 
-    given = docs.select("text", letter.alias("_letter"), *others)
-    schema = T.StructType([given.schema["text"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.DoubleType()), *given.schema.fields[2:]])
-    return given.mapInArrow(rows, schema).select(*[c for c in docs.columns if c not in _NEW], *_NEW)
+    columns = [c for c in docs.columns if c not in _NEW]
+    given = docs.select("text", letter.alias("letter"), carried(docs.drop(*_NEW), "text").alias("rest"))
+    schema = T.StructType([given.schema["text"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.DoubleType()), given.schema["rest"]])
+    return given.mapInArrow(rows, schema).select(*restored(columns, "rest", "text"), *_NEW)

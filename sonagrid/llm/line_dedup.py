@@ -21,11 +21,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonagrid.llm import storage
+from sonagrid.llm.columns import carried, restored
 from sonagrid.llm.textarrays import blocks, mix, span_hashes
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -188,39 +189,39 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     return grouped.mapInArrow(pack, "doc_id long, body long, n_dropped long, keep binary")
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with the columns n_dropped and keep of their bitmap (0 and null where it has none)."""
-    marks = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("body").alias("_body"), F.col("n_dropped").alias("_n"), F.col("keep").alias("_keep"))
-    on = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == marks["_doc"]) & (F.xxhash64(docs["text"]) == marks["_body"])
-    joined = docs.join(marks.hint("shuffle_hash"), on, "left")
-    return joined.select(*[docs[c] for c in docs.columns], F.coalesce("_n", F.lit(0)).cast("long").alias("_n_dropped"), F.col("_keep"))
-
-
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Text in column 0, bitmap in the last: the text without its dropped lines goes first."""
+    """Columns in: text, rest, n_dropped, keep. The text loses its dropped lines."""
     for b in batches:
-        texts, keep = b.column(0).to_pylist(), b.column(b.num_columns - 1).to_pylist()
+        texts, keep = b.column(0).to_pylist(), b.column(3).to_pylist()
         out = [t if k is None or t is None else "\n".join(kept_lines(t.split("\n"), k)) for t, k in zip(texts, keep, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(out, b.schema.field(0).type), *[b.column(i) for i in range(1, b.num_columns - 1)]], names=b.schema.names[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(out, b.schema.field(0).type), *(b.column(i) for i in range(1, 4))], names=b.schema.names)
+
+
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, rest: Column) -> DataFrame:
+    """text without its dropped lines, ``rest`` (an expression over ``docs``), n_dropped and keep (0 and null without a bitmap)."""
+    given = docs.select("text", rest.alias("rest"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("body"))
+    marks = bitmaps.select(F.col("doc_id").alias("doc"), "body", "n_dropped", "keep")
+    joined = given.join(marks.hint("shuffle_hash"), ["doc", "body"], "left").select("text", "rest", F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), "keep")
+    return joined.mapInArrow(_strip, joined.schema)
 
 
 def without_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """``docs`` with the lines of :func:`line_bitmaps` taken out of ``text``; all columns stay, in order.
 
-    An ``n_chars`` column is brought up to date for texts that lost lines.
+    An ``n_chars`` column is brought up to date for texts that lost lines. Other columns pass
+    through, whatever their names; repeated rows lose the same lines; see :func:`line_bitmaps` for
+    nulls and empty texts.
     """
-    others = [c for c in docs.columns if c != "text"]
-    marked = apply_bitmaps(docs, line_bitmaps(docs, min_chars, min_docs)).select("text", *others, "_n_dropped", "_keep")
-    schema = T.StructType([marked.schema[c] for c in ("text", *others, "_n_dropped")])
-    out = marked.mapInArrow(_strip, schema)
-    if "n_chars" in others:
-        out = out.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    out = apply_bitmaps(docs, line_bitmaps(docs, min_chars, min_docs), carried(docs, "text"))
+    columns = restored(docs.columns, "rest", "text")
+    if "n_chars" in docs.columns:
+        n = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("rest")["n_chars"])
+        columns[docs.columns.index("n_chars")] = n.alias("n_chars")
+    return out.select(*columns)
 
 
 def line_report(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """Per document: doc_id, n_lines, n_dropped, kept_sha256 of the lines that stay, and the bitmap."""
-    marked = apply_bitmaps(docs.select("doc_id", "text"), line_bitmaps(docs, min_chars, min_docs))
-    marked = marked.select("text", "doc_id", (F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).cast("long").alias("n_lines"), "_n_dropped", F.col("_keep").alias("keep_bitmap"), "_keep")
-    out = marked.mapInArrow(_strip, T.StructType(marked.schema.fields[:-1]))
-    return out.select("doc_id", F.coalesce("n_lines", F.lit(1)).cast("long").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), "keep_bitmap")
+    n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(1)).cast("long")
+    out = apply_bitmaps(docs, line_bitmaps(docs, min_chars, min_docs), F.struct("doc_id", n_lines.alias("n_lines")))
+    return out.select("rest.doc_id", "rest.n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), F.col("keep").alias("keep_bitmap"))

@@ -7,10 +7,9 @@ one bucket key. So two texts meet in a bucket if they share those k-mers in the
 Texts with the same words are one node, so copies are never paired. First every node of a bucket
 is compared with the bucket's few leaders; links so found join most of what belongs together.
 Buckets whose nodes are still of several components are then cut into tiles of bounded size, and
-each two tiles meet in one group, where the pairs of different components that share at least
-``least_shared`` sketches are verified, in the first bucket they share. Only links leave a group,
-never pairs; every pair of a bucket is either joined, verified, or shares too few sketches (pairs of
-similarity 0.8 share about ten of 24; fewer than two in one of 18,000).
+each two tiles meet in one group, where the pairs of different components are verified, in the
+first bucket they share. Only links leave a group, never pairs; every pair of a bucket is either
+joined or verified, whatever the bucket's size.
 
 A pair is verified on its whole texts: the longest chain of common k-mers that stand in the same
 order in both, within a band around the diagonal as wide as the threshold allows, gives the
@@ -31,10 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonagrid.llm import storage
+from sonagrid.llm.columns import carried, restored
 from sonagrid.llm.textarrays import NOT_BLANK, Block, blocks, gram_hashes, lookup, mix, span_hashes, words
 
 #: Tables of so many rows of one or two numbers are broadcast; longer ones are shuffled.
 BROADCAST_ROWS = 500_000
+#: Parts into which the nodes of a bucket are dealt where it is joined by shuffling.
+SALTS = 16
 
 
 class Settings(NamedTuple):
@@ -44,7 +46,6 @@ class Settings(NamedTuple):
     taken: int = 4
     leaders: int = 3
     tile: int = 512
-    least_shared: int = 2
 
 
 def labelled_kmers(block: Block, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -279,7 +280,7 @@ def _verify_tiles(s: Settings):
             others = right[right > i] if one else right
             others = others[comp[others] != comp[i]]
             same = sketch[others] == sketch[i]
-            good = others[(same.sum(axis=1) >= s.least_shared) & ~same[:, :j].any(axis=1)]  # met in no earlier bucket
+            good = others[~same[:, :j].any(axis=1)]  # met in no earlier bucket
             pairs_a.append(np.full(len(good), i))
             pairs_b.append(good)
         a, b = np.concatenate(pairs_a), np.concatenate(pairs_b)
@@ -297,9 +298,25 @@ def _verify_tiles(s: Settings):
     return rows
 
 
+def _short(df: DataFrame) -> bool:
+    """Whether a written table is short enough for a broadcast."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def _sized(df: DataFrame) -> DataFrame:
     """``df`` marked for broadcast if it is short; it must be a written table."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if _short(df) else df
+
+
+def _on_bucket(nodes: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``nodes`` joined to a written table of buckets, without one task for all nodes of a bucket.
+
+    A short table is broadcast; a longer one is repeated for ``SALTS`` parts of each bucket.
+    """
+    if _short(buckets):
+        return nodes.join(F.broadcast(buckets), "bucket")
+    salted = buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return nodes.withColumn("salt", F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(SALTS)).cast("int")).join(salted, ["bucket", "salt"]).drop("salt")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -330,68 +347,78 @@ def _classes(nodes: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """(node, root) of nodes joined by links; nodes: node, sketch; texts: row, text."""
     keyed = nodes.select("node", F.posexplode("sketch").alias("j", "value")).select(F.xxhash64("j", "value").alias("bucket"), "node", "j")
     sizes = storage.written(keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    members = storage.written(keyed.join(sizes, "bucket"), "members")
-    wanted = _sized(storage.written(members.select(F.col("node").alias("row")).distinct(), "wanted"))
-    texts = storage.written(texts.join(wanted, "row").select(F.col("row").alias("node"), "text"), "texts")
+    members = storage.written(_on_bucket(keyed, sizes), "members")
+    storage.delete(sizes)
+    wanted = storage.written(members.select(F.col("node").alias("row")).distinct(), "wanted")
+    texts = storage.written(texts.join(_sized(wanted), "row").select(F.col("row").alias("node"), "text"), "texts")
+    storage.delete(wanted)
     # Leaders: all nodes of a small bucket, about so many of a larger one, picked by a hash.
     picked = F.pmod(F.xxhash64(F.lit(1), "node"), F.ceil(F.col("n") / s.leaders)) == 0
-    leaders = members.filter(picked).select("bucket", F.col("node").alias("leader"))
-    pairs = members.join(leaders, "bucket").filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    leaders = storage.written(members.filter(picked).select("bucket", F.col("node").alias("leader")), "leaders")
+    pairs = _on_bucket(members, leaders).filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     full = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     links = storage.written(full.select("a", "b", "text_a", "text_b").mapInArrow(_verify(s), _LINK), "links")
+    storage.delete(leaders)
     joined = components(links.select("a", "b"))
     # Leaders are done: all of their pairs in the bucket are verified.
     rest = members.filter(~picked).join(joined, "node", "left").select("bucket", "node", "j", F.coalesce("root", "node").alias("comp"))
+    rest = storage.written(rest, "rest")
     mixed = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
-    tiles = F.ceil(F.col("n") / s.tile).cast("int")
-    rest = rest.join(mixed.select("bucket", "n"), "bucket").withColumn("tile", F.pmod(F.xxhash64(F.lit(2), "node"), tiles).cast("int"))
-    rest = rest.select("bucket", "node", "j", "comp", "tile", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
-    rest = rest.select("bucket", "node", "j", "comp", "tile", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"))
-    met = rest.join(nodes, "node").join(texts, "node")
-    more = met.groupBy("bucket", "p", "q").applyInArrow(_verify_tiles(s), _LINK)
-    more = storage.written(more, "more-links")
-    return components(links.unionByName(more).select("a", "b")) if not more.isEmpty() else joined
-
-
-def classed(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(rows, marks, columns): the rows of ``docs`` with a row number, and each row's class.
-
-    rows: row, text, _rest (a struct of the other columns); marks: row, _class, _class_docs, _first;
-    columns: those of ``docs``. Documents are in one class if their words are the same (white space and case aside) or a chain
-    of verified links joins them. _class is the smallest doc_id of the class (null if none has
-    one), _class_docs the number of its documents, _first is true for one row of each class, one
-    that has that doc_id. Texts of fewer than five words are one k-mer. Texts without words are
+    mixed = storage.written(mixed.select("bucket", F.ceil(F.col("n") / s.tile).cast("int").alias("tiles")), "mixed")
+    dealt = _on_bucket(rest, mixed).withColumn("tile", F.pmod(F.xxhash64(F.lit(2), "node"), "tiles").cast("int"))
+    dealt = dealt.select("bucket", "node", "j", "comp", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    dealt = dealt.select("bucket", "node", "j", "comp", "tile", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"))
+    met = dealt.join(nodes, "node").join(texts, "node")
+    more = storage.written(met.groupBy("bucket", "p", "q").applyInArrow(_verify_tiles(s), _LINK), "more-links")
+    return joined if more.isEmpty() else components(links.unionByName(more).select("a", "b"))
+
+
+def classed(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+    """(rows, marks): the rows of ``docs`` with a row number, and each row's class.
+
+    rows: row, text, rest (a struct of the other columns); marks: row, class, class_docs, first.
+    Documents are in one class if their words are the same (white space and case aside) or a chain
+    of verified links joins them. class is the smallest doc_id of the class (null if none has
+    one), class_docs the number of its documents, first is true for one row of each class, one
+    that has that doc_id (ties: any one of them). Texts of fewer than five words are one k-mer. Texts without words are
     one class if they aren't null; a null text is a class of its own. Repeated rows share a class.
-    An empty table gives an empty result; other columns pass through in _rest, whatever their names.
+    An empty table gives an empty result; other columns pass through in rest, whatever their names.
+    Both are written tables; all that is written on the way to them is deleted.
     """
-    columns = docs.columns
-    inner = docs.select("text", F.struct(F.lit(0).alias("_"), *[c for c in columns if c != "text"]).alias("_rest"))
-    schema = T.StructType([inner.schema["text"], *(T.StructField(c, T.LongType()) for c in ("h1", "h2")), T.StructField("sketch", T.ArrayType(T.LongType())), inner.schema["_rest"]])
-    rows = storage.written(inner.mapInArrow(_sketch(settings), schema).withColumn("row", F.monotonically_increasing_id()), "sketches")
-    # A null text is a node of its own: its row stands in for the hashes.
-    key = [F.when(F.col("text").isNull(), F.col("row")).otherwise(F.col("h1")).alias("h1"), F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("h2")).alias("h2")]
-    ids = rows.select(*key, "row", F.col("_rest")["doc_id"].cast("long").alias("doc_id"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    nodes = storage.written(ids.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.min(order).alias("least"), F.count("*").alias("n")), "nodes")
-    sketched = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").filter(F.size("sketch") > 0).select(F.col("row").alias("node"), "sketch")
-    sketched = storage.written(sketched, "node-sketches")
-    roots = _classes(sketched, rows.select("row", "text"), settings)
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = rooted.groupBy("root").agg(F.min("least").alias("least"), F.sum("n").alias("n"))
-    of = rooted.select("h1", "h2", "root").join(classes, "root").select("h1", "h2", F.col("least.doc_id").alias("_class"), F.col("n").alias("_class_docs"), F.col("least.row").alias("_first_row"))
-    of = storage.written(of, "classes")
-    marks = ids.join(of, ["h1", "h2"]).select("row", "_class", "_class_docs", (F.col("row") == F.col("_first_row")).alias("_first"))
-    return rows.select("row", "text", "_rest"), storage.written(marks, "marks"), columns
+    with storage.scratch() as tables:
+        inner = docs.select("text", carried(docs, "text").alias("rest"))
+        schema = T.StructType([inner.schema["text"], *(T.StructField(c, T.LongType()) for c in ("h1", "h2")), T.StructField("sketch", T.ArrayType(T.LongType())), inner.schema["rest"]])
+        rows = storage.written(inner.mapInArrow(_sketch(settings), schema).withColumn("row", F.monotonically_increasing_id()), "sketches")
+        # A null text is a node of its own: its row stands in for the hashes.
+        key = [F.when(F.col("text").isNull(), F.col("row")).otherwise(F.col("h1")).alias("h1"), F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("h2")).alias("h2")]
+        ids = rows.select(*key, "row", F.col("rest")["doc_id"].cast("long").alias("doc_id"))
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+        nodes = storage.written(ids.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.min(order).alias("least"), F.count("*").alias("n")), "nodes")
+        sketched = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").filter(F.size("sketch") > 0).select(F.col("row").alias("node"), "sketch")
+        sketched = storage.written(sketched, "node-sketches")
+        roots = _classes(sketched, rows.select("row", "text"), settings)
+        rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        classes = rooted.groupBy("root").agg(F.min("least").alias("least"), F.sum("n").alias("n"))
+        of = rooted.select("h1", "h2", "root").join(classes, "root").select("h1", "h2", F.col("least.doc_id").alias("class"), F.col("n").alias("class_docs"), F.col("least.row").alias("first_row"))
+        of = storage.written(of, "classes")
+        marks = ids.join(of, ["h1", "h2"]).select("row", "class", "class_docs", (F.col("row") == F.col("first_row")).alias("first"))
+        marks = storage.written(marks, "marks")
+        tables.keep(rows, marks)
+    return rows, marks
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, class_id, class_docs and representative of every document; see :func:`classed`."""
-    rows, marks, _ = classed(docs.select("doc_id", "text"), settings)
-    return rows.select("row", F.col("_rest")["doc_id"].alias("doc_id")).join(marks, "row").select("doc_id", F.col("_class").alias("class_id"), F.col("_class_docs").alias("class_docs"), F.col("_first").alias("representative"))
+    with storage.scratch() as tables:
+        rows, marks = classed(docs.select("doc_id", "text"), settings)
+        ids = rows.select("row", F.col("rest")["doc_id"].alias("doc_id"))
+        out = storage.written(ids.join(marks, "row").select("doc_id", F.col("class").alias("class_id"), "class_docs", F.col("first").alias("representative")), "near-duplicates")
+        tables.keep(out)
+    return out
 
 
 def without_near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row of each class, with the columns of ``docs``."""
-    rows, marks, columns = classed(docs, settings)
-    gone = _sized(storage.written(marks.filter(~F.col("_first")).select("row"), "gone"))
-    return rows.join(gone, "row", "left_anti").select(*["text" if c == "text" else F.col("_rest")[c].alias(c) for c in columns])
+    """One row of each class, with the columns of ``docs``; see :func:`classed`."""
+    rows, marks = classed(docs, settings)
+    gone = _sized(storage.written(marks.filter(~F.col("first")).select("row"), "gone"))
+    return rows.select("row", "text", "rest").join(gone, "row", "left_anti").select(*restored(docs.columns, "rest", "text"))

@@ -4,14 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+_path_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_open: list[Scratch] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """The session's ``spark.checkpoint.dir``.
+
+    Where it is unset a folder of our own is made, but only if all tasks run on this machine
+    (a ``local`` master); on a cluster the executors would not see it, so that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="sonagrid-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -26,19 +38,48 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
     This cuts the lineage: whatever reads the result reads files that every executor sees,
-    so a lost executor costs only its running tasks.
+    so a lost executor costs only its running tasks. The innermost :func:`scratch` owns the table.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _path_of[out] = path
+    if _open:
+        _open[-1].tables.append(out)
+    return out
 
 
 def delete(df: DataFrame) -> None:
-    """Remove the files of a table made by :func:`written` that no later plan reads."""
-    spark = df.sparkSession
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        if folder.startswith(shared_folder(spark).replace("file://", "file:")) or folder.startswith(shared_folder(spark)):
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Remove the files of a table made by :func:`written` that no later plan reads; others stay."""
+    place = _path_of.pop(df, None)
+    if place:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Tables that go when their :func:`scratch` ends."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def keep(self, *tables: DataFrame) -> None:
+        """These outlive the scratch; the one around it, if any, owns them from here on."""
+        for df in tables:
+            self.tables = [x for x in self.tables if x is not df]
+            if len(_open) > 1:
+                _open[-2].tables.append(df)
+
+
+@contextmanager
+def scratch() -> Iterator[Scratch]:
+    """Delete what :func:`written` wrote within the block, but for tables that are kept."""
+    own = Scratch()
+    _open.append(own)
+    try:
+        yield own
+    finally:
+        _open.pop()
+        for df in own.tables:
+            delete(df)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonagrid.llm import storage
+from sonagrid.llm.sampling import distinct_texts
 from sonagrid.llm.textarrays import ALNUM, LOWER, Block, SpanHasher, blocks, lookup, words
 
 PREFIXES = (4, 5, 6, 7)
@@ -89,30 +90,38 @@ def hits(grams: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray, np.nd
     return counted(text[own], at[own])
 
 
+def log_likelihood(theta: np.ndarray, rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, n_features: int, penalty: float) -> tuple[float, np.ndarray]:
+    """The mean log-likelihood less penalty / 2 * |w|^2, and its gradient.
+
+    theta: weights, then t_0, then the logarithms of the gaps between thresholds.
+    """
+    n, w = len(grades), theta[:n_features]
+    gaps = np.exp(theta[n_features + 1 :])
+    t = np.cumsum(np.concatenate([theta[n_features : n_features + 1], gaps]))
+    eta = np.bincount(rows, w[columns], n) if len(rows) else np.zeros(n)
+    p = 1 / (1 + np.exp(-np.clip(eta[:, None] - t, -30, 30)))  # P(grade > k)
+    padded = np.column_stack([np.ones(n), p, np.zeros(n)])
+    at = np.arange(n)
+    own = np.maximum(padded[at, grades] - padded[at, grades + 1], 1e-12)
+    slope = padded * (1 - padded)
+    lower, upper = slope[at, grades] / own / n, slope[at, grades + 1] / own / n
+    d_eta = lower - upper
+    d_t = np.bincount(grades, upper, len(t) + 1)[:-1] - np.bincount(grades, lower, len(t) + 1)[1:]
+    d_w = (np.bincount(columns, d_eta[rows], n_features) if len(rows) else 0.0) - penalty * w
+    return float(np.log(own).mean() - penalty / 2 * (w @ w)), np.concatenate([d_w, [d_t.sum()], gaps * np.cumsum(d_t[::-1])[::-1][1:]])
+
+
 def fit(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, n_features: int, n_grades: int, penalty: float = 5e-5, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by gradient steps on the mean log-likelihood (Adam); rows and columns name the ones of x.
 
     Thresholds are t_0 and positive gaps, so they stay in order.
     """
-    w = np.zeros(n_features)
     share = np.array([np.mean(grades > k) for k in range(n_grades - 1)]).clip(1e-3, 1 - 1e-3)
     start = np.maximum.accumulate(-np.log(share / (1 - share)) + 1e-3 * np.arange(n_grades - 1))
-    theta = np.concatenate([w, start[:1], np.log(np.maximum(np.diff(start), 1e-3))])
+    theta = np.concatenate([np.zeros(n_features), start[:1], np.log(np.maximum(np.diff(start), 1e-3))])
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    above = np.arange(n_grades - 1)
     for step in range(1, steps + 1):
-        w, t = theta[:n_features], np.cumsum(np.concatenate([theta[n_features : n_features + 1], np.exp(theta[n_features + 1 :])]))
-        eta = np.bincount(rows, w[columns], len(grades)) if len(rows) else np.zeros(len(grades))
-        p = 1 / (1 + np.exp(-np.clip(eta[:, None] - t, -30, 30)))  # P(grade > k)
-        padded = np.column_stack([np.ones(len(grades)), p, np.zeros(len(grades))])
-        at = np.arange(len(grades))
-        own = np.maximum(padded[at, grades] - padded[at, grades + 1], 1e-12)
-        slope = padded * (1 - padded)
-        d_eta = (slope[at, grades] - slope[at, grades + 1]) / own / len(grades)
-        d_t = np.zeros(n_grades - 1)
-        for k in above:
-            d_t[k] = (np.sum((slope[at, grades + 1] / own)[grades == k]) - np.sum((slope[at, grades] / own)[grades == k + 1])) / len(grades)
-        grad = np.concatenate([np.bincount(columns, d_eta[rows], n_features) - penalty * w if len(rows) else -penalty * w, [d_t.sum()], np.exp(theta[n_features + 1 :]) * np.cumsum(d_t[::-1])[::-1][1:]])
+        _, grad = log_likelihood(theta, rows, columns, grades, n_features, penalty)
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         theta = theta + 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
     return theta[:n_features], np.cumsum(np.concatenate([theta[n_features : n_features + 1], np.exp(theta[n_features + 1 :])]))
@@ -121,16 +130,14 @@ def fit(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, n_features: i
 def train(labelled: DataFrame, grade: Column, n_grades: int, sample_docs: int = 20_000, features: int = 8192, least_docs: int = 3, least_ratio: float = 5.0) -> Model:
     """Fit on rows with text and a grade from 0 to n_grades - 1; rows without either are left out.
 
-    The sample holds ``sample_docs`` rows on average, picked by a hash of the text. Features of at
+    The sample holds at most ``sample_docs`` distinct texts, see :func:`sampling.distinct_texts`. Features of at
     least ``least_docs`` of them are ranked by the likelihood ratio of grade > 0; the first
     ``features`` whose ratio is at least ``least_ratio`` are kept.
     """
     spark = labelled.sparkSession
     rows = labelled.filter(F.col("text").isNotNull()).select(grade.cast("int").alias("grade"), "text").filter(F.col("grade").between(0, n_grades - 1))
-    n = rows.count()
-    share = min(1.0, sample_docs / max(n, 1))
-    picked = storage.written(rows.filter(F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(1 << 40)) < share * (1 << 40)).withColumn("id", F.monotonically_increasing_id()), "labelled")
-    grades = picked.select("id", "grade").toArrow()  # sample_docs rows
+    picked = storage.written(distinct_texts(rows, "grade", sample_docs, False).withColumn("id", F.monotonically_increasing_id()), "labelled")
+    grades = picked.select("id", "grade").toArrow()  # sample_docs rows at most
     ids, y = grades["id"].to_numpy(), grades["grade"].to_numpy().astype(np.int64)
     total, positive = len(y), int((y > 0).sum())
     if not positive:

@@ -432,20 +432,22 @@ def test_an_arc_of_two_places_stays_one_as_the_table_grows(spark):
 
 
 def sketch(text):
-    w, out = text.lower().split(), set()
+    w, out = text.lower().split(), []
     for i in range(max(1, len(w) - 4) if w else 0):
         h = 42
         for x in w[i : i + 5]:
             h = xxhash.xxh64_intdigest(x.encode(), h)
-        out.add(h >> 16)
-    full = len(w) <= fingerprints.FULL + 4
-    return (1 if full else 8), sorted(x for x in out if full or x < 2**48 // 8)
+        out.append(h >> 16)
+    whole = 42
+    for x in out:
+        whole = xxhash.xxh64_intdigest(x.to_bytes(8, "little"), whole)
+    return whole, sorted({x for x in out if x < 2**48 // fingerprints.SCALE})
 
 
 def test_fingerprints_equal_brute_force(spark, documents):
     ids = sorted(documents, reverse=True)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    for rows in (4000, 30):  # one range, many ranges
+    for rows in (4000, 30, 8):  # one range, some, many
         chain = {r.doc_id: r.next_text for r in fingerprints.with_next(docs, rows_per_range=rows).select("doc_id", "next_text").collect()}
         assert chain == {i: documents[ids[(k + 1) % len(ids)]] for k, i in enumerate(ids)}
     got = {r.doc_id: r for r in fingerprints.fingerprint_report(docs).collect()}
@@ -453,12 +455,11 @@ def test_fingerprints_equal_brute_force(spark, documents):
         text, following = documents[i], documents[ids[k + 1]]
         half = len(text) // 2
         edited = text[: len(text) - half] + following[:half]
-        (s, own), (e, other) = sketch(text), sketch(edited)
+        (w, own), (v, other) = sketch(text), sketch(edited)
         assert got[i].n_chars == len(text) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert got[i].fingerprint == f"{s}:" + "".join(f"{x:012x}" for x in own)
-        cut = lambda xs, a: {x for x in xs if max(s, e) == a or x < 2**48 // 8}
-        a, b = cut(own, s), cut(other, e)
-        assert got[i].near_edited == pytest.approx(len(a & b) / len(a | b) if a | b else 0)
+        assert got[i].fingerprint == f"{w:016x}:" + "".join(f"{x:012x}" for x in own)
+        a, b = set(own), set(other)
+        assert got[i].near_edited == pytest.approx(1 if w == v else len(a & b) / len(a | b) if a | b else 0)
 
 
 def test_fingerprints_of_equal_texts_are_equal(spark, odd):
@@ -466,7 +467,28 @@ def test_fingerprints_of_equal_texts_are_equal(spark, odd):
     assert rows.filter("count > 1").count() == 0
 
 
+def test_documents_without_an_id_come_last_in_many_ranges(spark):
+    docs = spark.createDataFrame([(i if i < 20 else None, f"text {i % 30}") for i in range(60)], "doc_id long, text string")
+    rows = fingerprints.with_next(docs, rows_per_range=7).collect()
+    follows = collections.Counter((r.text, r.next_text) for r in rows)
+    assert len(rows) == 60 and collections.Counter(r.next_text for r in rows) == collections.Counter(r.text for r in rows)
+    assert all(follows[f"text {i}", f"text {i - 1}"] for i in range(1, 20))
+    assert sum(r.text == r.next_text for r in rows if r.doc_id is None) == 10  # those that stand there twice
+
+
+def test_estimates_are_near_the_truth(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    a = [rng.choice(vocabulary) for _ in range(4000)]
+    rows = [(i, " ".join(a), " ".join(a[:k] + [rng.choice(vocabulary) for _ in range(k // 3)])) for i, k in enumerate((300, 1000, 3900))]
+    df = spark.createDataFrame(rows, "i int, a string, b string").select("i", *(fingerprints.sketch(F.col(c)).alias(c) for c in "ab"))
+    got = df.select("i", fingerprints.likeness(F.col("a"), F.col("b")).alias("j"), fingerprints.containment(F.col("b"), F.col("a")).alias("c")).collect()
+    for r in got:
+        x, y = ({tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in rows[r.i][1:])
+        assert abs(r.j - len(x & y) / len(x | y)) < 0.05 and abs(r.c - len(x & y) / len(y)) < 0.1
+
+
 def test_sketches_merge(spark):
     a, b = (" ".join(f"{p}{i}" for i in range(900)) for p in "ab")
-    parts = spark.createDataFrame([(a,), (b,)], "t string").select(fingerprints.sketch(F.col("t")).alias("s")).agg(fingerprints.merged(F.col("s")).alias("m")).first().m
+    parts = spark.createDataFrame([(a,), (b,)], "t string").select(fingerprints.sketch(F.col("t"))["hashes"].alias("s")).agg(fingerprints.merged(F.col("s")).alias("m")).first().m
     assert parts == sorted({*sketch(a)[1], *sketch(b)[1]})
