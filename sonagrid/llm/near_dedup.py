@@ -12,8 +12,11 @@ first bucket they share. Only links leave a group, never pairs; every pair of a
 joined or verified, whatever the bucket's size.
 
 A pair is verified on its whole texts: the longest chain of common k-mers that stand in the same
-order in both, within a band around the diagonal as wide as the threshold allows, gives the
-aligned k-mers a; the link holds if a / (n1 + n2 - a) reaches ``threshold``.
+order in both, within a band around the diagonal as wide as the threshold allows, aligns their
+words. What lies between the chain's k-mers counts as edited, at the length of its longer side; the
+edit similarity is one less the edited share of the longer text. The link holds if that reaches
+``threshold`` and the chain has at least ``shared`` of all k-mers: less alike pairs too may meet in
+a bucket, but Order MinHash can't promise it.
 """
 
 from __future__ import annotations
@@ -41,9 +44,10 @@ SALTS = 16
 
 class Settings(NamedTuple):
     threshold: float = 0.8
+    shared: float = 0.4
     shingle: int = 5
-    sketches: int = 24
-    taken: int = 4
+    sketches: int = 32
+    taken: int = 3
     leaders: int = 3
     tile: int = 512
 
@@ -147,45 +151,63 @@ def _sketch(s: Settings):
     return rows
 
 
-def chain_length(a: np.ndarray, b: np.ndarray, threshold: float) -> int:
-    """The most common k-mers in the same order in both; 0 as soon as the threshold is out of reach.
-
-    k-mers are distinct within each text, so this is the longest common subsequence, found as the
-    longest increasing run of places. Places may lie apart by as many k-mers as a linked pair can
-    have unmatched: the band.
-    """
-    most = min(len(a), len(b))
-    need = threshold / (1 + threshold) * (len(a) + len(b))  # a / (n1 + n2 - a) >= threshold
-    if most < need - 1e-9:
-        return 0
-    _, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    band = len(a) + len(b) - 2 * need + 1
-    near = np.abs(ia - ib) <= band
-    ia, ib = ia[near], ib[near]
-    if len(ia) < need - 1e-9:
-        return 0
-    places = ib[np.argsort(ia)]
+def _longest_rise(places: np.ndarray) -> np.ndarray:
+    """Indices of a longest strictly ascending run of ``places``."""
     if len(places) < 2 or (np.diff(places) > 0).all():
-        return len(places)
-    tails: list[int] = []
-    for p in places.tolist():
+        return np.arange(len(places))
+    tails: list[int] = []  # the lowest end of a run of each length, and where it stands
+    at_tail: list[int] = []
+    before = np.full(len(places), -1)
+    for i, p in enumerate(places.tolist()):
         at = bisect_left(tails, p)
+        if at:
+            before[i] = at_tail[at - 1]
         if at == len(tails):
             tails.append(p)
+            at_tail.append(i)
         else:
-            tails[at] = p
-    return len(tails)
+            tails[at], at_tail[at] = p, i
+    run, i = [], at_tail[-1]
+    while i >= 0:
+        run.append(i)
+        i = int(before[i])
+    return np.array(run[::-1])
 
 
-def aligned_similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
-    """Aligned k-mers as a share of all; 0 if it can't reach the threshold."""
-    n = chain_length(a, b, threshold)
-    return n / (len(a) + len(b) - n) if n else 0.0
+def aligned_similarity(a: np.ndarray, b: np.ndarray, s: Settings) -> float:
+    """Edit similarity of two texts' words by the chain of their common k-mers; 0 if it can't reach what ``s`` asks.
 
-
-def _needed(size: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """Common k-mers without which a pair can't reach the threshold."""
-    return threshold / (1 + threshold) * (size[a] + size[b]) - 1e-9
+    k-mers are distinct within each text, so the chain is a longest common subsequence, found as
+    the longest ascending run of places.
+    """
+    if (len(a), int(a[0]), int(a[-1])) > (len(b), int(b[0]), int(b[-1])):
+        a, b = b, a  # the same alignment whichever comes first
+    longer = len(b) + s.shingle - 1
+    most = (1 - s.threshold) * longer + 1e-9  # edited words
+    need = s.shared / (1 + s.shared) * (len(a) + len(b)) - 1e-9
+    if len(b) - len(a) > most or len(a) < need:
+        return 0.0
+    _, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    near = np.abs(ia - ib) <= most
+    ia, ib = ia[near], ib[near]
+    if len(ia) < need:
+        return 0.0
+    order = np.argsort(ia)
+    ia, ib = ia[order], ib[order]
+    run = _longest_rise(ib)
+    if len(run) < need:
+        return 0.0
+    ia, ib = ia[run], ib[run]
+    da, db = np.diff(ia), np.diff(ib)
+    between = np.maximum(da, db) - np.minimum(np.minimum(da, db), s.shingle)
+    edited = max(ia[0], ib[0]) + between.sum() + max(len(a) - 1 - ia[-1], len(b) - 1 - ib[-1])
+    return float(1 - edited / longer) if edited <= most else 0.0
+
+
+def _needed(size: np.ndarray, a: np.ndarray, b: np.ndarray, s: Settings) -> np.ndarray:
+    """Common k-mers without which a pair is no link; more than any text has if the lengths differ too much."""
+    apart = np.abs(size[a] - size[b]) > (1 - s.threshold) * (np.maximum(size[a], size[b]) + s.shingle - 1) + 1e-9
+    return np.where(apart, np.inf, s.shared / (1 + s.shared) * (size[a] + size[b]) - 1e-9)
 
 
 def pair_overlaps(kmers: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -219,12 +241,12 @@ def all_overlaps(kmers: list[np.ndarray], columns: int = 8192) -> np.ndarray:
     return out
 
 
-def holding(kmers: list[np.ndarray], a: np.ndarray, b: np.ndarray, common: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float]]:
-    """Those pairs whose alignment reaches the threshold; only pairs with enough common k-mers are aligned."""
+def holding(kmers: list[np.ndarray], a: np.ndarray, b: np.ndarray, common: np.ndarray, s: Settings) -> Iterator[tuple[int, int, float]]:
+    """Those pairs whose alignment is a link; only pairs with enough common k-mers are aligned."""
     size = np.array([len(k) for k in kmers], np.int64)
-    for i in np.flatnonzero(common >= _needed(size, a, b, threshold)).tolist():
-        found = aligned_similarity(kmers[a[i]], kmers[b[i]], threshold)
-        if found >= threshold - 1e-12:
+    for i in np.flatnonzero(common >= _needed(size, a, b, s)).tolist():
+        found = aligned_similarity(kmers[a[i]], kmers[b[i]], s)
+        if found:
             yield int(a[i]), int(b[i]), found
 
 
@@ -257,11 +279,11 @@ def _verify(s: Settings):
                 kmers, n = _kmers(texts, s), batch.num_rows
                 size = np.array([len(k) for k in kmers], np.int64)
                 a, b = place[:n], place[n:]
-                near = np.minimum(size[a], size[b]) >= _needed(size, a, b, s.threshold)
+                near = np.minimum(size[a], size[b]) >= _needed(size, a, b, s)
                 a, b = a[near], b[near]
                 order = np.argsort(a, kind="stable")
                 a, b = a[order], b[order]
-                yield _links(nodes.tolist(), holding(kmers, a, b, pair_overlaps(kmers, a, b), s.threshold))
+                yield _links(nodes.tolist(), holding(kmers, a, b, pair_overlaps(kmers, a, b), s))
 
     return rows
 
@@ -291,7 +313,7 @@ def _verify_tiles(s: Settings):
         texts = table["text"].combine_chunks()
         texts = texts if isinstance(texts, pa.Array) else pa.concat_arrays(texts.chunks)
         kmers = _kmers(texts.take(pa.array(used)), s)
-        found = holding(kmers, a, b, all_overlaps(kmers)[a, b], s.threshold)
+        found = holding(kmers, a, b, all_overlaps(kmers)[a, b], s)
         nodes = table["node"].to_numpy()[used].tolist()
         return pa.Table.from_batches([_links(nodes, found)])
 

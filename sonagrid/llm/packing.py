@@ -174,41 +174,37 @@ class Encoder:
                 yield own if self.end_id is None else np.append(own, np.uint32(self.end_id))
 
 
-_PIECES = (("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long"), ("loss_tokens", "long"))
+_PIECES = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), end_id: int = 1, with_ids: bool = False) -> DataFrame:
-    """The pieces of all documents, placed in sequences.
-
-    A document's ids are its text's, by the tokenizers library without special tokens, and then
-    ``end_id``. Each id lies in exactly one piece. Every id bears loss but a document's first,
-    which nothing precedes. Per piece: doc_id, start, length, ids_crc32 (of the ids as unsigned
-    little-endian 32-bit numbers), doc_tokens, sequence_id, offset, loss_tokens, and ids if
-    ``with_ids``. Null and empty texts have the end id only; repeated rows are packed as often as
-    they are; a null doc_id stays null; an empty table gives no pieces; other columns are not read.
-    """
-    kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(n, T.LongType()) for n, _ in _PIECES)])
+def _pack(rows: DataFrame, encoded, limits: Limits, with_ids: bool) -> DataFrame:
+    """Pieces of examples; ``encoded`` yields (id, ids, running sum of loss-bearing ids) of a batch whose first column is the id."""
+    key = rows.schema.fields[0]
+    schema = T.StructType([T.StructField(key.name, key.dataType), *(T.StructField(n, T.LongType()) for n in _PIECES)])
     if with_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path, end_id)
-        packer = VectorPacker(limits, lambda e, s, n: n - (s == 0))
-        own: dict[int, list] = {}  # of examples that wait: doc_id, ids, ids not yet out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, list] = {}  # of examples that wait: id, ids, loss so far, ids not yet out
+
+        def loss(example: int, start: int, length: int) -> int:
+            upto = own[example][2]
+            return length - (start == 0) if upto is None else int(upto[start + length] - upto[start])
+
+        packer = VectorPacker(limits, loss)
         base, n = TaskContext.get().partitionId() << 32, 0
         out: list[tuple] = []
         id_kind = None
 
         def take(pieces: Iterator[Piece]) -> None:
             for p in pieces:
-                doc, ids, left = own[p.example]
+                doc, ids, _, left = own[p.example]
                 part = ids[p.start : p.start + p.length]
-                out.append((doc, p.start, p.length, zlib.crc32(part.astype("<u4").tobytes()), len(ids), base + p.sequence, p.offset, p.length - (p.start == 0), part.astype(np.int32) if with_ids else None))
+                out.append((doc, p.start, p.length, zlib.crc32(part.astype("<u4").tobytes()), len(ids), base + p.sequence, p.offset, loss(p.example, p.start, p.length), part.astype(np.int32) if with_ids else None))
                 if left == p.length:
                     del own[p.example]
                 else:
-                    own[p.example][2] = left - p.length
+                    own[p.example][3] = left - p.length
 
         def batch() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True)) or [[]] * 9
@@ -216,16 +212,64 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits
             arrays = [pa.array(columns[0], id_kind), *(pa.array(x, pa.int64()) for x in columns[1:8])]
             return pa.RecordBatch.from_arrays([*arrays, *[pa.array(columns[8], pa.list_(pa.int32()))] * with_ids], names=schema.names)
 
+        encode = encoded()
         for b in batches:
             id_kind = b.schema.field(0).type
-            for doc, ids in zip(b.column(0).to_pylist(), encoder(b.column(1)), strict=True):
-                own[n] = [doc, ids, len(ids)]
-                take(packer.add(n, len(ids)))
-                n += 1
+            for doc, ids, upto in encode(b):
+                if len(ids):
+                    own[n] = [doc, ids, upto, len(ids)]
+                    take(packer.add(n, len(ids)))
+                    n += 1
                 if len(out) > 1024:
                     yield batch()
         if id_kind is not None:
             take(packer.finish())
             yield batch()
 
-    return docs.select("doc_id", "text").mapInArrow(rows, schema)
+    return rows.mapInArrow(run, schema)
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), end_id: int = 1, with_ids: bool = False) -> DataFrame:
+    """The pieces of all documents, placed in sequences.
+
+    A document's ids are its text's, by the tokenizers library without special tokens, and then
+    ``end_id``. Each id lies in exactly one piece. Every id bears loss but a document's first,
+    which nothing precedes. Per piece: doc_id, start, length, ids_crc32 (of the ids as unsigned
+    little-endian 32-bit numbers), doc_tokens, sequence_id, offset, loss_tokens, and ids if
+    ``with_ids``. Null and empty texts have the end id only; repeated rows are packed as often as
+    they are; equal dot products are taken in the order of arrival; a null doc_id stays null; an
+    empty table gives no pieces; other columns are not read.
+    """
+
+    def encoded():
+        encoder = Encoder(tokenizer_path, end_id)
+        return lambda b: ((doc, ids, None) for doc, ids in zip(b.column(0).to_pylist(), encoder(b.column(1)), strict=True))
+
+    return _pack(docs.select("doc_id", "text"), encoded, limits, with_ids)
+
+
+def pack_examples(examples: DataFrame, tokenizer_path: str, limits: Limits = Limits(), end_id: int = 1, with_ids: bool = False, key: str = "doc_id") -> DataFrame:
+    """The pieces of instruction examples, of whose ids only some bear loss.
+
+    ``parts`` (array<struct<text, loss>>) holds an example's turns in order; the ids of a part
+    bear loss if its ``loss`` is true (null: false), and so does ``end_id``, which follows the last part, if that
+    part does. An example's first id bears none. Columns are those of :func:`pack_documents`, with
+    ``key`` for doc_id; null or empty parts have the end id only.
+    """
+
+    def encoded():
+        encoder = Encoder(tokenizer_path, None)
+
+        def run(b: pa.RecordBatch):
+            parts = [x or [] for x in b.column(1).to_pylist()]
+            ids = encoder(pa.array([x and x["text"] for p in parts for x in p], pa.string()))
+            for name, own in zip(b.column(0).to_pylist(), parts, strict=True):
+                bears = [bool(x and x["loss"]) for x in own]
+                pieces = [*(next(ids) for _ in own), np.array([end_id], np.uint32)]
+                mask = np.repeat([*bears, bool(bears and bears[-1])], [len(x) for x in pieces])
+                mask[0] = False
+                yield name, np.concatenate(pieces), np.concatenate([[0], np.cumsum(mask)])
+
+        return run
+
+    return _pack(examples.select(key, "parts"), encoded, limits, with_ids)

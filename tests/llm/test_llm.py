@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sonagrid.llm import decontamination, fingerprints, language_id, language_model, license_scan, line_dedup, near_dedup, packing, queries, token_counts, toxicity
+from sonagrid.llm import decontamination, fingerprints, language_id, language_model, license_scan, line_dedup, near_dedup, packing, queries, sampling, storage, token_counts, toxicity
 from sonagrid.llm.textarrays import ALNUM, NOT_BLANK, blocks, span_hashes, words
 from tests.compare import assert_same, connection
 from tests.conftest import SMALL
@@ -38,7 +38,7 @@ ODD = [None, "", " ", "\n\n", "a", "é", "the same line of twenty code points\n"
 def odd(spark):
     """Edge cases, repeated rows, a null id, and extra columns whose names the operators use too."""
     docs = table(spark, ODD).unionByName(table(spark, ODD)).unionByName(spark.createDataFrame([(None, "no id", None, None, None)], DOCS))
-    return docs.withColumns({c: F.lit(1) for c in ("n_words", "items", "score", "lang_pred", "node", "row", "h1", "comp", "range", "guest", "pos", "body")})
+    return docs.withColumns({c: F.lit(1) for c in ("n_words", "items", "score", "lang_pred", "node", "row", "h1", "comp", "range", "guest", "pos", "body", "_keep", "_n", "_doc", "_body", "_", "_row", "_rest", "rest", "keep", "doc", "letter", "_letter", "n_dropped", "sketch", "class", "first", "bucket")})
 
 
 @pytest.fixture(scope="module")
@@ -93,6 +93,20 @@ def test_empty_tables_give_empty_results(spark, empty):
         assert df.count() == 0, name
 
 
+def test_scratch_tables_go(spark):
+    df = spark.range(3)
+    with storage.scratch() as outer:
+        with storage.scratch() as inner:
+            gone, kept = storage.written(df, "gone"), storage.written(df, "kept")
+            inner.keep(kept)
+        assert kept.count() == 3
+        with pytest.raises(Exception, match="(?i)not.exist"):
+            gone.collect()
+        assert outer.tables == [kept]
+    with pytest.raises(Exception, match="(?i)not.exist"):
+        kept.collect()
+
+
 def test_empty_benchmark_hits_nothing(spark, odd):
     out = decontamination.report(odd, spark.createDataFrame([], BENCHMARK))
     assert out.filter("n_hit > 0 or contaminated").count() == 0
@@ -145,6 +159,77 @@ def test_language_needs_letters_and_ignores_labels(spark):
     assert got[13][0] in ("en", "fr")
 
 
+def test_filter_agrees_with_plain_sets(spark):
+    """A set of n-grams per language, by the rule of train(), against the bit-sliced filter."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").filter("text is not null and lang is not null")
+    rows = docs.select("text", "lang").distinct().collect()
+    counts = collections.defaultdict(collections.Counter)
+    grams = []
+    for r in rows:
+        padded = " " + "".join(c if "a" <= c <= "z" or ord(c) > 127 else " " for c in r.text.lower()) + " "
+        raw = padded.encode()
+        own = [raw[i : i + n] for n in (3, 5) for i in range(len(raw) - n + 1) if b" " not in raw[i + 1 : i + n - 1]]
+        grams.append(own)
+        counts[r.lang].update(own)
+    total = {x: sum(c.values()) for x, c in counts.items()}
+    best = collections.Counter()
+    for x, c in counts.items():
+        for g, n in c.items():
+            best[g] = max(best[g], n / total[x])
+    held = {x: {g for g, n in c.items() if n >= 2 and n / total[x] >= 0.4 * best[g]} for x, c in counts.items()}
+    f = language_id.train(docs.select("text", "lang"), sample_docs=10**6)
+    assert set(f.languages) == set(held)
+    n, hits = language_id.corrected_counts(pa.array([r.text for r in rows]), f)
+    assert n.tolist() == list(map(len, grams))
+    for i, own in enumerate(grams):
+        for k, x in enumerate(f.languages):
+            want = sum(g in held[x] for g in own)
+            assert abs(hits[i, k] - want) <= 3 + 0.02 * len(own)  # chance hits, taken off on average
+
+
+def test_samples_are_bounded_however_many_copies_there_are(spark):
+    same = spark.range(200_000).select(F.lit("one text that all have").alias("text"), F.lit("en").alias("lang"))
+    others = spark.range(3_000).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 2 == 0, "en").otherwise("fr").alias("lang"))
+    got = sampling.distinct_texts(same.unionByName(others), "lang", 500, True).collect()
+    assert collections.Counter(r.lang for r in got) == {"en": 500, "fr": 500}
+    assert len({(r.lang, r.text) for r in got}) == 1000
+    assert len(sampling.distinct_texts(others, "lang", 700, False).collect()) == 700
+    again = sampling.distinct_texts(others.unionByName(same).repartition(5), "lang", 500, True).collect()
+    assert {(r.lang, r.text) for r in got} == {(r.lang, r.text) for r in again}
+
+
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(2)
+    rows, columns = rng.integers(0, 40, 200), rng.integers(0, 7, 200)
+    grades, theta = rng.integers(0, 4, 40), rng.normal(size=7 + 3)
+    _, grad = toxicity.log_likelihood(theta, rows, columns, grades, 7, 1e-2)
+    for i in range(len(theta)):
+        step = np.zeros(10)
+        step[i] = 1e-6
+        up, down = (toxicity.log_likelihood(theta + x, rows, columns, grades, 7, 1e-2)[0] for x in (step, -step))
+        assert grad[i] == pytest.approx((up - down) / 2e-6, abs=1e-6)
+
+
+def test_fit_without_features_gives_the_grades_shares():
+    """The exact solution: P(grade > k) is the share of grades over k."""
+    grades = np.repeat([0, 1, 2], [60, 30, 10])
+    none = np.zeros(0, np.int64)
+    _, thresholds = toxicity.fit(none, none, grades, 0, 3, steps=500)
+    assert 1 / (1 + np.exp(thresholds)) == pytest.approx([0.4, 0.1], abs=1e-4)
+
+
+def test_ratings_are_the_models(spark):
+    """Severity, grade and toxic of rate() against the definition, word by word."""
+    model = toxicity.Model(np.sort(toxicity.gram_places(next(blocks(pa.array(["slur vile"]))))[1]), np.array([[0.5, 1.0, 0.25]] * len(toxicity.gram_places(next(blocks(pa.array(["slur vile"]))))[1])), np.array([1.0, 2.0]))
+    texts = [None, "", "slur", "a slur and SLUR", "vile slur vile slur slur slur"]
+    got = toxicity.rate(table(spark, texts), model).orderBy("doc_id").collect()
+    for r, (slur, vile) in zip(got, [(0, 0), (0, 0), (1, 0), (2, 0), (4, 2)]):
+        eta = sum(w * (n >= least) for n in (slur, vile) for w, least in ((0.5, 1), (1.0, 2), (0.25, 4)))
+        p = [1 / (1 + math.exp(-(eta - t))) for t in (1.0, 2.0)]
+        assert r.severity == pytest.approx(sum(p)) and r.p_toxic == pytest.approx(p[0])
+        assert r.grade == int(np.argmax([1 - p[0], p[0] - p[1], p[1]])) and r.toxic == (p[0] >= 0.35)
+
+
 def test_more_than_64_languages(spark):
     rng = random.Random(3)
     alphabets = ["".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 6)) for _ in range(70)]
@@ -236,6 +321,34 @@ def test_packer_keeps_all_limits(segments, loss):
     assert all(sorted(seen[e]) == list(range(n)) for e, n in enumerate(sizes))
 
 
+@pytest.mark.parametrize("limits", [packing.Limits(128, 256, 30), packing.Limits(128, 3, 128), packing.Limits(128, 256, 128)])
+def test_conversations_are_packed_under_each_limit(spark, tokenizer, limits):
+    """Assistant turns bear loss; in turn loss, segments and tokens are what fills a sequence."""
+    turns = spark.read.parquet(f"{SMALL}/conversations.parquet")
+    one = F.sort_array(F.collect_list(F.struct("turn", "text", (F.col("role") == "assistant").alias("loss"))))
+    examples = turns.groupBy("conv_id").agg(one.alias("turns")).select("conv_id", F.transform("turns", lambda t: F.struct(t["text"].alias("text"), t["loss"].alias("loss"))).alias("parts"))
+    rows = packing.pack_examples(examples.coalesce(1), queries.tokenizer_path(), limits, with_ids=True, key="conv_id").collect()
+    parts = {r.conv_id: [(p.text or "", p.loss) for p in r.parts] for r in examples.collect()}
+    by, sequences = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        by[r.conv_id].append(r)
+        sequences[r.sequence_id].append(r)
+    for name, own in parts.items():
+        each = [tokenizer.encode(t, add_special_tokens=False).ids for t, _ in own]
+        mask = [loss for (_, loss), ids in zip(own, each) for _ in ids] + [own[-1][1]]
+        mask[0] = False
+        pieces = sorted(by[name], key=lambda r: r.start)
+        assert [x for r in pieces for x in r.ids] == [x for ids in each for x in ids] + [1]
+        assert all(r.loss_tokens == sum(mask[r.start : r.start + r.length]) for r in pieces)
+    sums = [(sum(r.length for r in x), len(x), sum(r.loss_tokens for r in x)) for x in sequences.values()]
+    assert all(a <= b for x in sums for a, b in zip(x, limits))
+    assert any(x[2] == limits.loss or x[1] == limits.segments or x[0] == limits.tokens for x in sums)
+    if limits.loss < 128:
+        assert any(x[2] == limits.loss and x[0] < 128 for x in sums)  # loss binds, tokens don't
+    elif limits.segments == 3:
+        assert any(x[1] == 3 for x in sums)
+
+
 # 4 decontamination, 9 lines: many tasks and blocks
 
 
@@ -288,7 +401,7 @@ def brute_classes(texts):
 
     for i in kmers:
         for j in range(i):
-            if near_dedup.aligned_similarity(kmers[i], kmers[j], 0.8) >= 0.8 - 1e-12:
+            if len(kmers[i]) and len(kmers[j]) and near_dedup.aligned_similarity(kmers[i], kmers[j], near_dedup.Settings()):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {i: find(i) for i in kmers}
@@ -313,6 +426,53 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == brute_classes(texts)
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_alignment_counts_edited_words():
+    """Never fewer edits than the edit distance, exactly as many if edits lie more than five words apart and from the ends."""
+    rng = random.Random(12)
+    s = near_dedup.Settings()
+    kmers = lambda t: near_dedup.labelled_kmers(next(blocks(pa.array([" ".join(t)]))), 5)[0]
+    linked = 0
+    for k in range(120):
+        a = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(30, 90))]
+        b, apart = [], k % 2 == 0
+        for i, w in enumerate(a):
+            kind = rng.choice("sid") if (i % 12 == 6 and i + 6 < len(a) if apart else rng.random() < 0.05) else ""
+            b += {"s": ["new"], "i": ["new", w], "d": [], "": [w]}[kind]
+        found = near_dedup.aligned_similarity(kmers(a), kmers(b), s)
+        want = 1 - edit_distance(a, b) / max(len(a), len(b))
+        assert found <= want + 1e-12 and found == near_dedup.aligned_similarity(kmers(b), kmers(a), s)
+        if apart:
+            assert found == pytest.approx(want)
+        linked += found >= 0.8
+    assert linked > 80
+    c = [f"v{i}" for i in range(60)]
+    assert near_dedup.aligned_similarity(kmers(c), kmers(c[30:] + c[:30]), s) == 0  # reordered
+
+
+def test_recall_of_queries_against_all_rows(spark):
+    """Rows whose id is divisible by 20 against all rows, by brute force over every pair."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+    ids = list(rows)
+    kmers = {}
+    for b in blocks(near_dedup._lowered(pa.array([rows[i] for i in ids], pa.string()))):
+        grams, bounds, _ = near_dedup.labelled_kmers(b, 5)
+        for k in range(len(bounds) - 1):
+            kmers[ids[b.first + k]] = grams[bounds[k] : bounds[k + 1]]
+    links = [(i, j) for i in ids if i % 20 == 0 and len(kmers[i]) for j in ids if i != j and len(kmers[j]) and near_dedup.aligned_similarity(kmers[i], kmers[j], near_dedup.Settings())]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert len(links) > 15 and sum(got[i] == got[j] for i, j in links) >= 0.95 * len(links)
+
+
 def test_classes_of_copies_and_blanks(spark):
     text = " ".join(f"w{i}" for i in range(30))
     docs = table(spark, [text, text.upper(), f"  {text}\n", None, None, "", " ", "one two", "One  two"])

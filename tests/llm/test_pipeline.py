@@ -45,3 +45,19 @@ def test_stages_take_empty_tables(spark, stages):
     empty = stages[0].filter("false")
     for _, f in corpus_pipeline.STAGES:
         assert f(spark, empty, SMALL).count() == 0
+
+
+@pytest.mark.parametrize("name,least", [("language_id", 3), ("line_dedup", 8), ("near_dedup", 5), ("decontamination", 8), ("packing", 8)])
+def test_stages_take_nulls_repeats_and_clashing_columns(spark, name, least):
+    """Null texts and ids, empty and repeated rows, columns named as the operators' own."""
+    text = "the quick brown fox jumps over the lazy dog and runs away"
+    rows = [(1, text, "en"), (1, text, "en"), (2, None, None), (None, "an other text of some more words than five", None), (None, None, "en"), (3, "", "en"), (4, "12 34", "fr"), (5, "a text of its own that nobody else has\n" + text, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("doc_id", "text", "lang", "'s' as source", "cast(length(text) as long) as n_chars")
+    docs = docs.withColumns({c: F.lit(7) for c in ("_", "_row", "_rest", "_keep", "_n", "row", "rest", "keep", "sketch", "known", "score", "n_words", "spans", "first", "class")})
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, SMALL)
+    assert out.count() >= least
+    if name != "packing":
+        assert out.columns == docs.columns
+        assert out.filter("_keep <> 7 or rest <> 7 or _ <> 7 or known <> 7 or n_words <> 7").count() == 0
+    if name == "near_dedup":  # the two rows of document 1 are one class
+        assert out.filter("doc_id = 1").count() == 1 and out.filter("text is null").count() == 2
