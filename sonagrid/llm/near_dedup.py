@@ -214,7 +214,9 @@ def pair_overlaps(kmers: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.n
     """Common k-mers of the pairs (a[i], b[i]), places in ``kmers``; a ascending."""
     size = np.array([len(k) for k in kmers], np.int64)
     out = np.zeros(len(a), np.int64)
-    heads = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])).tolist() if len(a) else []
+    if not len(a):
+        return out
+    heads = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])).tolist()
     for s, e in zip(heads, [*heads[1:], len(a)], strict=True):
         others = b[s:e]
         common = lookup(np.sort(kmers[a[s]]), np.concatenate([kmers[i] for i in others])) >= 0
