@@ -1,8 +1,10 @@
 """Pairwise dissonance and roughness of a note's partials.
 
-Sums over all pairs of a note need the pairs: a note has at most ``MOST_PARTIALS`` of them (its
-loudest), so pairs grow with notes, not with the square of the table. Kernels that vanish beyond a
-band use the band join instead and need no such bound.
+All pairs of a note count. Counts and amplitude sums over pairs have closed forms over the note's
+rows in order of amplitude; only the kernels need pairs, and they vanish with distance, so partials meet within a
+band on a warped frequency scale on which the band has one width: an equality join on (note, cell),
+no cross join, whatever the number of partials. ``REACH`` bounds what is left out: at most
+6e-19 of a pair's smaller amplitude.
 """
 
 from __future__ import annotations
@@ -12,32 +14,29 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonagrid.functions.scales import erb_bandwidth, zwicker_bandwidth
-from sonagrid.operators.ranges import band_pairs
+from sonagrid.functions.scales import bark, erb_bandwidth, zwicker_bandwidth
+from sonagrid.operators.ranges import band_pairs, near_pairs
 
-MOST_PARTIALS = 80
+#: Pairs further apart than this many y = 0.24 df / (0.0207 f + 18.96) aren't met: e^(-3.5 * 12) is 6e-19.
+REACH = 12.0
+#: The scale on which that reach is one width: z = log(0.0207 f + 18.96) / 0.0207.
+_WIDTH = math.log(1 + 0.0207 * REACH / 0.24) / 0.0207
 
 
-def loudest(partials: DataFrame, most: int = MOST_PARTIALS) -> DataFrame:
-    """The loudest partials of each note; ties by frequency, then the rest of the row."""
-    order = Window.partitionBy("note").orderBy(F.desc("amp"), "freq_hz")
-    return partials.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most)
+def _warped(f: Column) -> Column:
+    return F.log(0.0207 * f + 18.96) / 0.0207
 
 
-def partial_pairs(partials: DataFrame, most: int = MOST_PARTIALS) -> DataFrame:
-    """Each pair of a note's partials once: f1 <= f2, a1, a2."""
-    rows = loudest(partials, most).select("note", F.col("freq_hz"), F.col("amp"), "_rank")
-    left = rows.select("note", F.col("freq_hz").alias("f_x"), F.col("amp").alias("a_x"), F.col("_rank").alias("r_x"))
-    right = rows.select("note", F.col("freq_hz").alias("f_y"), F.col("amp").alias("a_y"), F.col("_rank").alias("r_y"))
-    met = left.join(right, "note").filter("r_x < r_y")
-    low = F.col("f_x") <= F.col("f_y")
-    return met.select(
-        "note",
-        F.least("f_x", "f_y").alias("f1"),
-        F.greatest("f_x", "f_y").alias("f2"),
-        F.when(low, F.col("a_x")).otherwise(F.col("a_y")).alias("a1"),
-        F.when(low, F.col("a_y")).otherwise(F.col("a_x")).alias("a2"),
-    )
+def _by_amplitude(partials: DataFrame) -> DataFrame:
+    """Rows with their place in ascending amplitude, which also tells equal partials apart."""
+    return partials.select("note", "freq_hz", "amp", F.row_number().over(Window.partitionBy("note").orderBy("amp", "freq_hz")).cast("long").alias("id"))
+
+
+def partial_pairs(partials: DataFrame) -> DataFrame:
+    """Pairs of a note's partials that are near enough to matter, each once: f1 <= f2, a1, a2."""
+    rows = _by_amplitude(partials).withColumn("z", _warped(F.col("freq_hz")))
+    met = band_pairs(rows, ["note"], "z", _WIDTH, ["z", "freq_hz", "amp", "id"])
+    return met.select("note", F.col("freq_hz_lo").alias("f1"), F.col("freq_hz_hi").alias("f2"), F.col("amp_lo").alias("a1"), F.col("amp_hi").alias("a2"))
 
 
 def sethares(f1: Column, f2: Column, a1: Column, a2: Column) -> Column:
@@ -60,55 +59,116 @@ def hutchinson_knopoff(f1: Column, f2: Column, a1: Column, a2: Column) -> Column
     return F.when((y > 0) & (y <= 1.2), a1 * a2 * g).otherwise(0.0)
 
 
-def dissonance(partials: DataFrame, most: int = MOST_PARTIALS) -> DataFrame:
-    """All models in one pass over the pairs: sums, pair mean, and normalised by min amplitudes or energy."""
-    p = partial_pairs(partials, most)
+def critical_bandwidth(mean: Column, zwicker_below_hz: float | None = None) -> Column:
+    """1.72 mean^0.65 Hz; optionally Zwicker's bandwidth at low frequencies."""
+    width = 1.72 * F.pow(mean, F.lit(0.65))
+    return width if zwicker_below_hz is None else F.when(mean < zwicker_below_hz, zwicker_bandwidth(mean)).otherwise(width)
+
+
+def table_lookup(y: Column, points: list[tuple[float, float]]) -> Column:
+    """Linear interpolation in a short ascending table of (y, g), a literal of the query; 0 outside of it."""
+    out = F.lit(0.0)
+    for (y0, g0), (y1, g1) in zip(points, points[1:], strict=False):
+        out = F.when((y > y0) & (y <= y1), g0 + (y - y0) * ((g1 - g0) / (y1 - y0))).otherwise(out)
+    return F.when(y == points[0][0], points[0][1]).otherwise(out)
+
+
+def dissonance(partials: DataFrame) -> DataFrame:
+    """All models in one pass over the near pairs: sums, pair mean, and normalised by min amplitudes or energy.
+
+    Notes of one partial have no pairs and no row.
+    """
+    n = F.count("*")
+    rows = _by_amplitude(partials)
+    # Of all pairs, the k-th smallest amplitude is the lesser one in n - k.
+    closed = rows.groupBy("note").agg(
+        (n * (n - 1) / 2).cast("long").alias("pairs"),
+        (n * F.sum("amp") - F.sum(F.col("amp") * F.col("id"))).alias("least"),
+        ((n - 1) * F.sum(F.col("amp") * F.col("amp"))).alias("energy"),
+    )
     args = [F.col(c) for c in ("f1", "f2", "a1", "a2")]
-    rows = p.select("note", F.least("a1", "a2").alias("least"), (F.col("a1") * F.col("a1") + F.col("a2") * F.col("a2")).alias("e"), sethares(*args).alias("s"), vassilakis(*args).alias("v"), hutchinson_knopoff(*args).alias("h"))
-    return rows.groupBy("note").agg(
-        F.count("*").alias("pairs"),
-        F.sum("s").alias("sethares_sum"),
-        F.avg("s").alias("sethares_mean_pair"),
-        F.try_divide(F.sum("s"), F.sum("least")).alias("sethares_minamp"),
-        F.sum("v").alias("vassilakis_sum"),
-        F.try_divide(F.sum("h"), F.sum("e")).alias("hutchinson_knopoff"),
+    near = partial_pairs(partials).select("note", sethares(*args).alias("s"), vassilakis(*args).alias("v"), hutchinson_knopoff(*args).alias("h"))
+    sums = near.groupBy("note").agg(*[F.sum(c).alias(c) for c in "svh"])
+    out = closed.filter("pairs > 0").join(sums, "note", "left").fillna(0.0, list("svh"))
+    return out.select(
+        "note",
+        "pairs",
+        F.col("s").alias("sethares_sum"),
+        (F.col("s") / F.col("pairs")).alias("sethares_mean_pair"),
+        F.try_divide("s", "least").alias("sethares_minamp"),
+        F.col("v").alias("vassilakis_sum"),
+        F.try_divide("h", "energy").alias("hutchinson_knopoff"),
+        (10 * F.col("h") / F.col("pairs")).alias("hutchinson_knopoff_mean_pair_scaled"),
     )
 
 
-def roughness(partials: DataFrame, basis: str = "zwicker", ceiling_hz: float = 15500.0, reach: float = 6.0, share: float = 0.25) -> DataFrame:
+def compare_models(partials: DataFrame, models: tuple[str, ...] = ("sethares_sum", "vassilakis_sum", "hutchinson_knopoff")) -> DataFrame:
+    """note, model, value and each value's share of the model's largest in the corpus."""
+    long = dissonance(partials).unpivot(["note"], list(models), "model", "value").filter(F.col("value").isNotNull())
+    top = long.groupBy("model").agg(F.max("value").alias("top"))  # one row a model
+    return long.join(F.broadcast(top), "model").withColumn("normalised", F.try_divide("value", "top")).drop("top")
+
+
+def roughness(partials: DataFrame, basis: str = "zwicker", ceiling_hz: float = 15500.0, reach: float = 20.0, share: float = 0.25) -> DataFrame:
     """Sum of a_i a_j x e^(1-x), x = (f_j - f_i) / (share * bandwidth(f_i)), over pairs with x <= reach.
 
-    ``id`` tells a note's partials apart.
-    The widest band in range bounds the reach in Hz, which is the cell of the band join.
+    ``id`` tells a note's partials apart. Partials meet within a band on a scale (Bark, or ERB
+    rate) on which the reach is nearly one width; :func:`reach_width` bounds it.
     """
     width = {"zwicker": zwicker_bandwidth, "erb": erb_bandwidth}[basis]
-    top = 25 + 75 * (1 + 1.4 * (ceiling_hz / 1000) ** 2) ** 0.69 if basis == "zwicker" else 0.108 * ceiling_hz + 24.7
-    rows = partials.filter(F.col("freq_hz") <= ceiling_hz)
-    pairs = band_pairs(rows, ["note"], "freq_hz", reach * share * top, ["freq_hz", "amp", "id"])
+    rows = partials.filter(F.col("freq_hz").between(0.0, ceiling_hz)).withColumn("_z", _SCALES[basis][0](F.col("freq_hz")))
+    pairs = band_pairs(rows, ["note"], "_z", reach_width(basis, ceiling_hz, reach * share), ["_z", "freq_hz", "amp", "id"])
     x = (F.col("freq_hz_hi") - F.col("freq_hz_lo")) / (share * width(F.col("freq_hz_lo")))
     value = F.when(x <= reach, F.col("amp_lo") * F.col("amp_hi") * x * F.exp(1 - x)).otherwise(0.0)
     return pairs.groupBy("note").agg(F.sum(value).alias("roughness"))
 
 
+#: By basis: the warped scale as an expression and as a number, and the bandwidth as a number.
+_SCALES = {
+    "zwicker": (bark, lambda f: 13 * math.atan(0.00076 * f) + 3.5 * math.atan((f / 7500) ** 2), lambda f: 25 + 75 * (1 + 1.4 * (f / 1000) ** 2) ** 0.69),
+    "erb": (lambda f: F.log(0.108 * f + 24.7) / 0.108, lambda f: math.log(0.108 * f + 24.7) / 0.108, lambda f: 0.108 * f + 24.7),
+}
+
+
+def reach_width(basis: str, ceiling_hz: float, bandwidths: float) -> float:
+    """The largest distance on the warped scale of a partial and one so many bandwidths above it, up to a ceiling."""
+    _, scale, width = _SCALES[basis]
+    step = 2.0
+    most = max(scale(min(f + bandwidths * width(f), ceiling_hz)) - scale(f) for f in (k * step for k in range(int(ceiling_hz / step) + 1)))
+    return 1.01 * most
+
+
 def cross_dissonance(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
-    """Sethares dissonance between two sets of partials per key (freq_hz, amp in both)."""
-    a = first.select(*keys, F.col("freq_hz").alias("fa"), F.col("amp").alias("aa"))
-    b = second.select(*keys, F.col("freq_hz").alias("fb"), F.col("amp").alias("ab"))
+    """Sethares dissonance between two sets of partials per key (freq_hz, amp in both); keys of ``first`` without near ones have 0."""
+    a = first.select(*keys, F.col("freq_hz").alias("fa"), F.col("amp").alias("aa"), _warped(F.col("freq_hz")).alias("za"))
+    b = second.select(*keys, F.col("freq_hz").alias("fb"), F.col("amp").alias("ab"), _warped(F.col("freq_hz")).alias("zb"))
     low = F.col("fa") <= F.col("fb")
     f1, f2 = F.least("fa", "fb"), F.greatest("fa", "fb")
     a1, a2 = F.when(low, F.col("aa")).otherwise(F.col("ab")), F.when(low, F.col("ab")).otherwise(F.col("aa"))
-    return a.join(b, keys).groupBy(*keys).agg(F.sum(sethares(f1, f2, a1, a2)).alias("dissonance"))
+    met = near_pairs(a, b, keys, "za", "zb", _WIDTH).select(*keys, sethares(f1, f2, a1, a2).alias("s"))
+    none = first.select(*keys, F.lit(0.0).alias("s"))
+    return met.unionByName(none).groupBy(*keys).agg(F.sum("s").alias("dissonance"))
 
 
-def curve(partials: DataFrame, low: float = 1.0, high: float = 2.0, steps: int = 100, most: int = MOST_PARTIALS) -> DataFrame:
+def curve(partials: DataFrame, low: float = 1.0, high: float = 2.0, steps: int = 100) -> DataFrame:
     """Sethares dissonance of a timbre against itself, shifted by each interval of a grid."""
     grid = F.sequence(F.lit(0), F.lit(steps - 1))
-    rows = loudest(partials, most).select("note", "freq_hz", "amp", F.explode(grid).alias("step"))
+    rows = partials.select("note", "freq_hz", "amp", F.explode(grid).alias("step"))
     ratio = low + F.col("step") * ((high - low) / (steps - 1))
     shifted = rows.select("note", "step", (F.col("freq_hz") * ratio).alias("freq_hz"), "amp")
     return cross_dissonance(rows, shifted, ["note", "step"]).withColumn("interval", ratio)
 
 
+def same_timbre(partials: DataFrame, interval: float) -> DataFrame:
+    """Dissonance of a timbre sounded with itself shifted by an interval: cross is between the two, full within both together, added is full less what each has alone."""
+    shifted = partials.select("note", (F.col("freq_hz") * interval).alias("freq_hz"), "amp")
+    own = partials.select("note", "freq_hz", "amp")
+    cross = cross_dissonance(own, shifted, ["note"]).withColumnRenamed("dissonance", "cross")
+    alone = [dissonance(x).select("note", F.col("sethares_sum").alias(n)) for x, n in ((own, "low"), (shifted, "high"))]
+    out = cross.join(alone[0], "note", "left").join(alone[1], "note", "left").fillna(0.0, ["low", "high"])
+    return out.select("note", "cross", (F.col("cross") + F.col("low") + F.col("high")).alias("full"), F.col("low").alias("intrinsic"), (F.col("cross") + F.col("high")).alias("added"))
+
+
 def local_minima(curves: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     """Strict local minima of each note's curve; differences up to the tolerance are none."""
     order = Window.partitionBy("note").orderBy("step")

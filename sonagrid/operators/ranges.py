@@ -23,6 +23,14 @@ def band_pairs(rows: DataFrame, keys: list[str], value: str, width: float, paylo
     return joined.filter((F.col("_a") < F.col("_b")) & (F.col("_b")[value] - F.col("_a")[value] <= width)).drop("_cell", "_a", "_b")
 
 
+def near_pairs(left: DataFrame, right: DataFrame, keys: list[str], value: str, other: str, width: float) -> DataFrame:
+    """Rows of two tables of one group with |value - other| <= width."""
+    cell = F.floor(F.col(other) / width)
+    spread = right.withColumn("_cell", F.explode(F.array(cell - 1, cell, cell + 1)))
+    met = left.withColumn("_cell", F.floor(F.col(value) / width)).join(spread, [*keys, "_cell"])
+    return met.filter(F.abs(F.col(value) - F.col(other)) <= width).drop("_cell")
+
+
 def outside_bands(rows: DataFrame, centres: DataFrame, keys: list[str], value: str, centre: str, half_width: float) -> DataFrame:
     """Rows of which no centre of their group lies within half_width (an anti join on ranges)."""
     cell = F.floor(F.col(centre) / half_width)

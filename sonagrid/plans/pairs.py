@@ -13,7 +13,7 @@ from sonagrid.plans.rounding import rounded, rounded_sql
 _PAIRS = """pairs AS (
   SELECT x.note, least(x.f, y.f) AS f1, greatest(x.f, y.f) AS f2, CASE WHEN x.f <= y.f THEN x.a ELSE y.a END AS a1, CASE WHEN x.f <= y.f THEN y.a ELSE x.a END AS a2
   FROM ranked x JOIN ranked y ON x.note = y.note AND x.r < y.r)"""
-_RANKED = "ranked AS (SELECT note, freq_hz AS f, amp AS a, row_number() OVER (PARTITION BY note ORDER BY amp DESC, freq_hz) AS r FROM components QUALIFY r <= 80)"
+_RANKED = "ranked AS (SELECT note, freq_hz AS f, amp AS a, row_number() OVER (PARTITION BY note ORDER BY amp DESC, freq_hz) AS r FROM components)"
 _Y = "(0.24 * (f2 - f1) / (0.0207 * f1 + 18.96))"
 _CURVE = f"(exp(-3.5 * {_Y}) - exp(-5.75 * {_Y}))"
 _SETHARES = f"least(a1, a2) * greatest(0.0, {_CURVE})"
@@ -61,7 +61,7 @@ def dissonance_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
             SPECTRUM,
             "x AS (SELECT a.note, a.amp AS a1, b.amp AS a2, (b.freq_hz - a.freq_hz) / (0.25 * (25 + 75 * pow(1 + 1.4 * pow(a.freq_hz / 1000, 2), 0.69))) AS x FROM spectrum a JOIN spectrum b ON a.note = b.note AND b.freq_hz > a.freq_hz)",
         )
-        + "SELECT note, sum(CASE WHEN x <= 6 THEN a1 * a2 * x * exp(1 - x) ELSE 0 END) AS roughness FROM x GROUP BY note",
+        + "SELECT note, sum(CASE WHEN x <= 20 THEN a1 * a2 * x * exp(1 - x) ELSE 0 END) AS roughness FROM x GROUP BY note",
         "roughness",
     )
 )
@@ -75,28 +75,82 @@ def roughness_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
             SPECTRUM,
             "x AS (SELECT a.note, a.amp AS a1, b.amp AS a2, (b.freq_hz - a.freq_hz) / (0.25 * (0.108 * a.freq_hz + 24.7)) AS x FROM spectrum a JOIN spectrum b ON a.note = b.note AND b.freq_hz > a.freq_hz)",
         )
-        + "SELECT note, sum(CASE WHEN x <= 6 THEN a1 * a2 * x * exp(1 - x) ELSE 0 END) AS roughness FROM x GROUP BY note",
+        + "SELECT note, sum(CASE WHEN x <= 20 THEN a1 * a2 * x * exp(1 - x) ELSE 0 END) AS roughness FROM x GROUP BY note",
         "roughness",
     )
 )
 def roughness_erb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(dissonance.roughness(spectrum(spark, sf_dir).withColumn("id", F.col("bin")), basis="erb").join(spectrum(spark, sf_dir).select("note").distinct(), "note", "right").fillna(0.0))
+    return rounded(dissonance.roughness(spectrum(spark, sf_dir).withColumn("id", F.col("bin")), basis="erb"))
+
+
+@query(
+    rounded_sql(
+        with_ctes(COMPONENTS, _RANKED, _PAIRS, f"m AS (SELECT note, sum({_SETHARES}) AS sethares_sum, sum({_VASSILAKIS}) AS vassilakis_sum, 10 * avg({_HK}) AS hutchinson_knopoff_mean_pair_scaled FROM pairs GROUP BY note)", "u AS (SELECT note, 'sethares_sum' AS model, sethares_sum AS value FROM m UNION ALL SELECT note, 'vassilakis_sum', vassilakis_sum FROM m UNION ALL SELECT note, 'hutchinson_knopoff_mean_pair_scaled', hutchinson_knopoff_mean_pair_scaled FROM m)")
+        + "SELECT note, model, value, value / max(value) OVER (PARTITION BY model) AS normalised FROM u WHERE value IS NOT NULL",
+        "value normalised",
+        "note model",
+    )
+)
+def dissonance_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(dissonance.compare_models(components(spark, sf_dir), ("sethares_sum", "vassilakis_sum", "hutchinson_knopoff_mean_pair_scaled")))
+
+
+_FIFTH = f"""met AS (SELECT a.note, least(a.freq_hz, b.freq_hz * 1.5) AS f1, greatest(a.freq_hz, b.freq_hz * 1.5) AS f2, a.amp AS a1, b.amp AS a2 FROM components a JOIN components b ON a.note = b.note),
+crossed AS (SELECT note, sum({_SETHARES}) AS crossed FROM met GROUP BY note),
+low AS (SELECT note, sum({_SETHARES}) AS low FROM pairs GROUP BY note),
+high AS (SELECT note, sum({_SETHARES}) AS high FROM (SELECT note, 1.5 * f1 AS f1, 1.5 * f2 AS f2, a1, a2 FROM pairs) GROUP BY note)"""
+
+
+@query(
+    rounded_sql(
+        with_ctes(COMPONENTS, _RANKED, _PAIRS, _FIFTH)
+        + "SELECT note, crossed, crossed + coalesce(low, 0) + coalesce(high, 0) AS full_sum, coalesce(low, 0) AS intrinsic, crossed + coalesce(high, 0) AS added FROM crossed LEFT JOIN low USING (note) LEFT JOIN high USING (note)",
+        "crossed full_sum intrinsic added",
+    )
+)
+def same_timbre_fifth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(dissonance.same_timbre(components(spark, sf_dir), 1.5).withColumnsRenamed({"cross": "crossed", "full": "full_sum"}))
+
+
+#: A coarse table of the standard curve, for the lookup query.
+_CURVE_POINTS = [(0.0, 0.0), (0.1, 0.54), (0.25, 1.0), (0.5, 0.54), (0.8, 0.12), (1.2, 0.0)]
+
+
+@query(
+    rounded_sql(
+        with_ctes(
+            COMPONENTS,
+            _RANKED,
+            _PAIRS,
+            "points AS (SELECT * FROM (VALUES (0.0::DOUBLE, 0.0::DOUBLE, 0.1::DOUBLE, 0.54::DOUBLE), (0.1, 0.54, 0.25, 1.0), (0.25, 1.0, 0.5, 0.54), (0.5, 0.54, 0.8, 0.12), (0.8, 0.12, 1.2, 0.0)) AS p(y0, g0, y1, g1))",
+            "y AS (SELECT note, (f2 - f1) / CASE WHEN (f1 + f2) / 2 < 200 THEN 25 + 75 * pow(1 + 1.4 * pow((f1 + f2) / 2000, 2), 0.69) ELSE 1.72 * pow((f1 + f2) / 2, 0.65) END AS y, a1 * a2 AS a FROM pairs)",
+        )
+        + "SELECT note, sum(a * coalesce(g0 + (y - y0) * (g1 - g0) / (y1 - y0), 0)) AS looked_up FROM y LEFT JOIN points ON y > y0 AND y <= y1 GROUP BY note",
+        "looked_up",
+    )
+)
+def dissonance_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sum of a1 a2 g(y) with g interpolated in a table and the bandwidth by Zwicker below 200 Hz."""
+    near = dissonance.partial_pairs(components(spark, sf_dir))
+    y = (F.col("f2") - F.col("f1")) / dissonance.critical_bandwidth((F.col("f1") + F.col("f2")) / 2, 200.0)
+    found = near.groupBy("note").agg(F.sum(F.col("a1") * F.col("a2") * dissonance.table_lookup(y, _CURVE_POINTS)).alias("looked_up"))
+    pairs = components(spark, sf_dir).groupBy("note").count().filter("count > 1").select("note")
+    return rounded(pairs.join(found, "note", "left").fillna(0.0))
 
 
-_TOP8 = "t AS (SELECT note, freq_hz, amp FROM components QUALIFY row_number() OVER (PARTITION BY note ORDER BY amp DESC, freq_hz) <= 8)"
 _SWEEP = f"""c AS (SELECT note, step, sum({_SETHARES}) AS dissonance FROM (
-  SELECT a.note, step, least(a.freq_hz, b.freq_hz * (1 + step * (1.0::DOUBLE / 24))) AS f1, greatest(a.freq_hz, b.freq_hz * (1 + step * (1.0::DOUBLE / 24))) AS f2, a.amp AS a1, b.amp AS a2
-  FROM t a JOIN t b ON a.note = b.note, (SELECT CAST(unnest(range(0, 25)) AS INTEGER) AS step)) GROUP BY note, step)"""
+  SELECT a.note, step, least(a.freq_hz, b.freq_hz * (1 + step * (1.0::DOUBLE / 99))) AS f1, greatest(a.freq_hz, b.freq_hz * (1 + step * (1.0::DOUBLE / 99))) AS f2, a.amp AS a1, b.amp AS a2
+  FROM components a JOIN components b ON a.note = b.note, (SELECT CAST(unnest(range(0, 100)) AS INTEGER) AS step)) GROUP BY note, step)"""
 
 
-@query(rounded_sql(with_ctes(COMPONENTS, _TOP8, _SWEEP) + "SELECT note, step, dissonance, 1 + step * (1.0::DOUBLE / 24) AS interval_ratio FROM c", "dissonance interval_ratio", "note step"))
+@query(rounded_sql(with_ctes(COMPONENTS, _SWEEP) + "SELECT note, step, dissonance, 1 + step * (1.0::DOUBLE / 99) AS interval_ratio FROM c", "dissonance interval_ratio", "note step"))
 def dissonance_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(dissonance.curve(components(spark, sf_dir), steps=25, most=8).withColumnRenamed("interval", "interval_ratio"))
+    return rounded(dissonance.curve(components(spark, sf_dir)).withColumnRenamed("interval", "interval_ratio"))
 
 
-@query(rounded_sql(with_ctes(COMPONENTS, _TOP8, _SWEEP, "g AS (SELECT *, lag(dissonance) OVER w AS l, lead(dissonance) OVER w AS r FROM c WINDOW w AS (PARTITION BY note ORDER BY step))") + "SELECT note, step FROM g WHERE dissonance < l - 1e-9 AND dissonance < r - 1e-9", "", "note step"))
+@query(rounded_sql(with_ctes(COMPONENTS, _SWEEP, "g AS (SELECT *, lag(dissonance) OVER w AS l, lead(dissonance) OVER w AS r FROM c WINDOW w AS (PARTITION BY note ORDER BY step))") + "SELECT note, step FROM g WHERE dissonance < l - 1e-9 AND dissonance < r - 1e-9", "", "note step"))
 def dissonance_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dissonance.local_minima(dissonance.curve(components(spark, sf_dir), steps=25, most=8)).select("note", "step")
+    return dissonance.local_minima(dissonance.curve(components(spark, sf_dir))).select("note", "step")
 
 
 @query(

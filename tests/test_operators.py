@@ -84,11 +84,31 @@ def test_roughness_equals_brute_force(spark):
     for i, p in enumerate(order):
         for q in order[i + 1 :]:
             x = (f[q] - f[p]) / (0.25 * (25 + 75 * (1 + 1.4 * (f[p] / 1000) ** 2) ** 0.69))
-            if 0 < x <= 6:
+            if 0 < x <= 20:
                 want += a[p] * a[q] * x * math.exp(1 - x)
     assert one(dissonance.roughness(df)).roughness == pytest.approx(want, rel=1e-6)
 
 
+def test_roughness_width_holds_at_both_ends(spark):
+    for basis, (_, scale, width) in dissonance._SCALES.items():
+        bound = dissonance.reach_width(basis, 15500.0, 5.0)
+        for f in np.concatenate([np.linspace(0, 300, 301), np.linspace(300, 15500, 3001)]):
+            assert scale(min(f + 5 * width(f), 15500.0)) - scale(f) <= bound
+
+
+def test_dissonance_of_200_partials_is_that_of_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    f, a = rng.uniform(50, 9000, 200), rng.uniform(0, 1, 200)
+    df = spark.createDataFrame([(1, float(x), float(y)) for x, y in zip(f, a, strict=True)], "note long, freq_hz double, amp double")
+    p, q = np.triu_indices(200, 1)
+    low, high, least = np.minimum(f[p], f[q]), np.maximum(f[p], f[q]), np.minimum(a[p], a[q])
+    y = 0.24 * (high - low) / (0.0207 * low + 18.96)
+    want = (least * (np.exp(-3.5 * y) - np.exp(-5.75 * y))).sum()
+    got = one(dissonance.dissonance(df))
+    assert got.pairs == 19900 and got.sethares_sum == pytest.approx(want)
+    assert got.sethares_minamp == pytest.approx(want / least.sum(), rel=1e-6)
+
+
 def test_cfar_trains_on_64_bins_a_side(spark):
     amp = np.random.default_rng(4).uniform(0, 1, 150)
     df = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate(amp)], "note long, bin long, amp double")
