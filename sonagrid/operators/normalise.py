@@ -74,11 +74,38 @@ def outliers(cells: DataFrame, keys: list[str], value: str, label: str, most: in
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select(*keys, label, value, "rank")
 
 
+def value_ranges(rows: DataFrame, value: str, name: str, ranges: int = 1000) -> DataFrame:
+    """``rows`` with the number of the range that holds ``value``: about equal ranges, cut at approximate quantiles.
+
+    One aggregation finds the cuts, of which ``ranges`` at most come to the driver.
+    """
+    at = [i / ranges for i in range(1, ranges)]
+    cuts = sorted(set(rows.agg(F.percentile_approx(value, at, 10 * ranges)).first()[0] or []))
+    if not cuts:
+        return rows.withColumn(name, F.lit(0))
+    table = F.split(F.lit(",".join(map(repr, cuts))), ",").cast("array<double>")
+    steps = F.array(*(F.lit(1 << x) for x in reversed(range(len(cuts).bit_length()))))
+    below = lambda n, step: (n + step <= len(cuts)) & (F.get(table, n + step - 1) <= F.col(value))
+    return rows.withColumn(name, F.aggregate(steps, F.lit(0), lambda n, step: F.when(below(n, step), n + step).otherwise(n)))
+
+
 def average_ranks(cells: DataFrame, keys: list[str], value: str, name: str = "rank") -> DataFrame:
-    """Ranks from 1 with ties averaged, by distinct value: counts are summed before anything is ordered."""
+    """Ranks from 1 with ties averaged, by distinct value: counts are summed before anything is ordered.
+
+    Without keys the distinct values are cut into ranges; a running sum within each range starts
+    from the counts of the ranges below it (one row a range), so no task orders all values.
+    """
     counts = cells.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn(name, upto - (F.col("_n") - 1) / 2).drop("_n")
+    if keys:
+        upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+        ranked = counts.withColumn(name, upto - (F.col("_n") - 1) / 2).drop("_n")
+    else:
+        ranged = value_ranges(counts.filter(F.col(value).isNotNull()), value, "_range")
+        sums = ranged.groupBy("_range").agg(F.sum("_n").alias("_sum"))
+        start = F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # one row a range
+        starts = sums.select("_range", F.coalesce(start, F.lit(0)).alias("_start"))
+        upto = F.sum("_n").over(Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+        ranked = ranged.withColumn("_upto", upto).join(F.broadcast(starts), "_range").select(value, (F.col("_start") + F.col("_upto") - (F.col("_n") - 1) / 2).alias(name))
     return cells.join(ranked, [*keys, value])
 
 

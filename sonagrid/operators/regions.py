@@ -159,12 +159,11 @@ def spectral_complexity(spectrum: DataFrame, share: float = 0.05, tolerance: flo
     rows = spectrum.withColumn("n", n).withColumn("width", width).withColumn("at", at)
     upto = F.sum("amp").over(note.orderBy("freq_hz").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("upto", upto)
-    # A moving sum is a difference of running sums; both ends are looked up in the note's own list of them.
-    sums = F.collect_list("upto").over(note.orderBy("freq_hz").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rows = rows.withColumn("sums", sums)
-    last = F.least(F.col("n").cast("int"), F.col("at") + F.floor((F.col("width") - 1) / 2).cast("int"))
-    first = F.col("at") - F.floor(F.col("width") / 2).cast("int") - 1
-    mean = (F.element_at("sums", last) - F.when(first >= 1, F.element_at("sums", F.greatest(first, F.lit(1)))).otherwise(0.0)) / F.col("width")
+    # A moving sum is a difference of running sums; those at both ends are looked up by their place.
+    rows = rows.withColumn("last", F.least(F.col("n"), F.col("at") + F.floor((F.col("width") - 1) / 2))).withColumn("first", F.col("at") - F.floor(F.col("width") / 2) - 1)
+    for end in ("last", "first"):
+        rows = rows.join(rows.select("note", F.col("at").cast("long").alias(end), F.col("upto").alias(f"upto_{end}")), ["note", end], "left")
+    mean = (F.col("upto_last") - F.coalesce("upto_first", F.lit(0.0))) / F.col("width")
     order = F.greatest(F.lit(1.0), F.rint(F.col("freq_hz") / F.col("f0_hz")))
     near = F.abs(F.col("freq_hz") - order * F.col("f0_hz")) <= tolerance * order * F.col("f0_hz")
     e = F.col("amp") * F.col("amp")

@@ -143,6 +143,116 @@ def group_means(rows: DataFrame, group: str, value: str) -> DataFrame:
     return means.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean"), group)))
 
 
+def high_correlations(pairs: DataFrame, declared: list[tuple[str, str]], threshold: float = 0.9) -> DataFrame:
+    """Pairs (a, b, r) with |r| from the threshold up, and whether they depend by definition (declared) or only in the data."""
+    known = F.array(*[F.struct(F.lit(min(p)).alias("a"), F.lit(max(p)).alias("b")) for p in declared]) if declared else None
+    own = F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    kind = F.lit("empirical") if known is None else F.when(F.array_contains(known, own), "declared").otherwise("empirical")
+    return pairs.filter(F.abs("r") >= threshold).select("a", "b", "r", kind.alias("kind"))
+
+
+def strongest(pairs: DataFrame, target: str, k: int = 10) -> DataFrame:
+    """The k predictors with the largest |r| to a target (a report)."""
+    other = F.when(F.col("a") == target, F.col("b")).otherwise(F.col("a"))
+    own = pairs.filter(((F.col("a") == target) | (F.col("b") == target)) & F.col("r").isNotNull())
+    rows = own.select(other.alias("predictor"), "r").orderBy(F.desc(F.abs("r")), "predictor").limit(k)
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.abs("r")), "predictor")))
+
+
+def group_correlations(rows: DataFrame, group: str, metrics: list[str], baseline: str) -> DataFrame:
+    """How far each group's correlations lie from those of a baseline group: mean and largest |difference|, and pairs compared."""
+    pairs = list(combinations(sorted(metrics), 2))
+    wide = rows.groupBy(group).agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    long = wide.unpivot([group], [f"r{i}" for i in range(len(pairs))], "pair", "r").filter(F.col("r").isNotNull() & ~F.isnan("r"))
+    base = long.filter(F.col(group) == baseline).select("pair", F.col("r").alias("base"))  # one row a pair
+    met = long.filter(F.col(group) != baseline).join(F.broadcast(base), "pair")
+    gap = F.abs(F.col("r") - F.col("base"))
+    return met.groupBy(group).agg(F.avg(gap).alias("mean_gap"), F.max(gap).alias("largest_gap"), F.count("*").alias("pairs"))
+
+
+def deviations(rows: DataFrame, baseline: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
+    """Per group: mean, std, range and mean size of the deviation in per cent from the baseline's value of the same key."""
+    base = baseline.select(*keys, F.col(value).alias("_base")).filter(F.col("_base") != 0)
+    percent = 100 * (F.col(value) - F.col("_base")) / F.col("_base")
+    met = rows.join(base, keys).withColumn("_p", percent)
+    return met.groupBy(group).agg(F.avg("_p").alias("mean"), F.stddev_pop("_p").alias("std"), F.min("_p").alias("least"), F.max("_p").alias("most"), F.avg(F.abs("_p")).alias("mean_size"), F.count("_p").alias("n"))
+
+
+def consistency(rows: DataFrame, group: str, metrics: list[str], edges: tuple[float, float] = (0.1, 0.3)) -> DataFrame:
+    """Per metric: mean and std of the groups' means, their ratio, and high, medium or low consistency."""
+    long = rows.filter(F.col(group).isNotNull()).unpivot([group], metrics, "metric", "value").groupBy("metric", group).agg(F.avg("value").alias("m")).filter("m is not null")
+    out = long.groupBy("metric").agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("std"), F.count("*").alias("groups")).filter("groups > 1")
+    cv = F.try_divide("std", "mean")
+    return out.withColumn("cv", cv).withColumn("consistency", F.when(cv < edges[0], "high").when(cv < edges[1], "medium").when(cv.isNotNull(), "low"))
+
+
+def multiple_regression(rows: DataFrame, group: str, y: str, xs: list[str]) -> DataFrame:
+    """Least squares of y on standardised predictors, per group: intercept, one coefficient each, r squared, rmse, n.
+
+    Missing predictors count as 0 before standardising; rows without y are left out. One
+    aggregation gathers each group's moments; the normal equations, one small system a group, are
+    solved in Arrow batches. Constant predictors get 0.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    cols = [F.coalesce(F.col(x).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, x in enumerate(xs)]
+    cells = rows.filter(F.col(y).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), *cols, F.col(y).cast("double").alias(f"x{len(xs)}"))
+    k = len(xs) + 1
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    moments = cells.groupBy("g").agg(F.count("*").alias("n"), F.array(*[F.avg(f"x{i}") for i in range(k)]).alias("mean"), F.array(*[F.covar_pop(f"x{i}", f"x{j}") for i, j in pairs]).alias("cov"))
+
+    def solve(batches):
+        for b in batches:
+            out = []
+            for n, mean, cov in zip(b["n"].to_pylist(), b["mean"].to_pylist(), b["cov"].to_pylist(), strict=True):
+                c = np.zeros((k, k))
+                for (i, j), v in zip(pairs, cov, strict=True):
+                    c[i, j] = c[j, i] = v
+                sd = np.sqrt(np.diag(c)[:-1])
+                scale = np.where(sd > 1e-12, sd, 1.0)
+                z = c[:-1, :-1] / np.outer(scale, scale)
+                beta = np.linalg.lstsq(z, np.where(sd > 1e-12, c[:-1, -1] / scale, 0.0), rcond=1e-10)[0]
+                left = max(c[-1, -1] - float(beta @ (c[:-1, -1] / scale)), 0.0)
+                out.append((mean[-1], beta.tolist(), 1 - left / c[-1, -1] if c[-1, -1] > 0 else None, left**0.5, n))
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = (pa.float64(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([b["g"], *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["g", "intercept", "beta", "r2", "rmse", "n"])
+
+    kind = cells.schema["g"].dataType.simpleString()
+    solved = moments.mapInArrow(solve, f"g {kind}, intercept double, beta array<double>, r2 double, rmse double, n long")
+    return solved.select(F.col("g").alias(group), "intercept", *[F.col("beta")[i].alias(f"b_{x}") for i, x in enumerate(xs)], "r2", "rmse", "n")
+
+
+def fit_scale(rows: DataFrame, metrics: list[str], robust: bool = False) -> DataFrame:
+    """(metric, centre, width) of a reference table: mean and std, or median and interquartile range."""
+    long = rows.unpivot([], metrics, "metric", "value").filter(F.col("value").isNotNull())
+    centre = F.percentile("value", 0.5) if robust else F.avg("value")
+    width = F.percentile("value", 0.75) - F.percentile("value", 0.25) if robust else F.stddev_pop("value")
+    return long.groupBy("metric").agg(centre.alias("centre"), width.alias("width"))
+
+
+def apply_scale(rows: DataFrame, keys: list[str], metrics: list[str], scale: DataFrame) -> DataFrame:
+    """Values of any table on a scale fitted before: (key, metric, z); 0 where the reference did not vary."""
+    long = rows.unpivot(keys, metrics, "metric", "value").filter(F.col("value").isNotNull())
+    z = F.when(F.col("width") > 1e-12, (F.col("value") - F.col("centre")) / F.col("width")).otherwise(0.0)
+    return long.join(F.broadcast(scale), "metric").select(*keys, "metric", z.alias("z"))  # one row a metric
+
+
+def omnibus_normality(cells: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Skewness and excess kurtosis with their squared sum n (g1^2 / 6 + g2^2 / 24), and its chi-squared(2) tail."""
+    out = cells.groupBy(*keys).agg(F.count(value).alias("n"), F.skewness(value).alias("g1"), F.kurtosis(value).alias("g2"))
+    k2 = F.col("n") * (F.col("g1") * F.col("g1") / 6 + F.col("g2") * F.col("g2") / 24)
+    return out.withColumn("statistic", k2).withColumn("p", F.exp(-k2 / 2))
+
+
+def outlier_fraction(cells: DataFrame, keys: list[str], value: str, low: float, high: float, most: float) -> DataFrame:
+    """How many values lie out of a range, their share, and whether it is small enough."""
+    out = cells.groupBy(*keys).agg(F.count(value).alias("n"), F.count_if(~F.col(value).between(low, high)).alias("outside"))
+    share = F.try_divide(F.col("outside").cast("double"), F.col("n"))
+    return out.withColumn("share", share).withColumn("valid", F.coalesce(share <= most, F.lit(False)))
+
+
 def spread_over(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean, std, CV and range of a value measured under several settings."""
     out = rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), (F.max(value) - F.min(value)).alias("range"), F.count(value).alias("n"))
