@@ -4,8 +4,9 @@ k-mers are five consecutive words, labelled by their occurrence within the text.
 ``sketches`` hash functions the ``taken`` smallest k-mers are retained in text order; their hash is
 one bucket key. So two texts meet in a bucket if they share those k-mers in the same order.
 
-Texts with the same words are one node, so copies are never paired. First every node of a bucket
-is compared with the bucket's few leaders; links so found join most of what belongs together.
+Texts with the same words are one node, so copies are never paired. First every node is compared
+with the leader of its largest bucket (the member with the least hash), then with one leader of each
+other component that leads one of its buckets; that joins most of what belongs together.
 Buckets whose nodes are still of several components are then cut into tiles of bounded size, and
 each two tiles meet in one group, where the pairs of different components are verified, in the
 first bucket they share. Only links leave a group, never pairs; every pair of a bucket is either
@@ -48,7 +49,6 @@ class Settings(NamedTuple):
     shingle: int = 5
     sketches: int = 32
     taken: int = 3
-    leaders: int = 3
     tile: int = 512
 
 
@@ -332,15 +332,15 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if _short(df) else df
 
 
-def _on_bucket(nodes: DataFrame, buckets: DataFrame) -> DataFrame:
-    """``nodes`` joined to a written table of buckets, without one task for all nodes of a bucket.
+def _dealt(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """``many`` (with ``node``) joined to a written table of keys, without one task for all rows of a key.
 
-    A short table is broadcast; a longer one is repeated for ``SALTS`` parts of each bucket.
+    A short table is broadcast; a longer one is repeated for ``SALTS`` parts of each key.
     """
-    if _short(buckets):
-        return nodes.join(F.broadcast(buckets), "bucket")
-    salted = buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return nodes.withColumn("salt", F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(SALTS)).cast("int")).join(salted, ["bucket", "salt"]).drop("salt")
+    if _short(few):
+        return many.join(F.broadcast(few), key)
+    salted = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("salt", F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(SALTS)).cast("int")).join(salted, [key, "salt"]).drop("salt")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -367,34 +367,58 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _placed(rows: DataFrame, roots: DataFrame | None, node: str, name: str) -> DataFrame:
+    """``rows`` with the component of a node; nodes without links are their own."""
+    if roots is None:
+        return rows.withColumn(name, F.col(node))
+    of = roots.select(F.col("node").alias(node), F.col("root").alias("_root"))
+    return rows.join(_sized(of), node, "left").withColumn(name, F.coalesce("_root", node)).drop("_root")
+
+
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """(node, root) once ``links`` join components; only links between components are followed."""
+    if roots is None:
+        return components(links)
+    lifted = _placed(_placed(links.select("a", "b"), roots, "a", "x"), roots, "b", "y").filter("x <> y")
+    lifted = storage.written(lifted.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "lifted")
+    if lifted.isEmpty():
+        return roots
+    up = components(lifted)
+    moved = _placed(roots.withColumnRenamed("root", "old"), up, "old", "root").select("node", "root")
+    return storage.written(moved.unionByName(up), "roots")
+
+
 def _classes(nodes: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """(node, root) of nodes joined by links; nodes: node, sketch; texts: row, text."""
     keyed = nodes.select("node", F.posexplode("sketch").alias("j", "value")).select(F.xxhash64("j", "value").alias("bucket"), "node", "j")
-    sizes = storage.written(keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    members = storage.written(_on_bucket(keyed, sizes), "members")
-    storage.delete(sizes)
+    leader = F.min(F.struct(F.xxhash64(F.lit(1), "node").alias("h"), "node"))["node"]
+    buckets = storage.written(keyed.groupBy("bucket").agg(F.count("*").alias("n"), leader.alias("leader")).filter("n > 1"), "buckets")
+    members = storage.written(_dealt(keyed, buckets, "bucket"), "members")
     wanted = storage.written(members.select(F.col("node").alias("row")).distinct(), "wanted")
     texts = storage.written(texts.join(_sized(wanted), "row").select(F.col("row").alias("node"), "text"), "texts")
     storage.delete(wanted)
-    # Leaders: all nodes of a small bucket, about so many of a larger one, picked by a hash.
-    picked = F.pmod(F.xxhash64(F.lit(1), "node"), F.ceil(F.col("n") / s.leaders)) == 0
-    leaders = storage.written(members.filter(picked).select("bucket", F.col("node").alias("leader")), "leaders")
-    pairs = _on_bucket(members, leaders).filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    full = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    links = storage.written(full.select("a", "b", "text_a", "text_b").mapInArrow(_verify(s), _LINK), "links")
-    storage.delete(leaders)
-    joined = components(links.select("a", "b"))
-    # Leaders are done: all of their pairs in the bucket are verified.
-    rest = members.filter(~picked).join(joined, "node", "left").select("bucket", "node", "j", F.coalesce("root", "node").alias("comp"))
-    rest = storage.written(rest, "rest")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ends = [texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab"]
+        return storage.written(pairs.join(ends[1], "b").join(ends[0], "a").select("a", "b", "text_a", "text_b").mapInArrow(_verify(s), _LINK), "links")
+
+    # A node meets the leader of its largest bucket, then one leader of each other component that leads one of its buckets.
+    others = members.filter("node <> leader")
+    first = others.groupBy("node").agg(F.max_by("leader", F.struct("n", "bucket")).alias("leader"))
+    roots = _joined(None, verified(first.select(F.col("node").alias("a"), F.col("leader").alias("b"))))
+    led = storage.written(_placed(buckets.select("bucket", "leader"), roots, "leader", "other").select("bucket", "other"), "led")
+    apart = _placed(_dealt(others.select("bucket", "node", "leader"), led, "bucket"), roots, "node", "comp").filter("comp <> other")
+    second = apart.groupBy("node", "other").agg(F.min("leader").alias("leader"))
+    roots = _joined(roots, verified(second.select(F.col("node").alias("a"), F.col("leader").alias("b"))))
+    # Buckets of several components are cut into tiles; every two tiles meet.
+    rest = storage.written(_placed(members.select("bucket", "node", "j"), roots, "node", "comp"), "rest")
     mixed = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
     mixed = storage.written(mixed.select("bucket", F.ceil(F.col("n") / s.tile).cast("int").alias("tiles")), "mixed")
-    dealt = _on_bucket(rest, mixed).withColumn("tile", F.pmod(F.xxhash64(F.lit(2), "node"), "tiles").cast("int"))
+    dealt = _dealt(rest, mixed, "bucket").withColumn("tile", F.pmod(F.xxhash64(F.lit(2), "node"), "tiles").cast("int"))
     dealt = dealt.select("bucket", "node", "j", "comp", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     dealt = dealt.select("bucket", "node", "j", "comp", "tile", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"))
     met = dealt.join(nodes, "node").join(texts, "node")
-    more = storage.written(met.groupBy("bucket", "p", "q").applyInArrow(_verify_tiles(s), _LINK), "more-links")
-    return joined if more.isEmpty() else components(links.unionByName(more).select("a", "b"))
+    return _joined(roots, storage.written(met.groupBy("bucket", "p", "q").applyInArrow(_verify_tiles(s), _LINK), "more-links"))
 
 
 def classed(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
@@ -421,10 +445,14 @@ def classed(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame
         sketched = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").filter(F.size("sketch") > 0).select(F.col("row").alias("node"), "sketch")
         sketched = storage.written(sketched, "node-sketches")
         roots = _classes(sketched, rows.select("row", "text"), settings)
-        rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        classes = rooted.groupBy("root").agg(F.min("least").alias("least"), F.sum("n").alias("n"))
-        of = rooted.select("h1", "h2", "root").join(classes, "root").select("h1", "h2", F.col("least.doc_id").alias("class"), F.col("n").alias("class_docs"), F.col("least.row").alias("first_row"))
-        of = storage.written(of, "classes")
+        # Nodes without links are their own class; only the others are summed by root.
+        linked = nodes.join(roots.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "node")
+        linked = storage.written(linked, "linked")
+        classes = linked.groupBy("root").agg(F.min("least").alias("all_least"), F.sum("n").alias("all_n"))
+        shared = _dealt(linked, storage.written(classes, "classes"), "root").select("h1", "h2", F.col("all_least").alias("least"), F.col("all_n").alias("n"))
+        alone = nodes.join(_sized(linked.select("node")), "node", "left_anti").select("h1", "h2", "least", "n")
+        of = shared.unionByName(alone).select("h1", "h2", F.col("least.doc_id").alias("class"), F.col("n").alias("class_docs"), F.col("least.row").alias("first_row"))
+        of = storage.written(of, "class-of")
         marks = ids.join(of, ["h1", "h2"]).select("row", "class", "class_docs", (F.col("row") == F.col("first_row")).alias("first"))
         marks = storage.written(marks, "marks")
         tables.keep(rows, marks)
