@@ -28,6 +28,8 @@ from sonagrid.llm.textarrays import Block, blocks, mix, parts
 
 UNDETERMINED = "und"
 GRAMS = (3, 5)  # bytes
+#: Texts are cut into n-grams in blocks of so many bytes: every byte costs about 150 in arrays.
+BLOCK_BYTES = 1 << 17
 _SPACE = np.uint8(32)
 #: Letters stay, bytes of longer characters stay, all else is a space.
 _FOLD = np.full(256, 32, np.uint8)
@@ -73,7 +75,7 @@ def _folded(column: pa.Array) -> Iterator[Block]:
     for first, some in parts(column):
         edge = pa.scalar("", column.type)
         padded = pc.binary_join_element_wise(edge, pc.utf8_lower(pc.fill_null(some, "")), edge, pa.scalar(" ", column.type))
-        for block in blocks(padded):
+        for block in blocks(padded, BLOCK_BYTES):
             yield block._replace(first=block.first + first)
 
 
