@@ -130,7 +130,7 @@ def _sequence_hashes(h: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _sketch(s: Settings):
-    """Columns in: text, others. Out: text, h1, h2, sketch, others."""
+    """Columns in: text, others. Out: text, h1, h2, sketch, size (k-mers), others."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -146,7 +146,7 @@ def _sketch(s: Settings):
             sketch = order_minhash(grams, bounds, s.sketches, s.taken)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n_words > 0, s.sketches, 0))]).astype(np.int32)), pa.array(sketch[n_words > 0].ravel().view(np.int64)))
             columns = [c.slice(block.first, texts) for c in batch.columns]
-            yield pa.RecordBatch.from_arrays([columns[0], pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists, *columns[1:]], names=[batch.schema.names[0], "h1", "h2", "sketch", *batch.schema.names[1:]])
+            yield pa.RecordBatch.from_arrays([columns[0], pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists, pa.array(np.diff(bounds)), *columns[1:]], names=[batch.schema.names[0], "h1", "h2", "sketch", "size", *batch.schema.names[1:]])
 
     return rows
 
@@ -273,8 +273,8 @@ def _verify(s: Settings):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 1024):  # a bounded number of texts at a time
-                batch = whole.slice(start, 1024)
+            for start in range(0, whole.num_rows, 256):  # a bounded number of texts at a time
+                batch = whole.slice(start, 256)
                 ids = np.concatenate([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)])
                 nodes, first, place = np.unique(ids, return_index=True, return_inverse=True)
                 texts = pa.concat_arrays([batch.column(2), batch.column(3)]).take(pa.array(first))
@@ -286,6 +286,7 @@ def _verify(s: Settings):
                 order = np.argsort(a, kind="stable")
                 a, b = a[order], b[order]
                 yield _links(nodes.tolist(), holding(kmers, a, b, pair_overlaps(kmers, a, b), s))
+        pa.default_memory_pool().release_unused()
 
     return rows
 
@@ -297,7 +298,7 @@ def _verify_tiles(s: Settings):
         left = table["tile"].to_numpy() == table["p"].to_numpy()
         one = table["p"][0].as_py() == table["q"][0].as_py()
         sketch = np.stack(table["sketch"].to_pylist())
-        comp, j = table["comp"].to_numpy(), table["j"][0].as_py()
+        comp, size, j = table["comp"].to_numpy(), table["size"].to_numpy(), table["j"][0].as_py()
         pairs_a, pairs_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         right = np.flatnonzero(left if one else ~left)
         for i in np.flatnonzero(left).tolist():
@@ -305,6 +306,7 @@ def _verify_tiles(s: Settings):
             others = others[comp[others] != comp[i]]
             same = sketch[others] == sketch[i]
             good = others[~same[:, :j].any(axis=1)]  # met in no earlier bucket
+            good = good[np.minimum(size[i], size[good]) >= _needed(size, np.full(len(good), i), good, s)]
             pairs_a.append(np.full(len(good), i))
             pairs_b.append(good)
         a, b = np.concatenate(pairs_a), np.concatenate(pairs_b)
@@ -317,7 +319,9 @@ def _verify_tiles(s: Settings):
         kmers = _kmers(texts.take(pa.array(used)), s)
         found = holding(kmers, a, b, all_overlaps(kmers)[a, b], s)
         nodes = table["node"].to_numpy()[used].tolist()
-        return pa.Table.from_batches([_links(nodes, found)])
+        out = pa.Table.from_batches([_links(nodes, found)])
+        pa.default_memory_pool().release_unused()
+        return out
 
     return rows
 
@@ -389,7 +393,7 @@ def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
 
 
 def _classes(nodes: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """(node, root) of nodes joined by links; nodes: node, sketch; texts: row, text."""
+    """(node, root) of nodes joined by links; nodes: node, sketch, size; texts: row, text."""
     keyed = nodes.select("node", F.posexplode("sketch").alias("j", "value")).select(F.xxhash64("j", "value").alias("bucket"), "node", "j")
     leader = F.min(F.struct(F.xxhash64(F.lit(1), "node").alias("h"), "node"))["node"]
     buckets = storage.written(keyed.groupBy("bucket").agg(F.count("*").alias("n"), leader.alias("leader")).filter("n > 1"), "buckets")
@@ -435,14 +439,14 @@ def classed(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame
     """
     with storage.scratch() as tables:
         inner = docs.select("text", carried(docs, "text").alias("rest"))
-        schema = T.StructType([inner.schema["text"], *(T.StructField(c, T.LongType()) for c in ("h1", "h2")), T.StructField("sketch", T.ArrayType(T.LongType())), inner.schema["rest"]])
+        schema = T.StructType([inner.schema["text"], *(T.StructField(c, T.LongType()) for c in ("h1", "h2")), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("size", T.LongType()), inner.schema["rest"]])
         rows = storage.written(inner.mapInArrow(_sketch(settings), schema).withColumn("row", F.monotonically_increasing_id()), "sketches")
         # A null text is a node of its own: its row stands in for the hashes.
         key = [F.when(F.col("text").isNull(), F.col("row")).otherwise(F.col("h1")).alias("h1"), F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("h2")).alias("h2")]
         ids = rows.select(*key, "row", F.col("rest")["doc_id"].cast("long").alias("doc_id"))
         order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
         nodes = storage.written(ids.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.min(order).alias("least"), F.count("*").alias("n")), "nodes")
-        sketched = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").filter(F.size("sketch") > 0).select(F.col("row").alias("node"), "sketch")
+        sketched = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").filter(F.size("sketch") > 0).select(F.col("row").alias("node"), "sketch", "size")
         sketched = storage.written(sketched, "node-sketches")
         roots = _classes(sketched, rows.select("row", "text"), settings)
         # Nodes without links are their own class; only the others are summed by root.

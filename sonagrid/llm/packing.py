@@ -119,7 +119,7 @@ class VectorPacker:
 class Encoder:
     """Token ids of whole texts; the tokenizers library encodes each pre-token once a task."""
 
-    def __init__(self, path: str, end_id: int | None, remembered: int = 500_000) -> None:
+    def __init__(self, path: str, end_id: int | None, remembered: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one thread; the library's own threads each keep memory
         self.pre, self.end_id, self.remembered = Pretokenizer(path), end_id, remembered
         self.last = np.zeros(max(self.pre.vocab.values(), default=0) + 1, bool)  # ids that end a pre-token
