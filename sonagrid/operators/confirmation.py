@@ -47,16 +47,20 @@ def reassigned(confirmed: DataFrame) -> DataFrame:
 def rematched_stretch(peaks: DataFrame, rounds: int = 4, cents: float = 50.0, least: int = 3, least_t: float = 2.0) -> DataFrame:
     """f0 and B per note by joint least squares of f^2 = a n^2 + a B n^4, matching orders anew in every round.
 
-    Input: note, f0_hz, freq_hz. Peaks within ``cents`` of their nearest stretched order take part.
+    Input: note, f0_hz, freq_hz. Peaks within ``cents`` of their nearest stretched order take part,
+    of orders up to 8 in the first round and twice as many in each further one: before the stretch is
+    known, high partials lie nearer to a wrong order. The last round takes all.
     B stays 0 with fewer than ``least`` orders, a slope that is not positive, or a t value under
     ``least_t``. Each round is one aggregation by note and a join back on that partitioning.
     """
     state = peaks.groupBy("note").agg(F.max("f0_hz").alias("f0"), F.lit(0.0).alias("b"))
-    for _ in range(rounds):
+    for i in range(rounds):
+        cap = F.lit(True) if i == rounds - 1 else F.col("k") <= 8 * 2**i
         met = peaks.join(state, "note")
         n = comb_order(F.col("freq_hz"), F.col("f0"), F.col("b"))
         met = met.withColumn("k", n)
         near = F.abs(1200 * F.log2(F.col("freq_hz") / stretched(F.col("k"), F.col("f0"), F.col("b")))) <= cents
+        near = near & cap
         x, y = F.col("k") * F.col("k"), F.pow(F.col("freq_hz") / F.col("k"), F.lit(2.0))
         cells = met.select("note", F.col("f0_hz"), F.when(near, x).alias("x"), F.when(near, y).alias("y"))
         sums = cells.groupBy("note").agg(
@@ -73,7 +77,7 @@ def rematched_stretch(peaks: DataFrame, rounds: int = 4, cents: float = 50.0, le
         t = F.col("slope") * F.sqrt(F.col("sxx")) / F.sqrt(F.greatest(left, F.lit(1e-18)))
         good = F.coalesce((F.col("orders") >= least) & (F.col("intercept") > 0) & (F.col("slope") > 0) & (t >= least_t), F.lit(False))
         state = sums.select("note", F.when(good, F.sqrt("intercept")).otherwise(F.col("start")).alias("f0"), F.when(good, F.col("slope") / F.col("intercept")).otherwise(0.0).alias("b"), "orders", good.alias("fitted"))
-        if _ < rounds - 1:
+        if i < rounds - 1:
             state = state.select("note", "f0", "b")
     return state
 

@@ -83,9 +83,10 @@ def reassigned_harmonics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _rematch_sql(rounds: int = 4) -> list[str]:
     out = ["peaks AS (SELECT note, 50.0::DOUBLE + note % 40 * 10.0::DOUBLE AS f0_hz, (50.0::DOUBLE + note % 40 * 10.0::DOUBLE) * n * sqrt(1 + 0.0005 * (note % 3) * n * n) * (1 + (persistence - 0.04) * 0.02) AS freq_hz FROM components)", "s0 AS (SELECT note, max(f0_hz) AS f0, 0.0::DOUBLE AS b FROM peaks GROUP BY note)"]
     for i in range(rounds):
+        cap = "" if i == rounds - 1 else f" AND k <= {8 * 2**i}"
         out += [
             f"m{i} AS (SELECT p.note, f0_hz, freq_hz, f0, b, greatest(1, round_even(sqrt(CASE WHEN b > 1e-12 THEN (sqrt(1 + 4 * b * freq_hz * freq_hz / (f0 * f0)) - 1) / (2 * b) ELSE freq_hz * freq_hz / (f0 * f0) END), 0)) AS k FROM peaks p JOIN s{i} s ON s.note = p.note)",
-            f"n{i} AS (SELECT note, f0_hz, CASE WHEN abs(1200 * log2(freq_hz / (k * f0 * sqrt(1 + b * k * k)))) <= 50 THEN k * k END AS x, CASE WHEN abs(1200 * log2(freq_hz / (k * f0 * sqrt(1 + b * k * k)))) <= 50 THEN pow(freq_hz / k, 2) END AS y FROM m{i})",
+            f"n{i} AS (SELECT note, f0_hz, CASE WHEN abs(1200 * log2(freq_hz / (k * f0 * sqrt(1 + b * k * k)))) <= 50{cap} THEN k * k END AS x, CASE WHEN abs(1200 * log2(freq_hz / (k * f0 * sqrt(1 + b * k * k)))) <= 50{cap} THEN pow(freq_hz / k, 2) END AS y FROM m{i})",
             f"q{i} AS (SELECT note, max(f0_hz) AS start, count(x)::DOUBLE AS n, count(DISTINCT x) AS orders, avg(x) AS mx, avg(y) AS my, var_pop(x) * count(x) AS sxx, var_pop(y) * count(x) AS syy, covar_pop(y, x) * count(x) AS sxy FROM n{i} GROUP BY note)",
             f"f{i} AS (SELECT *, CASE WHEN sxx > 0 THEN sxy / sxx END AS slope, CASE WHEN sxx > 0 THEN my - sxy / sxx * mx END AS intercept FROM q{i})",
             f"g{i} AS (SELECT *, coalesce(orders >= 3 AND intercept > 0 AND slope > 0 AND slope * sqrt(sxx) / sqrt(greatest(greatest(syy - slope * sxy, 0) / greatest(n - 2, 1), 1e-18)) >= 2, false) AS fitted FROM f{i})",

@@ -13,7 +13,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sonagrid.functions import guards, notes, phi, publication, scales
-from sonagrid.operators import adaptive, classify, density, dissonance, normalise, persistence, ranges, relational, signal, statistics, uncertainty
+from statistics import NormalDist
+
+from sonagrid.functions import resolution
+from sonagrid.operators import adaptive, classify, confirmation, density, dissonance, normalise, persistence, ranges, relational, signal, statistics, uncertainty
 from sonagrid.sources import audio, sheets
 from sonagrid.streaming import profiles
 
@@ -306,3 +309,69 @@ def test_guards(spark):
 def test_window_bandwidth():
     assert scales.window_enbw_bins("hann", 1024) == pytest.approx(1.5)
     assert scales.window_enbw_bins("boxcar", 64) == pytest.approx(1.0)
+
+
+def test_bca_limits_and_scores_equal_brute_force(spark):
+    """Scores, draws, jackknife and limits of one note, term by term."""
+    rows = [(7, c, a) for c, a in (("H", 0.9), ("H", 0.4), ("H", 0.2), ("I", 0.3), ("I", 0.1), ("S", 0.05))]
+    df = spark.createDataFrame(rows, "note long, comp string, amp double")
+    got = one(uncertainty.bootstrap_scores(df, draws=200))
+
+    def strict(items):
+        e = sum(a * a for _, a in items)
+        out = 0.0
+        for c in "HIS":
+            s = [math.log1p(a) for k, a in items if k == c]
+            if s:
+                out += sum(a * a for k, a in items if k == c) / e * sum(s) * sum(s) ** 2 / sum(x * x for x in s) / len(s)
+        return out
+
+    items = sorted((c, a) for _, c, a in rows)
+    assert got.strict == pytest.approx(strict(items)) and got.n == 6
+    parts = {c: [a for k, a in items if k == c] for c in "HIS"}
+    m, samples = 2**31 - 1, []
+    for b in range(200):
+        drawn = []
+        for k, c in enumerate("HIS"):
+            for j in range(len(parts[c])):
+                x = (7 * 7919 + b * 104729 + j * 1299709 + k * 15485863) % m
+                x = (x * x + 12345) % m
+                drawn.append((c, parts[c][(x * x + 6789) % m % len(parts[c])]))
+        samples.append(strict(drawn))
+    assert got.strict_low == pytest.approx(np.percentile(samples, 2.5)) and got.strict_high == pytest.approx(np.percentile(samples, 97.5))
+    jack = np.array([strict(items[:i] + items[i + 1 :]) for i in range(6)])
+    normal = NormalDist()
+    z0, off = normal.inv_cdf(np.mean(np.array(samples) < got.strict)), jack.mean() - jack
+    a = (off**3).sum() / (6 * (off**2).sum() ** 1.5)
+    for q, x in ((0.025, got.strict_low_bca), (0.975, got.strict_high_bca)):
+        z = z0 + normal.inv_cdf(q)
+        assert x == pytest.approx(np.percentile(samples, 100 * normal.cdf(z0 + z / (1 - a * z))))
+
+
+def test_scores_of_two_components_have_no_interval(spark):
+    got = one(uncertainty.bootstrap_scores(spark.createDataFrame([(1, "H", 0.5), (1, "I", 0.1)], "note long, comp string, amp double")))
+    assert got.strict > 0 and got.strict_low is None and got.strict_high_bca is None
+
+
+def test_normal_distribution(spark):
+    p = [1e-6, 0.001, 0.02, 0.3, 0.5, 0.9, 0.999]
+    df = spark.createDataFrame([(x,) for x in p], "p double").select("p", resolution.normal_quantile(F.col("p")).alias("z"))
+    for r in df.withColumn("back", resolution.normal_cdf(F.col("z"))).collect():
+        assert r.z == pytest.approx(NormalDist().inv_cdf(r.p), rel=1e-6, abs=1e-8) and r.back == pytest.approx(r.p, abs=2e-7)
+
+
+def test_ranks_over_many_ranges(spark):
+    rng = np.random.default_rng(6)
+    v = np.concatenate([rng.normal(size=3000), np.repeat([0.5, -1.0], 200)])
+    rows = normalise.average_ranks(spark.createDataFrame([(float(x),) for x in v], "v double"), [], "v").collect()
+    order = np.sort(v)
+    for r in rows[::17]:
+        low, high = np.searchsorted(order, r.v, "left"), np.searchsorted(order, r.v, "right")
+        assert r["rank"] == (low + 1 + high) / 2
+
+
+def test_stretch_of_a_stiff_string_is_found(spark):
+    f0, b = 110.3, 4e-4
+    rows = [(1, 110.0, n * f0 * math.sqrt(1 + b * n * n)) for n in range(1, 25)]
+    got = one(confirmation.rematched_stretch(spark.createDataFrame(rows, "note long, f0_hz double, freq_hz double")))
+    assert got.fitted and got.b == pytest.approx(b, rel=0.1) and got.f0 == pytest.approx(f0, rel=1e-3)
