@@ -152,11 +152,15 @@ def cross_dissonance(first: DataFrame, second: DataFrame, keys: list[str]) -> Da
 
 def curve(partials: DataFrame, low: float = 1.0, high: float = 2.0, steps: int = 100) -> DataFrame:
     """Sethares dissonance of a timbre against itself, shifted by each interval of a grid."""
-    grid = F.sequence(F.lit(0), F.lit(steps - 1))
-    rows = partials.select("note", "freq_hz", "amp", F.explode(grid).alias("step"))
+    # Partials meet once, by note, within the band widened by the largest shift; the grid is laid over the pairs.
+    widest = max(abs(math.log(low)), abs(math.log(high))) / 0.0207
+    a = partials.select("note", F.col("freq_hz").alias("fa"), F.col("amp").alias("aa"), _warped(F.col("freq_hz")).alias("za"))
+    b = partials.select("note", F.col("freq_hz").alias("fb"), F.col("amp").alias("ab"), _warped(F.col("freq_hz")).alias("zb"))
+    met = near_pairs(a, b, ["note"], "za", "zb", _WIDTH + widest).select("note", "fa", "aa", "fb", "ab", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
     ratio = low + F.col("step") * ((high - low) / (steps - 1))
-    shifted = rows.select("note", "step", (F.col("freq_hz") * ratio).alias("freq_hz"), "amp")
-    return cross_dissonance(rows, shifted, ["note", "step"]).withColumn("interval", ratio)
+    shifted = F.col("fb") * ratio
+    value = sethares(F.least(F.col("fa"), shifted), F.greatest(F.col("fa"), shifted), F.col("aa"), F.col("ab"))
+    return met.groupBy("note", "step").agg(F.sum(value).alias("dissonance")).withColumn("interval", ratio)
 
 
 def same_timbre(partials: DataFrame, interval: float) -> DataFrame:
