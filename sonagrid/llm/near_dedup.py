@@ -7,10 +7,13 @@ one bucket key. So two texts meet in a bucket if they share those k-mers in the
 Texts with the same words are one node, so copies are never paired. First every node is compared
 with the leader of its largest bucket (the member with the least hash), then with one leader of each
 other component that leads one of its buckets; that joins most of what belongs together.
-Buckets whose nodes are still of several components are then cut into tiles of bounded size, and
-each two tiles meet in one group, where the pairs of different components are verified, in the
-first bucket they share. Only links leave a group, never pairs; every pair of a bucket is either
-joined or verified, whatever the bucket's size.
+In a bucket that is still of several components the nodes outside its largest one meet two more
+nodes of that. Of what stays apart, all buckets with the same largest component are one unit, if
+that repeats fewer rows, or else each is a unit. A unit is cut into tiles of bounded size: each
+tile of nodes outside its largest component meets every other tile in one group, where the pairs
+of different components that share a bucket are verified. Tiles of the largest component never
+meet one another, so few rows are repeated. Only links leave a group, never pairs; every pair of a
+bucket is either joined or verified, whatever the bucket's size.
 
 A pair is verified on its whole texts: the longest chain of common k-mers that stand in the same
 order in both, within a band around the diagonal as wide as the threshold allows, aligns their
@@ -292,20 +295,23 @@ def _verify(s: Settings):
 
 
 def _verify_tiles(s: Settings):
-    """One group: the nodes of two tiles of a bucket (or of one). Out: the links between them."""
+    """One group: the nodes of two tiles of a unit. Out: the links between them, and once a tile those within it.
+
+    A pair is verified in its first bucket (of number ``j``) if that is a unit, and in every unit of several buckets.
+    """
 
     def rows(table: pa.Table) -> pa.Table:
         left = table["tile"].to_numpy() == table["p"].to_numpy()
-        one = table["p"][0].as_py() == table["q"][0].as_py()
+        within = table["q"][0].as_py() == table["mains"][0].as_py()  # a tile meets the first of the largest component once
         sketch = np.stack(table["sketch"].to_pylist())
         comp, size, j = table["comp"].to_numpy(), table["size"].to_numpy(), table["j"][0].as_py()
         pairs_a, pairs_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        right = np.flatnonzero(left if one else ~left)
-        for i in np.flatnonzero(left).tolist():
-            others = right[right > i] if one else right
+        left, right = np.flatnonzero(left), np.flatnonzero(~left)
+        for at, i in enumerate(left.tolist()):
+            others = np.concatenate([left[at + 1 :], right]) if within else right
             others = others[comp[others] != comp[i]]
             same = sketch[others] == sketch[i]
-            good = others[~same[:, :j].any(axis=1)]  # met in no earlier bucket
+            good = others[same.any(axis=1) if j is None else ~same[:, :j].any(axis=1)]
             good = good[np.minimum(size[i], size[good]) >= _needed(size, np.full(len(good), i), good, s)]
             pairs_a.append(np.full(len(good), i))
             pairs_b.append(good)
@@ -393,13 +399,13 @@ def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
 
 
 def _classes(nodes: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """(node, root) of nodes joined by links; nodes: node, sketch, size; texts: row, text."""
+    """(node, root) of nodes joined by links; nodes: node, sketch; texts: row, text, sketch, size."""
     keyed = nodes.select("node", F.posexplode("sketch").alias("j", "value")).select(F.xxhash64("j", "value").alias("bucket"), "node", "j")
     leader = F.min(F.struct(F.xxhash64(F.lit(1), "node").alias("h"), "node"))["node"]
     buckets = storage.written(keyed.groupBy("bucket").agg(F.count("*").alias("n"), leader.alias("leader")).filter("n > 1"), "buckets")
     members = storage.written(_dealt(keyed, buckets, "bucket"), "members")
     wanted = storage.written(members.select(F.col("node").alias("row")).distinct(), "wanted")
-    texts = storage.written(texts.join(_sized(wanted), "row").select(F.col("row").alias("node"), "text"), "texts")
+    texts = storage.written(texts.join(_sized(wanted), "row").select(F.col("row").alias("node"), "text", "sketch", "size"), "texts")
     storage.delete(wanted)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -414,15 +420,37 @@ def _classes(nodes: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     apart = _placed(_dealt(others.select("bucket", "node", "leader"), led, "bucket"), roots, "node", "comp").filter("comp <> other")
     second = apart.groupBy("node", "other").agg(F.min("leader").alias("leader"))
     roots = _joined(roots, verified(second.select(F.col("node").alias("a"), F.col("leader").alias("b"))))
-    # Buckets of several components are cut into tiles; every two tiles meet.
-    rest = storage.written(_placed(members.select("bucket", "node", "j"), roots, "node", "comp"), "rest")
-    mixed = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
-    mixed = storage.written(mixed.select("bucket", F.ceil(F.col("n") / s.tile).cast("int").alias("tiles")), "mixed")
-    dealt = _dealt(rest, mixed, "bucket").withColumn("tile", F.pmod(F.xxhash64(F.lit(2), "node"), "tiles").cast("int"))
-    dealt = dealt.select("bucket", "node", "j", "comp", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    dealt = dealt.select("bucket", "node", "j", "comp", "tile", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"))
-    met = dealt.join(nodes, "node").join(texts, "node")
-    return _joined(roots, storage.written(met.groupBy("bucket", "p", "q").applyInArrow(_verify_tiles(s), _LINK), "more-links"))
+
+    def several(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members with their components, and the buckets of several with the largest of these and two nodes of it."""
+        rest = storage.written(_placed(members, roots, "node", "comp"), "rest")
+        by = F.struct(F.xxhash64(F.lit(4), "node").alias("h"), "node")
+        parts = rest.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.array(F.min(by)["node"], F.max(by)["node"]).alias("leaders"))
+        found = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp", "leaders")).alias("main")).filter(F.col("n") > F.col("main.n"))
+        return rest, storage.written(found.select("bucket", F.col("main.comp").alias("main"), "main.leaders", F.col("main.n").alias("inside"), (F.col("n") - F.col("main.n")).alias("outside")), "mixed")
+
+    rest, mixed = several(members.select("bucket", "node", "j"))
+    third = _dealt(rest, mixed, "bucket").filter("comp <> main").select(F.col("node").alias("a"), F.explode("leaders").alias("b")).distinct()
+    roots = _joined(roots, verified(third))
+    rest, mixed = several(_dealt(rest.select("bucket", "node", "j"), mixed.select("bucket"), "bucket"))
+    # A unit is all buckets with the same largest component, or one bucket, whichever way has fewer rows.
+    inside = F.col("comp") == F.col("main")
+    once = storage.written(_dealt(rest, mixed.select("bucket", "main"), "bucket").select("main", "node", "comp").distinct(), "once")
+    tiles, others = (F.ceil(F.col(c) / s.tile).cast("int") for c in ("inside", "outside"))
+    made = F.col("inside") * others + F.col("outside") * (tiles + others - 1)
+    whole = once.groupBy("main").agg(F.count(F.when(inside, 1)).alias("inside"), F.count(F.when(~inside, 1)).alias("outside"))
+    apart = mixed.groupBy("main").agg(F.sum(made).alias("apart"))
+    ways = storage.written(whole.join(apart, "main").select("main", (made <= F.col("apart")).alias("whole"), others.alias("mains"), tiles.alias("tiles")), "ways")
+    of_bucket = storage.written(mixed.join(_sized(ways), "main").filter("not whole").select("bucket", "main", others.alias("mains"), tiles.alias("tiles")), "units")
+    dealt = _dealt(once, ways.filter("whole").drop("whole"), "main").select("*", F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("int").alias("j"))
+    dealt = dealt.unionByName(_dealt(rest, of_bucket, "bucket"))
+    # Tiles below ``mains`` hold the nodes outside the largest component.
+    at = F.xxhash64(F.lit(2), "node")
+    tile = F.when(inside, F.col("mains") + F.pmod(at, "tiles")).otherwise(F.pmod(at, "mains")).cast("int")
+    last = F.when(inside, F.col("mains")).otherwise(F.col("mains") + F.col("tiles")) - 1
+    dealt = dealt.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), last))).filter("other <> tile")
+    dealt = dealt.select("main", "bucket", "node", "j", "comp", "mains", "tile", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"))
+    return _joined(roots, storage.written(dealt.join(texts, "node").groupBy("main", "bucket", "p", "q").applyInArrow(_verify_tiles(s), _LINK), "more-links"))
 
 
 def classed(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
@@ -446,9 +474,9 @@ def classed(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame
         ids = rows.select(*key, "row", F.col("rest")["doc_id"].cast("long").alias("doc_id"))
         order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
         nodes = storage.written(ids.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.min(order).alias("least"), F.count("*").alias("n")), "nodes")
-        sketched = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").filter(F.size("sketch") > 0).select(F.col("row").alias("node"), "sketch", "size")
+        sketched = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").filter(F.size("sketch") > 0).select(F.col("row").alias("node"), "sketch")
         sketched = storage.written(sketched, "node-sketches")
-        roots = _classes(sketched, rows.select("row", "text"), settings)
+        roots = _classes(sketched, rows.select("row", "text", "sketch", "size"), settings)
         # Nodes without links are their own class; only the others are summed by root.
         linked = nodes.join(roots.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "node")
         linked = storage.written(linked, "linked")
