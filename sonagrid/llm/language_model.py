@@ -52,6 +52,14 @@ class Shares(NamedTuple):
     gram: float = 2e-6  # pairs and triples scored where they stand: 500,000 of each at most
 
 
+class Frequent(NamedTuple):
+    """Words that n-grams are sent with by number: the more places, the smaller."""
+
+    keys: np.ndarray  # ascending
+    number: np.ndarray  # of each of keys
+    words: np.ndarray  # by number
+
+
 class Automaton(NamedTuple):
     """What is scored where it stands; keys ascend."""
 
@@ -142,23 +150,29 @@ def _ranges(n_tokens: int) -> int:
     return max(8, -(-n_tokens // RANGE_TOKENS))
 
 
-def _deal(key: np.ndarray, ranges: int, *columns: np.ndarray) -> list[pa.Array]:
-    """One row a range of keys: its number, and per column the bytes of its values."""
+def _cut(key: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, numbers of the ranges that hold keys, bounds): keys in this order lie range by range, else as they came."""
     part = ((key >> _HALF) * np.uint64(ranges) >> _HALF).astype(np.min_scalar_type(ranges))
     order = np.argsort(part, kind="stable")
     held, first = np.unique(part[order], return_index=True)
-    bounds = np.append(first, len(order))
+    return order, held.astype(np.int32), np.append(first, len(order))
+
+
+def _deal(key: np.ndarray, ranges: int, *columns: np.ndarray) -> list[pa.Array]:
+    """One row a range of keys: its number, and per column the bytes of its values."""
+    order, held, bounds = _cut(key, ranges)
     packed = [pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer((bounds * c.itemsize).astype(np.int32)), pa.py_buffer(c[order].tobytes())]) for c in columns]
-    return [pa.array(held.astype(np.int32)), *packed]
+    return [pa.array(held), *packed]
 
 
-def _thin(places: bytes) -> bytes:
-    """Differences of int32 values, byte by byte, so that blocks on disk compress them."""
-    return np.diff(np.frombuffer(places, np.int32), prepend=np.int32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+def _thin(values: np.ndarray) -> bytes:
+    """Differences of neighbours, byte by byte, so that ascending values compress."""
+    return np.diff(values, prepend=values.dtype.type(0)).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
 
 
-def _thick(places: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(places, np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel(), dtype=np.int32)
+def _thick(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.cumsum(np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(kind).ravel(), dtype=kind)
 
 
 def _values(column: list[bytes], kind: type) -> np.ndarray:
@@ -173,44 +187,72 @@ def _summed(key: np.ndarray, payload: list[np.ndarray], counts: list[np.ndarray]
     return key[heads], [x[by[heads]] for x in payload], [np.add.reduceat(c[by].astype(np.int64), heads) if len(key) else np.zeros(0, np.int64) for c in counts]
 
 
-_DEALT_GRAMS = "part int, size int, first binary, second binary, training binary, other binary"
+_DEALT_GRAMS = T.StructType(
+    [T.StructField(c, T.IntegerType()) for c in ("part", "size", "n")] + [T.StructField(c, T.BinaryType()) for c in ("rare", "code", "words", "training", "other")]
+)
+_MASK = np.uint64((1 << int(_BITS)) - 1)
+#: By the marks of rare words: how far back the first of them stands.
+_FIRST_RARE = np.array([0, 0, 1, 1, 2, 2, 2, 2])
+
+
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=1)
 
 
 def _grams(shared, ranges: int):
     """Counts of all pairs and triples, summed over DEALT places and dealt by ranges of their keys.
 
-    N-grams of frequent words alone are sent as their words' numbers in one value, under a
-    negative size; the others as two hashes.
+    An n-gram is sent as the numbers of its frequent words in one code, marks of its rare words and
+    the hashes of these. N-grams without rare words go under a negative size, as ascending codes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent: np.ndarray = shared.value
-        held: dict[int, list] = {2: [], 3: [], -2: [], -3: []}
-        n = 0
+        frequent: Frequent = shared.value
+        codec = _codec()
+        held: list[tuple[np.ndarray, ...]] = []
+        n = texts = 0
+
+        def packed(size: int, by: np.ndarray, key: np.ndarray, at: np.ndarray | None, rare: np.ndarray, code: np.ndarray, counts: list[np.ndarray]) -> pa.RecordBatch:
+            order, parts, bounds = _cut(by, ranges)
+            cells = [order[s:e] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            backs = range(abs(size) - 1, -1, -1)
+            words_ = [b"" if at is None else _thin(np.concatenate([key[at[c] - back][rare[c] >> back & 1 == 1] for back in backs])) for c in cells]
+            columns = [
+                [b"" if at is None else rare[c].tobytes() for c in cells],
+                [codec.compress(_thin(code[c]), asbytes=True) for c in cells],
+                words_,
+                *([x[c].astype(np.int32).tobytes() for c in cells] for x in counts),
+            ]
+            numbers = [pa.array(parts), pa.array(np.full(len(parts), size, np.int32)), pa.array(np.diff(bounds).astype(np.int32))]
+            return pa.RecordBatch.from_arrays([*numbers, *(pa.array(x, pa.binary()) for x in columns)], names=_DEALT_GRAMS.names)
 
         def out() -> Iterator[pa.RecordBatch]:
-            for size in held:
-                first, second, other = (np.concatenate(x) for x in zip(*held[size], strict=True))
-                held[size] = []
-                key = gram_keys(first, second, size) if size > 0 else mix(first)
-                key, (first, second), (c, m) = _summed(key, [first, second] if size > 0 else [first, first], [~other, other])
-                part, *packed = _deal(key, ranges, first, second if size > 0 else np.zeros(len(key), "V0"), c.astype(np.int32), m.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part, pa.array(np.full(len(part), size, np.int32)), *packed], names=["part", "size", "first", "second", "training", "other"])
+            text, key, number, other = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            for size, (last, _, first, second) in _places(text, key).items():
+                code, rare = np.zeros(len(last), np.uint64), np.zeros(len(last), np.uint8)
+                for back in range(size - 1, -1, -1):
+                    of = number[last - back]
+                    code = code << _BITS | np.maximum(of, 0).astype(np.uint64)
+                    rare = rare << 1 | (of < 0)
+                short, gone = rare == 0, other[last]
+                own, _, counts = _summed(code[short], [], [~gone[short], gone[short]])
+                yield packed(-size, mix(own), key, None, rare, own, counts)
+                gram = gram_keys(first[~short], second[~short], size)
+                gram, (at, rare, code), counts = _summed(gram, [last[~short], rare[~short], code[~short]], [~gone[~short], gone[~short]])
+                lead = key[at - _FIRST_RARE[rare]]
+                order = np.lexsort((lead, rare))
+                yield packed(size, gram[order], key, at[order], rare[order], code[order], [c[order] for c in counts])
 
         for batch in batches:
             kept = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
             for block in blocks(batch.column(1)):
                 text, key = tokens(block)
-                number = lookup(frequent, key)
-                number[number >= (1 << int(_BITS))] = -1
-                for size, (last, at, first, second) in _places(text, key).items():
-                    other = kept[block.first + at]
-                    short, code = np.ones(len(last), bool), np.zeros(len(last), np.uint64)
-                    for back in range(size - 1, -1, -1):
-                        short &= number[last - back] >= 0
-                        code = (code << _BITS) | number[last - back].astype(np.uint64)
-                    held[size].append((first[~short], second[~short], other[~short]))
-                    held[-size].append((code[short], code[:0], other[short]))
+                place = lookup(frequent.keys, key)
+                number = np.full(len(key), -1, np.int32)
+                number[place >= 0] = frequent.number[place[place >= 0]]
+                held.append((text + texts, key, number, kept[block.first + text]))
+                texts += len(block.bounds) - 1
                 n += len(key)
                 if n >= DEALT:
                     yield from out()
@@ -221,27 +263,48 @@ def _grams(shared, ranges: int):
     return run
 
 
+def _decoded(frequent: Frequent, code: np.ndarray, size: int) -> list[np.ndarray]:
+    """The frequent words of codes, first to last; a rare word's place holds any word."""
+    if not len(frequent.words):
+        return [np.zeros(len(code), np.uint64) for _ in range(size)]
+    return [frequent.words[(code >> (_BITS * np.uint64(back)) & _MASK).astype(np.int64)] for back in range(size - 1, -1, -1)]
+
+
+def _halves(word: list[np.ndarray]) -> list[np.ndarray]:
+    """What an n-gram's key is of: two words, or a triple's two pairs."""
+    return word if len(word) == 2 else [gram_keys(word[0], word[1], 2), gram_keys(word[1], word[2], 2)]
+
+
 def _counts(shared, least: int, hot: int):
     """The counts of one range: n-grams that are arcs, or frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent: np.ndarray = shared.value
+        frequent: Frequent = shared.value
+        codec = _codec()
         held: dict[int, list] = {2: [], 3: [], -2: [], -3: []}
         for batch in batches:
-            for size, *packed in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-                held[size].append(packed)
+            for size, n, rare, code, words_, training, other in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                if not n:
+                    continue
+                payload = [_thick(codec.decompress(code, n * 8, asbytes=True), np.uint64)]
+                if size > 0:
+                    word, rare, hashes, done = _decoded(frequent, payload[0], size), np.frombuffer(rare, np.uint8), _thick(words_, np.uint64), 0
+                    for place, back in enumerate(range(size - 1, -1, -1)):
+                        here = np.flatnonzero(rare >> back & 1)
+                        word[place][here] = hashes[done : done + len(here)]
+                        done += len(here)
+                    payload = _halves(word)
+                held[size].append((*payload, np.frombuffer(training, np.int32), np.frombuffer(other, np.int32)))
         for size in held:
             if not held[size]:
                 continue
-            first, second, training, other = (_values(c, kind) for c, kind in zip(zip(*held[size], strict=True), (np.uint64, np.uint64, np.int32, np.int32), strict=True))
+            *payload, training, other = (np.concatenate(x) for x in zip(*held[size], strict=True))
             held[size] = []
-            key, payload, (c, m) = _summed(gram_keys(first, second, size) if size > 0 else first, [first, second] if size > 0 else [], [training, other])
+            key, payload, (c, m) = _summed(gram_keys(*payload, size) if size > 0 else payload[0], payload if size > 0 else [], [training, other])
             kept = (c >= least) | (c + m >= hot)
             key, payload, c, m = key[kept], [x[kept] for x in payload], c[kept], m[kept]
             if size < 0:
-                mask = np.uint64((1 << int(_BITS)) - 1)
-                word = [frequent[(key >> (_BITS * np.uint64(back)) & mask).astype(np.int64)] for back in range(-size - 1, -1, -1)]
-                payload = word if size == -2 else [gram_keys(word[0], word[1], 2), gram_keys(word[1], word[2], 2)]
+                payload = _halves(_decoded(frequent, key, -size))
                 key = gram_keys(*payload, -size)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), abs(size), np.int32)), *(pa.array(x.view(np.int64)) for x in (key, *payload, c, c + m))], names=["size", "key", "first", "second", "n", "places"])
 
@@ -281,7 +344,11 @@ def train(docs: DataFrame, held_out: Column, shares: Shares = Shares(), discount
     ranges = _ranges(n + m)
     often, least, frequent = (max(2, math.ceil(share * of)) for share, of in ((shares.word, n), (shares.arc, n), (shares.gram, n + m)))
     hot = unigrams.filter(F.col("training") + F.col("other") >= max(2, math.ceil(shares.hot * (n + m))))
-    numbered = docs.sparkSession.sparkContext.broadcast(np.sort(hot.select("word").toArrow()["word"].to_numpy().view(np.uint64)))  # at most 1 / hot_share
+    often_seen = hot.select("word", (F.col("training") + F.col("other")).alias("n")).toArrow()  # at most 1 / hot_share
+    keys, places = often_seen["word"].to_numpy().view(np.uint64), often_seen["n"].to_numpy()
+    keys = keys[np.lexsort((keys, -places))][: 1 << int(_BITS)]
+    by = np.argsort(keys)
+    numbered = docs.sparkSession.sparkContext.broadcast(Frequent(keys[by], by.astype(np.int32), keys))
     counted = rows.mapInArrow(_grams(numbered, ranges), _DEALT_GRAMS).repartitionById(ranges, "part").mapInArrow(_counts(numbered, least, frequent), "size int, key long, first long, second long, n long, places long")
     grams = _written(counted, "grams")
     arcs = grams.filter(F.col("n") >= least)
@@ -353,7 +420,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             key, place = (np.concatenate(x) for x in zip(*held, strict=True))
             base = int(place[0])
             part, key, place = _deal(key, ranges, key, (place - base).astype(np.int32))
-            place = pa.array([_thin(x) for x in place.to_pylist()], pa.binary())
+            place = pa.array([_thin(np.frombuffer(x, np.int32)) for x in place.to_pylist()], pa.binary())
             none = [pa.nulls(len(part), k) for k in kinds]
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(part), first_row + base)), *none[1:width], part, key, place, none[-1]], names=schema.names)
 
@@ -424,7 +491,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for row, gram, place in held:
             found = lookup(key, np.frombuffer(gram, np.uint64))
             here = found >= 0
-            at, back = np.unique(_thick(place)[here], return_inverse=True)
+            at, back = np.unique(_thick(place, np.int32)[here], return_inverse=True)
             if len(at):
                 sums = np.bincount(back, weight[found[here]])
                 yield pa.RecordBatch.from_arrays([pa.array(row + at.astype(np.int64)), pa.array(sums), *(pa.nulls(len(at), f.type) for f in list(kinds)[2:])], schema=kinds)
