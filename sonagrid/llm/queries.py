@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonagrid.llm import decontamination, fingerprints, language_id, language_model, license_scan, line_dedup, near_dedup, packing, token_counts, toxicity
+from sonagrid.llm import conversation_queries, decontamination, fingerprints, language_id, language_model, license_scan, line_dedup, near_dedup, packing, token_counts, toxicity
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -124,8 +124,8 @@ FROM lines LEFT JOIN repeated USING (key) GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v) and k[2].isdigit()}
+    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v) and k[2].isdigit()} | conversation_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op4_decontamination": OP4_SQL, "op9_line_dedup": OP9_SQL} | conversation_queries.oracle_sql()
