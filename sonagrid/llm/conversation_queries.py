@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonagrid.llm import conversation_repair
+from sonagrid.llm import conversation_repair, prefix_trie
 
 
 def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids, turns = prefix_trie.rebuilt(_table(spark, sf_dir))
+    return prefix_trie.prefix_trie(ids, turns, ["own", "place"])
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.damage_report(_table(spark, sf_dir))
 
@@ -26,6 +31,41 @@ def _crc(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
 
 
+OP11_SQL = rf"""
+WITH {_CRC},
+given AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM given), crc_table),
+turns AS (
+  SELECT c.conv_id, g.role, g.text, 0 AS own, g.i FROM convs c JOIN given g ON g.conv_id = c.base AND g.i <= c.h
+  UNION ALL SELECT conv_id, role, text, 1, i FROM given JOIN convs USING (conv_id) WHERE i > h),
+steps AS (
+  SELECT conv_id, row_number() OVER w AS depth, text,
+    list(sha256(length(role) || ':' || role || text)) OVER w AS path
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY own, i)),
+rows AS (
+  SELECT conv_id, depth, length(text) AS chars, list_aggregate(path, 'string_agg', '') AS path,
+    CASE WHEN depth = 1 THEN '' ELSE list_aggregate(path[:-2], 'string_agg', '') END AS parent
+  FROM steps
+  UNION ALL SELECT conv_id, 0, 0, '', NULL FROM convs),
+nodes AS (
+  SELECT path, any_value(parent) AS parent, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved
+  FROM rows GROUP BY path),
+children AS (SELECT parent AS path, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+below AS (
+  SELECT top.path, sum(n.saved) AS saved_tokens, count(*) FILTER (c.n_children IS NULL) AS n_leaves
+  FROM nodes top JOIN nodes n ON n.depth >= top.depth AND left(n.path, 64 * top.depth) = top.path LEFT JOIN children c ON c.path = n.path
+  GROUP BY top.path),
+ends AS (
+  SELECT path, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256
+  FROM (SELECT conv_id, arg_max(path, depth) AS path FROM rows GROUP BY conv_id) GROUP BY path)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children,
+  n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.path = n.parent LEFT JOIN children c ON c.path = n.path JOIN below b ON b.path = n.path LEFT JOIN ends e ON e.path = n.path
+"""
+
 OP13_SQL = rf"""
 WITH RECURSIVE {_CRC},
 hit AS (
@@ -94,4 +134,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_conversation_repair": OP13_SQL}
+    return {"op11_prefix_trie": OP11_SQL, "op13_conversation_repair": OP13_SQL}
