@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonagrid.llm import conversation_queries, decontamination, fingerprints, language_id, language_model, license_scan, line_dedup, near_dedup, packing, token_counts, toxicity
+from sonagrid.llm import conversation_queries, decontamination, fingerprints, language_id, language_model, license_scan, line_dedup, near_dedup, packing, suffix_dedup, token_counts, toxicity
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -78,6 +78,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_report(table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_report(table(spark, sf_dir, "documents"))
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -122,10 +126,30 @@ SELECT doc_id, count(*) AS n_lines,
 FROM lines LEFT JOIN repeated USING (key) GROUP BY doc_id
 """
 
+OP12_SQL = """
+WITH given AS (SELECT row_number() OVER () AS r, coalesce(doc_id, -9223372036854775808) AS doc, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (SELECT r, doc, s, substr(h, 2 * s + 1, 2 * 249) AS piece FROM (SELECT r, doc, h, unnest(range(0, length(h) // 2 - 49, 200)) AS s FROM given WHERE length(h) >= 100)),
+heads AS (SELECT r, doc, s + p AS p, substr(piece, 2 * p + 1, 100) AS head FROM (SELECT r, doc, s, piece, unnest(range(0, length(piece) // 2 - 49)) AS p FROM pieces)),
+hit AS (SELECT r, p FROM heads JOIN (SELECT head, min(doc) AS least FROM heads GROUP BY head HAVING count(*) > 1) USING (head) WHERE doc > least),
+runs AS (
+  SELECT r, min(p) AS s, max(p) + 50 AS e
+  FROM (SELECT r, p, sum(CASE WHEN p > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS run
+        FROM (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM hit))
+  GROUP BY r, run),
+cut AS (
+  SELECT r, s, e, lead(s) OVER (PARTITION BY r ORDER BY s) AS next, row_number() OVER (PARTITION BY r ORDER BY s) AS i FROM runs),
+kept AS (
+  SELECT r, sum(e - s) AS n_removed, count(*) AS n_spans,
+    string_agg(CASE WHEN i = 1 THEN left(h, 2 * s) ELSE '' END || CASE WHEN next IS NULL THEN substr(h, 2 * e + 1) ELSE substr(h, 2 * e + 1, 2 * (next - e)) END, '' ORDER BY s) AS rest
+  FROM cut JOIN given USING (r) GROUP BY r)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM given LEFT JOIN kept USING (r)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v) and k[2].isdigit()} | conversation_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL, "op9_line_dedup": OP9_SQL} | conversation_queries.oracle_sql()
+    return {"op4_decontamination": OP4_SQL, "op9_line_dedup": OP9_SQL, "op12_suffix_dedup": OP12_SQL} | conversation_queries.oracle_sql()

@@ -11,6 +11,7 @@ from weakref import WeakKeyDictionary
 from pyspark.sql import DataFrame, SparkSession
 
 _path_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_table_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _open: list[Scratch] = []
 
 
@@ -50,9 +51,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, column: str) -> DataFrame:
+    """Like :func:`written`, but a table bucketed by a column: what joins or groups by it need not shuffle the table."""
+    spark = df.sparkSession
+    path, table = new_path(spark, name), f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).option("path", path).format("parquet").saveAsTable(table)
+    out = spark.table(table)
+    _path_of[out], _table_of[out] = path, table
+    if _open:
+        _open[-1].tables.append(out)
+    return out
+
+
 def delete(df: DataFrame) -> None:
-    """Remove the files of a table made by :func:`written` that no later plan reads; others stay."""
-    place = _path_of.pop(df, None)
+    """Remove the files of a table made by :func:`written` or :func:`bucketed` that no later plan reads; others stay."""
+    place, table = _path_of.pop(df, None), _table_of.pop(df, None)
+    if table:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
     if place:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(place)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
