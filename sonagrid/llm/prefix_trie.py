@@ -66,7 +66,7 @@ def rebuilt(turns: DataFrame, span: int = 100, most: int = 6) -> tuple[DataFrame
 
 
 def _hash(bits: int, turn: int) -> Column:
-    """The hash of a turn; the lowest ``bits`` only, to let tests collide."""
+    """The hash of a turn; the lowest ``bits`` only, to let tests collide at the first attempt."""
     whole = F.xxhash64(F.lit(turn), "role", "text")
     return whole if bits >= 64 else F.pmod(whole, F.lit(1 << bits))
 
@@ -123,7 +123,7 @@ def prefix_trie(ids: DataFrame, turns: DataFrame, order: list[str], bits: int =
             return _rolled_up(nodes, steps, _ends(ids, chains))
         attempt += 1
         again = chains.join(wrong.withColumn("again", F.lit(True)), ["conv_id", "depth"], "left")
-        rows = again.select("conv_id", *places, "role", "text", F.when(F.col("again"), _hash(bits, attempt)).otherwise(F.col("hash")).alias("hash"))
+        rows = again.select("conv_id", *places, "role", "text", F.when(F.col("again"), _hash(64, attempt)).otherwise(F.col("hash")).alias("hash"))
 
 
 def _candidates(ids: DataFrame, chains: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -518,7 +518,7 @@ def cut_texts(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFram
     lists = keys.groupBy("bucket").applyInArrow(_repeated(hot), "chunk long, message binary")
     sent = texts.select("chunk", "doc", "text").groupBy("chunk").cogroup(lists.groupBy("chunk")).applyInArrow(_stretch_messages(length, buckets), "bucket long, chunk long, message binary")
     masks = storage.written(sent.groupBy("bucket").applyInArrow(_sorted_bucket(length), "chunk long, message binary"), "masks")
-    kind = T.StructType([given.schema["rest"], *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed")), T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(T.LongType()))])
+    kind = T.StructType([texts.schema["rest"], *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed")), T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(T.LongType()))])
     return texts.select("chunk", "text", "rest").groupBy("chunk").cogroup(masks.groupBy("chunk")).applyInArrow(_cut(length), kind)
 
 
