@@ -96,16 +96,29 @@ def moving_centroid_merge(freq: np.ndarray, amp: np.ndarray, fraction: float = 1
     return [(c, float(np.sqrt(e))) for c, e in out]
 
 
-def greedy_orders(freq: np.ndarray, f0: float, b: float, cents: float = 50.0, highest: int = 64) -> list[tuple[int, int]]:
-    """(order, place) pairs: each stretched order takes the nearest unused peak within a window, lowest order first."""
-    used, out = set(), []
-    for n in range(1, highest + 1):
+def greedy_orders(freq: np.ndarray, f0: float, b: float, cents: float = 50.0) -> list[tuple[int, int]]:
+    """(order, place) pairs: each stretched order takes the nearest unused peak within a window, lowest order first.
+
+    All orders up to the highest peak (and its window) are tried; a series that starts at 0 or below has none.
+    """
+    if not len(freq) or not f0 > 0:
+        return []
+    reach = float(np.max(freq)) * 2 ** (cents / 1200)
+    order = np.argsort(freq, kind="stable")
+    rising = np.asarray(freq, float)[order]
+    free = np.ones(len(freq), bool)
+    out = []
+    for n in range(1, int(reach / f0) + 1):
         want = n * f0 * np.sqrt(1 + b * n * n)
-        off = np.abs(1200 * np.log2(np.maximum(freq, 1e-9) / want))
-        free = [i for i in np.argsort(off, kind="stable") if i not in used and off[i] <= cents]
-        if free:
-            used.add(free[0])
-            out.append((n, int(free[0])))
+        if want > reach:
+            break
+        near = np.arange(np.searchsorted(rising, want * 2 ** (-cents / 1200) * (1 - 1e-12)), np.searchsorted(rising, want * 2 ** (cents / 1200) * (1 + 1e-12), "right"))
+        off = np.abs(1200 * np.log2(rising[near] / want))
+        near, off = near[free[near] & (off <= cents)], off[free[near] & (off <= cents)]
+        if len(near):
+            best = min(zip(off.tolist(), order[near].tolist(), near.tolist(), strict=True))
+            free[best[2]] = False
+            out.append((n, int(best[1])))
     return out
 
 

@@ -18,6 +18,13 @@ def sample_skewness(value: str) -> Column:
     return F.when((n > 2) & (F.stddev_pop(value) > 0), F.skewness(value) * F.sqrt((n * (n - 1)).cast("double")) / (n - 2))
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's r over the rows that have both; null where one of them does not vary (``corr`` fails there)."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    spread = F.stddev_pop(F.when(both, F.col(a))) * F.stddev_pop(F.when(both, F.col(b)))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def sample_kurtosis(value: str) -> Column:
     """Bias-corrected excess G2; null with fewer than four values."""
     n = F.count(value).cast("double")
@@ -162,7 +169,7 @@ def strongest(pairs: DataFrame, target: str, k: int = 10) -> DataFrame:
 def group_correlations(rows: DataFrame, group: str, metrics: list[str], baseline: str) -> DataFrame:
     """How far each group's correlations lie from those of a baseline group: mean and largest |difference|, and pairs compared."""
     pairs = list(combinations(sorted(metrics), 2))
-    wide = rows.groupBy(group).agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    wide = rows.groupBy(group).agg(*[correlation(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     long = wide.unpivot([group], [f"r{i}" for i in range(len(pairs))], "pair", "r").filter(F.col("r").isNotNull() & ~F.isnan("r"))
     base = long.filter(F.col(group) == baseline).select("pair", F.col("r").alias("base"))  # one row a pair
     met = long.filter(F.col(group) != baseline).join(F.broadcast(base), "pair")

@@ -301,7 +301,7 @@ def noise_floor_rolling_percentile(spark: SparkSession, sf_dir: str) -> DataFram
         with_ctes(
             SPECTRUM,
             "p AS (SELECT note, bin, amp * amp AS p FROM spectrum)",
-            "c AS (SELECT note, bin, p, list_sort(list_concat(coalesce(list(p) OVER (PARTITION BY note ORDER BY bin ROWS BETWEEN 10 PRECEDING AND 3 PRECEDING), []), coalesce(list(p) OVER (PARTITION BY note ORDER BY bin ROWS BETWEEN 3 FOLLOWING AND 10 FOLLOWING), []))) AS cells FROM p)",
+            "c AS (SELECT note, bin, p, list_sort(list_concat(coalesce(list(p) OVER (PARTITION BY note ORDER BY bin ROWS BETWEEN 66 PRECEDING AND 3 PRECEDING), []), coalesce(list(p) OVER (PARTITION BY note ORDER BY bin ROWS BETWEEN 3 FOLLOWING AND 66 FOLLOWING), []))) AS cells FROM p)",
             "k AS (SELECT note, bin, p, cells[1:greatest(1, CAST(floor(len(cells) * 0.75) AS BIGINT))] AS kept FROM c)",
             "t AS (SELECT note, bin, p, len(kept) * (pow(0.01, -1.0 / len(kept)) - 1) * list_sum(kept) / len(kept) AS threshold FROM k)",
         )
@@ -311,7 +311,7 @@ def noise_floor_rolling_percentile(spark: SparkSession, sf_dir: str) -> DataFram
     )
 )
 def cfar_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(persistence.cfar(spectrum(spark, sf_dir), train=8).select("note", "bin", "threshold", "margin_db", "detected"))
+    return rounded(persistence.cfar(spectrum(spark, sf_dir)).select("note", "bin", "threshold", "margin_db", "detected"))
 
 
 @query(
