@@ -1,13 +1,13 @@
-"""Queries of the forest of random splits, of cross-validated regression and of proximity density."""
+"""Queries of the forest of random splits, cross-validated regression, proximity density, fundamentals and peaks."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonagrid.operators import crossval, forest, proximity
+from sonagrid.operators import crossval, forest, fundamental, partials, proximity
 from sonagrid.plans.catalog import query
-from sonagrid.plans.inputs import METRICS, SPECTRUM, metrics, spectrum, with_ctes
+from sonagrid.plans.inputs import COMPONENTS, METRICS, SPECTRUM, components, metrics, spectrum, with_ctes
 from sonagrid.plans.rounding import rounded, rounded_sql
 
 _TREES, _SAMPLE, _LEVELS = 100, 256, 8
@@ -151,3 +151,86 @@ def proximity_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 def band_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four components of most weighted mass in each band."""
     return rounded(proximity.capped_masses(_with_f0(spark, sf_dir), hard=True))
+
+
+# Fundamentals -------------------------------------------------------------------------------------
+
+
+def _tones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of a second of every note's partials, each at its order's place, at 8 kHz."""
+    amps = F.aggregate("parts", F.array_repeat(F.lit(0.0), 7), lambda a, x: F.transform(a, lambda v, i: F.when(i + 1 == x["n"], v + x["amp"]).otherwise(v)))
+    notes = components(spark, sf_dir).groupBy("note").agg(F.max("f0_hz").alias("f0_hz"), F.collect_list(F.struct("n", "amp")).alias("parts"))
+    # Few bytes a note, much work: dealt over all shuffle partitions, which AQE would merge into one.
+    dealt = notes.select("note", "f0_hz", amps.alias("amps")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "note")
+    return fundamental.tones(dealt, "note", "f0_hz", "amps", 2000, 8000.0)
+
+
+@query()
+def fundamental_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every note's sound heard, its candidates corrected against the note's nominal fundamental; a Fourier transform has no SQL."""
+    tones = _tones(spark, sf_dir)
+    found = fundamental.candidates(tones, "note", "samples", "rate", 40.0, 2000.0)
+    nominal = components(spark, sf_dir).groupBy("note").agg(F.max("f0_hz").alias("prior"))
+    return rounded(fundamental.chosen(nominal.join(found, "note", "left"), "note", "prior"))
+
+
+_TRIED = (
+    "c AS (SELECT note, CAST(n AS INTEGER) AS place, peak_hz AS raw, f0_hz AS prior FROM components)",
+    "t AS (SELECT *, unnest([1.0::DOUBLE, 2, 3, 4, 5, 6, 1.0::DOUBLE / 2, 1.0::DOUBLE / 3, 1.0::DOUBLE / 4, 1.0::DOUBLE / 5, 1.0::DOUBLE / 6]) AS ratio FROM c)",
+    "b AS (SELECT note, max(prior) AS prior, min(abs(1200 * log2(raw / prior))) AS error_before, min(struct_pack(off_ := round(abs(1200 * log2(raw * ratio / prior)), 6), far := round(abs(log2(ratio)), 6), ratio := ratio, place := place, raw := raw)) AS best FROM t GROUP BY note)",
+)
+
+
+@query(
+    rounded_sql(
+        with_ctes(COMPONENTS, *_TRIED)
+        + "SELECT note, CASE WHEN best.off_ <= 50 THEN best.raw * best.ratio ELSE prior END AS f0_hz, CASE WHEN best.off_ <= 50 THEN best.raw END AS raw_hz, CASE WHEN best.off_ <= 50 THEN best.ratio END AS ratio, error_before, CASE WHEN best.off_ <= 50 THEN best.off_ END AS error_after, CASE WHEN best.off_ > 50 THEN 'prior' WHEN best.ratio = 1 THEN 'direct' ELSE 'corrected' END AS status FROM b",
+        "f0_hz raw_hz ratio error_before error_after",
+        "note status",
+    )
+)
+def fundamental_by_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partials as candidates: the one nearest to the nominal fundamental after division by its order."""
+    rows = components(spark, sf_dir).select("note", F.col("n").cast("int").alias("place"), F.col("peak_hz").alias("candidate_hz"), F.col("f0_hz").alias("prior"))
+    return rounded(fundamental.chosen(rows, "note", "prior"))
+
+
+# Peaks --------------------------------------------------------------------------------------------
+
+_R = 2 ** (60 / 1200) - 1
+_PEAKS = (
+    "y AS (SELECT note, bin, freq_hz, amp, log10(greatest(amp, 1e-12)) AS y FROM spectrum)",
+    "d AS (SELECT *, lag(y) OVER w AS l, lead(y) OVER w AS r FROM y WINDOW w AS (PARTITION BY note ORDER BY bin))",
+    "u AS (SELECT d.* FROM d JOIN (SELECT note, quantile_cont(amp, 0.1) AS floor_ FROM spectrum GROUP BY note) USING (note) WHERE y > l AND y >= r AND amp >= floor_ * pow(10, 3 / 20.0::DOUBLE))",
+    "x AS (SELECT *, max(struct_pack(amp := amp, b := -bin)) OVER (PARTITION BY note ORDER BY bin RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS top FROM u)",
+    "z AS (SELECT *, CASE WHEN abs(l - 2 * y + r) > 2e-10 THEN greatest(least(0.5 * (l - r) / (l - 2 * y + r), 1), -1) ELSE 0 END AS shift FROM x WHERE top.b = -bin)",
+    "peaks AS (SELECT note, bin, freq_hz + shift * 100 AS freq_hz, pow(10, y - 0.25 * (l - r) * shift) AS amp FROM z)",
+    "w AS (SELECT note, bin, freq_hz, amp, 170.0::DOUBLE + note % 300 AS f0, unnest(range(1, 41)) AS n FROM peaks)",
+    f"i AS (SELECT note, list(struct_pack(n := n, off_ := round(abs(freq_hz - n * f0), 9), bin := bin, freq_hz := freq_hz, amp := amp) ORDER BY n, round(abs(freq_hz - n * f0), 9), bin) AS found FROM w WHERE abs(freq_hz - n * f0) <= n * f0 * {_R!r} GROUP BY note)",
+    "f AS (SELECT note, list_reduce(list_prepend([found[1]][1:0], list_transform(found, lambda x: [x])), lambda a, x: CASE WHEN len(a) = 0 THEN x WHEN x[1].n > a[-1].n AND NOT list_contains(list_transform(a, lambda e: e.bin), x[1].bin) THEN list_concat(a, x) ELSE a END) AS taken FROM i)",
+    "partials AS (SELECT note, x.n AS n, x.bin AS bin, x.freq_hz AS freq_hz, x.amp AS amp, x.off_ AS off_hz FROM (SELECT note, unnest(taken) AS x FROM f))",
+)
+
+
+def _partials(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    bins = spectrum(spark, sf_dir)
+    peaks = partials.spectral_peaks(bins)
+    return peaks, partials.harmonic_partials(peaks, bins.select("note", (170.0 + F.col("note") % 300).alias("f0_hz")).distinct(), 60.0)
+
+
+@query(rounded_sql(with_ctes(SPECTRUM, *_PEAKS) + "SELECT note, n, bin, freq_hz, amp, off_hz FROM partials", "freq_hz amp off_hz", "note n bin"))
+def peak_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks of 64 bins of 100 Hz within 60 cents of the orders of fundamentals from 170 to 469 Hz."""
+    return rounded(_partials(spark, sf_dir)[1])
+
+
+@query(
+    rounded_sql(
+        with_ctes(SPECTRUM, *_PEAKS, "e AS (SELECT p.note, p.amp * p.amp AS e, h.n, CASE WHEN h.n IS NOT NULL THEN 'h' WHEN p.freq_hz < 300 THEN 'low' ELSE 'other' END AS kind FROM peaks p LEFT JOIN partials h ON h.note = p.note AND h.bin = p.bin)")
+        + "SELECT note, count(*) AS peaks, count(n) AS partials, coalesce(sum(e) FILTER (kind = 'h'), 0) / sum(e) AS harmonic_share, coalesce(sum(e) FILTER (kind = 'low'), 0) / sum(e) AS low_share, coalesce(sum(e) FILTER (kind = 'other'), 0) / sum(e) AS other_share FROM e GROUP BY note",
+        "harmonic_share low_share other_share",
+        "note peaks partials",
+    )
+)
+def peak_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(partials.peak_energy(*_partials(spark, sf_dir), 300.0))
