@@ -28,7 +28,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 def _load() -> None:
     """The modules that register the queries; they import this one."""
-    for name in ("density", "classification", "pairs", "tables", "metrics", "scalars", "composites", "signal", "streams", "policies", "regions", "models", "learning"):
+    for name in ("density", "classification", "pairs", "tables", "metrics", "scalars", "composites", "signal", "streams", "policies", "regions", "models", "learning", "governance"):
         import_module(f"sonagrid.plans.{name}")
 
 

@@ -161,7 +161,7 @@ def _tones(spark: SparkSession, sf_dir: str) -> DataFrame:
     amps = F.aggregate("parts", F.array_repeat(F.lit(0.0), 7), lambda a, x: F.transform(a, lambda v, i: F.when(i + 1 == x["n"], v + x["amp"]).otherwise(v)))
     notes = components(spark, sf_dir).groupBy("note").agg(F.max("f0_hz").alias("f0_hz"), F.collect_list(F.struct("n", "amp")).alias("parts"))
     # Few bytes a note, much work: dealt over all shuffle partitions, which AQE would merge into one.
-    dealt = notes.select("note", "f0_hz", amps.alias("amps")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "note")
+    dealt = notes.select("note", "f0_hz", amps.alias("amps")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("note"))
     return fundamental.tones(dealt, "note", "f0_hz", "amps", 2000, 8000.0)
 
 

@@ -231,8 +231,7 @@ _OBS = """obs AS (SELECT l_suppkey AS k, row_number() OVER (PARTITION BY l_suppk
 _KL = " + ".join(f"0.5 * (CASE WHEN p{i} > 0 AND (p{i} + o{i}) > 0 THEN p{i} * ln(p{i} / ((p{i} + o{i}) / 2)) ELSE 0 END + CASE WHEN o{i} > 0 THEN o{i} * ln(o{i} / ((p{i} + o{i}) / 2)) ELSE 0 END)" for i in (1, 2, 3))
 
 
-@query(
-    f"""WITH RECURSIVE {_OBS},
+FOLDED = f"""WITH RECURSIVE {_OBS},
 f AS (SELECT k, CAST(0 AS BIGINT) AS t, 8.0::DOUBLE / 3 AS a1, 8.0::DOUBLE / 3 AS a2, 8.0::DOUBLE / 3 AS a3 FROM (SELECT DISTINCT k FROM obs)
   UNION ALL
   SELECT k, t, 0.98 * a1 + g * o1, 0.98 * a2 + g * o2, 0.98 * a3 + g * o3 FROM (
@@ -240,7 +239,9 @@ f AS (SELECT k, CAST(0 AS BIGINT) AS t, 8.0::DOUBLE / 3 AS a1, 8.0::DOUBLE / 3 A
       SELECT f.k, obs.t, a1, a2, a3, o1, o2, o3, evidence, a1 / (a1 + a2 + a3) AS p1, a2 / (a1 + a2 + a3) AS p2, a3 / (a1 + a2 + a3) AS p3 FROM f JOIN obs ON obs.k = f.k AND obs.t = f.t + 1))),
 e AS (SELECT k, max(t) AS t FROM f GROUP BY k)
 SELECT f.k, f.t AS observations, round(a1, 6) AS a1, round(a2, 6) AS a2, round(a3, 6) AS a3 FROM f JOIN e ON e.k = f.k AND e.t = f.t"""
-)
+
+
+@query(FOLDED)
 def adaptive_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, n = F.col("l_quantity"), F.col("l_linenumber")
     rows = table(spark, sf_dir, "lineitem").select(

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonagrid.plans.catalog import query
 from sonagrid.plans.inputs import table
-from sonagrid.streaming import profiles
+from sonagrid.streaming import profiles, sinks
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,13 +15,8 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir.rstrip("/")).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _finished(stream: DataFrame, mode: str) -> DataFrame:
-    name = f"stream_{uuid.uuid4().hex}"
-    running = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return stream.sparkSession.table(name)
-
-
 @query("SELECT event_type, to_timestamp((CAST(floor(epoch(ts) / 3600) AS BIGINT) - i) * 3600)::TIMESTAMP AS started, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS i) GROUP BY ALL")
 def stream_hopped_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _finished(profiles.activity(_events(spark, sf_dir), "ts", "event_type", "2 hours", "1 hour", "60 days"), "complete")
+    folder = sinks.new_folder(spark)
+    sinks.start(profiles.activity(_events(spark, sf_dir), "ts", "event_type", "2 hours", "1 hour", "60 days"), folder, "complete").awaitTermination()
+    return sinks.last_batch(spark, folder)

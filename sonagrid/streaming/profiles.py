@@ -36,7 +36,7 @@ def step(alpha: tuple[float, float, float], o: tuple[float, float, float], evide
     return tuple((1 - FORGET) * a + gain * x for a, x in zip(alpha, o, strict=True))
 
 
-def adaptive_profile(observations: DataFrame, key: str, order: str) -> DataFrame:
+def adaptive_profile(observations: DataFrame, key: str, order: str | list[str]) -> DataFrame:
     """Running profile per key: the state after each micro-batch. Observations: key, order, o1, o2, o3, evidence."""
     kind = observations.schema[key].dataType.simpleString()
 
