@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonagrid.llm.columns import carried, restored
-from sonagrid.llm.textarrays import ALNUM, LOWER, Block, blocks, gram_hashes, lookup, span_hashes, words
+from sonagrid.llm.textarrays import ALNUM, Block, LOWER, blocks, gram_hashes, lookup, released, span_hashes, words
 
 SHINGLE = 4
 #: Windows of one broadcast block: about 60 MB at 13 words each.
@@ -199,7 +199,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_windows:
         counting = spark.sparkContext.broadcast(own)
         counted = docs.select("text").mapInArrow(_count(counting), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
         seen = {r.shingle: r.n for r in counted.collect()} if len(own.keys) else {}  # at most one row a shingle of this block
-        rows = rows.mapInArrow(_mark(spark.sparkContext.broadcast(own.order(seen)), i == 0), schema)
+        rows = rows.mapInArrow(released(_mark(spark.sparkContext.broadcast(own.order(seen)), i == 0)), schema)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
     return rows.withColumn("n_hit", hit).select(*[c for c in docs.columns if c not in (*_NEW, "n_hit")], *_NEW, "n_hit")
 

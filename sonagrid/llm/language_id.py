@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from sonagrid.llm import storage
 from sonagrid.llm.columns import carried, restored
 from sonagrid.llm.sampling import distinct_texts
-from sonagrid.llm.textarrays import Block, blocks, mix, parts
+from sonagrid.llm.textarrays import Block, blocks, mix, parts, released
 
 UNDETERMINED = "und"
 GRAMS = (3, 5)  # bytes
@@ -118,7 +118,7 @@ def train(labelled: DataFrame, sample_docs: int = 1500, slots: int = 1 << 20, ha
     spark = labelled.sparkSession
     code = spark.createDataFrame(list(zip(languages, range(len(languages)), strict=True)), "lang string, code long")  # one row a language
     picked = distinct_texts(rows, "lang", sample_docs, True).join(F.broadcast(code), "lang")
-    counts = storage.written(picked.select("code", "text").mapInArrow(_count_grams, "code long, gram long, n long").groupBy("gram", "code").agg(F.sum("n").alias("n")), "grams")
+    counts = storage.written(picked.select("code", "text").mapInArrow(released(_count_grams), "code long, gram long, n long").groupBy("gram", "code").agg(F.sum("n").alias("n")), "grams")
     totals = counts.groupBy("code").agg(F.sum("n").cast("double").alias("total"))
     rated = counts.join(F.broadcast(totals), "code").withColumn("rate", F.col("n") / F.col("total"))
     best = F.max("rate").over(Window.partitionBy("gram"))
@@ -188,4 +188,4 @@ def identify(docs: DataFrame, f: Filter) -> DataFrame:
     columns = [c for c in docs.columns if c not in _NEW]
     given = docs.select("text", letter.alias("letter"), carried(docs.drop(*_NEW), "text").alias("rest"))
     schema = T.StructType([given.schema["text"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.DoubleType()), given.schema["rest"]])
-    return given.mapInArrow(rows, schema).select(*restored(columns, "rest", "text"), *_NEW)
+    return given.mapInArrow(released(rows), schema).select(*restored(columns, "rest", "text"), *_NEW)

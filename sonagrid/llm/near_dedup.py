@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from sonagrid.llm import storage
 from sonagrid.llm.columns import carried, restored
-from sonagrid.llm.textarrays import NOT_BLANK, Block, blocks, gram_hashes, lookup, mix, span_hashes, words
+from sonagrid.llm.textarrays import Block, NOT_BLANK, blocks, gram_hashes, lookup, mix, released, span_hashes, words
 
 #: Tables of so many rows of one or two numbers are broadcast; longer ones are shuffled.
 BROADCAST_ROWS = 500_000
@@ -410,7 +410,7 @@ def _classes(nodes: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
 
     def verified(pairs: DataFrame) -> DataFrame:
         ends = [texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab"]
-        return storage.written(pairs.join(ends[1], "b").join(ends[0], "a").select("a", "b", "text_a", "text_b").mapInArrow(_verify(s), _LINK), "links")
+        return storage.written(pairs.join(ends[1], "b").join(ends[0], "a").select("a", "b", "text_a", "text_b").mapInArrow(released(_verify(s)), _LINK), "links")
 
     # A node meets the leader of its largest bucket, then one leader of each other component that leads one of its buckets.
     others = members.filter("node <> leader")
@@ -468,7 +468,7 @@ def classed(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame
     with storage.scratch() as tables:
         inner = docs.select("text", carried(docs, "text").alias("rest"))
         schema = T.StructType([inner.schema["text"], *(T.StructField(c, T.LongType()) for c in ("h1", "h2")), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("size", T.LongType()), inner.schema["rest"]])
-        rows = storage.written(inner.mapInArrow(_sketch(settings), schema).withColumn("row", F.monotonically_increasing_id()), "sketches")
+        rows = storage.written(inner.mapInArrow(released(_sketch(settings)), schema).withColumn("row", F.monotonically_increasing_id()), "sketches")
         # A null text is a node of its own: its row stands in for the hashes.
         key = [F.when(F.col("text").isNull(), F.col("row")).otherwise(F.col("h1")).alias("h1"), F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("h2")).alias("h2")]
         ids = rows.select(*key, "row", F.col("rest")["doc_id"].cast("long").alias("doc_id"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from sonagrid.llm.pretokens import Pretokenizer, new_spans
-from sonagrid.llm.textarrays import blocks, lookup
+from sonagrid.llm.textarrays import blocks, lookup, released
 
 
 class Limits(NamedTuple):
@@ -226,7 +226,7 @@ def _pack(rows: DataFrame, encoded, limits: Limits, with_ids: bool) -> DataFrame
             take(packer.finish())
             yield batch()
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), end_id: int = 1, with_ids: bool = False) -> DataFrame:

@@ -7,7 +7,9 @@ size of an Arrow batch; a single longer text makes a longer block.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -150,6 +152,27 @@ def lookup(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system, as far as the allocators can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def released(task: Callable) -> Callable:
+    """A task over batches that gives its memory back at its end: Spark uses the same worker for later stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def strings(block: Block, start: np.ndarray, end: np.ndarray) -> list[str]:
     """The texts of byte spans."""
     raw = block.data.tobytes()
