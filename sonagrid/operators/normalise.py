@@ -89,23 +89,29 @@ def value_ranges(rows: DataFrame, value: str, name: str, ranges: int = 1000) ->
     return rows.withColumn(name, F.aggregate(steps, F.lit(0), lambda n, step: F.when(below(n, step), n + step).otherwise(n)))
 
 
+def ranked_values(cells: DataFrame, value: str, name: str = "rank") -> DataFrame:
+    """(value, its average rank from 1, its count ``_n``) of every distinct value, null left out; no task orders all of them."""
+    counts = cells.groupBy(value).agg(F.count("*").alias("_n"))
+    ranged = value_ranges(counts.filter(F.col(value).isNotNull()), value, "_range")
+    sums = ranged.groupBy("_range").agg(F.sum("_n").alias("_sum"))
+    start = F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # one row a range
+    starts = sums.select("_range", F.coalesce(start, F.lit(0)).alias("_start"))
+    upto = F.sum("_n").over(Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("_upto", upto).join(F.broadcast(starts), "_range").select(value, (F.col("_start") + F.col("_upto") - (F.col("_n") - 1) / 2).alias(name), "_n")
+
+
 def average_ranks(cells: DataFrame, keys: list[str], value: str, name: str = "rank") -> DataFrame:
     """Ranks from 1 with ties averaged, by distinct value: counts are summed before anything is ordered.
 
     Without keys the distinct values are cut into ranges; a running sum within each range starts
     from the counts of the ranges below it (one row a range), so no task orders all values.
     """
-    counts = cells.groupBy(*keys, value).agg(F.count("*").alias("_n"))
     if keys:
+        counts = cells.groupBy(*keys, value).agg(F.count("*").alias("_n"))
         upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
         ranked = counts.withColumn(name, upto - (F.col("_n") - 1) / 2).drop("_n")
     else:
-        ranged = value_ranges(counts.filter(F.col(value).isNotNull()), value, "_range")
-        sums = ranged.groupBy("_range").agg(F.sum("_n").alias("_sum"))
-        start = F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # one row a range
-        starts = sums.select("_range", F.coalesce(start, F.lit(0)).alias("_start"))
-        upto = F.sum("_n").over(Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-        ranked = ranged.withColumn("_upto", upto).join(F.broadcast(starts), "_range").select(value, (F.col("_start") + F.col("_upto") - (F.col("_n") - 1) / 2).alias(name))
+        ranked = ranked_values(cells, value, name).drop("_n")
     return cells.join(ranked, [*keys, value])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonagrid.operators import crossval, forest, fundamental, partials, proximity
+from sonagrid.operators import crossval, forest, fundamental, normality, partials, proximity
 from sonagrid.plans.catalog import query
 from sonagrid.plans.inputs import COMPONENTS, METRICS, SPECTRUM, components, metrics, spectrum, with_ctes
 from sonagrid.plans.rounding import rounded, rounded_sql
@@ -234,3 +234,46 @@ def peak_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def peak_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(partials.peak_energy(*_partials(spark, sf_dir), 300.0))
+
+
+# Normality ----------------------------------------------------------------------------------------
+
+
+def _tail_sql(z: str) -> str:
+    series, fraction = "1", z
+    for k in range(normality.SERIES, 0, -1):
+        series = f"(1 + {z} * {z} / {2 * k + 1} * {series})"
+    for k in range(normality.FRACTION, 0, -1):
+        fraction = f"({z} + {k} / {fraction})"
+    return f"CASE WHEN {z} < 2 THEN ln(0.5::DOUBLE - exp(-{z} * {z} / 2) / sqrt(2 * pi()) * {z} * {series}) ELSE -{z} * {z} / 2 - ln(2 * pi()) / 2 - ln({fraction}) END"
+
+
+_NORMAL = (
+    "c AS (SELECT unnest(['m1', 'm2', 'm3']) AS metric, unnest([m1, m2, m3]) AS v FROM metrics)",
+    "s AS (SELECT metric, count(*)::DOUBLE AS n, avg(v) AS m, stddev_samp(v) AS sd FROM c WHERE v IS NOT NULL GROUP BY metric)",
+    "g AS (SELECT metric, any_value(n) AS n, avg(pow(v - m, 3)) / pow(avg(pow(v - m, 2)), 1.5) AS g1, avg(pow(v - m, 4)) / pow(avg(pow(v - m, 2)), 2) AS b2 FROM c JOIN s USING (metric) WHERE v IS NOT NULL GROUP BY metric)",
+    "o AS (SELECT metric, n, (v - m) / sd AS z, abs((v - m) / sd) AS a, row_number() OVER (PARTITION BY metric ORDER BY v)::DOUBLE AS i FROM c JOIN s USING (metric) WHERE v IS NOT NULL)",
+    f"t AS (SELECT *, {_tail_sql('a')} AS tail FROM o)",
+    "u AS (SELECT metric, n, i, CASE WHEN z < 0 THEN tail ELSE ln(1 - exp(tail)) END AS below, CASE WHEN z < 0 THEN ln(1 - exp(tail)) ELSE tail END AS above FROM t)",
+    "a AS (SELECT metric, (-n - sum((2 * i - 1) * below + (2 * (n - i) + 1) * above) / n) * (1 + 0.75 / n + 2.25 / (n * n)) AS a2 FROM u GROUP BY metric, n)",
+    "k0 AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, sqrt(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) - 1 AS w2, (b2 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS x, 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS r FROM g)",
+    "k1 AS (SELECT *, 6 + 8 / r * (2 / r + sqrt(1 + 4 / (r * r))) AS b FROM k0)",
+    "k2 AS (SELECT metric, n, ln(y / sqrt(2 / (w2 - 1)) + sqrt(y * y * (w2 - 1) / 2 + 1)) / sqrt(ln(w2) / 2) AS skew_z, (1 - 2 / (9 * b) - sign(1 + x * sqrt(2 / (b - 4))) * cbrt((1 - 2 / b) / abs(1 + x * sqrt(2 / (b - 4))))) / sqrt(2 / (9 * b)) AS kurtosis_z FROM k1)",
+)
+
+
+@query(
+    rounded_sql(
+        with_ctes(METRICS, *_NORMAL)
+        + "SELECT metric, CAST(n AS BIGINT) AS n, skew_z, kurtosis_z, skew_z * skew_z + kurtosis_z * kurtosis_z AS k2, exp(-(skew_z * skew_z + kurtosis_z * kurtosis_z) / 2) AS k2_p, a2, CASE WHEN a2 >= 0.6 THEN exp(1.2937 - 5.709 * a2 + 0.0186 * a2 * a2) WHEN a2 >= 0.34 THEN exp(0.9177 - 4.279 * a2 - 1.38 * a2 * a2) WHEN a2 >= 0.2 THEN 1 - exp(-8.318 + 42.796 * a2 - 59.938 * a2 * a2) ELSE 1 - exp(-13.436 + 101.14 * a2 - 223.73 * a2 * a2) END AS a2_p FROM k2 JOIN a USING (metric)",
+        "skew_z kurtosis_z k2 k2_p a2 a2_p",
+        "metric n",
+        digits=5,
+    )
+)
+def normality_order_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, out = metrics(spark, sf_dir), None
+    for m in ("m1", "m2", "m3"):
+        one = normality.normality_tests(rows, m).select(F.lit(m).alias("metric"), "*")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, 5)
