@@ -83,6 +83,13 @@ def fragile(relative_width: Column, spread: Column, width_limit: float = 25.0, s
     return F.coalesce(relative_width > width_limit, F.lit(False)) | F.coalesce(spread > spread_limit, F.lit(False))
 
 
-def quality_grade(score: Column) -> Column:
-    """Right-closed grades of a 0-100 score."""
-    return F.when(score <= 59.999, "reject").when(score <= 74.999, "diagnostic").when(score <= 84.999, "usable_with_caution").when(score <= 92.999, "good").when(score.isNotNull(), "strong")
+# The domain's grades and the scores up to which each reaches (the last has no end).
+QUALITY_GRADES = ((59.999, "reject"), (74.999, "diagnostic"), (84.999, "usable_with_caution"), (92.999, "good"), (None, "strong"))
+
+
+def quality_grade(score: Column, grades: tuple[tuple[float | None, str], ...] = QUALITY_GRADES) -> Column:
+    """The first grade whose end a score does not pass; null for a null score. The last grade has no end."""
+    out = F.when(score.isNotNull(), grades[-1][1])
+    for end, grade in reversed(grades[:-1]):
+        out = F.when(score <= end, grade).otherwise(out)
+    return out

@@ -217,5 +217,6 @@ def component_density(components: DataFrame, fraction: float = 1.0) -> DataFrame
         F.sum("e").alias("energy"),
         F.concat_ws(",", *unused).alias("missing"),
     )
+    # The status words of the domain's tables.
     status = F.when(F.col("acd").isNull(), "no_usable_compartment").when(F.col("missing") != "", F.concat(F.lit("ok_with_unused:"), "missing")).otherwise("ok")
     return out.select("note", "acd", "acd_d2", F.try_divide("energy", "acd").alias("magnitude"), status.alias("status"))
