@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sonagrid.functions import phi as weights
 from sonagrid.functions.guards import clip
+from sonagrid.operators import quantiles
 from sonagrid.operators.density import compartment_scores
 from sonagrid.operators.statistics import spearman
 
@@ -84,7 +85,7 @@ def phi_stability(components: DataFrame, names: tuple[str, ...] = ("linear", "sq
 
 def isolation(rows: DataFrame, value: str, label: str, quantile_step: float = 0.01) -> DataFrame:
     """A histogram isolation score: -log10 of the share of rows in a value's bin, bins between two fences."""
-    stats = rows.agg(F.percentile(value, quantile_step).alias("_lo"), F.percentile(value, 1 - quantile_step).alias("_hi"))
+    stats = quantiles.exact(rows, [], value, {"_lo": quantile_step, "_hi": 1 - quantile_step})
     width = (F.col("_hi") - F.col("_lo")) / 50
     marked = rows.crossJoin(F.broadcast(stats)).withColumn("bin", F.when(width > 0, F.floor((F.col(value) - F.col("_lo")) / width)))
     sizes = marked.groupBy("bin").agg(F.count("*").alias("_n"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonagrid.operators import quantiles
+
 
 def _with_stats(rows: DataFrame, **stats: Column) -> DataFrame:
     """Every row with corpus-wide statistics beside it (a single row, so broadcast)."""
@@ -39,15 +41,15 @@ def z_scores(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 
 def robust_z(rows: DataFrame, value: str) -> DataFrame:
-    """0.6745 (x - median) / MAD, in two aggregations; null if the MAD is 0."""
-    out = _with_stats(rows, _median=F.percentile(value, 0.5)).withColumn("_dev", F.abs(F.col(value) - F.col("_median")))
-    out = _with_stats(out, _mad=F.percentile("_dev", 0.5))
+    """0.6745 (x - median) / MAD, two exact medians; null if the MAD is 0."""
+    out = quantiles.with_exact(rows, rows, [], value, {"_median": 0.5}).withColumn("_dev", F.abs(F.col(value) - F.col("_median")))
+    out = quantiles.with_exact(out, out, [], "_dev", {"_mad": 0.5})
     return out.withColumn("robust_z", F.when(F.col("_mad") > 0, 0.6745 * (F.col(value) - F.col("_median")) / F.col("_mad"))).drop("_median", "_dev", "_mad")
 
 
 def clipped_range(rows: DataFrame, value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Position between two percentiles, clipped to 0..1."""
-    out = _with_stats(rows, _lo=F.percentile(value, low), _hi=F.percentile(value, high))
+    out = quantiles.with_exact(rows, rows, [], value, {"_lo": low, "_hi": high})
     x = (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     return out.withColumn("scaled", F.when((F.col("_hi") > F.col("_lo")) & F.col(value).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))).drop("_lo", "_hi")
 
@@ -60,7 +62,8 @@ def log_range(rows: DataFrame, value: str, epsilon: float = 1e-12) -> DataFrame:
 
 def fences(cells: DataFrame, keys: list[str], value: str, multiplier: float = 1.5) -> DataFrame:
     """q1, q3 and fences per key, for keys with four values and a positive range."""
-    q = cells.groupBy(*keys).agg(F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.75).alias("q3"), F.count(value).alias("_n"))
+    sizes = cells.groupBy(*keys).agg(F.count(value).alias("_n"))
+    q = quantiles.with_exact(sizes, cells, keys, value, {"q1": 0.25, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
     return q.filter((F.col("_n") >= 4) & (iqr > 0)).select(*keys, "q1", "q3", (F.col("q1") - multiplier * iqr).alias("low"), (F.col("q3") + multiplier * iqr).alias("high"))
 
@@ -74,45 +77,9 @@ def outliers(cells: DataFrame, keys: list[str], value: str, label: str, most: in
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select(*keys, label, value, "rank")
 
 
-def value_ranges(rows: DataFrame, value: str, name: str, ranges: int = 1000) -> DataFrame:
-    """``rows`` with the number of the range that holds ``value``: about equal ranges, cut at approximate quantiles.
-
-    One aggregation finds the cuts, of which ``ranges`` at most come to the driver.
-    """
-    at = [i / ranges for i in range(1, ranges)]
-    cuts = sorted(set(rows.agg(F.percentile_approx(value, at, 10 * ranges)).first()[0] or []))
-    if not cuts:
-        return rows.withColumn(name, F.lit(0))
-    table = F.split(F.lit(",".join(map(repr, cuts))), ",").cast("array<double>")
-    steps = F.array(*(F.lit(1 << x) for x in reversed(range(len(cuts).bit_length()))))
-    below = lambda n, step: (n + step <= len(cuts)) & (F.get(table, n + step - 1) <= F.col(value))
-    return rows.withColumn(name, F.aggregate(steps, F.lit(0), lambda n, step: F.when(below(n, step), n + step).otherwise(n)))
-
-
-def ranked_values(cells: DataFrame, value: str, name: str = "rank") -> DataFrame:
-    """(value, its average rank from 1, its count ``_n``) of every distinct value, null left out; no task orders all of them."""
-    counts = cells.groupBy(value).agg(F.count("*").alias("_n"))
-    ranged = value_ranges(counts.filter(F.col(value).isNotNull()), value, "_range")
-    sums = ranged.groupBy("_range").agg(F.sum("_n").alias("_sum"))
-    start = F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # one row a range
-    starts = sums.select("_range", F.coalesce(start, F.lit(0)).alias("_start"))
-    upto = F.sum("_n").over(Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.withColumn("_upto", upto).join(F.broadcast(starts), "_range").select(value, (F.col("_start") + F.col("_upto") - (F.col("_n") - 1) / 2).alias(name), "_n")
-
-
 def average_ranks(cells: DataFrame, keys: list[str], value: str, name: str = "rank") -> DataFrame:
-    """Ranks from 1 with ties averaged, by distinct value: counts are summed before anything is ordered.
-
-    Without keys the distinct values are cut into ranges; a running sum within each range starts
-    from the counts of the ranges below it (one row a range), so no task orders all values.
-    """
-    if keys:
-        counts = cells.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-        upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-        ranked = counts.withColumn(name, upto - (F.col("_n") - 1) / 2).drop("_n")
-    else:
-        ranked = ranked_values(cells, value, name).drop("_n")
-    return cells.join(ranked, [*keys, value])
+    """Ranks from 1 with ties averaged, by distinct value: see :func:`quantiles.ranks`."""
+    return cells.join(quantiles.ranks(cells, keys, value, name).drop("_n"), [*keys, value])
 
 
 def extremes(rows: DataFrame, value: str, label: str, k: int = 5) -> DataFrame:

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonagrid.operators.normalise import ranked_values
+from sonagrid.operators import quantiles
 
 #: Below this the tail is a half less a series, beyond it a continued fraction; lengths of both.
 JOINT, SERIES, FRACTION = 2.0, 30, 60
@@ -66,7 +66,7 @@ def normality_tests(cells: DataFrame, value: str, least: int = 20) -> DataFrame:
     use = (F.col("n") >= least) & (F.col("sd") > 0)
     z = (F.col("v") - F.col("mean")) / F.col("sd")
     tail = log_upper_tail(F.col("size"))
-    placed = ranked_values(good, "v").crossJoin(F.broadcast(stats)).filter(use).withColumn("z", z).withColumn("size", F.abs("z")).withColumn("tail", tail)  # one row of statistics
+    placed = quantiles.ranks(good, [], "v").crossJoin(F.broadcast(stats)).filter(use).withColumn("z", z).withColumn("size", F.abs("z")).withColumn("tail", tail)  # one row of statistics
     body = F.log1p(-F.exp("tail"))
     below, above = F.when(F.col("z") < 0, F.col("tail")).otherwise(body), F.when(F.col("z") < 0, body).otherwise(F.col("tail"))
     part = F.col("_n") * ((2 * F.col("rank") - 1) * below + (2 * (F.col("n") - F.col("rank")) + 1) * above)

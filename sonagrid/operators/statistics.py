@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonagrid.operators import quantiles
 from sonagrid.operators.normalise import average_ranks
 
 
@@ -40,21 +41,24 @@ def describe(rows: DataFrame, metrics: list[str], group: str) -> DataFrame:
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
-        *[F.percentile("value", q).alias(n) for q, n in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))],
         F.max("value").alias("max"),
     )
+    both = F.explode(F.array(F.struct(F.lit(1).cast("byte").alias("_all"), F.lit(None).cast(cells.schema[group].dataType).alias("_g")), F.struct(F.lit(0).cast("byte").alias("_all"), F.col(group).alias("_g"))))
+    twice = cells.select("metric", "value", both.alias("x")).select("metric", "value", "x._all", F.col("x._g").alias(group))
+    sets = quantiles.with_exact(sets, twice, ["metric", "_all", group], "value", {"q25": 0.25, "median": 0.5, "q75": 0.75})
     return sets.withColumn("scope", F.when(F.col("_all") == 1, "ALL").otherwise(F.coalesce(F.col(group), F.lit("(none)")))).drop("_all", group)
 
 
 def shape(cells: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Range, interquartile range, coefficient of variation, G1 and G2 per key."""
-    return cells.groupBy(*keys).agg(
+    out = cells.groupBy(*keys).agg(
         (F.max(value) - F.min(value)).alias("range"),
-        (F.percentile(value, 0.75) - F.percentile(value, 0.25)).alias("iqr"),
         F.try_divide(F.stddev_samp(value), F.avg(value)).alias("cv"),
         sample_skewness(value).alias("g1"),
         sample_kurtosis(value).alias("g2"),
     )
+    out = quantiles.with_exact(out, cells, keys, value, {"_q1": 0.25, "_q3": 0.75})
+    return out.select(*keys, "range", (F.col("_q3") - F.col("_q1")).alias("iqr"), "cv", "g1", "g2")
 
 
 def correlations(rows: DataFrame, metrics: list[str], least: int = 3) -> DataFrame:
