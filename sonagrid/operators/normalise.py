@@ -41,10 +41,13 @@ def z_scores(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 
 def robust_z(rows: DataFrame, value: str) -> DataFrame:
-    """0.6745 (x - median) / MAD, two exact medians; null if the MAD is 0."""
-    out = quantiles.with_exact(rows, rows, [], value, {"_median": 0.5}).withColumn("_dev", F.abs(F.col(value) - F.col("_median")))
-    out = quantiles.with_exact(out, out, [], "_dev", {"_mad": 0.5})
-    return out.withColumn("robust_z", F.when(F.col("_mad") > 0, 0.6745 * (F.col(value) - F.col("_median")) / F.col("_mad"))).drop("_median", "_dev", "_mad")
+    """0.6745 (x - median) / MAD, two exact medians over counts of distinct values; null if the MAD is 0."""
+    counts = quantiles.distinct_counts(rows.select(F.col(value).alias("_v")), [], "_v")
+    middle = quantiles.exact_of_counts(counts, [], "_v", {"_median": 0.5})
+    away = counts.crossJoin(F.broadcast(middle)).groupBy(F.abs(F.col("_v") - F.col("_median")).alias("_dev")).agg(F.sum("_n").alias("_n"))
+    spread = quantiles.exact_of_counts(away, [], "_dev", {"_mad": 0.5})
+    out = rows.crossJoin(F.broadcast(middle.crossJoin(F.broadcast(spread))))  # one row
+    return out.withColumn("robust_z", F.when(F.col("_mad") > 0, 0.6745 * (F.col(value) - F.col("_median")) / F.col("_mad"))).drop("_median", "_mad")
 
 
 def clipped_range(rows: DataFrame, value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:

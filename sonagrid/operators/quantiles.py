@@ -26,10 +26,12 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
 def ranged(counts: DataFrame, value: str, ranges: int = RANGES) -> DataFrame:
     """``counts`` (a row a distinct value) with ``_range``, the number of cuts not above the value.
 
-    Equal values always share a range and ranges ascend with the values.
+    Equal values always share a range and ranges ascend with the values. The cuts read ``_n`` too (it is
+    never 0), so that they need the same columns as the rest and Spark shuffles the counts once.
     """
-    at = [i / ranges for i in range(1, ranges)]
-    cuts = counts.agg(F.array_distinct(F.coalesce(F.percentile_approx(value, at, 10 * ranges), F.array().cast("array<double>"))).alias("_cuts"))
+    at, quoted = ", ".join(f"{i / ranges!r}D" for i in range(1, ranges)), value.replace("`", "``")
+    found = F.expr(f"percentile_approx(CASE WHEN _n > 0 THEN `{quoted}` END, array({at}), {10 * ranges})")  # as text: a call a share is slow
+    cuts = counts.agg(F.array_distinct(F.coalesce(found, F.array().cast("array<double>"))).alias("_cuts"))
     size = F.size("_cuts")
     steps = F.array(*(F.lit(1 << x) for x in reversed(range(ranges.bit_length()))))
     below = lambda n, step: (n + step <= size) & (F.get("_cuts", n + step - 1) <= F.col(value))
@@ -57,7 +59,12 @@ def exact(cells: DataFrame, keys: list[str], value: str, of: dict[str, float], r
     Null and NaN don't count; a key without values has no row (without keys: one row of nulls).
     Null keys are a key. Equal to ``percentile``, which holds all distinct values of a key at once.
     """
-    counts = ranged(distinct_counts(cells, keys, value), value, ranges)
+    return exact_of_counts(distinct_counts(cells, keys, value), keys, value, of, ranges)
+
+
+def exact_of_counts(counts: DataFrame, keys: list[str], value: str, of: dict[str, float], ranges: int = RANGES) -> DataFrame:
+    """:func:`exact` of values that are counted already (keys, value, ``_n``)."""
+    counts = ranged(counts, value, ranges)
     starts = _starts(counts, keys)
     place = {n: F.lit(float(q)) * (F.col("_rows") - 1) for n, q in of.items()}
     inside = lambda rank, first, size: (rank >= first) & (rank < first + size)
