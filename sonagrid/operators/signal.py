@@ -6,6 +6,7 @@ batches of rows (one row a note or file); rows are independent.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,32 @@ def power_spectrum(samples: np.ndarray, n_fft: int, hop: int, name: str = "hann"
     return np.mean(np.abs(np.fft.rfft(frames * window(name, n_fft), axis=1)) ** 2, axis=0)
 
 
+def resampled(samples: np.ndarray, rate: int, to: int, reach: int = 32, cells: int = 1 << 20) -> np.ndarray:
+    """Samples at another rate by a windowed sinc that reaches ``reach`` zero crossings to each side.
+
+    The kernel's cut-off is the lower of both Nyquist frequencies; places beyond the ends are silent.
+    Output is made in blocks of about ``cells`` kernel values, so memory doesn't grow with the length.
+    """
+    x = np.asarray(samples, float)
+    if rate == to or not len(x):
+        return x
+    share = math.gcd(rate, to)
+    up, down = to // share, rate // share
+    cut = min(1.0, up / down)
+    side = math.ceil(reach / cut)
+    steps = np.arange(-side, side + 1)
+    padded = np.concatenate([np.zeros(side), x, np.zeros(side + 1)])
+    out = np.empty(-(-len(x) * up // down))
+    block = max(1, cells // len(steps))
+    for first in range(0, len(out), block):
+        whole, part = np.divmod(np.arange(first, min(first + block, len(out)), dtype=np.int64) * down, up)
+        away = steps - part[:, None] / up
+        kernel = np.sinc(cut * away) * np.where(np.abs(away) <= side, 0.5 + 0.5 * np.cos(np.pi * away / side), 0.0)
+        kernel /= kernel.sum(axis=1, keepdims=True)
+        out[first : first + block] = np.einsum("ij,ij->i", kernel, padded[whole[:, None] + steps + side])
+    return out
+
+
 def autocorrelation_f0(samples: np.ndarray, rate: float, low: float = 50.0, high: float = 2000.0) -> float | None:
     """The first strong peak of the normalised autocorrelation, refined by a parabola; None for silence."""
     x = np.asarray(samples, float) - np.mean(samples) if len(samples) else np.zeros(0)

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sonagrid.operators.signal import resampled
+
 SCHEMA = "path string, sha256 string, sample_rate int, samples array<float>, status string"
 
 
@@ -28,14 +30,16 @@ def decode_wav(content: bytes) -> tuple[int, np.ndarray]:
     return rate, x.reshape(-1, channels).mean(axis=1)
 
 
-def read_audio(spark: SparkSession, folder: str, pattern: str = "*.wav") -> DataFrame:
-    """One row a file; a file that can't be decoded is a row with a status, not a failed task."""
+def read_audio(spark: SparkSession, folder: str, pattern: str = "*.wav", to_rate: int | None = None) -> DataFrame:
+    """One row a file, at ``to_rate`` if it is given; a file that can't be decoded is a row with a status, not a failed task."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
                     rate, x = decode_wav(content)
+                    if to_rate:
+                        rate, x = to_rate, resampled(x, rate, to_rate)
                     row = (path, digest, rate, x.tolist(), "ok")
                 except (wave.Error, EOFError, KeyError, ValueError) as e:
                     row = (path, digest, None, None, f"error: {e}"[:200])
