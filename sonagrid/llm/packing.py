@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sonagrid.llm.pretokens import Pretokenizer, new_spans
+from sonagrid.llm.pretokens import Pretokenizer, Remembered, new_spans, runs
 from sonagrid.llm.textarrays import blocks, lookup, released
 
 
@@ -117,15 +117,19 @@ class VectorPacker:
 
 
 class Encoder:
-    """Token ids of whole texts; the tokenizers library encodes each pre-token once a task."""
+    """Token ids of whole texts; the tokenizers library encodes each pre-token, or chunk that byte classes can't cut, once a task."""
 
     def __init__(self, path: str, end_id: int | None, remembered: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one thread; the library's own threads each keep memory
         self.pre, self.end_id, self.remembered = Pretokenizer(path), end_id, remembered
         self.last = np.zeros(max(self.pre.vocab.values(), default=0) + 1, bool)  # ids that end a pre-token
         self.last[[i for token, i in self.pre.vocab.items() if token.endswith(self.pre.suffix)]] = True
+        self.chunk_ids = Remembered(self._library)
         self._forget()
 
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.pre.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _forget(self) -> None:
         self.known, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids: list[np.ndarray] = []
@@ -156,21 +160,24 @@ class Encoder:
     def __call__(self, column: pa.Array) -> Iterator[np.ndarray]:
         """For each text its ids, as unsigned 32-bit numbers, and the end id."""
         for block in blocks(column):
-            plain = self.pre.plain(block)
-            found = self.pre._fast(block, plain)
+            at, easy = self.pre.chunks(block)
+            found = self.pre.cut(block, at, easy)
             self._learn(found)
-            at = np.maximum(lookup(self.known, found.hash), 0)
-            size, start = (self.size[at], self.start[at]) if len(self.known) else (np.zeros(0, np.int64),) * 2
-            first = np.repeat(np.cumsum(size) - size, size)
-            ids = self.flat[np.repeat(start, size) + np.arange(len(first)) - first]
-            per_text = np.bincount(found.text, size, len(plain)).astype(np.int64)
+            place = np.maximum(lookup(self.known, found.hash), 0)
+            size, start = (self.size[place], self.start[place]) if len(self.known) else (np.zeros(0, np.int64),) * 2
+            flat, text = self.flat, found.text
+            if not easy.all():
+                hard, which = self.chunk_ids(block.data, at.start[~easy], at.end[~easy])
+                many = np.array([len(x) for x in hard], np.int64)
+                order = np.argsort(np.concatenate([found.start, at.start[~easy]]), kind="stable")
+                size = np.concatenate([size, many[which]])[order]
+                start = np.concatenate([start, len(flat) + (np.cumsum(many) - many)[which]])[order]
+                flat, text = np.concatenate([flat, *hard]), np.concatenate([text, at.text[~easy]])[order]
+            ids = flat[runs(start, size)]
+            per_text = np.bincount(text, size, len(block.bounds) - 1).astype(np.int64)
             bounds = np.concatenate([[0], np.cumsum(per_text)])
-            for i, easy in enumerate(plain.tolist()):
-                if easy:
-                    own = ids[bounds[i] : bounds[i + 1]]
-                else:
-                    text = block.data[block.bounds[i] : block.bounds[i + 1]].tobytes().decode("utf-8", "replace")
-                    own = np.array(self.pre.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            for i in range(len(block.bounds) - 1):
+                own = ids[bounds[i] : bounds[i + 1]]
                 yield own if self.end_id is None else np.append(own, np.uint32(self.end_id))
 
 
