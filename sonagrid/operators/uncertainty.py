@@ -51,13 +51,35 @@ _PRIME = 2**31 - 1
 _NORMAL = NormalDist()
 
 
-def draw_indices(note: int, seed: int, draws: int, part: int, n: int) -> np.ndarray:
-    """(draws, n) places from 0 to n - 1: whole-number arithmetic on note, draw, place and part, the same in any engine."""
-    x = (seed + note % 1000003 * 7919 + np.arange(draws, dtype=np.int64)[:, None] * 104729 + np.arange(n, dtype=np.int64) * 1299709 + part * 15485863) % _PRIME
+#: Places that are drawn at once, whatever a note's size and the number of draws.
+_AT_ONCE = 1 << 20
+
+
+def draw_indices(note: int, seed: int, draw: np.ndarray, part: int, place: np.ndarray, n: int) -> np.ndarray:
+    """(draws, places) elements from 0 to n - 1: whole-number arithmetic on note, draw, place and part, the same in any engine."""
+    x = (seed + note % 1000003 * 7919 + draw[:, None] * 104729 + place * 1299709 + part * 15485863) % _PRIME
     x = (x * x + 12345) % _PRIME
     return (x * x + 6789) % _PRIME % n
 
 
+def _sums(amp: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """What scores need of components (last axis): sums of s, of its square, how many are above 0, and energy."""
+    return np.stack([s.sum(-1), (s * s).sum(-1), (s > 0).sum(-1).astype(float), (amp * amp).sum(-1)], axis=-1)
+
+
+def drawn_sums(note: int, seed: int, draws: int, part: int, amp: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """(draws, 4) sums of the elements that each draw takes, ``_AT_ONCE`` places at a time."""
+    n = len(s)
+    out = np.zeros((draws, 4))
+    step = max(1, _AT_ONCE // max(1, n))
+    for b in range(0, draws, step):
+        draw = np.arange(b, min(draws, b + step), dtype=np.int64)
+        for j in range(0, n, _AT_ONCE):
+            at = draw_indices(note, seed, draw, part, np.arange(j, min(n, j + _AT_ONCE), dtype=np.int64), n)
+            out[b : b + len(draw)] += _sums(amp[at], s[at])
+    return out
+
+
 def bca_limits(point: float, samples: np.ndarray, jack: np.ndarray, level: float) -> tuple[float, float]:
     """Efron's bias-corrected accelerated interval; NaN where it is not defined."""
     share = np.clip(np.mean(samples < point), 1 / (len(samples) + 1), 1 - 1 / (len(samples) + 1))
@@ -94,31 +116,37 @@ def bootstrap_scores(components: DataFrame, name: str = "log", balance: float =
     Input: note, comp, amp. Components are drawn with replacement within their compartment; energy
     shares are computed anew in every draw, or kept (``recompute``). Per score: the point, its
     percentile and BCa limits, the draws' standard deviation as a share of the point, and their bias. Draws
-    are indexed (:func:`draw_indices`), so any partitioning gives the same. One grouping by note;
-    each note's draws are arrays in one task.
+    are indexed (:func:`draw_indices`), so any partitioning gives the same. One grouping by note; a
+    note's components are flat arrays in one task, and memory for its draws is bounded, whatever their number.
     """
     a = F.when(F.col("amp") >= 0, F.col("amp"))
     item = F.struct("comp", a.alias("amp"), weights.phi(name, a).alias("s"))
     notes = components.filter(a.isNotNull()).groupBy("note").agg(F.sort_array(F.collect_list(item)).alias("items"))
     names = [f"{s}{x}" for s in _SCORES for x in ("", "_low", "_high", "_low_bca", "_high_bca", "_relative", "_bias")]
 
-    def one(note: int, items: list[dict]) -> list:
-        comps = sorted({x["comp"] for x in items})
-        parts = [(np.array([x["amp"] for x in items if x["comp"] == c]), np.array([x["s"] for x in items if x["comp"] == c])) for c in comps]
-        sums = lambda amp, s: np.stack([s.sum(-1), (s * s).sum(-1), (s > 0).sum(-1).astype(float), (amp * amp).sum(-1)], axis=-1)
-        whole = np.stack([sums(*p) for p in parts])  # (compartment, sum)
+    def jackknife(parts: list[tuple[np.ndarray, np.ndarray]], whole: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """Scores with one component less, for each component."""
+        out = []
+        for k, (amp, s) in enumerate(parts):
+            for i in range(0, len(s), _AT_ONCE // 16):
+                own, energy = s[i : i + _AT_ONCE // 16], amp[i : i + _AT_ONCE // 16] ** 2
+                left = np.repeat(whole[None], len(own), axis=0)
+                left[:, k] -= np.stack([own, own * own, (own > 0).astype(float), energy], axis=-1)
+                out.append(_scores(*np.moveaxis(left, -1, 0), _shares(np.maximum(left[..., 3], 0)) if recompute else share, balance))
+        return np.concatenate(out)
+
+    def one(note: int, comp: np.ndarray, amp: np.ndarray, s: np.ndarray) -> list:
+        """The scores of one note, whose components come sorted by compartment."""
+        cuts = np.flatnonzero(comp[1:] != comp[:-1]) + 1
+        parts = list(zip(np.split(amp, cuts), np.split(s, cuts), strict=True))
+        whole = np.stack([_sums(*p) for p in parts])  # (compartment, sum)
         share = _shares(whole[:, 3])
         point = _scores(*whole.T, share, balance)
-        if len(items) <= 2:
+        if len(s) <= 2:
             return [v for x in point for v in (x, *[None] * 6)]
-        drawn = np.stack([sums(*(x[draw_indices(note, seed, draws, k, len(x))] for x in p)) for k, p in enumerate(parts)], axis=1)
+        drawn = np.stack([drawn_sums(note, seed, draws, k, *p) for k, p in enumerate(parts)], axis=1)
         boot = _scores(*np.moveaxis(drawn, -1, 0), _shares(drawn[..., 3]) if recompute else share, balance)
-        jack = []
-        for k, (amp, s) in enumerate(parts):  # one component less
-            left = np.repeat(whole[None], len(s), axis=0)
-            left[:, k] -= np.stack([s, s * s, (s > 0).astype(float), amp * amp], axis=-1)
-            jack.append(_scores(*np.moveaxis(left, -1, 0), _shares(np.maximum(left[..., 3], 0)) if recompute else share, balance))
-        jack = np.concatenate(jack)
+        jack = jackknife(parts, whole, share)
         out = []
         for i, x in enumerate(point.tolist()):
             own = boot[:, i]
@@ -128,10 +156,14 @@ def bootstrap_scores(components: DataFrame, name: str = "log", balance: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, items = b.column(0).to_pylist(), b.column(1).to_pylist()
-            rows = [one(k, x) for k, x in zip(keys, items, strict=True)]
+            items = b.column(1)
+            bounds = items.offsets.to_numpy().astype(np.int64) - items.offsets[0].as_py()
+            comp, amp, s = items.flatten().flatten()
+            comp = comp.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            amp, s = amp.to_numpy(), s.to_numpy(zero_copy_only=False)
+            rows = [one(k, comp[i:j], amp[i:j], s[i:j]) for k, i, j in zip(b.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in items], pa.int64()), *(pa.array(c, pa.float64()) for c in columns)], names=["note", "n", *names])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds)), *(pa.array(c, pa.float64()) for c in columns)], names=["note", "n", *names])
 
     kind = components.schema["note"].dataType.simpleString()
     return notes.mapInArrow(run, f"note {kind}, n long, " + ", ".join(f"{c} double" for c in names))

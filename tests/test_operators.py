@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import math
+import tracemalloc
 import wave
 
 import numpy as np
@@ -348,6 +349,37 @@ def test_bca_limits_and_scores_equal_brute_force(spark):
         assert x == pytest.approx(np.percentile(samples, 100 * normal.cdf(z0 + z / (1 - a * z))))
 
 
+def test_draws_in_blocks_are_the_same_draws(monkeypatch):
+    rng = np.random.default_rng(3)
+    amp = rng.random(37)
+    whole = uncertainty.drawn_sums(11, 5, 50, 1, amp, np.log1p(amp))
+    for size in (1, 7, 64, 1000):
+        monkeypatch.setattr(uncertainty, "_AT_ONCE", size)
+        assert uncertainty.drawn_sums(11, 5, 50, 1, amp, np.log1p(amp)) == pytest.approx(whole, rel=1e-12)
+
+
+def test_draws_of_a_million_components_are_bounded_in_memory():
+    amp = np.linspace(0.1, 1, 1_000_000)
+    s = np.log1p(amp)
+    tracemalloc.start()
+    sums = uncertainty.drawn_sums(1, 0, 6, 0, amp, s)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6 and sums[:, 0] == pytest.approx(np.full(6, s.sum()), rel=5e-3)
+
+
+def test_scores_of_a_large_note_beside_small_ones(spark):
+    """A note's compartments and a null compartment; order of rows and other notes don't matter."""
+    large = spark.range(20_000).select(F.lit(1).cast("long").alias("note"), F.element_at(F.array(F.lit("H"), F.lit("I"), F.lit(None)), (F.col("id") % 3 + 1).cast("int")).alias("comp"), ((F.col("id") * 7919 % 1000 + 1) / 1000).alias("amp"))
+    small = spark.createDataFrame([(2, "H", 0.5), (2, "H", 0.4), (2, "I", 0.1), (3, "S", 1.0), (3, "S", -1.0), (3, "S", None)], "note long, comp string, amp double")
+    a = {r.note: r for r in uncertainty.bootstrap_scores(large.unionByName(small), draws=40).collect()}
+    b = {r.note: r for r in uncertainty.bootstrap_scores(small.unionByName(large).orderBy("amp"), draws=40).collect()}
+    assert {k: v.n for k, v in a.items()} == {1: 20_000, 2: 3, 3: 1}
+    assert a[1].strict_low < a[1].strict < a[1].strict_high and a[3].strict_low is None
+    for k in a:
+        assert tuple(a[k]) == pytest.approx(tuple(b[k]), rel=1e-9, nan_ok=True) if k != 3 else a[k] == b[k]
+
+
 def test_scores_of_two_components_have_no_interval(spark):
     got = one(uncertainty.bootstrap_scores(spark.createDataFrame([(1, "H", 0.5), (1, "I", 0.1)], "note long, comp string, amp double")))
     assert got.strict > 0 and got.strict_low is None and got.strict_high_bca is None
