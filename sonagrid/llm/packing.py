@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sonagrid.llm.pretokens import Pretokenizer, Remembered, new_spans, runs
+from sonagrid.llm.pretokens import Pretokenizer, Pretokens, Remembered, runs
 from sonagrid.llm.textarrays import blocks, lookup, released
 
 
@@ -135,13 +135,15 @@ class Encoder:
         self.ids: list[np.ndarray] = []
         self.flat = np.zeros(0, np.uint32)
 
-    def _learn(self, found) -> None:
-        fresh, place = new_spans(found, self.known)
+    def _learn(self, found: Pretokens, distinct: np.ndarray, first: np.ndarray) -> None:
+        """The ids of those of ``distinct`` pre-tokens that aren't known; ``first`` is a place of each."""
+        new = lookup(self.known, distinct) < 0
+        fresh, place = distinct[new], first[new]
         if not len(fresh):
             return
         if len(self.known) + len(fresh) > self.remembered and len(self.known):
             self._forget()
-            return self._learn(found)
+            return self._learn(found, distinct, first)
         raw = found.data.tobytes()
         spans = list(zip(found.start[place].tolist(), found.end[place].tolist(), strict=True))
         # Pre-tokens apart by spaces are cut as they are; an id that ends a word ends a pre-token.
@@ -162,8 +164,9 @@ class Encoder:
         for block in blocks(column):
             at, easy = self.pre.chunks(block)
             found = self.pre.cut(block, at, easy)
-            self._learn(found)
-            place = np.maximum(lookup(self.known, found.hash), 0)
+            distinct, first, back = np.unique(found.hash, return_index=True, return_inverse=True)
+            self._learn(found, distinct, first)
+            place = np.maximum(lookup(self.known, distinct), 0)[back]
             size, start = (self.size[place], self.start[place]) if len(self.known) else (np.zeros(0, np.int64),) * 2
             flat, text = self.flat, found.text
             if not easy.all():

@@ -150,7 +150,7 @@ class Pretokenizer:
             depth[at.end[~easy]] -= 1
             keep &= np.cumsum(depth, dtype=np.int8)[cut] == 0
         start, end = cut[keep], end[keep]
-        text = np.searchsorted(block.bounds, start, "right") - 1
+        text = np.repeat(np.arange(len(block.bounds) - 1), np.diff(np.searchsorted(start, block.bounds)))
         return Pretokens(data, start, end, text, np.full(len(start), -1), span_hashes(data, start, end))
 
     def _cut(self, chunk: str) -> list[tuple[bytes, int]]:
