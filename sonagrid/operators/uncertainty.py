@@ -13,28 +13,70 @@ from pyspark.sql import functions as F
 from sonagrid.functions import phi as weights
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt by note over all shuffle partitions: few bytes a note but much work, which AQE would merge into few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "note")
+
+
+_X1, _X2, _X3, _X5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+
+
+def _hashed(value: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """The 64-bit xxHash of non-negative 32-bit integers, seeded by the hash of what came before: F.xxhash64(..., value)."""
+    h = (state + (_X5 + np.uint64(4))) ^ (value.astype(np.uint64) * _X1)
+    h = (h << np.uint64(23) | h >> np.uint64(41)) * _X2 + _X3
+    h ^= h >> np.uint64(33)
+    h *= _X2
+    h ^= h >> np.uint64(29)
+    h *= _X3
+    h ^= h >> np.uint64(32)
+    return h
+
+
 def bootstrap_effective(components: DataFrame, draws: int = 1200, level: float = 0.95, seed: int = 7) -> DataFrame:
     """Percentile interval of the effective number of components per note, null with fewer than three.
 
-    A note's amplitudes are one array; draw b takes element pmod(hash(note, b, j), n) at place j. The
-    work is an expression over the array: nothing is exploded or shuffled beyond the one grouping.
+    A note's amplitudes are one array; draw b takes element pmod(hash(note, b, j), n) at place j. One
+    grouping by note; notes of one size are drawn together, place by place, in blocks of bounded memory.
     """
-    rows = components.groupBy("note").agg(F.array_sort(F.collect_list(F.col("amp") * F.col("amp"))).alias("p"))
-    n = F.size("p")
-
-    def effective(a):
-        total = F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-        return F.try_divide(total * total, F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
+    rows = _dealt(components).groupBy("note").agg(F.array_sort(F.collect_list(F.col("amp") * F.col("amp"))).alias("p"))
+    total = F.aggregate("p", F.lit(0.0), lambda s, x: s + x)
+    rows = rows.select("note", F.size("p").cast("long").alias("n"), F.try_divide(total * total, F.aggregate("p", F.lit(0.0), lambda s, x: s + x * x)).alias("estimate"), F.xxhash64(F.lit(seed), "note").alias("state"), "p")
+    places = [int(round(q * (draws - 1))) for q in ((1 - level) / 2, (1 + level) / 2)]
+
+    def limits(state: np.ndarray, start: np.ndarray, n: int, p: np.ndarray) -> np.ndarray:
+        """(notes, 2) limits of notes of one size; NaN is kept, a draw without any power (null) comes last and is -1 here."""
+        drawn = _hashed(np.arange(1, draws + 1), state[:, None])
+        total, squares = np.zeros(drawn.shape), np.zeros(drawn.shape)
+        for j in range(1, n + 1):
+            h = _hashed(np.array(j), drawn).view(np.int64)
+            x = p[start[:, None] + (h - h // n * n)]
+            total += x
+            squares += x * x
+        empty = squares == 0
+        with np.errstate(all="ignore"):
+            value = np.sort(np.where(empty, np.nan, total * total / squares), axis=1)
+        held = draws - empty.sum(1)
+        return np.stack([np.where(at < held, value[:, at], -1.0) for at in places], axis=1)
 
-    def draw(b):
-        picks = F.transform(F.sequence(F.lit(1), n), lambda j: F.element_at("p", F.pmod(F.xxhash64(F.lit(seed), "note", b, j), n).cast("int") + 1))
-        return F.transform(F.array(picks), effective)[0]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, lists = b.column(1).to_numpy(), b.column(4)
+            start = lists.offsets.to_numpy()[:-1].astype(np.int64) - lists.offsets[0].as_py()
+            state, p = b.column(3).to_numpy().view(np.uint64), lists.flatten().to_numpy(zero_copy_only=False)
+            out = np.full((len(n), 2), -1.0)
+            step = max(1, _BLOCK // draws)
+            for size in np.unique(n[n > 2]).tolist():
+                alike = np.flatnonzero(n == size)
+                for i in range(0, len(alike), step):
+                    own = alike[i : i + step]
+                    out[own] = limits(state[own], start[own], size, p)
+            ends = [pa.array(c, mask=c < 0) for c in out.T]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *ends], names=["note", "n", "estimate", "low", "high"])
 
-    rows = rows.withColumn("estimate", F.transform(F.array("p"), effective)[0])
-    rows = rows.withColumn("draws", F.when(n > 2, F.array_sort(F.transform(F.sequence(F.lit(1), F.lit(draws)), draw))))
-    at = lambda q: F.element_at("draws", int(round(q * (draws - 1))) + 1)
-    low, high = at((1 - level) / 2), at((1 + level) / 2)
-    return rows.select("note", n.cast("long").alias("n"), "estimate", low.alias("low"), high.alias("high"), F.try_divide(100 * (high - low), F.abs("estimate")).alias("width_percent"))
+    kind = components.schema["note"].dataType.simpleString()
+    out = rows.mapInArrow(run, f"note {kind}, n long, estimate double, low double, high double")
+    return out.select("note", "n", "estimate", "low", "high", F.try_divide(100 * (F.col("high") - F.col("low")), F.abs("estimate")).alias("width_percent"))
 
 
 def jackknife_effective(components: DataFrame) -> DataFrame:
@@ -53,6 +95,8 @@ _NORMAL = NormalDist()
 
 #: Places that are drawn at once, whatever a note's size and the number of draws.
 _AT_ONCE = 1 << 20
+#: Cells of a block of notes that are drawn together: its arrays stay in a core's cache.
+_BLOCK = 1 << 16
 
 
 def draw_indices(note: int, seed: int, draw: np.ndarray, part: int, place: np.ndarray, n: int) -> np.ndarray:

@@ -6,7 +6,9 @@ import wave
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from sonagrid.operators import uncertainty
 from sonagrid.operators.signal import resampled
 from sonagrid.sources import audio
 
@@ -49,3 +51,15 @@ def test_files_of_two_rates(spark, tmp_path):
     assert [(r.sample_rate, len(r.samples), r.status) for r in rows] == [(8000, 4000, "ok")] * 2
     for r in rows:
         assert np.argmax(np.abs(np.fft.rfft(r.samples))) == 220
+
+
+def test_effective_number_draws_as_spark_hashes(spark):
+    """The hash of note, draw and place in numpy is Spark's."""
+    df = spark.createDataFrame([(k, 0.1 + i / 7) for k in (-3, 11) for i in range(5)], "note long, amp double")
+    picks = spark.createDataFrame([(k, b, j) for k in (-3, 11) for b in range(1, 41) for j in range(1, 6)], "note long, b int, j int").withColumn("at", F.pmod(F.xxhash64(F.lit(7), "note", "b", "j"), F.lit(5))).collect()
+    power = np.sort([(0.1 + i / 7) ** 2 for i in range(5)])
+    got = {r.note: r for r in uncertainty.bootstrap_effective(df, draws=40).collect()}
+    for k in (-3, 11):
+        drawn = np.array([power[[p["at"] for p in picks if p.note == k and p.b == b]] for b in range(1, 41)])
+        values = np.sort(drawn.sum(1) ** 2 / (drawn**2).sum(1))
+        assert [got[k].low, got[k].high] == pytest.approx([values[1], values[38]])
