@@ -97,13 +97,27 @@ _NORMAL = NormalDist()
 _AT_ONCE = 1 << 20
 #: Cells of a block of notes that are drawn together: its arrays stay in a core's cache.
 _BLOCK = 1 << 16
+#: Parts of more components are drawn on their own, by :func:`drawn_sums`.
+_SMALL = 64
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo 2^31 - 1 for 0 <= x < 2^63, without division."""
+    x = (x & _PRIME) + (x >> 31)
+    x = (x & _PRIME) + (x >> 31)
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _uniform(x: np.ndarray) -> np.ndarray:
+    """The whole number below 2^31 - 1 that a draw's linear form leads to."""
+    x = _folded(x)
+    x = _folded(x * x + 12345)
+    return _folded(x * x + 6789)
 
 
 def draw_indices(note: int, seed: int, draw: np.ndarray, part: int, place: np.ndarray, n: int) -> np.ndarray:
     """(draws, places) elements from 0 to n - 1: whole-number arithmetic on note, draw, place and part, the same in any engine."""
-    x = (seed + note % 1000003 * 7919 + draw[:, None] * 104729 + place * 1299709 + part * 15485863) % _PRIME
-    x = (x * x + 12345) % _PRIME
-    return (x * x + 6789) % _PRIME % n
+    return _uniform(seed % _PRIME + note % 1000003 * 7919 + draw[:, None] * 104729 + place * 1299709 + part * 15485863) % n
 
 
 def _sums(amp: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -124,31 +138,49 @@ def drawn_sums(note: int, seed: int, draws: int, part: int, amp: np.ndarray, s:
     return out
 
 
-def bca_limits(point: float, samples: np.ndarray, jack: np.ndarray, level: float) -> tuple[float, float]:
-    """Efron's bias-corrected accelerated interval; NaN where it is not defined."""
-    share = np.clip(np.mean(samples < point), 1 / (len(samples) + 1), 1 - 1 / (len(samples) + 1))
-    z0, off = _NORMAL.inv_cdf(float(share)), jack.mean() - jack
-    spread = np.sum(off**2)
-    speed = np.sum(off**3) / (6 * spread**1.5) if spread > 1e-30 else 0.0
+def percentiles(rising: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The q-th quantile of each row in ascending order, interpolated; NaN where a row has one."""
+    h = q * (rising.shape[1] - 1)
+    at = np.floor(h).astype(np.int64)
+    row = np.arange(len(rising))
+    a, b = rising[row, at], rising[row, np.minimum(at + 1, rising.shape[1] - 1)]
+    t, step = h - at, b - a
+    return np.where(np.isnan(rising[:, -1]), np.nan, np.where(t < 0.5, a + step * t, b - step * (1 - t)))
+
+
+def bca_limits(share: np.ndarray, rising: np.ndarray, speed: np.ndarray, level: float) -> list[np.ndarray]:
+    """Efron's bias-corrected accelerated interval of each row of draws; NaN where it is not defined.
+
+    ``share`` counts the draws below the point (those that only rearrange it, equal but for rounding,
+    are not), ``speed`` is the acceleration from the jackknife.
+    """
+    draws = rising.shape[1]
+    least = 1 / (draws + 1)
+    normal = np.array([_NORMAL.inv_cdf(min(max(k / draws, least), 1 - least)) for k in range(draws + 1)])
+    z0 = normal[share]
     out = []
     for q in ((1 - level) / 2, (1 + level) / 2):
         z = z0 + _NORMAL.inv_cdf(q)
         below = 1 - speed * z
-        out.append(np.percentile(samples, 100 * _NORMAL.cdf(float(z0 + z / below))) if abs(below) > 1e-12 else np.nan)
-    return tuple(out)
+        held = np.abs(below) > 1e-12
+        at = np.array([_NORMAL.cdf(x) for x in (z0 + z / np.where(held, below, 1.0)).tolist()])
+        out.append(np.where(held, percentiles(rising, at), np.nan))
+    return out
 
 
-def _scores(mass, squares, count, energy, share, balance: float) -> np.ndarray:
-    """Plain, strict and balanced density from sums per compartment (last axis)."""
-    with np.errstate(divide="ignore", invalid="ignore"):
+def _scores(mass: np.ndarray, squares: np.ndarray, count: np.ndarray, share: np.ndarray, first: np.ndarray, balance: float) -> np.ndarray:
+    """(score, note, ...): plain, strict and balanced density from sums per part (first axis); a note's parts begin at ``first``."""
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
         penalty = np.where((squares > 0) & (count > 0), mass * mass / squares / count, 0.0)
         weighted = share * mass
-        return np.stack([weighted.sum(-1), (weighted * penalty).sum(-1), (weighted * penalty**balance).sum(-1)], axis=-1)
+        return np.stack([np.add.reduceat(x, first, axis=0) for x in (weighted, weighted * penalty, weighted * penalty**balance)])
 
 
-def _shares(energy: np.ndarray) -> np.ndarray:
-    total = energy.sum(-1, keepdims=True)
-    return np.divide(energy, total, out=np.zeros_like(energy), where=total > 1e-30)
+def _shares(energy: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each part's share of its note's energy."""
+    total = np.repeat(np.add.reduceat(energy, first, axis=0), np.diff(np.append(first, len(energy))), axis=0)
+    with np.errstate(invalid="ignore"):
+        return np.divide(energy, total, out=np.zeros_like(energy), where=total > 1e-30)
 
 
 _SCORES = ("density", "strict", "balanced")
@@ -161,53 +193,101 @@ def bootstrap_scores(components: DataFrame, name: str = "log", balance: float =
     shares are computed anew in every draw, or kept (``recompute``). Per score: the point, its
     percentile and BCa limits, the draws' standard deviation as a share of the point, and their bias. Draws
     are indexed (:func:`draw_indices`), so any partitioning gives the same. One grouping by note; a
-    note's components are flat arrays in one task, and memory for its draws is bounded, whatever their number.
+    note's components are flat arrays in one task; notes are drawn together in blocks, and memory for
+    the draws is bounded, whatever their number.
     """
     a = F.when(F.col("amp") >= 0, F.col("amp"))
     item = F.struct("comp", a.alias("amp"), weights.phi(name, a).alias("s"))
-    notes = components.filter(a.isNotNull()).groupBy("note").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    notes = _dealt(components.filter(a.isNotNull())).groupBy("note").agg(F.sort_array(F.collect_list(item)).alias("items"))
     names = [f"{s}{x}" for s in _SCORES for x in ("", "_low", "_high", "_low_bca", "_high_bca", "_relative", "_bias")]
 
-    def jackknife(parts: list[tuple[np.ndarray, np.ndarray]], whole: np.ndarray, share: np.ndarray) -> np.ndarray:
-        """Scores with one component less, for each component."""
-        out = []
-        for k, (amp, s) in enumerate(parts):
-            for i in range(0, len(s), _AT_ONCE // 16):
-                own, energy = s[i : i + _AT_ONCE // 16], amp[i : i + _AT_ONCE // 16] ** 2
-                left = np.repeat(whole[None], len(own), axis=0)
-                left[:, k] -= np.stack([own, own * own, (own > 0).astype(float), energy], axis=-1)
-                out.append(_scores(*np.moveaxis(left, -1, 0), _shares(np.maximum(left[..., 3], 0)) if recompute else share, balance))
-        return np.concatenate(out)
-
-    def one(note: int, comp: np.ndarray, amp: np.ndarray, s: np.ndarray) -> list:
-        """The scores of one note, whose components come sorted by compartment."""
-        cuts = np.flatnonzero(comp[1:] != comp[:-1]) + 1
-        parts = list(zip(np.split(amp, cuts), np.split(s, cuts), strict=True))
-        whole = np.stack([_sums(*p) for p in parts])  # (compartment, sum)
-        share = _shares(whole[:, 3])
-        point = _scores(*whole.T, share, balance)
-        if len(s) <= 2:
-            return [v for x in point for v in (x, *[None] * 6)]
-        drawn = np.stack([drawn_sums(note, seed, draws, k, *p) for k, p in enumerate(parts)], axis=1)
-        boot = _scores(*np.moveaxis(drawn, -1, 0), _shares(drawn[..., 3]) if recompute else share, balance)
-        jack = jackknife(parts, whole, share)
-        out = []
-        for i, x in enumerate(point.tolist()):
-            own = boot[:, i]
-            low, high = np.percentile(own, [50 * (1 - level), 50 * (1 + level)])
-            out += [x, low, high, *bca_limits(x, own, jack[:, i], level), own.std(ddof=1) / abs(x) if abs(x) > 1e-30 else np.nan, own.mean() - x]
-        return [None if v is None or np.isnan(v) else float(v) for v in out]
+    def drawn(key: np.ndarray, part: np.ndarray, start: np.ndarray, size: np.ndarray, sums: np.ndarray, amp: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """(sum, part, draw): what each draw of each part sums up to; parts of one size go together, place by place."""
+        out = np.zeros((4, len(size), draws))
+        form = seed % _PRIME + key % 1000003 * 7919 + part * 15485863
+        for n in np.unique(size).tolist():
+            alike = np.flatnonzero(size == n)
+            if n == 1:
+                out[:, alike] = sums[:, start[alike], None]
+            elif n <= _SMALL:
+                x, at, own = form[alike, None] + np.arange(draws) * 104729, start[alike, None], np.zeros((4, len(alike), draws))
+                for j in range(n):
+                    picked = _uniform(x + j * 1299709).astype(np.uint32)
+                    picked = at + (picked - picked // np.uint32(n) * np.uint32(n))
+                    for k in range(4):
+                        own[k] += sums[k][picked]
+                out[:, alike] = own
+            else:
+                for i in alike.tolist():
+                    own = slice(start[i], start[i] + n)
+                    out[:, i] = drawn_sums(int(key[i]), seed, draws, int(part[i]), amp[own], s[own]).T
+        return out
+
+    def acceleration(sums: np.ndarray, whole: np.ndarray, share: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """(score, note): BCa acceleration from the scores with one component less, for each component."""
+        parts = np.diff(np.append(first, len(size)))
+        note = np.repeat(np.arange(len(first)), np.add.reduceat(size, first))
+        own = np.repeat(np.arange(len(size)), size)
+        jack = np.empty((len(_SCORES), len(own)))
+        for i in range(0, len(own), _BLOCK):
+            at = np.arange(i, min(i + _BLOCK, len(own)))
+            n = parts[note[at]]
+            begin = np.cumsum(n) - n
+            row = np.repeat(at, n)
+            seg = first[note[row]] + np.arange(len(row)) - np.repeat(begin, n)
+            left = whole[:, seg] - np.where(seg == own[row], sums[:, row], 0.0)
+            jack[:, at] = _scores(*left[:3], _shares(np.maximum(left[3], 0), begin) if recompute else share[seg], begin, balance)
+        begin = np.searchsorted(note, np.arange(len(first)))
+        off = (np.add.reduceat(jack, begin, axis=1) / np.diff(np.append(begin, len(own))))[:, note] - jack
+        spread, cubes = np.add.reduceat(off**2, begin, axis=1), np.add.reduceat(off**3, begin, axis=1)
+        return np.where(spread > 1e-30, cubes / (6 * np.where(spread > 1e-30, spread, 1.0) ** 1.5), 0.0)
+
+    def scored(keys: np.ndarray, bounds: np.ndarray, comp: np.ndarray, amp: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """(column, note) of notes whose components come sorted by compartment; NaN stands for null."""
+        new = np.zeros(len(s), bool)
+        new[1:] = comp[1:] != comp[:-1]
+        new[bounds[:-1]] = True
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(s)))
+        first = np.searchsorted(start, bounds[:-1])
+        parts = np.diff(np.append(first, len(start)))
+        note = np.repeat(np.arange(len(keys)), parts)
+        part = np.arange(len(start)) - first[note]
+        sums = np.stack([s, s * s, (s > 0).astype(float), amp * amp])
+        whole = np.add.reduceat(sums, start, axis=1)
+        share = _shares(whole[3], first)
+        point = _scores(*whole[:3], share, first, balance)
+        out = np.full((len(_SCORES), 7, len(keys)), np.nan)
+        out[:, 0] = point
+        speed = acceleration(sums, whole, share, size, first)
+        # Notes in blocks of so many parts that their draws fill a block.
+        block = (first * draws) // _BLOCK
+        edges = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(keys))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            i, j = first[a], first[b] if b < len(keys) else len(start)
+            got = drawn(keys[note[i:j]], part[i:j], start[i:j], size[i:j], sums, amp, s)
+            held = _shares(got[3], first[a:b] - i) if recompute else share[i:j, None]
+            for k, own in enumerate(_scores(*got[:3], held, first[a:b] - i, balance)):
+                x, rising = point[k, a:b], np.sort(own, axis=1)
+                for at, q in ((1, 50 * (1 - level)), (2, 50 * (1 + level))):
+                    out[k, at, a:b] = percentiles(rising, np.full(b - a, q / 100))
+                out[k, 3, a:b], out[k, 4, a:b] = bca_limits((own < (x - 1e-12 * np.abs(x))[:, None]).sum(1), rising, speed[k, a:b], level)
+                out[k, 5, a:b] = np.where(np.abs(x) > 1e-30, own.std(axis=1, ddof=1) / np.where(np.abs(x) > 1e-30, np.abs(x), 1.0), np.nan)
+                out[k, 6, a:b] = own.mean(axis=1) - x
+        out[:, 1:, np.diff(bounds) <= 2] = np.nan
+        return out.reshape(-1, len(keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if not b.num_rows:
+                continue
             items = b.column(1)
             bounds = items.offsets.to_numpy().astype(np.int64) - items.offsets[0].as_py()
             comp, amp, s = items.flatten().flatten()
             comp = comp.dictionary_encode(null_encoding="encode").indices.to_numpy()
-            amp, s = amp.to_numpy(), s.to_numpy(zero_copy_only=False)
-            rows = [one(k, comp[i:j], amp[i:j], s[i:j]) for k, i, j in zip(b.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds)), *(pa.array(c, pa.float64()) for c in columns)], names=["note", "n", *names])
+            with np.errstate(invalid="ignore"):
+                columns = scored(b.column(0).to_numpy().astype(np.int64), bounds, comp, amp.to_numpy(), s.to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds)), *(pa.array(c, mask=np.isnan(c)) for c in columns)], names=["note", "n", *names])
 
     kind = components.schema["note"].dataType.simpleString()
     return notes.mapInArrow(run, f"note {kind}, n long, " + ", ".join(f"{c} double" for c in names))

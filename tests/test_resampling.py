@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import wave
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -53,6 +55,32 @@ def test_files_of_two_rates(spark, tmp_path):
         assert np.argmax(np.abs(np.fft.rfft(r.samples))) == 220
 
 
+def test_draws_that_rearrange_a_note_are_not_below_its_point(spark):
+    """The share of draws below the point, by exact sums: rounding in another order of the same components does not count."""
+    for amps in ((0.9, 0.33, 0.43), (0.58, 0.28, 0.81), (0.18, 0.79, 0.66)):
+        s = np.log1p(np.sort(amps))
+        picks = uncertainty.draw_indices(5, 0, np.arange(400), 0, np.arange(3), 3)
+        sums, point = np.array([math.fsum(s[p]) for p in picks]), math.fsum(s)
+        jack = np.array([point - x for x in s])
+        off = jack.mean() - jack
+        speed, normal = np.sum(off**3) / (6 * np.sum(off**2) ** 1.5), NormalDist()
+        z0 = normal.inv_cdf(float(np.mean(sums < point)))
+        want = [np.percentile(sums, 100 * normal.cdf(z0 + (z0 + z) / (1 - speed * (z0 + z)))) for z in (normal.inv_cdf(0.025), normal.inv_cdf(0.975))]
+        got = uncertainty.bootstrap_scores(spark.createDataFrame([(5, "H", a) for a in amps], "note long, comp string, amp double"), draws=400).first()
+        assert [got.density_low_bca, got.density_high_bca] == pytest.approx(want, rel=1e-9)
+
+
+def test_notes_drawn_together_are_as_drawn_alone(spark):
+    """Blocks of notes, parts of one size, and a part that is drawn on its own."""
+    rows = [(k, "HIS"[(k + i) % 3], 0.05 + (k * 7 + i * 13) % 29 / 30) for k in range(60) for i in range(1 + k % 9)] + [(99, "H", 0.01 * i) for i in range(1, 101)]
+    df = spark.createDataFrame(rows, "note long, comp string, amp double")
+    together = {r.note: r for r in uncertainty.bootstrap_scores(df, draws=2000).collect()}
+    assert len(together) == 61
+    for k in (3, 8, 59, 99):
+        alone = uncertainty.bootstrap_scores(df.filter(f"note = {k}"), draws=2000).first()
+        assert list(together[k]) == [pytest.approx(v, rel=1e-9, abs=1e-12) if v is not None else None for v in alone]
+
+
 def test_effective_number_draws_as_spark_hashes(spark):
     """The hash of note, draw and place in numpy is Spark's."""
     df = spark.createDataFrame([(k, 0.1 + i / 7) for k in (-3, 11) for i in range(5)], "note long, amp double")
