@@ -10,7 +10,10 @@ no cross join, whatever the number of partials. ``REACH`` bounds what is left ou
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,17 +153,88 @@ def cross_dissonance(first: DataFrame, second: DataFrame, keys: list[str]) -> Da
     return met.unionByName(none).groupBy(*keys).agg(F.sum("s").alias("dissonance"))
 
 
-def curve(partials: DataFrame, low: float = 1.0, high: float = 2.0, steps: int = 100) -> DataFrame:
-    """Sethares dissonance of a timbre against itself, shifted by each interval of a grid."""
-    # Partials meet once, by note, within the band widened by the largest shift; the grid is laid over the pairs.
+#: Notes of up to so many partials are arrays; of more, they are met by a join.
+ARRAY = 1024
+#: Cells of a block of notes that are summed together: its arrays stay in a core's cache.
+_BLOCK = 1 << 15
+
+
+def _curve_sums(freq: np.ndarray, amp: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """(notes, intervals) sums of (notes, partials) over all pairs of one partial and a shifted one; NaN amplitudes are missing."""
+
+    def value(fa: np.ndarray, aa: np.ndarray, shifted: np.ndarray, ab: np.ndarray) -> np.ndarray:
+        y = 0.24 * np.abs(shifted - fa) / (0.0207 * np.minimum(fa, shifted) + 18.96)
+        return np.nan_to_num(np.fmin(aa, ab) * np.maximum(0.0, np.exp(-3.5 * y) - np.exp(-5.75 * y)))
+
+    n = freq.shape[1]
+    out = np.zeros((len(freq), len(ratio)))
+    for j in range(n):
+        shifted, ab = freq[:, j, None] * ratio, amp[:, j, None]
+        if len(freq) > 1:
+            for i in range(n):
+                out += value(freq[:, i, None], amp[:, i, None], shifted, ab)
+        else:
+            out[0] += value(freq.T, amp.T, shifted, ab).sum(0)
+    out[np.isnan(amp).all(1)] = np.nan
+    return out
+
+
+def curves(partials: DataFrame, low: float = 1.0, high: float = 2.0, steps: int = 100) -> DataFrame:
+    """(note, dissonance): Sethares dissonance of a timbre against itself, one array over a grid of intervals.
+
+    A note of up to ``ARRAY`` partials is summed over all its pairs where its partials lie, so that only
+    partials are shuffled. Partials of larger notes meet by note within the band widened by the largest
+    shift, many tasks a note, and the grid is laid over those pairs.
+    """
+    rows = partials.filter(F.col("note").isNotNull() & F.col("freq_hz").isNotNull() & ~F.isnan("freq_hz")).select("note", F.col("freq_hz").cast("double").alias("freq_hz"), F.col("amp").cast("double").alias("amp"))
+    many = rows.groupBy("note").count().filter(F.col("count") > ARRAY).select("note")
+    parts = int(partials.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = rows.repartition(parts, "note").join(many, "note", "left_anti").groupBy("note").agg(F.sort_array(F.collect_list(F.struct("freq_hz", "amp"))).alias("items"))
+    ratio = low + np.arange(steps) * ((high - low) / (steps - 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            offsets = b.column(1).offsets.to_numpy().astype(np.int64)
+            start, size = offsets[:-1] - offsets[0], np.diff(offsets)
+            freq, amp = (c.to_numpy(zero_copy_only=False) for c in b.column(1).flatten().flatten())
+            out = np.empty((len(size), steps))
+            for n in np.unique(size).tolist():
+                alike = np.flatnonzero(size == n)
+                step = max(1, _BLOCK // steps) if n <= 16 else 1
+                for i in range(0, len(alike), step):
+                    at = start[alike[i : i + step], None] + np.arange(n)
+                    out[alike[i : i + step]] = _curve_sums(freq[at], amp[at], ratio)
+            flat = out.ravel()
+            grid = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * steps, pa.int32()), pa.array(flat, mask=np.isnan(flat)))
+            yield pa.RecordBatch.from_arrays([b.column(0), grid], names=["note", "dissonance"])
+
+    kind = partials.schema["note"].dataType.simpleString()
+    return few.mapInArrow(run, f"note {kind}, dissonance array<double>").unionByName(_met_curves(rows.join(many, "note", "left_semi"), low, high, steps))
+
+
+def _met_curves(rows: DataFrame, low: float, high: float, steps: int) -> DataFrame:
     widest = max(abs(math.log(low)), abs(math.log(high))) / 0.0207
-    a = partials.select("note", F.col("freq_hz").alias("fa"), F.col("amp").alias("aa"), _warped(F.col("freq_hz")).alias("za"))
-    b = partials.select("note", F.col("freq_hz").alias("fb"), F.col("amp").alias("ab"), _warped(F.col("freq_hz")).alias("zb"))
+    a = rows.select("note", F.col("freq_hz").alias("fa"), F.col("amp").alias("aa"), _warped(F.col("freq_hz")).alias("za"))
+    b = rows.select("note", F.col("freq_hz").alias("fb"), F.col("amp").alias("ab"), _warped(F.col("freq_hz")).alias("zb"))
     met = near_pairs(a, b, ["note"], "za", "zb", _WIDTH + widest).select("note", "fa", "aa", "fb", "ab", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
-    ratio = low + F.col("step") * ((high - low) / (steps - 1))
-    shifted = F.col("fb") * ratio
+    shifted = F.col("fb") * (low + F.col("step") * ((high - low) / (steps - 1)))
     value = sethares(F.least(F.col("fa"), shifted), F.greatest(F.col("fa"), shifted), F.col("aa"), F.col("ab"))
-    return met.groupBy("note", "step").agg(F.sum(value).alias("dissonance")).withColumn("interval", ratio)
+    sums = met.groupBy("note", "step").agg(F.sum(value).alias("dissonance"))
+    return sums.groupBy("note").agg(F.sort_array(F.collect_list(F.struct("step", "dissonance")))["dissonance"].alias("dissonance"))
+
+
+def curve(partials: DataFrame, low: float = 1.0, high: float = 2.0, steps: int = 100) -> DataFrame:
+    """:func:`curves`, one row an interval of the grid."""
+    long = curves(partials, low, high, steps).select("note", F.posexplode("dissonance").alias("step", "dissonance"))
+    return long.withColumn("interval", low + F.col("step") * ((high - low) / (steps - 1)))
+
+
+def scale(curves: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """(note, step) of the strict local minima of arrays of dissonance; differences up to the tolerance are none."""
+    d = lambda i: F.get("dissonance", i)
+    inner = F.sequence(F.lit(1), F.size("dissonance") - 2)
+    low = F.filter(inner, lambda i: (d(i) < d(i - 1) - tolerance) & (d(i) < d(i + 1) - tolerance))
+    return curves.filter(F.size("dissonance") > 2).select("note", F.explode(low).alias("step"))
 
 
 def same_timbre(partials: DataFrame, interval: float) -> DataFrame:

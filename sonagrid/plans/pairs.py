@@ -150,7 +150,7 @@ def dissonance_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rounded_sql(with_ctes(COMPONENTS, _SWEEP, "g AS (SELECT *, lag(dissonance) OVER w AS l, lead(dissonance) OVER w AS r FROM c WINDOW w AS (PARTITION BY note ORDER BY step))") + "SELECT note, step FROM g WHERE dissonance < l - 1e-9 AND dissonance < r - 1e-9", "", "note step"))
 def dissonance_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dissonance.local_minima(dissonance.curve(components(spark, sf_dir))).select("note", "step")
+    return dissonance.scale(dissonance.curves(components(spark, sf_dir)))
 
 
 @query(

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sonagrid.operators import signal, statistics
+from sonagrid.operators import dissonance, signal, statistics
 
 
 def test_principal_components_are_those_of_the_correlation_matrix(spark):
@@ -42,3 +42,20 @@ def test_masking_keeps_what_no_louder_stayer_covers(items):
         if all(e - 14 - 12 * abs(bark(g) - bark(f)) < d for e, g in stay):
             stay.append((d, f))
     assert sorted(freq[signal.mask_components(freq, db)].tolist()) == sorted(f for _, f in stay)
+
+
+def test_curves_of_arrays_and_of_met_pairs_agree(spark, monkeypatch):
+    """Notes on both sides of the bound, components without amplitude or frequency; the scale is the curve's local minima."""
+    rng = np.random.default_rng(8)
+    rows = [(k, float(f), float(a)) for k, n in ((1, 1), (2, 5), (3, 5), (4, 30)) for f, a in zip(rng.uniform(100, 3000, n), rng.uniform(0.1, 1, n), strict=True)]
+    rows += [(2, 500.0, None), (3, None, 0.5), (5, 300.0, None), (6, None, 0.5)]
+    df = spark.createDataFrame(rows, "note long, freq_hz double, amp double")
+    arrays = {(r.note, r.step): r.dissonance for r in dissonance.curve(df).collect()}
+    assert {k for k, _ in arrays} == {1, 2, 3, 4, 5} and len(arrays) == 500
+    minima = {tuple(r) for r in dissonance.scale(dissonance.curves(df)).collect()}
+    assert minima and minima == {(r.note, r.step) for r in dissonance.local_minima(dissonance.curve(df)).collect()}
+    for bound in (0, 4):
+        monkeypatch.setattr(dissonance, "ARRAY", bound)
+        met = {(r.note, r.step): r.dissonance for r in dissonance.curve(df).collect()}
+        assert met.keys() == arrays.keys()
+        assert all(met[k] == (pytest.approx(v) if v is not None else None) for k, v in arrays.items())
