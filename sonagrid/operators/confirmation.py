@@ -51,7 +51,7 @@ def rematched_stretch(peaks: DataFrame, rounds: int = 4, cents: float = 50.0, le
     of orders up to 8 in the first round and twice as many in each further one: before the stretch is
     known, high partials lie nearer to a wrong order. The last round takes all.
     B stays 0 with fewer than ``least`` orders, a slope that is not positive, or a t value under
-    ``least_t``. Each round is one aggregation by note and a join back on that partitioning.
+    ``least_t`` (by more than the rounding of its sums). Each round is one aggregation by note and a join back on that partitioning.
     """
     state = peaks.groupBy("note").agg(F.max("f0_hz").alias("f0"), F.lit(0.0).alias("b"))
     for i in range(rounds):
@@ -75,7 +75,7 @@ def rematched_stretch(peaks: DataFrame, rounds: int = 4, cents: float = 50.0, le
         )
         left = F.greatest(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0)) / F.greatest(F.col("n") - 2, F.lit(1.0))
         t = F.col("slope") * F.sqrt(F.col("sxx")) / F.sqrt(F.greatest(left, F.lit(1e-18)))
-        good = F.coalesce((F.col("orders") >= least) & (F.col("intercept") > 0) & (F.col("slope") > 0) & (t >= least_t), F.lit(False))
+        good = F.coalesce((F.col("orders") >= least) & (F.col("intercept") > 0) & (F.col("slope") > 0) & (t >= least_t - 1e-9), F.lit(False))
         state = sums.select("note", F.when(good, F.sqrt("intercept")).otherwise(F.col("start")).alias("f0"), F.when(good, F.col("slope") / F.col("intercept")).otherwise(0.0).alias("b"), "orders", good.alias("fitted"))
         if i < rounds - 1:
             state = state.select("note", "f0", "b")

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sonagrid.operators import dissonance, signal, statistics
+from sonagrid.operators import confirmation, dissonance, signal, statistics
 
 
 def test_principal_components_are_those_of_the_correlation_matrix(spark):
@@ -59,3 +59,11 @@ def test_curves_of_arrays_and_of_met_pairs_agree(spark, monkeypatch):
         met = {(r.note, r.step): r.dissonance for r in dissonance.curve(df).collect()}
         assert met.keys() == arrays.keys()
         assert all(met[k] == (pytest.approx(v) if v is not None else None) for k, v in arrays.items())
+
+
+def test_stretch_with_a_t_value_of_just_two(spark):
+    """Orders 7, 1, 5, 5 of which one is flat: t is 2 but for the rounding of its sums, in any order of the rows."""
+    peaks = [(1, 280.0, 280.0 * n * (1 + (x - 0.04) * 0.02)) for n, x in ((7, 0.07), (1, 0.05), (5, 0.07), (5, 0.07))]
+    for rows in (peaks, peaks[::-1], peaks[2:] + peaks[:2]):
+        got = confirmation.rematched_stretch(spark.createDataFrame(rows, "note long, f0_hz double, freq_hz double").coalesce(1)).first()
+        assert got.fitted and got.orders == 3
