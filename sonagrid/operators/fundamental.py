@@ -9,17 +9,19 @@ prior wins in one aggregation.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonagrid.operators.signal import autocorrelation_f0
+from sonagrid.operators.signal import autocorrelation_f0, autocorrelations_f0
 
 #: Frames whose differences are held at a time.
 FRAMES = 256
+#: Short sounds that are tracked together: their arrays stay in a core's cache.
+SOUNDS = 32
 #: Thresholds of the vote; their weights fall linearly, so low thresholds count most.
 THRESHOLDS = np.arange(0.01, 0.51, 0.01)
 VOICED = 0.8
@@ -34,7 +36,7 @@ def normalised_difference(frames: np.ndarray, longest: int) -> np.ndarray:
     """d'(lag) for lags 0 to ``longest``, each over a window of frame length less ``longest``; 1 where nothing differs yet."""
     n = frames.shape[1]
     window = n - longest
-    size = 1 << (n + window - 1).bit_length()
+    size = 1 << (n - 1).bit_length()  # no lag wanted reaches beyond the frame
     spectrum = np.fft.rfft(frames, size)
     head = np.fft.rfft(frames[:, :window], size)
     cross = np.fft.irfft(spectrum * np.conj(head), size)[:, : longest + 1]
@@ -103,7 +105,7 @@ def tracked(x: np.ndarray, rate: float, low: float = 20.0, high: float = 2000.0,
     x = np.asarray(x, float)
     if len(x) < 16 or not np.any(x) or not np.all(np.isfinite(x)):
         return []
-    frame = max(frame, int(2 * rate / low) + 2)
+    frame = frame_length(rate, low, frame)
     parts = frames_of(x - x.mean(), frame, hop)
     longest = min(int(rate / low) + 1, parts.shape[1] // 2)
     first = max(2, int(rate / high))
@@ -129,38 +131,83 @@ def tracked(x: np.ndarray, rate: float, low: float = 20.0, high: float = 2000.0,
     return [o for o in out if low <= o[1] <= high]
 
 
-def candidates(sounds: DataFrame, key: str, samples: str, rate: str, low: float = 20.0, high: float = 2000.0) -> DataFrame:
-    """(key, method, place, candidate_hz, confidence, counted, frames) of every sound; place 0 is the surest. A map over the rows.
+def frame_length(rate: float, low: float, frame: int = 2048) -> int:
+    """Two periods of the lowest frequency at least."""
+    return max(frame, int(2 * rate / low) + 2)
+
+
+def tracked_together(x: np.ndarray, rate: float, low: float = 20.0, high: float = 2000.0) -> list[list[tuple[str, float, float, int, int]]]:
+    """:func:`tracked` of each row, sounds of one length that are shorter than a frame."""
+    n = x.shape[1]
+    out: list[list] = [[] for _ in x]
+    longest, first = min(int(rate / low) + 1, n // 2), max(2, int(rate / high))
+    if n < 16 or longest - first < 3:
+        return out
+    heard = np.flatnonzero(x.any(1) & np.isfinite(x).all(1))
+    for i in range(0, len(heard), SOUNDS):
+        rows = heard[i : i + SOUNDS]
+        own = x[rows]
+        d = normalised_difference(own - own.mean(axis=1, keepdims=True), longest)
+        voted, share = voted_trough(d, first)
+        lag, sure = first_trough(d, first)
+        plain = autocorrelations_f0(own, rate, low, high)
+        for row, v, s, t, c, p in zip(rows.tolist(), (rate / voted).tolist(), share.tolist(), (rate / lag).tolist(), sure.tolist(), plain.tolist(), strict=True):
+            found = [("votes", v, s, 1, 1)] if s > VOICED else []
+            found += [("trough", t, c, 1, 1), ("autocorrelation", p, 0.0, 1, 1)]
+            out[row] = [o for o in found if low <= o[1] <= high]
+    return out
 
-    ``samples`` is an array of doubles, ``rate`` a column. Sounds without any candidate have no row.
-    """
-    names = ("method", "place", "candidate_hz", "confidence", "counted", "frames")
+
+_FOUND = ("method", "place", "candidate_hz", "confidence", "counted", "frames")
+_FOUND_SCHEMA = "method string, place int, candidate_hz double, confidence double, counted int, frames int"
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _tracking(key: str, low: float, high: float) -> Batches:
+    """Batches of key, samples and rate to batches of candidates."""
     kinds = (pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.int32())
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists, rates = b.column(1), b.column(2).to_numpy(zero_copy_only=False)
+            lists, rates = b.column("samples"), b.column("rate").to_numpy(zero_copy_only=False)
             bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            at, out = [], []
-            for i in range(b.num_rows):
-                if lists[i].is_valid and rates[i] > 0:
-                    for place, (method, hz, sure, counted, n) in enumerate(tracked(flat[bounds[i] : bounds[i + 1]], float(rates[i]), low, high)):
-                        at.append(i)
-                        out.append((method, place, hz, sure, counted, n))
+            size = np.diff(bounds)
+            usable = lists.is_valid().to_numpy(zero_copy_only=False) & (rates > 0)
+            found: list[list] = [[] for _ in size]
+            for n, hz in sorted(set(zip(size[usable].tolist(), rates[usable].tolist(), strict=True))):
+                alike = np.flatnonzero(usable & (size == n) & (rates == hz))
+                if 0 < n < frame_length(hz, low):
+                    for i in range(0, len(alike), FRAMES):
+                        own = alike[i : i + FRAMES]
+                        for row, tracks in zip(own.tolist(), tracked_together(flat[bounds[own][:, None] + np.arange(n)], hz, low, high), strict=True):
+                            found[row] = tracks
+                else:
+                    for row in alike.tolist():
+                        found[row] = tracked(flat[bounds[row] : bounds[row + 1]], hz, low, high)
+            at = [i for i, tracks in enumerate(found) for _ in tracks]
+            out = [(method, place, hz, sure, counted, n) for tracks in found for place, (method, hz, sure, counted, n) in enumerate(tracks)]
             columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[key, *names])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[key, *_FOUND])
+
+    return task
+
+
+def candidates(sounds: DataFrame, key: str, samples: str, rate: str, low: float = 20.0, high: float = 2000.0) -> DataFrame:
+    """(key, method, place, candidate_hz, confidence, counted, frames) of every sound; place 0 is the surest. A map over the rows.
 
+    ``samples`` is an array of doubles, ``rate`` a column. Sounds without any candidate have no row.
+    """
     kind = sounds.schema[key].dataType.simpleString()
     given = sounds.select(key, F.col(samples).cast("array<double>").alias("samples"), F.col(rate).cast("double").alias("rate"))
-    return given.mapInArrow(task, f"{key} {kind}, method string, place int, candidate_hz double, confidence double, counted int, frames int")
+    return given.mapInArrow(_tracking(key, low, high), f"{key} {kind}, {_FOUND_SCHEMA}")
 
 
-def tones(notes: DataFrame, key: str, f0: str, amps: str, samples: int, rate: float) -> DataFrame:
-    """(key, f0, samples, rate): each note's orders 1, 2, ... summed as sines of the amplitudes in an array; nulls are silent. A map over the rows."""
+def _sounding(key: str, samples: int, rate: float) -> Batches:
+    """Batches of key, f0 and amplitudes to batches of key, f0, samples and rate, few notes at a time."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = 2 * np.pi / rate * np.arange(samples)
-        for b in batches:
+        for b in (whole.slice(i, FRAMES) for whole in batches for i in range(0, whole.num_rows, FRAMES)):
             lists, hz = b.column(2), b.column(1).to_numpy(zero_copy_only=False)
             bounds, flat = lists.offsets.to_numpy(), np.nan_to_num(lists.values.to_numpy(zero_copy_only=False))
             waves = np.zeros((b.num_rows, samples))
@@ -171,9 +218,24 @@ def tones(notes: DataFrame, key: str, f0: str, amps: str, samples: int, rate: fl
             out = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * samples, pa.int32()), pa.array(waves.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), out, pa.array(np.full(b.num_rows, rate))], names=[key, "f0", "samples", "rate"])
 
+    return task
+
+
+def _given(notes: DataFrame, key: str, f0: str, amps: str) -> DataFrame:
+    return notes.select(key, F.col(f0).cast("double").alias("f0"), F.coalesce(F.col(amps).cast("array<double>"), F.array().cast("array<double>")).alias("amps"))
+
+
+def tones(notes: DataFrame, key: str, f0: str, amps: str, samples: int, rate: float) -> DataFrame:
+    """(key, f0, samples, rate): each note's orders 1, 2, ... summed as sines of the amplitudes in an array; nulls are silent. A map over the rows."""
+    kind = notes.schema[key].dataType.simpleString()
+    return _given(notes, key, f0, amps).mapInArrow(_sounding(key, samples, rate), f"{key} {kind}, f0 double, samples array<double>, rate double")
+
+
+def tone_candidates(notes: DataFrame, key: str, f0: str, amps: str, samples: int, rate: float, low: float = 20.0, high: float = 2000.0) -> DataFrame:
+    """:func:`candidates` of :func:`tones`, heard in the task that makes them: no samples go through the JVM."""
+    make, track = _sounding(key, samples, rate), _tracking(key, low, high)
     kind = notes.schema[key].dataType.simpleString()
-    given = notes.select(key, F.col(f0).cast("double").alias("f0"), F.coalesce(F.col(amps).cast("array<double>"), F.array().cast("array<double>")).alias("amps"))
-    return given.mapInArrow(task, f"{key} {kind}, f0 double, samples array<double>, rate double")
+    return _given(notes, key, f0, amps).mapInArrow(lambda batches: track(make(batches)), f"{key} {kind}, {_FOUND_SCHEMA}")
 
 
 def _cents(a: Column, b: Column) -> Column:

@@ -156,20 +156,18 @@ def band_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Fundamentals -------------------------------------------------------------------------------------
 
 
-def _tones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A quarter of a second of every note's partials, each at its order's place, at 8 kHz."""
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every note's amplitudes by order."""
     amps = F.aggregate("parts", F.array_repeat(F.lit(0.0), 7), lambda a, x: F.transform(a, lambda v, i: F.when(i + 1 == x["n"], v + x["amp"]).otherwise(v)))
     notes = components(spark, sf_dir).groupBy("note").agg(F.max("f0_hz").alias("f0_hz"), F.collect_list(F.struct("n", "amp")).alias("parts"))
     # Few bytes a note, much work: dealt over all shuffle partitions, which AQE would merge into one.
-    dealt = notes.select("note", "f0_hz", amps.alias("amps")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("note"))
-    return fundamental.tones(dealt, "note", "f0_hz", "amps", 2000, 8000.0)
+    return notes.select("note", "f0_hz", amps.alias("amps")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("note"))
 
 
 @query()
 def fundamental_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every note's sound heard, its candidates corrected against the note's nominal fundamental; a Fourier transform has no SQL."""
-    tones = _tones(spark, sf_dir)
-    found = fundamental.candidates(tones, "note", "samples", "rate", 40.0, 2000.0)
+    """A quarter of a second of every note's partials at 8 kHz heard, its candidates corrected against the note's nominal fundamental; a Fourier transform has no SQL."""
+    found = fundamental.tone_candidates(_orders(spark, sf_dir), "note", "f0_hz", "amps", 2000, 8000.0, 40.0, 2000.0)
     nominal = components(spark, sf_dir).groupBy("note").agg(F.max("f0_hz").alias("prior"))
     return rounded(fundamental.chosen(nominal.join(found, "note", "left"), "note", "prior"))
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sonagrid.operators import fundamental, partials
+from sonagrid.operators.signal import autocorrelation_f0
 
 RATE = 8000.0
 
@@ -116,3 +117,32 @@ def test_energy_shares(spark):
     mine = partials.harmonic_partials(peaks, spark.createDataFrame([(1, 100.0)], "note long, f0_hz double"))
     got = {x.note: tuple(x)[1:] for x in partials.peak_energy(peaks, mine, 80.0).collect()}
     assert got[1] == pytest.approx((3, 1, 4 / 9, 1 / 9, 4 / 9)) and got[2] == (1, 0, None, None, None)
+
+
+def test_sounds_tracked_together_are_as_tracked_alone(spark):
+    """Short sounds of two lengths and rates among silence, gaps and a long one; a map over batches gives the same tracks."""
+    x = [sound(f0, range(1, 5), noise, 0.2) for f0, noise in ((110, 0.0), (233, 0.3), (440, 0.05), (61, 1.0))]
+    x += [np.zeros(1600), np.full(1600, np.nan), np.ones(1600), np.ones(10), np.cos(np.pi / 1600 * np.arange(1600))]
+    for got, own in zip(fundamental.tracked_together(np.stack([s for s in x if len(s) == 1600]), RATE), [s for s in x if len(s) == 1600], strict=True):
+        assert [(m, pytest.approx(hz), pytest.approx(sure), c, n) for m, hz, sure, c, n in fundamental.tracked(own, RATE)] == got
+    sounds = [*x, x[0][:1200], sound(196, range(1, 4)), None, np.zeros(0)]
+    rows = spark.createDataFrame([(i, None if s is None else [float(v) for v in s], RATE if i != 2 else 16000.0) for i, s in enumerate(sounds)], "k int, samples array<double>, rate double")
+    got = {}
+    for r in fundamental.candidates(rows, "k", "samples", "rate").collect():
+        got.setdefault(r.k, []).append((r.method, r.candidate_hz))
+    want = {i: [(m, pytest.approx(hz)) for m, hz, *_ in fundamental.tracked(s, RATE if i != 2 else 16000.0)] for i, s in enumerate(sounds) if s is not None}
+    assert got == {i: w for i, w in want.items() if w}
+
+
+def test_no_strong_peak_is_none():
+    """A slow fall has peaks of negative correlation only."""
+    x = np.linspace(1, -1, 400) ** 3 + 0.01 * np.sin(np.arange(400))
+    assert autocorrelation_f0(x, RATE, 30.0, 60.0) is None
+
+
+def test_tones_heard_where_they_are_made(spark):
+    notes = spark.createDataFrame([(k, 90.0 + 7 * (k % 40), None if k == 9 else [1.0, 0.0, None, 0.5][: k % 5]) for k in range(600)], "k long, f0 double, amps array<double>")
+    want = fundamental.candidates(fundamental.tones(notes, "k", "f0", "amps", 2000, RATE), "k", "samples", "rate", 40.0, 2000.0)
+    got = fundamental.tone_candidates(notes, "k", "f0", "amps", 2000, RATE, 40.0, 2000.0)
+    assert got.schema == want.schema and got.count() > 900
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
