@@ -18,7 +18,9 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = F.array_sort(F.collect_list(F.struct("freq_hz", "amp")))
-    rows = components(spark, sf_dir).groupBy("note").agg(order.alias("xs"), F.first("f0_hz").alias("f0"))
+    # Few bytes a note, much work: dealt over all shuffle partitions, which AQE would merge into few.
+    dealt = components(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "note")
+    rows = dealt.groupBy("note").agg(order.alias("xs"), F.first("f0_hz").alias("f0"))
     return rows.select("note", F.col("xs.freq_hz").alias("freq"), F.col("xs.amp").alias("amp"), F.array("f0").alias("f0"))
 
 

@@ -67,3 +67,19 @@ def test_stretch_with_a_t_value_of_just_two(spark):
     for rows in (peaks, peaks[::-1], peaks[2:] + peaks[:2]):
         got = confirmation.rematched_stretch(spark.createDataFrame(rows, "note long, f0_hz double, freq_hz double").coalesce(1)).first()
         assert got.fitted and got.orders == 3
+
+
+def test_greedy_orders_in_blocks_are_a_plain_walk(monkeypatch):
+    """Every order in turn takes its nearest free peak, with orders laid out in blocks of any size."""
+    rng = np.random.default_rng(12)
+    for f0, b, n in ((50.0, 1e-5, 6), (3.0, 0.0, 40), (90.0, 4e-4, 12)):
+        freq, used, want = rng.uniform(20, 5000, n), set(), []
+        for k in range(1, int(freq.max() * 2 ** (50 / 1200) / f0) + 1):
+            at = k * f0 * math.sqrt(1 + b * k * k)
+            off = [(abs(1200 * math.log2(x / at)), i) for i, x in enumerate(freq) if i not in used and abs(1200 * math.log2(x / at)) <= 50]
+            if off:
+                used.add(min(off)[1])
+                want.append((k, min(off)[1]))
+        for block in (1, 7, 1 << 14):
+            monkeypatch.setattr(signal, "_ORDERS", block)
+            assert signal.greedy_orders(freq, f0, b) == want
