@@ -9,7 +9,11 @@ Hermite polynomials. That is linear in the components, and exact to about 1e-10
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from numpy.polynomial.hermite import hermval
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +23,8 @@ BANDS = (20.0, 200.0, 1000.0, 5000.0, 20000.0)
 TERMS = 18
 #: Cells farther apart than this many kernel widths contribute under exp(-40).
 REACH = 9.0
+#: Blocks that are summed together.
+_ROWS = 1000
 
 
 def band_of(freq: Column) -> Column:
@@ -61,14 +67,23 @@ def capped_masses(components: DataFrame, gamma: float = 2.0, hz_window: float =
     return ranked.select("note", "freq", (held / F.sum(held).over(note)).alias("mass"))
 
 
-def _hermite(n: int, x: Column) -> Column:
-    """The physicists' polynomial H_n."""
-    out = F.lit(0.0)
-    for k in range(n // 2 + 1):
-        power = n - 2 * k
-        factor = (-1) ** k * math.factorial(n) / (math.factorial(k) * math.factorial(power)) * 2.0**power
-        out = out + factor * (F.pow(x, F.lit(float(power))) if power else F.lit(1.0))
-    return out
+def _field(near: int, step: float) -> np.ndarray:
+    """What the moments of a block of ``near`` cells say of its own pairs, and of those with the next block, both orders.
+
+    The entry for moment k of one cell and moment j of another is that of (offset - other offset) ** (k + j)
+    by the binomial theorem, times the series' coefficient at the distance of their centres.
+    """
+    k = np.arange(TERMS)
+    order = np.add.outer(k, k)
+    kept = order < TERMS
+    binomial = np.array([[math.comb(i + j, i) * (-1.0) ** j if i + j < TERMS else 0.0 for j in k] for i in k])
+    apart = np.subtract.outer(np.arange(near), np.arange(2 * near))
+    t = apart * step
+    series = np.stack([(-1.0) ** n / math.factorial(n) * hermval(t, np.eye(TERMS)[n]) * np.exp(-t * t) for n in range(TERMS)], -1)
+    series[np.abs(apart) > near] = 0.0
+    series[:, near:] *= 2.0
+    full = series[:, :, np.where(kept, order, 0)] * np.where(kept, binomial, 0.0)
+    return full.transpose(0, 2, 1, 3).reshape(near * TERMS, 2 * near * TERMS)
 
 
 def kernel_sums(masses: DataFrame, sigma: float) -> DataFrame:
@@ -76,26 +91,39 @@ def kernel_sums(masses: DataFrame, sigma: float) -> DataFrame:
 
     With t = distance / (sigma sqrt 2), exp(-(t + s)^2) = sum over n of (-s)^n / n! H_n(t) exp(-t^2),
     where t joins two cell centres and s the offsets within the cells, of which moments are known.
+    A block is as many cells as the kernel reaches, so cells meet those of their block and the next
+    one: a row a block, in the order of a note's blocks, and no cell is copied.
     """
     unit = sigma * math.sqrt(2)
     width = sigma / 2
+    near = math.ceil(REACH * sigma / width)
     cell = F.floor(F.col("freq") / width)
     offset = (F.col("freq") - (cell + 0.5) * width) / unit
     powers = [F.sum(F.col("mass") * (F.pow("offset", F.lit(float(k))) if k else F.lit(1.0))) for k in range(TERMS)]
     cells = masses.withColumn("cell", cell).withColumn("offset", offset).groupBy("note", "cell").agg(F.array(*powers).alias("m"), F.sum(F.col("mass") * F.col("mass")).alias("own"))
-    near = math.ceil(REACH * sigma / width)
-    a = cells.select("note", F.col("cell").alias("a"), F.col("m").alias("ma"), F.explode(F.sequence(F.col("cell") - near, F.col("cell") + near)).alias("cell"))
-    met = a.join(cells.select("note", "cell", "m"), ["note", "cell"])
-    t = (F.col("a") - F.col("cell")) * width / unit
-    series = F.lit(0.0)
-    for n in range(TERMS):
-        # (offset a - offset b) ** n by the binomial theorem, over products of moments
-        moment = F.lit(0.0)
-        for k in range(n + 1):
-            moment = moment + float(math.comb(n, k) * (-1) ** (n - k)) * F.col("ma")[k] * F.col("m")[n - k]
-        series = series + F.pow(F.lit(-1.0), F.lit(float(n))) / math.factorial(n) * _hermite(n, F.col("t")) * moment
-    sums = met.withColumn("t", t).groupBy("note").agg(F.sum(series * F.exp(-F.col("t") * F.col("t"))).alias("all"))
-    return sums.join(cells.groupBy("note").agg(F.sum("own").alias("own")), "note").select("note", (F.col("all") - F.col("own")).alias("pair_sum"))
+    block = F.floor(F.col("cell") / near)
+    placed = cells.select("note", block.alias("block"), F.struct((F.col("cell") - block * near).cast("int").alias("place"), "m").alias("cell"), "own")
+    blocks = placed.groupBy("note", "block").agg(F.collect_list("cell").alias("cells"), F.sum("own").alias("own"))
+    along = Window.partitionBy("note").orderBy("block")
+    met = blocks.select("note", "own", "cells", F.when(F.lead("block").over(along) == F.col("block") + 1, F.lead("cells").over(along)).alias("next"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = _field(near, width / unit)
+        for whole in batches:
+            for at in range(0, whole.num_rows, _ROWS):
+                b = whole.slice(at, _ROWS)
+                moments = np.zeros((b.num_rows, 2 * near, TERMS))
+                for side in (0, 1):
+                    lists = b.column(2 + side)
+                    place, m = lists.flatten().flatten()
+                    row = np.repeat(np.arange(b.num_rows), lists.value_lengths().fill_null(0).to_numpy())
+                    moments[row, place.to_numpy() + side * near] = m.flatten().to_numpy().reshape(-1, TERMS)
+                flat = moments.reshape(b.num_rows, -1)
+                found = np.einsum("ij,ij->i", flat[:, : near * TERMS] @ field, flat) - b.column(1).to_numpy()
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found)], names=["note", "pair_sum"])
+
+    kind = masses.schema["note"].dataType.simpleString()
+    return met.mapInArrow(run, f"note {kind}, pair_sum double").groupBy("note").agg(F.sum("pair_sum").alias("pair_sum"))
 
 
 def proximity_density(components: DataFrame, sigma: float = 500.0, gamma: float = 2.0, hz_window: float = 4000.0, per_band: int = 4, hard: bool = False, weights: tuple[float, float] = (0.45, 0.55), low_share: float = 0.35, low_hz: float = 1000.0, q: float = 1.0) -> DataFrame:

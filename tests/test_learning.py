@@ -154,6 +154,24 @@ def test_proximity_without_pairs(spark, hard, sigma):
         assert got[note] == pytest.approx(plain_density(own[:, 0], own[:, 1], f0, sigma, hard), abs=1e-9)
 
 
+def test_proximity_copies_no_cell(spark):
+    """Cells meet where they lie: no join, and nothing exploded before a shuffle."""
+    df = spark.createDataFrame([(1, 100.0, 1.0), (1, 700.0, 0.5)], "note long, freq double, mass double")
+    plan = proximity.kernel_sums(df, 500.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    assert proximity.kernel_sums(df.filter("false"), 500.0).count() == 0
+
+
+@pytest.mark.parametrize("gap", [0.0, 4000.0, 4499.0, 4501.0, 9000.0])
+def test_proximity_across_blocks(spark, gap):
+    """Pairs of one block, of two neighbours and of blocks with empty ones between."""
+    freq, mass = np.array([10.0, 4490.0, 4510.0]) + np.array([0.0, gap, gap]), np.array([0.5, 0.3, 0.2])
+    df = spark.createDataFrame([("x", float(f), float(m)) for f, m in zip(freq, mass, strict=True)], "note string, freq double, mass double")
+    k = np.exp(-((freq[:, None] - freq[None, :]) ** 2) / (2 * 500.0**2))
+    np.fill_diagonal(k, 0)
+    assert proximity.kernel_sums(df, 500.0).collect()[0].pair_sum == pytest.approx((mass[:, None] * mass * k).sum(), abs=1e-12)
+
+
 # --- orders ---
 
 
