@@ -1,7 +1,8 @@
 """A note's peaks in three disjoint regions, and the densities, energies and weights that follow.
 
-Input: note, f0_hz, freq_hz, power, one row a peak. :func:`regions` needs one shuffle, by note;
-:func:`descriptors` aggregates twice on that same partitioning. A peak below the low band's bound
+Input: note, f0_hz, freq_hz, power, one row a peak. :func:`regions` needs one shuffle, by note, and
+sorts by frequency once (again by power only where ``loudest`` is read); :func:`descriptors`
+aggregates twice on that same partitioning. A peak below the low band's bound
 is low (S), one within an order's tolerance is harmonic (H), the rest is residual (I).
 """
 
@@ -39,7 +40,8 @@ def regions(peaks: DataFrame, b: Bounds = Bounds()) -> DataFrame:
     note = Window.partitionBy("note")
     by_freq = note.orderBy("freq_hz", "power")
     rows = peaks.filter(F.col("freq_hz").between(b.low_hz, b.high_hz) & (F.col("power") >= 0) & (F.col("f0_hz") > 0))
-    rows = rows.withColumn("top", F.max("power").over(note)).filter((F.col("top") > 0) & (F.col("power") >= F.col("top") * 10 ** (b.relative_db / 10)))
+    whole = by_freq.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # in the order of what follows: one sort
+    rows = rows.withColumn("top", F.max("power").over(whole)).filter((F.col("top") > 0) & (F.col("power") >= F.col("top") * 10 ** (b.relative_db / 10)))
     rows = rows.withColumn("step", F.lead("freq_hz").over(by_freq) - F.col("freq_hz"))
     rows = rows.withColumn("step_hz", F.coalesce(F.percentile(F.when(F.col("step") > 1e-12, F.col("step")), 0.5).over(note), F.col("f0_hz") / 8))
     rows = rows.withColumn("order", F.rint(F.col("freq_hz") / F.col("f0_hz")))
@@ -69,14 +71,15 @@ def descriptors(peaks: DataFrame, b: Bounds = Bounds()) -> DataFrame:
     counted = F.when(region == "H", slot <= b.ceiling_hz).when(region == "I", f <= b.ceiling_hz).otherwise(F.col("peak") & (f <= b.ceiling_hz))
     unit = F.when(region == "H", F.col("order")).when(region == "I", F.col("log_bin")).otherwise(f)
     # First by order, log bin or peak, then by note: both on the partitioning by note.
-    energy = F.when(region == "H", F.when(F.col("loudest"), p).otherwise(0.0)).otherwise(p)
+    # An order's energy is its loudest peak's; of equally loud ones the lowest tells whether it lies in the body.
+    body = F.when(f <= b.body_hz, p)
     weighted = F.when(f.between(b.low_hz, b.body_hz), F.sqrt(p) / (1 + (f / b.knee_hz) * (f / b.knee_hz)))
     units = rows.withColumn("unit", unit).groupBy("note", "region", "unit").agg(
         F.max("f0_hz").alias("f0_hz"),
         F.max("step_hz").alias("step_hz"),
         F.max(F.when(counted, F.col("salience"))).alias("salience"),
-        F.sum(energy).alias("e"),
-        F.sum(F.when(f <= b.body_hz, energy)).alias("e_body"),
+        F.when(region == "H", F.max(p)).otherwise(F.sum(p)).alias("e"),
+        F.when(region != "H", F.sum(body)).when(F.max(body) == F.max(p), F.max(p)).otherwise(0.0).alias("e_body"),
         F.sum(F.when(counted & (region == "S"), p)).alias("e_low_peaks"),
         F.sum(p).alias("p"),
         F.sum(p * p).alias("pp"),

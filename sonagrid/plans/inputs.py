@@ -34,6 +34,19 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Rows of a task that sorts or gathers components by note.
+TASK_ROWS = 500_000
+
+
+def dealt(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """Rows of line items dealt by note over tasks whose number grows with the table, not their size.
+
+    Few rows are left to the settings: Spark shuffles them by note where it has to.
+    """
+    tasks = -(-table(spark, sf_dir, "lineitem").count() // TASK_ROWS)
+    return rows.repartition(tasks, "note") if tasks > spark.sparkContext.defaultParallelism else rows
+
+
 COMPONENTS = """components AS (
   SELECT l_orderkey AS note, CASE l_returnflag WHEN 'N' THEN 'H' WHEN 'A' THEN 'I' ELSE 'S' END AS comp,
     CAST(l_linenumber AS BIGINT) AS n, l_extendedprice / 99991.0 AS amp, l_quantity * 100.0 AS freq_hz,

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from sonagrid.operators import regions
 from sonagrid.plans.catalog import query
-from sonagrid.plans.inputs import COMPONENTS, SPECTRUM, components, spectrum, with_ctes
+from sonagrid.plans.inputs import COMPONENTS, SPECTRUM, components, dealt, spectrum, with_ctes
 from sonagrid.plans.rounding import rounded, rounded_sql
 
 
 def _peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n")
     freq = F.when(F.col("status") == "floor", 18.0 + 7.5 * n).when(n % 2 == 1, F.col("peak_hz")).otherwise(F.col("freq_hz"))
-    return components(spark, sf_dir).select("note", "f0_hz", freq.alias("freq_hz"), (F.col("amp") * F.col("amp")).alias("power"))
+    return dealt(spark, sf_dir, components(spark, sf_dir).select("note", "f0_hz", freq.alias("freq_hz"), (F.col("amp") * F.col("amp")).alias("power")))
 
 
 _PEAKS = "peaks AS (SELECT note, f0_hz, CASE WHEN status = 'floor' THEN 18.0::DOUBLE + 7.5::DOUBLE * n WHEN n % 2 = 1 THEN peak_hz ELSE freq_hz END AS freq_hz, amp * amp AS power FROM components)"
