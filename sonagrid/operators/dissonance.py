@@ -10,7 +10,7 @@ no cross join, whatever the number of partials. ``REACH`` bounds what is left ou
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -179,6 +179,21 @@ def _curve_sums(freq: np.ndarray, amp: np.ndarray, ratio: np.ndarray) -> np.ndar
     return out
 
 
+def _summed(lists: pa.ListArray, width: int, sums: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """(notes, width): ``sums`` over (notes, partials) of frequencies and amplitudes, small notes of one size together."""
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    start, size = offsets[:-1] - offsets[0], np.diff(offsets)
+    freq, amp = (c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten())
+    out = np.empty((len(size), width))
+    for n in np.unique(size).tolist():
+        alike = np.flatnonzero(size == n)
+        step = max(1, _BLOCK // width) if n <= 16 else 1
+        for i in range(0, len(alike), step):
+            at = start[alike[i : i + step], None] + np.arange(n)
+            out[alike[i : i + step]] = sums(freq[at], amp[at])
+    return out
+
+
 def curves(partials: DataFrame, low: float = 1.0, high: float = 2.0, steps: int = 100) -> DataFrame:
     """(note, dissonance): Sethares dissonance of a timbre against itself, one array over a grid of intervals.
 
@@ -194,18 +209,8 @@ def curves(partials: DataFrame, low: float = 1.0, high: float = 2.0, steps: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            offsets = b.column(1).offsets.to_numpy().astype(np.int64)
-            start, size = offsets[:-1] - offsets[0], np.diff(offsets)
-            freq, amp = (c.to_numpy(zero_copy_only=False) for c in b.column(1).flatten().flatten())
-            out = np.empty((len(size), steps))
-            for n in np.unique(size).tolist():
-                alike = np.flatnonzero(size == n)
-                step = max(1, _BLOCK // steps) if n <= 16 else 1
-                for i in range(0, len(alike), step):
-                    at = start[alike[i : i + step], None] + np.arange(n)
-                    out[alike[i : i + step]] = _curve_sums(freq[at], amp[at], ratio)
-            flat = out.ravel()
-            grid = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * steps, pa.int32()), pa.array(flat, mask=np.isnan(flat)))
+            flat = _summed(b.column(1), steps, lambda freq, amp: _curve_sums(freq, amp, ratio)).ravel()
+            grid = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * steps, pa.int32()), pa.array(flat, mask=np.isnan(flat)))
             yield pa.RecordBatch.from_arrays([b.column(0), grid], names=["note", "dissonance"])
 
     kind = partials.schema["note"].dataType.simpleString()
@@ -238,13 +243,37 @@ def scale(curves: DataFrame, tolerance: float = 1e-9) -> DataFrame:
 
 
 def same_timbre(partials: DataFrame, interval: float) -> DataFrame:
-    """Dissonance of a timbre sounded with itself shifted by an interval: cross is between the two, full within both together, added is full less what each has alone."""
-    shifted = partials.select("note", (F.col("freq_hz") * interval).alias("freq_hz"), "amp")
-    own = partials.select("note", "freq_hz", "amp")
+    """Dissonance of a timbre sounded with itself shifted by an interval: cross is between the two, full within both together, added is full less what each has alone.
+
+    A note of up to ``ARRAY`` partials is summed over all its pairs where its partials lie, so that
+    partials are shuffled once; those of larger notes, few notes beside the partials, meet by joins.
+    """
+    rows = partials.select("note", F.col("freq_hz").cast("double").alias("freq_hz"), F.col("amp").cast("double").alias("amp"))
+    good = F.col("note").isNotNull() & F.col("freq_hz").isNotNull() & ~F.isnan("freq_hz")
+    many = F.broadcast(rows.filter(good).groupBy("note").count().filter(F.col("count") > ARRAY).select("note"))
+    items = F.sort_array(F.collect_list(F.when(good, F.struct("freq_hz", "amp")))).alias("items")
+    few = rows.join(many, "note", "left_anti").groupBy("note").agg(items)
+
+    def sums(freq: np.ndarray, amp: np.ndarray) -> np.ndarray:
+        # At the interval 1 every pair of a note meets itself twice, and no partial counts against itself.
+        own = np.ones(1)
+        cross, low, high = (_curve_sums(*x) for x in ((freq, amp, np.array([interval])), (freq, amp, own), (freq * interval, amp, own)))
+        return np.nan_to_num(np.hstack([cross, low / 2, high / 2]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, _summed(b.column(1), 3, sums).T.copy())], names=["note", "cross", "low", "high"])
+
+    kind = partials.schema["note"].dataType.simpleString()
+    out = few.mapInArrow(run, f"note {kind}, cross double, low double, high double").unionByName(_met_timbre(rows.join(many, "note", "left_semi"), interval))
+    return out.select("note", "cross", (F.col("cross") + F.col("low") + F.col("high")).alias("full"), F.col("low").alias("intrinsic"), (F.col("cross") + F.col("high")).alias("added"))
+
+
+def _met_timbre(own: DataFrame, interval: float) -> DataFrame:
+    shifted = own.select("note", (F.col("freq_hz") * interval).alias("freq_hz"), "amp")
     cross = cross_dissonance(own, shifted, ["note"]).withColumnRenamed("dissonance", "cross")
     alone = [dissonance(x).select("note", F.col("sethares_sum").alias(n)) for x, n in ((own, "low"), (shifted, "high"))]
-    out = cross.join(alone[0], "note", "left").join(alone[1], "note", "left").fillna(0.0, ["low", "high"])
-    return out.select("note", "cross", (F.col("cross") + F.col("low") + F.col("high")).alias("full"), F.col("low").alias("intrinsic"), (F.col("cross") + F.col("high")).alias("added"))
+    return cross.join(alone[0], "note", "left").join(alone[1], "note", "left").fillna(0.0, ["low", "high"])
 
 
 def local_minima(curves: DataFrame, tolerance: float = 1e-9) -> DataFrame:

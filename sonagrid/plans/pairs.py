@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sonagrid.operators import descriptors, dissonance, persistence, ranges
 from sonagrid.plans.catalog import query
-from sonagrid.plans.inputs import COMPONENTS, SPECTRUM, components, spectrum, table, with_ctes
+from sonagrid.plans.inputs import COMPONENTS, SPECTRUM, components, dealt, spectrum, table, with_ctes
 from sonagrid.plans.rounding import rounded, rounded_sql
 
 _PAIRS = """pairs AS (
@@ -109,7 +109,7 @@ high AS (SELECT note, sum({_SETHARES}) AS high FROM (SELECT note, 1.5 * f1 AS f1
     )
 )
 def same_timbre_fifth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(dissonance.same_timbre(components(spark, sf_dir), 1.5).withColumnsRenamed({"cross": "crossed", "full": "full_sum"}))
+    return rounded(dissonance.same_timbre(dealt(spark, sf_dir, components(spark, sf_dir)), 1.5).withColumnsRenamed({"cross": "crossed", "full": "full_sum"}))
 
 
 #: A coarse table of the standard curve, for the lookup query.

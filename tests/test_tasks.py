@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import pytest
 
-from sonagrid.operators import regions
+from sonagrid.operators import dissonance, regions
 from sonagrid.plans import inputs
 from tests.conftest import SMALL
 
@@ -44,3 +46,28 @@ def test_tasks_grow_with_the_rows(spark, monkeypatch):
     for size in (100, 50):
         monkeypatch.setattr(inputs, "TASK_ROWS", size)
         assert inputs.dealt(spark, SMALL, rows).rdd.getNumPartitions() == -(-rows.count() // size)
+
+
+def brute_timbre(items, interval):
+    def sethares(f1, a1, f2, a2):
+        y = 0.24 * abs(f2 - f1) / (0.0207 * min(f1, f2) + 18.96)
+        return min(a1, a2) * max(0.0, math.exp(-3.5 * y) - math.exp(-5.75 * y))
+
+    cross = sum(sethares(f, a, g * interval, b) for f, a in items for g, b in items)
+    low, high = (sum(sethares(f * x, a, g * x, b) for i, (f, a) in enumerate(items) for g, b in items[:i]) for x in (1.0, interval))
+    return cross, cross + low + high, low, cross + high
+
+
+@pytest.mark.parametrize("most", [1024, 3])
+def test_timbre_by_arrays_and_by_joins(spark, monkeypatch, most):
+    """Both ways give all pairs; rows without a note or a frequency count nothing but keep their note."""
+    monkeypatch.setattr(dissonance, "ARRAY", most)
+    notes = {1: [(200.0, 1.0)], 2: [(200.0, 1.0), (200.0, 1.0), (310.0, 0.5)], 3: [(100.0 * k + 3.0 * (k % 3), 1.0 / k) for k in range(1, 25)]}
+    rows = [(n, f, a) for n, items in notes.items() for f, a in items] + [(4, None, 1.0), (None, 100.0, 1.0), (None, 110.0, 1.0)]
+    df = dissonance.same_timbre(spark.createDataFrame(rows, "note long, freq_hz double, amp double"), 1.5)
+    got = {r.note: tuple(r)[1:] for r in df.collect()}
+    assert set(got) == {*notes, 4, None} and got[4] == got[None] == (0.0,) * 4
+    for note, items in notes.items():
+        assert got[note] == pytest.approx(brute_timbre(items, 1.5), abs=1e-12)
+    if most == 1024:  # partials by note, and the counts by which large notes are known
+        assert executed(df).split("Initial Plan")[0].count("Exchange hashpartitioning(note") <= 3
