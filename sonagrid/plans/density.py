@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sonagrid.functions import phi
 from sonagrid.operators import density
 from sonagrid.plans.catalog import query
-from sonagrid.plans.inputs import COMPONENTS, SPECTRUM, components, spectrum, with_ctes
+from sonagrid.plans.inputs import COMPONENTS, SPECTRUM, components, dealt, spectrum, with_ctes
 from sonagrid.plans.rounding import rounded, rounded_sql
 
 PHI_SQL = {
@@ -243,7 +243,7 @@ def erb_grid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def acd_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(density.component_density(components(spark, sf_dir)))
+    return rounded(density.component_density(dealt(spark, sf_dir, components(spark, sf_dir))))
 
 
 @query(

@@ -7,7 +7,7 @@ import math
 import pytest
 
 from sonagrid.operators import dissonance, regions
-from sonagrid.plans import inputs
+from sonagrid.plans import catalog, inputs
 from tests.conftest import SMALL
 
 
@@ -48,6 +48,11 @@ def test_tasks_grow_with_the_rows(spark, monkeypatch):
         assert inputs.dealt(spark, SMALL, rows).rdd.getNumPartitions() == -(-rows.count() // size)
 
 
+def test_density_shuffles_rows_once(spark, monkeypatch):
+    monkeypatch.setattr(inputs, "TASK_ROWS", 100)
+    assert executed(catalog.queries()["acd_score"](spark, SMALL)).count("Exchange") == 1
+
+
 def brute_timbre(items, interval):
     def sethares(f1, a1, f2, a2):
         y = 0.24 * abs(f2 - f1) / (0.0207 * min(f1, f2) + 18.96)
