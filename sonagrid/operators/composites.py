@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from sonagrid.functions import phi as weights
 from sonagrid.functions.guards import clip
 from sonagrid.operators import quantiles
 from sonagrid.operators.density import compartment_scores
-from sonagrid.operators.statistics import spearman
+from sonagrid.operators.statistics import spearman_all
 
 
 def combined(h: Column, i: Column, alpha: float = 0.7, beta: float = 0.3, keep_range: bool = True) -> Column:
@@ -66,21 +64,14 @@ def rank_stability(components: DataFrame, alphas: tuple[float, ...] = (0.25, 0.5
     parts = compartment_scores(components)
     weighted = F.col("share") * F.col("mass")
     scores = parts.groupBy("note").agg(*[F.round(F.sum(weighted * F.pow("penalty", F.lit(a))), 9).alias(f"s{i}") for i, a in enumerate(alphas)])
-    out = None
-    for i, j in combinations(range(len(alphas)), 2):
-        one = spearman(scores, f"s{i}", f"s{j}").select(F.lit(alphas[i]).alias("a"), F.lit(alphas[j]).alias("b"), "rho", "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    value = F.create_map(*(F.lit(x) for i, a in enumerate(alphas) for x in (f"s{i}", a)))
+    return spearman_all(scores, [f"s{i}" for i in range(len(alphas))]).select(value[F.col("a")].alias("a"), value[F.col("b")].alias("b"), "rho", "n")
 
 
 def phi_stability(components: DataFrame, names: tuple[str, ...] = ("linear", "sqrt", "log")) -> DataFrame:
     """Spearman's rho of note sums between weight functions; all sums in one pass."""
     scores = components.groupBy("note").agg(*[F.round(F.sum(weights.phi(n, F.col("amp"))), 9).alias(n) for n in names])
-    out = None
-    for a, b in combinations(names, 2):
-        one = spearman(scores, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "rho", "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return spearman_all(scores, list(names))
 
 
 def isolation(rows: DataFrame, value: str, label: str, quantile_step: float = 0.01) -> DataFrame:

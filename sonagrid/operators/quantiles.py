@@ -102,3 +102,22 @@ def ranks(cells: DataFrame, keys: list[str], value: str, name: str = "rank") ->
     starts = starts.alias("t")
     rank = F.col("t._start") + F.col("c._upto") - (F.col("c._n") - 1) / 2
     return placed.join(starts if keys else F.broadcast(starts), _same(placed, starts, [*keys, "_range"])).select(*(F.col(f"c.{k}").alias(k) for k in keys), F.col(f"c.{value}").alias(value), rank.alias(name), "c._n")
+
+
+def ranks_among(cells: DataFrame, value: str, mask: str, among: dict[str, int]) -> DataFrame:
+    """(value, mask) and, for each of ``among``, the value's average rank among the rows whose mask has all its bits (null outside of them).
+
+    One ordering of the distinct values serves all these sets of rows.
+    """
+    counts = ranged(distinct_counts(cells, [mask], value), value)
+    within = {n: F.col(mask).bitwiseAND(bits) == bits for n, bits in among.items()}
+    counted = {n: F.coalesce(F.sum(F.when(c, F.col("_n"))), F.lit(0)) for n, c in within.items()}
+    sums = counts.groupBy("_range").agg(*(c.alias(f"_size_{n}") for n, c in counted.items()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most ``RANGES`` rows
+    starts = sums.select("_range", *(F.coalesce(F.sum(f"_size_{n}").over(before), F.lit(0)).alias(f"_start_{n}") for n in among))
+    of = Window.partitionBy("_range").orderBy(value)
+    upto, alike = of.rangeBetween(Window.unboundedPreceding, 0), Window.partitionBy("_range", value)
+    sum_over = lambda c, w: F.sum(F.when(c, F.col("_n"))).over(w)
+    placed = counts.select("_range", value, mask, *(f(c).alias(f"{k}{n}") for n, c in within.items() for k, f in (("_upto_", lambda c: sum_over(c, upto)), ("_alike_", lambda c: sum_over(c, alike)))))
+    rank = {n: F.when(c, F.col(f"_start_{n}") + F.col(f"_upto_{n}") - (F.col(f"_alike_{n}") - 1) / 2) for n, c in within.items()}
+    return placed.join(F.broadcast(starts), "_range").select(value, mask, *(r.alias(n) for n, r in rank.items()))

@@ -82,6 +82,22 @@ def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     return ranked.agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
 
 
+def spearman_all(rows: DataFrame, names: list[str]) -> DataFrame:
+    """(a, b, rho, n): :func:`spearman` of every two of the columns, each pair over the rows that have both.
+
+    Every column is ordered and joined back once, whatever the number of pairs; NaN is missing.
+    """
+    at = {n: i for i, n in enumerate(names)}
+    there = [F.when(F.col(n).isNotNull() & ~F.isnan(n), 1 << i).otherwise(0) for n, i in at.items()]
+    cells = rows.select(*(F.col(n).cast("double").alias(n) for n in names)).withColumn("_there", sum(there, F.lit(0)))
+    ranked = cells
+    for n, i in at.items():
+        ranked = ranked.join(quantiles.ranks_among(cells, n, "_there", {f"_{i}_{j}": 1 << i | 1 << j for j in at.values() if j != i}), [n, "_there"], "left")
+    pairs = [(a, b, F.col(f"_{at[a]}_{at[b]}"), F.col(f"_{at[b]}_{at[a]}")) for a, b in combinations(names, 2)]
+    found = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(x, y).alias("rho"), F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).alias("n")) for a, b, x, y in pairs]
+    return ranked.agg(F.array(*found).alias("found")).select(F.inline("found"))
+
+
 def kruskal_wallis(cells: DataFrame, group: str, value: str) -> DataFrame:
     """H with the correction for ties, its degrees of freedom and epsilon squared."""
     ranked = average_ranks(cells.filter(F.col(group).isNotNull() & F.col(value).isNotNull()), [], value)

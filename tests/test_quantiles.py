@@ -88,3 +88,18 @@ def test_callers_keep_their_values(cells):
     told = {r.scope: r for r in statistics.describe(cells.filter("v IS NULL OR NOT isnan(v)"), ["v"], "k").collect()}
     assert told["hot"].median == pytest.approx(med) and told["(none)"]["count"] == 101 and set(told) == {"ALL", "hot", "ties", "one", "two", "(none)"}
     assert statistics.shape(good, ["k"], "v").first().iqr == pytest.approx(q3 - q1)
+
+
+def test_spearman_of_every_two_columns(spark):
+    """Every pair over the rows that have both, with ties and nulls, and one ordering a column."""
+    r = random.Random(9)
+    some = lambda: None if r.random() < 0.2 else float(r.randrange(15))
+    df = spark.createDataFrame([(some(), some(), some()) for _ in range(300)] + [(float("nan"), None, None)], "x double, y double, z double")
+    got = {(p.a, p.b): (p.rho, p.n) for p in statistics.spearman_all(df, ["x", "y", "z"]).collect()}
+    assert set(got) == {("x", "y"), ("x", "z"), ("y", "z")}
+    for (a, b), (rho, n) in got.items():
+        want = statistics.spearman(df.filter("not isnan(x) or x is null"), a, b).first()
+        assert n == want.n and rho == pytest.approx(want.rho, abs=1e-12)
+    plan = statistics.spearman_all(df, ["x", "y", "z"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("percentile_approx(") == 2 * 3  # for the order of a column and for the sizes of its ranges
+    assert [(p.rho, p.n) for p in statistics.spearman_all(df.filter("false"), ["x", "y"]).collect()] == [(None, 0)]
