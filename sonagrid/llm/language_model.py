@@ -13,12 +13,17 @@ sum of one weight for each word, pair and triple that it holds, and n-grams with
 Frequent words and n-grams are scored where they stand, from a broadcast of at most 1 / share of
 them; the others are dealt by ranges of their hashes, each range to one task, and meet the weights of that
 range there. Since frequent ones are not dealt, no range is hot.
+
+N-grams are dealt in ``TURNS`` turns, each a share of their hashes, and what a turn shuffled goes
+before the next: all n-grams are counted and scored, but only a share of them lies on disk at once. So
+that turns don't cut texts into words again, the words' numbers are written first, compressed.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -37,10 +42,13 @@ END = np.uint64(0)
 GATHERED = 1_000_000
 #: Pairs, and as many triples, that a task gathers before it deals them.
 DEALT = 1 << 20
-#: Tokens whose n-grams share a range of hashes, about.
+#: Tokens whose n-grams would fill a range of hashes in one turn, about.
 RANGE_TOKENS = 1 << 20
+#: Turns in which n-grams are dealt.
+TURNS = 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _HALF = np.uint64(32)
+_LOW = np.uint64((1 << 32) - 1)
 #: Bits of a frequent word's number; three of them make one key.
 _BITS = np.uint64(21)
 
@@ -52,25 +60,49 @@ class Shares(NamedTuple):
     gram: float = 2e-6  # pairs and triples scored where they stand: 500,000 of each at most
 
 
+class Index(NamedTuple):
+    """Hashes and where each of their leading bits begins: few steps find one, unlike a binary search."""
+
+    keys: np.ndarray  # ascending, then the largest number there is
+    starts: np.ndarray
+    shift: np.uint64
+
+
 class Frequent(NamedTuple):
     """Words that n-grams are sent with by number: the more places, the smaller."""
 
-    keys: np.ndarray  # ascending
-    number: np.ndarray  # of each of keys
+    index: Index
+    number: np.ndarray  # of each of the index's keys
     words: np.ndarray  # by number
 
 
 class Automaton(NamedTuple):
-    """What is scored where it stands; keys ascend."""
+    """What is scored where it stands: words by their number, n-grams by their place in the index."""
 
-    words: np.ndarray
     unigram: np.ndarray  # log10
     known: np.ndarray  # bool: seen in training
     fail: np.ndarray  # log10 weight of the failure arc of a word's state
-    grams: np.ndarray
+    grams: Index
     weights: np.ndarray
 
 
+def index(keys: np.ndarray) -> Index:
+    """Of ascending, distinct hashes."""
+    bits = max(1, len(keys).bit_length())
+    starts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
+    return Index(np.append(keys, ~np.uint64(0)), starts, np.uint64(64 - bits))
+
+
+def places_in(index: Index, wanted: np.ndarray) -> np.ndarray:
+    """:func:`lookup` in an index."""
+    at = index.starts[wanted >> index.shift]
+    late = np.flatnonzero(index.keys[at] < wanted)
+    while len(late):
+        at[late] += 1
+        late = late[index.keys[at[late]] < wanted[late]]
+    return np.where((index.keys[at] == wanted) & (at < len(index.keys) - 1), at, -1)
+
+
 def tokens(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """(text, key) of every token of a block: the words of each text and then its end."""
     data = LOWER[block.data]
@@ -147,7 +179,18 @@ def _places(text: np.ndarray, key: np.ndarray) -> dict[int, tuple[np.ndarray, np
 
 
 def _ranges(n_tokens: int) -> int:
-    return max(8, -(-n_tokens // RANGE_TOKENS))
+    """Ranges of each turn."""
+    return max(8, -(-n_tokens // (TURNS * RANGE_TOKENS)))
+
+
+def _turn(key: np.ndarray) -> np.ndarray:
+    """The turn in which a key is dealt, by other bits than its range."""
+    return (key & _LOW) * np.uint64(TURNS) >> _HALF
+
+
+def _turn_of(key: str) -> Column:
+    """:func:`_turn` of a column."""
+    return F.shiftright(F.col(key).bitwiseAND(F.lit(int(_LOW))) * TURNS, int(_HALF))
 
 
 def _cut(key: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -199,8 +242,52 @@ def _codec() -> pa.Codec:
     return pa.Codec("zstd", compression_level=1)
 
 
-def _grams(shared, ranges: int):
-    """Counts of all pairs and triples, summed over DEALT places and dealt by ranges of their keys.
+def _coded(shared):
+    """(own, text) rows to one row a block: a number of its first text, ``own`` and tokens of each, and the tokens.
+
+    A frequent word is its number and 1 in three bytes, any other 0 and its hash.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent: Frequent = shared.value
+        codec = _codec()
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for block in blocks(batch.column(1)):
+                text, key = tokens(block)
+                texts = len(block.bounds) - 1
+                place = places_in(frequent.index, key)
+                number = np.zeros(len(key), np.int32)
+                number[place >= 0] = frequent.number[place[place >= 0]] + 1
+                own = pa.ListArray.from_arrays(pa.array([0, texts], pa.int32()), batch.column(0).slice(block.first, texts))
+                parts = (np.bincount(text, minlength=texts).astype(np.int32).tobytes(), codec.compress(number.view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes(), asbytes=True), key[place < 0].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([row]), own, *(pa.array([x], pa.binary()) for x in parts)], names=["row", "own", "sizes", "numbers", "rare"])
+                row += texts
+
+    return run
+
+
+def _coded_table(rows: DataFrame, shared, kind: T.DataType) -> DataFrame:
+    return _written(rows.mapInArrow(_coded(shared), T.StructType([T.StructField("row", T.LongType()), T.StructField("own", T.ArrayType(kind))] + [T.StructField(c, T.BinaryType()) for c in ("sizes", "numbers", "rare")])), "coded")
+
+
+def _decoded_blocks(batches: Iterator[pa.RecordBatch], frequent: Frequent) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """(number of the first text, own, text, key, number) of every block; a rare word's number is -1."""
+    codec = _codec()
+    for batch in batches:
+        for i in range(len(batch)):
+            row, own, sizes, numbers, rare = (c[i] for c in batch.columns)
+            sizes = np.frombuffer(sizes.as_py(), np.int32)
+            n = int(sizes.sum())
+            low, middle, high = np.frombuffer(codec.decompress(numbers.as_py(), n * 3, asbytes=True), np.uint8).reshape(3, -1).astype(np.int32)
+            number = (low | middle << 8 | high << 16) - 1
+            key = frequent.words[number] if len(frequent.words) else np.zeros(n, np.uint64)
+            key[number < 0] = np.frombuffer(rare.as_py(), np.uint64)
+            yield row.as_py(), own.values, np.repeat(np.arange(len(sizes)), sizes), key, number
+
+
+def _grams(shared, ranges: int, turn: int):
+    """Counts of a turn's pairs and triples, summed over DEALT places and dealt by ranges of their keys.
 
     An n-gram is sent as the numbers of its frequent words in one code, marks of its rare words and
     the hashes of these. N-grams without rare words go under a negative size, as ascending codes.
@@ -230,6 +317,9 @@ def _grams(shared, ranges: int):
             text, key, number, other = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             for size, (last, _, first, second) in _places(text, key).items():
+                gram = gram_keys(first, second, size)
+                own = _turn(gram) == turn
+                last, gram = last[own], gram[own]
                 code, rare = np.zeros(len(last), np.uint64), np.zeros(len(last), np.uint8)
                 for back in range(size - 1, -1, -1):
                     of = number[last - back]
@@ -238,25 +328,18 @@ def _grams(shared, ranges: int):
                 short, gone = rare == 0, other[last]
                 own, _, counts = _summed(code[short], [], [~gone[short], gone[short]])
                 yield packed(-size, mix(own), key, None, rare, own, counts)
-                gram = gram_keys(first[~short], second[~short], size)
-                gram, (at, rare, code), counts = _summed(gram, [last[~short], rare[~short], code[~short]], [~gone[~short], gone[~short]])
+                gram, (at, rare, code), counts = _summed(gram[~short], [last[~short], rare[~short], code[~short]], [~gone[~short], gone[~short]])
                 lead = key[at - _FIRST_RARE[rare]]
                 order = np.lexsort((lead, rare))
                 yield packed(size, gram[order], key, at[order], rare[order], code[order], [c[order] for c in counts])
 
-        for batch in batches:
-            kept = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
-            for block in blocks(batch.column(1)):
-                text, key = tokens(block)
-                place = lookup(frequent.keys, key)
-                number = np.full(len(key), -1, np.int32)
-                number[place >= 0] = frequent.number[place[place >= 0]]
-                held.append((text + texts, key, number, kept[block.first + text]))
-                texts += len(block.bounds) - 1
-                n += len(key)
-                if n >= DEALT:
-                    yield from out()
-                    n = 0
+        for _, kept, text, key, number in _decoded_blocks(batches, frequent):
+            held.append((text + texts, key, number, kept.to_numpy(zero_copy_only=False).astype(bool)[text]))
+            texts += len(kept)
+            n += len(key)
+            if n >= DEALT:
+                yield from out()
+                n = 0
         if n:
             yield from out()
 
@@ -324,6 +407,7 @@ def _written(df: DataFrame, name: str) -> DataFrame:
 
 class Model(NamedTuple):
     automaton: Automaton
+    frequent: Frequent
     words: DataFrame  # word, training, fail
     grams: DataFrame  # key, weight: arcs that aren't scored where they stand
     n_tokens: int  # N
@@ -348,9 +432,13 @@ def train(docs: DataFrame, held_out: Column, shares: Shares = Shares(), discount
     keys, places = often_seen["word"].to_numpy().view(np.uint64), often_seen["n"].to_numpy()
     keys = keys[np.lexsort((keys, -places))][: 1 << int(_BITS)]
     by = np.argsort(keys)
-    numbered = docs.sparkSession.sparkContext.broadcast(Frequent(keys[by], by.astype(np.int32), keys))
-    counted = rows.mapInArrow(_grams(numbered, ranges), _DEALT_GRAMS).repartitionById(ranges, "part").mapInArrow(_counts(numbered, least, frequent), "size int, key long, first long, second long, n long, places long")
-    grams = _written(counted, "grams")
+    numbers = Frequent(index(keys[by]), by.astype(np.int32), keys)
+    numbered = docs.sparkSession.sparkContext.broadcast(numbers)
+    coded = _coded_table(rows, numbered, T.BooleanType())
+    counted = [_written(coded.mapInArrow(_grams(numbered, ranges, turn), _DEALT_GRAMS).repartitionById(ranges, "part").mapInArrow(_counts(numbered, least, frequent), "size int, key long, first long, second long, n long, places long"), "grams") for turn in range(TURNS)]
+    storage.delete(coded)
+    grams = reduce(DataFrame.unionByName, counted)
+    keys = np.sort(grams.filter(F.col("places") >= frequent).select("key").toArrow()["key"].to_numpy().view(np.uint64))  # at most 2 / gram_share rows
     arcs = grams.filter(F.col("n") >= least)
 
     # Each join with words or pairs reads one side by its own key: large histories are split by Spark, not gathered.
@@ -369,8 +457,11 @@ def train(docs: DataFrame, held_out: Column, shares: Shares = Shares(), discount
     storage.delete(counted_pairs)
 
     triples = _written(arcs.filter("size = 3").join(pairs.select(F.col("key").alias("second"), F.col("p").alias("lower")), "second").select("key", "first", "n", "places", "lower"), "triples")
+    for done in counted:
+        storage.delete(done)
     states = pairs.join(taken(triples).withColumnRenamed("first", "key"), "key", "left")
-    pairs = _written(states.select("key", F.col("n").alias("c"), "places", rest(F.col("n")).alias("rest"), "gain"), "pairs")
+    counted_pairs, pairs = pairs, _written(states.select("key", F.col("n").alias("c"), "places", rest(F.col("n")).alias("rest"), "gain"), "pairs")
+    storage.delete(counted_pairs)
     states = pairs.select(F.col("key").alias("first"), "c", "rest")
     weights = pairs.select("key", "places", (F.col("gain") + F.log10("rest")).alias("weight")).unionByName(triples.join(states, "first").select("key", "places", gain.alias("weight")))
     weights = _written(weights, "weights")
@@ -378,16 +469,15 @@ def train(docs: DataFrame, held_out: Column, shares: Shares = Shares(), discount
         storage.delete(done)
 
     hot = words_.filter(F.col("places") >= max(2, math.ceil(shares.hot * (n + m)))).toArrow()  # at most 1 / hot_share rows
-    key, count, fail = hot["word"].to_numpy().view(np.uint64), hot["training"].to_numpy(), np.log10(hot["rest"].fill_null(1.0).to_numpy())
-    order = np.argsort(key)
-    count = count[order].astype(np.float64)
-    keys = np.sort(grams.filter(F.col("places") >= frequent).select("key").toArrow()["key"].to_numpy().view(np.uint64))  # at most 2 / gram_share rows
+    place = lookup(numbers.index.keys[:-1], hot["word"].to_numpy().view(np.uint64))
+    own = numbers.number[place[place >= 0]]
+    count, fail = np.zeros(len(numbers.words)), np.zeros(len(numbers.words))
+    count[own], fail[own] = hot["training"].to_numpy()[place >= 0], np.log10(hot["rest"].fill_null(1.0).to_numpy())[place >= 0]
     known = weights.filter(F.col("places") >= frequent).select("key", "weight").toArrow()
     weight = np.zeros(len(keys))
     weight[lookup(keys, known["key"].to_numpy().view(np.uint64))] = known["weight"].to_numpy()
-    storage.delete(grams)
-    a = Automaton(key[order], np.log10((count + 1) / (n + v + 1)), count > 0, fail[order], keys, weight)
-    return Model(a, words_.select("word", "training", F.log10(F.coalesce("rest", F.lit(1.0))).alias("fail")), weights.filter(F.col("places") < frequent).select("key", "weight"), n, v, ranges)
+    a = Automaton(np.log10((count + 1) / (n + v + 1)), count > 0, fail, index(keys), weight)
+    return Model(a, numbers, words_.select("word", "training", F.log10(F.coalesce("rest", F.lit(1.0))).alias("fail")), weights.filter(F.col("places") < frequent).select("key", "weight"), n, v, ranges)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -401,65 +491,76 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     not read.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model.automaton)
+    shared, numbered = spark.sparkContext.broadcast(model.automaton), spark.sparkContext.broadcast(model.frequent)
     ranges = model.ranges
     kind = docs.schema["doc_id"].dataType
     scores = [T.StructField("row", T.LongType()), T.StructField("automaton", T.DoubleType()), T.StructField("doc_id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("word", T.ArrayType(T.LongType())), T.StructField("n", T.ArrayType(T.IntegerType()))]
     places = [T.StructField("part", T.IntegerType()), T.StructField("key", T.BinaryType()), T.StructField("place", T.BinaryType()), T.StructField("weight", T.BinaryType())]
     schema, width = T.StructType(scores + places), len(scores)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row a text, and the n-grams that aren't frequent in a row a range; ``row`` of these is that of place 0."""
-        a: Automaton = shared.value
-        first_row = TaskContext.get().partitionId() << 33
-        done = n = 0
-        held: list = []
-        kinds: list = []
-
-        def out() -> pa.RecordBatch:
-            key, place = (np.concatenate(x) for x in zip(*held, strict=True))
-            base = int(place[0])
-            part, key, place = _deal(key, ranges, key, (place - base).astype(np.int32))
-            place = pa.array([_thin(np.frombuffer(x, np.int32)) for x in place.to_pylist()], pa.binary())
-            none = [pa.nulls(len(part), k) for k in kinds]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(part), first_row + base)), *none[1:width], part, key, place, none[-1]], names=schema.names)
-
-        for batch in batches:
-            for block in blocks(batch.column(1)):
-                text, key = tokens(block)
-                texts = len(block.bounds) - 1
-                place = lookup(a.words, key)
-                hot = np.flatnonzero(place >= 0)
-                base = np.bincount(text[hot], a.unigram[place[hot]], texts).astype(np.float64)
-                own = base + np.bincount(text[hot], a.fail[place[hot]], texts)
-                known = np.bincount(text[hot], a.known[place[hot]], texts).astype(np.int64)
-                cold = np.flatnonzero(place < 0)
-                order = cold[np.lexsort((key[cold], text[cold]))]
-                ct, ck = text[order], key[order]
-                new = np.ones(len(order), bool)
-                new[1:] = (ct[1:] != ct[:-1]) | (ck[1:] != ck[:-1])
-                heads = np.flatnonzero(new)
-                bounds = np.searchsorted(ct[heads], np.arange(texts + 1)).astype(np.int32)
-                words_ = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ck[heads].view(np.int64)))
-                times = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.diff(np.append(heads, len(order))).astype(np.int32)))
+    def rows(turn: int):
+        """A row a text, with what its frequent n-grams add, and the other n-grams in a row a range; ``row`` of these is that of place 0.
+
+        Only the first turn's rows of texts have the words.
+        """
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            a: Automaton = shared.value
+            n = end = 0
+            held: list = []
+            kinds: list = []
+
+            def out() -> pa.RecordBatch:
+                key, place = (np.concatenate(x) for x in zip(*held, strict=True))
+                base = int(place[0])
+                part, key, place = _deal(key, ranges, key, (place - base).astype(np.int32))
+                place = pa.array([_thin(np.frombuffer(x, np.int32)) for x in place.to_pylist()], pa.binary())
+                none = [pa.nulls(len(part), k) for k in kinds]
+                return pa.RecordBatch.from_arrays([pa.array(np.full(len(part), base)), *none[1:width], part, key, place, none[-1]], names=schema.names)
+
+            for row, ids, text, key, number in _decoded_blocks(batches, numbered.value):
+                texts = len(ids)
+                if n >= DEALT or n and row != end:  # places of one row lie close together
+                    yield out()
+                    held, n = [], 0
+                own = np.zeros(texts)
                 for length, (_, at, first, second) in _places(text, key).items():
                     gram = gram_keys(first, second, length)
-                    found = lookup(a.grams, gram)
+                    here = np.flatnonzero(_turn(gram) == turn)
+                    gram, at = gram[here], at[here]
+                    found = places_in(a.grams, gram)
                     here = found >= 0
                     own += np.bincount(at[here], a.weights[found[here]], texts).astype(np.float64)
                     if not here.all():
-                        held.append((gram[~here], done + at[~here]))
+                        held.append((gram[~here], row + at[~here]))
                         n += len(held[-1][0])
-                number = np.full(texts, first_row) + done + np.arange(texts)
-                arrays = [pa.array(number), pa.array(own), batch.column(0).slice(block.first, texts), pa.array(np.bincount(text, minlength=texts)), pa.array(known), pa.array(base), words_, times, pa.array((number % ranges).astype(np.int32)), *(pa.nulls(texts, pa.binary()) for _ in range(3))]
+                rows_ = row + np.arange(texts)
+                if turn:
+                    arrays = [ids, *(pa.nulls(texts, x) for x in (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32())))]
+                else:
+                    hot = np.flatnonzero(number >= 0)
+                    of = number[hot]
+                    base = np.bincount(text[hot], a.unigram[of], texts).astype(np.float64)
+                    own += base + np.bincount(text[hot], a.fail[of], texts)
+                    known = np.bincount(text[hot], a.known[of], texts).astype(np.int64)
+                    cold = np.flatnonzero(number < 0)
+                    order = cold[np.lexsort((key[cold], text[cold]))]
+                    ct, ck = text[order], key[order]
+                    new = np.ones(len(order), bool)
+                    new[1:] = (ct[1:] != ct[:-1]) | (ck[1:] != ck[:-1])
+                    heads = np.flatnonzero(new)
+                    bounds = np.searchsorted(ct[heads], np.arange(texts + 1)).astype(np.int32)
+                    words_ = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ck[heads].view(np.int64)))
+                    times = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.diff(np.append(heads, len(order))).astype(np.int32)))
+                    arrays = [ids, pa.array(np.bincount(text, minlength=texts)), pa.array(known), pa.array(base), words_, times]
+                arrays = [pa.array(rows_), pa.array(own), *arrays, pa.array((rows_ % ranges).astype(np.int32)), *(pa.nulls(texts, pa.binary()) for _ in range(3))]
                 kinds = [x.type for x in arrays]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
-                done += texts
-                if n >= DEALT:
-                    yield out()
-                    held, n = [], 0
-        if n:
-            yield out()
+                end = row + texts
+            if n:
+                yield out()
+
+        return run
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -496,9 +597,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 sums = np.bincount(back, weight[found[here]])
                 yield pa.RecordBatch.from_arrays([pa.array(row + at.astype(np.int64)), pa.array(sums), *(pa.nulls(len(at), f.type) for f in list(kinds)[2:])], schema=kinds)
 
-    weights = model.grams.mapInArrow(packed, "part int, key binary, weight binary")
-    both = docs.select("doc_id", "text").mapInArrow(rows, schema).unionByName(weights, allowMissingColumns=True)
-    scored = _written(both.repartitionById(ranges, "part").mapInArrow(meet, T.StructType(scores)), "scored")
+    def met(turn: int) -> DataFrame:
+        weights = model.grams.filter(_turn_of("key") == turn).mapInArrow(packed, "part int, key binary, weight binary")
+        both = coded.mapInArrow(rows(turn), schema).unionByName(weights, allowMissingColumns=True)
+        return _written(both.repartitionById(ranges, "part").mapInArrow(meet, T.StructType(scores)), "scored")
+
+    coded = _coded_table(docs.select("doc_id", "text"), numbered, kind)
+    scored = reduce(DataFrame.unionByName, [met(turn) for turn in range(TURNS)])
+    storage.delete(coded)
     texts = scored.filter("n_tokens is not null")
     cold = texts.filter(F.size("word") > 0).select("row", F.explode(F.arrays_zip("word", "n")).alias("c")).select("row", F.col("c.word").alias("word"), F.col("c.n").alias("times"))
     c = F.coalesce("training", F.lit(0))

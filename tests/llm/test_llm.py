@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from sonagrid.llm import decontamination, fingerprints, language_id, language_model, license_scan, line_dedup, near_dedup, packing, queries, sampling, storage, token_counts, toxicity
@@ -588,6 +589,27 @@ def test_an_arc_of_two_places_stays_one_as_the_table_grows(spark):
     assert row.score == pytest.approx(sum(map(math.log10, want)))
 
 
+def test_every_ngram_is_dealt_in_one_turn(spark):
+    rng = random.Random(11)
+    texts = [" ".join(f"w{int(400 * rng.random() ** 2)}" for _ in range(rng.randrange(60))) for _ in range(200)]
+    tokens = [[*t.split(), "</s>"] for t in texts]
+    distinct = sum(len({k for t in tokens for k in zip(*(t[i:] for i in range(size)), strict=False)}) for size in (2, 3))
+    words = np.unique(span_hashes(np.frombuffer(b"w0w1w2", np.uint8), np.array([0, 2, 4]), np.array([2, 4, 6])))
+    numbers = language_model.Frequent(language_model.index(words), np.arange(3, dtype=np.int32), words)
+    shared = spark.sparkContext.broadcast(numbers)
+    coded = language_model._coded_table(table(spark, texts).coalesce(1).select(F.lit(False).alias("own"), "text"), shared, T.BooleanType())
+    dealt = [coded.coalesce(1).mapInArrow(language_model._grams(shared, 8, turn), language_model._DEALT_GRAMS).agg(F.sum("n")).first()[0] for turn in range(language_model.TURNS)]
+    assert sum(dealt) == distinct and max(dealt) < 1.2 * distinct / language_model.TURNS
+
+
+def test_an_index_finds_what_a_search_finds():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 5000):
+        keys = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        wanted = np.concatenate([keys, rng.integers(0, 1 << 64, 5000, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64)])
+        assert np.array_equal(language_model.places_in(language_model.index(keys), wanted), language_model.lookup(keys, wanted))
+
+
 # 10 fingerprints
 
 
