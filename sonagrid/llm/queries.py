@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonagrid.llm import conversation_queries, decontamination, fingerprints, language_id, language_model, license_scan, line_dedup, near_dedup, packing, suffix_dedup, token_counts, toxicity
+from sonagrid.llm import conversation_queries, decontamination, fingerprints, language_id, language_model, license_scan, line_dedup, near_dedup, packing, sampling, suffix_dedup, token_counts, toxicity
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -37,8 +37,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades: 0 not toxic, 1 toxic, 2 toxic and of low quality. Labels of held-out documents aren't learned from."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     grade = F.when(F.col("toxic") == 0, 0).when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1))
-    labelled = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic", "quality"), "doc_id").filter(~held_out(5))
-    model = toxicity.train(labelled, grade, 3)
+    hashes = docs.filter("text is not null").select("doc_id", sampling.text_hash().alias("text_hash"))
+    labelled = hashes.join(labels.select("doc_id", "toxic", "quality"), "doc_id").filter(~held_out(5))
+    model = toxicity.train(labelled, grade, 3, texts=docs.select("text"))
     rated = toxicity.rate(docs, model)
     return rated.select("doc_id", F.coalesce(held_out(5), F.lit(False)).alias("held_out"), "toxic", "severity", "grade", "p_toxic")
 

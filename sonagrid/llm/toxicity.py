@@ -127,16 +127,18 @@ def fit(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, n_features: i
     return theta[:n_features], np.cumsum(np.concatenate([theta[n_features : n_features + 1], np.exp(theta[n_features + 1 :])]))
 
 
-def train(labelled: DataFrame, grade: Column, n_grades: int, sample_docs: int = 20_000, features: int = 8192, least_docs: int = 3, least_ratio: float = 5.0) -> Model:
+def train(labelled: DataFrame, grade: Column, n_grades: int, sample_docs: int = 20_000, features: int = 8192, least_docs: int = 3, least_ratio: float = 5.0, texts: DataFrame | None = None) -> Model:
     """Fit on rows with text and a grade from 0 to n_grades - 1; rows without either are left out.
 
     The sample holds at most ``sample_docs`` distinct texts, see :func:`sampling.distinct_texts`. Features of at
     least ``least_docs`` of them are ranked by the likelihood ratio of grade > 0; the first
-    ``features`` whose ratio is at least ``least_ratio`` are kept.
+    ``features`` whose ratio is at least ``least_ratio`` are kept. If ``texts`` is given, ``labelled`` has
+    text_hash instead of text (null where there is none), so that a join with labels moves no text.
     """
     spark = labelled.sparkSession
-    rows = labelled.filter(F.col("text").isNotNull()).select(grade.cast("int").alias("grade"), "text").filter(F.col("grade").between(0, n_grades - 1))
-    picked = storage.written(distinct_texts(rows, "grade", sample_docs, False).withColumn("id", F.monotonically_increasing_id()), "labelled")
+    text = "text" if texts is None else "text_hash"
+    rows = labelled.filter(F.col(text).isNotNull()).select(grade.cast("int").alias("grade"), text).filter(F.col("grade").between(0, n_grades - 1))
+    picked = storage.written(distinct_texts(rows, "grade", sample_docs, False, texts).withColumn("id", F.monotonically_increasing_id()), "labelled")
     grades = picked.select("id", "grade").toArrow()  # sample_docs rows at most
     ids, y = grades["id"].to_numpy(), grades["grade"].to_numpy().astype(np.int64)
     total, positive = len(y), int((y > 0).sum())

@@ -219,6 +219,24 @@ def test_fit_without_features_gives_the_grades_shares():
     assert 1 / (1 + np.exp(thresholds)) == pytest.approx([0.4, 0.1], abs=1e-4)
 
 
+def test_a_sample_by_hashes_is_the_sample_of_texts(spark):
+    docs = table(spark, [f"text {i % 300}" for i in range(900)] + [None, ""]).select("doc_id", "text", (F.col("doc_id") % 7 % 2).alias("grade"))
+    hashed = docs.filter("text is not null").select("grade", sampling.text_hash().alias("text_hash"))
+    for most in (50, 1000):
+        want = sampling.distinct_texts(docs.filter("text is not null"), "grade", most, False)
+        got = sampling.distinct_texts(hashed, "grade", most, False, docs.select("text"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert got.count() == want.count() == min(most, docs.filter("text is not null").select("text", "grade").distinct().count())
+
+
+def test_labels_are_joined_without_texts(spark, monkeypatch):
+    seen = []
+    train = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda labelled, *args, **kwargs: (seen.append(labelled.columns), train(labelled, *args, **kwargs))[1])
+    assert queries.op2_toxicity(spark, SMALL).count() == queries.table(spark, SMALL, "documents").count()
+    assert seen and "text" not in seen[0]
+
+
 def test_ratings_are_the_models(spark):
     """Severity, grade and toxic of rate() against the definition, word by word."""
     model = toxicity.Model(np.sort(toxicity.gram_places(next(blocks(pa.array(["slur vile"]))))[1]), np.array([[0.5, 1.0, 0.25]] * len(toxicity.gram_places(next(blocks(pa.array(["slur vile"]))))[1])), np.array([1.0, 2.0]))
