@@ -170,12 +170,13 @@ def gram_keys(first: np.ndarray, second: np.ndarray, order: int) -> np.ndarray:
         return mix((first * _ODD + second) * _ODD + np.uint64(order))
 
 
-def _places(text: np.ndarray, key: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """By order: (last token, text, first, second) of every pair and triple of a block."""
+def _places(text: np.ndarray, key: np.ndarray, turn: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By order: (last token, text, key) of a turn's pairs and triples of a block; a triple has the turn of its first pair."""
     same = text[1:] == text[:-1]
     pair = gram_keys(key[:-1], key[1:], 2)
-    two, three = np.flatnonzero(same) + 1, np.flatnonzero(same[1:] & same[:-1]) + 2
-    return {2: (two, text[two], key[two - 1], key[two]), 3: (three, text[three], pair[three - 2], pair[three - 1])}
+    own = same & (_turn(pair) == turn)
+    two, three = np.flatnonzero(own) + 1, np.flatnonzero(same[1:] & own[:-1]) + 2
+    return {2: (two, text[two], pair[two - 1]), 3: (three, text[three], gram_keys(pair[three - 2], pair[three - 1], 3))}
 
 
 def _ranges(n_tokens: int) -> int:
@@ -184,13 +185,13 @@ def _ranges(n_tokens: int) -> int:
 
 
 def _turn(key: np.ndarray) -> np.ndarray:
-    """The turn in which a key is dealt, by other bits than its range."""
+    """The turn of a pair's key, by other bits than its range."""
     return (key & _LOW) * np.uint64(TURNS) >> _HALF
 
 
 def _turn_of(key: str) -> Column:
     """:func:`_turn` of a column."""
-    return F.shiftright(F.col(key).bitwiseAND(F.lit(int(_LOW))) * TURNS, int(_HALF))
+    return F.shiftright(F.col(key).bitwiseAND(F.lit(int(_LOW))) * TURNS, int(_HALF)).cast("int")
 
 
 def _cut(key: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -316,10 +317,7 @@ def _grams(shared, ranges: int, turn: int):
         def out() -> Iterator[pa.RecordBatch]:
             text, key, number, other = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            for size, (last, _, first, second) in _places(text, key).items():
-                gram = gram_keys(first, second, size)
-                own = _turn(gram) == turn
-                last, gram = last[own], gram[own]
+            for size, (last, _, gram) in _places(text, key, turn).items():
                 code, rare = np.zeros(len(last), np.uint64), np.zeros(len(last), np.uint8)
                 for back in range(size - 1, -1, -1):
                     of = number[last - back]
@@ -409,7 +407,7 @@ class Model(NamedTuple):
     automaton: Automaton
     frequent: Frequent
     words: DataFrame  # word, training, fail
-    grams: DataFrame  # key, weight: arcs that aren't scored where they stand
+    grams: DataFrame  # key, turn, weight: arcs that aren't scored where they stand
     n_tokens: int  # N
     n_words: int  # V
     ranges: int
@@ -463,7 +461,7 @@ def train(docs: DataFrame, held_out: Column, shares: Shares = Shares(), discount
     counted_pairs, pairs = pairs, _written(states.select("key", F.col("n").alias("c"), "places", rest(F.col("n")).alias("rest"), "gain"), "pairs")
     storage.delete(counted_pairs)
     states = pairs.select(F.col("key").alias("first"), "c", "rest")
-    weights = pairs.select("key", "places", (F.col("gain") + F.log10("rest")).alias("weight")).unionByName(triples.join(states, "first").select("key", "places", gain.alias("weight")))
+    weights = pairs.select("key", _turn_of("key").alias("turn"), "places", (F.col("gain") + F.log10("rest")).alias("weight")).unionByName(triples.join(states, "first").select("key", _turn_of("first").alias("turn"), "places", gain.alias("weight")))
     weights = _written(weights, "weights")
     for done in (unigrams, triples, pairs):
         storage.delete(done)
@@ -477,7 +475,7 @@ def train(docs: DataFrame, held_out: Column, shares: Shares = Shares(), discount
     weight = np.zeros(len(keys))
     weight[lookup(keys, known["key"].to_numpy().view(np.uint64))] = known["weight"].to_numpy()
     a = Automaton(np.log10((count + 1) / (n + v + 1)), count > 0, fail, index(keys), weight)
-    return Model(a, numbers, words_.select("word", "training", F.log10(F.coalesce("rest", F.lit(1.0))).alias("fail")), weights.filter(F.col("places") < frequent).select("key", "weight"), n, v, ranges)
+    return Model(a, numbers, words_.select("word", "training", F.log10(F.coalesce("rest", F.lit(1.0))).alias("fail")), weights.filter(F.col("places") < frequent).select("key", "turn", "weight"), n, v, ranges)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -496,7 +494,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
     scores = [T.StructField("row", T.LongType()), T.StructField("automaton", T.DoubleType()), T.StructField("doc_id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("word", T.ArrayType(T.LongType())), T.StructField("n", T.ArrayType(T.IntegerType()))]
     places = [T.StructField("part", T.IntegerType()), T.StructField("key", T.BinaryType()), T.StructField("place", T.BinaryType()), T.StructField("weight", T.BinaryType())]
-    schema, width = T.StructType(scores + places), len(scores)
+    schema, sums_schema, width = T.StructType(scores + places), T.StructType(scores + places[2:]), len(scores)
 
     def rows(turn: int):
         """A row a text, with what its frequent n-grams add, and the other n-grams in a row a range; ``row`` of these is that of place 0.
@@ -524,10 +522,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     yield out()
                     held, n = [], 0
                 own = np.zeros(texts)
-                for length, (_, at, first, second) in _places(text, key).items():
-                    gram = gram_keys(first, second, length)
-                    here = np.flatnonzero(_turn(gram) == turn)
-                    gram, at = gram[here], at[here]
+                for _, at, gram in _places(text, key, turn).values():
                     found = places_in(a.grams, gram)
                     here = found >= 0
                     own += np.bincount(at[here], a.weights[found[here]], texts).astype(np.float64)
@@ -570,11 +565,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part, key, weight], names=["part", "key", "weight"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts as they are, and what the n-grams of this range add to a text."""
+        """Texts as they are, and what the n-grams of this range add to the texts of each stretch, packed."""
         keys, weights, held, kinds = [], [], [], None
         for batch in batches:
             part = batch.select(["row", "key", "place", "weight"])
-            texts = batch.filter(batch["key"].is_null()).select(schema.names[:width])
+            texts = batch.filter(batch["key"].is_null()).select(sums_schema.names)
             kinds = texts.schema
             if len(texts):
                 yield texts
@@ -589,18 +584,35 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         key, weight = _values(keys, np.uint64), _values(weights, np.float64)
         order = np.argsort(key)
         key, weight = key[order], weight[order]
+        arcs = index(key)
         for row, gram, place in held:
-            found = lookup(key, np.frombuffer(gram, np.uint64))
+            found = places_in(arcs, np.frombuffer(gram, np.uint64))
             here = found >= 0
             at, back = np.unique(_thick(place, np.int32)[here], return_inverse=True)
             if len(at):
-                sums = np.bincount(back, weight[found[here]])
-                yield pa.RecordBatch.from_arrays([pa.array(row + at.astype(np.int64)), pa.array(sums), *(pa.nulls(len(at), f.type) for f in list(kinds)[2:])], schema=kinds)
+                columns = {"row": pa.array([row]), "place": pa.array([_thin(at)], pa.binary()), "weight": pa.array([np.bincount(back, weight[found[here]]).tobytes()], pa.binary())}
+                yield pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(1, f.type)) for f in kinds], schema=kinds)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts as they are, and one row for each text that n-grams of any range add to: a stretch is all in one task."""
+        held, kinds = [], None
+        for batch in batches:
+            texts = batch.filter(batch["place"].is_null()).select(schema.names[:width])
+            kinds = texts.schema
+            if len(texts):
+                yield texts
+            held.extend(zip(*(c.to_pylist() for c in batch.filter(batch["place"].is_valid()).select(["row", "place", "weight"]).columns), strict=True))
+        if not held:
+            return
+        at, back = np.unique(np.concatenate([row + _thick(place, np.int32).astype(np.int64) for row, place, _ in held]), return_inverse=True)
+        sums = np.bincount(back, _values([x for _, _, x in held], np.float64))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums), *(pa.nulls(len(at), f.type) for f in list(kinds)[2:])], schema=kinds)
 
     def met(turn: int) -> DataFrame:
-        weights = model.grams.filter(_turn_of("key") == turn).mapInArrow(packed, "part int, key binary, weight binary")
+        weights = model.grams.filter(F.col("turn") == turn).select("key", "weight").mapInArrow(packed, "part int, key binary, weight binary")
         both = coded.mapInArrow(rows(turn), schema).unionByName(weights, allowMissingColumns=True)
-        return _written(both.repartitionById(ranges, "part").mapInArrow(meet, T.StructType(scores)), "scored")
+        sums = both.repartitionById(ranges, "part").mapInArrow(meet, sums_schema).repartition(ranges, "row")
+        return _written(sums.mapInArrow(summed, T.StructType(scores)), "scored")
 
     coded = _coded_table(docs.select("doc_id", "text"), numbered, kind)
     scored = reduce(DataFrame.unionByName, [met(turn) for turn in range(TURNS)])
