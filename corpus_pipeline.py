@@ -9,6 +9,7 @@ places the tokens of what is left. All but the last return the columns of ``docu
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,18 @@ LEAST_KNOWN = 0.1
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def bounded(stage: Stage) -> Stage:
+    """A stage whose tasks get texts in batches of bounded bytes, however long its predecessors have run."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        storage.bound_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@bounded
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with letters whose n-grams some language knows; texts and columns stay as they are.
 
@@ -36,6 +49,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.filter(kept).select(*restored(docs.columns, "row", "text"))
 
 
+@bounded
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes lines found in three documents or more out of all but one of them; a text may end up empty.
 
@@ -45,6 +59,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return line_dedup.without_repeated_lines(docs)
 
 
+@bounded
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the smallest doc_id, of each class of near duplicates.
 
@@ -54,6 +69,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return near_dedup.without_near_duplicates(docs)
 
 
+@bounded
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of whose words windows of ``benchmark`` hit five per cent or more.
 
@@ -62,6 +78,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontamination.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@bounded
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all remaining documents in sequences of at most 2048 tokens, with their ids.
 

@@ -10,6 +10,8 @@ from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of the Arrow batches of :func:`bound_batches`, about.
+BATCH_BYTES = 1 << 20
 _path_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _table_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _open: list[Scratch] = []
@@ -30,6 +32,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From here on the session hands rows to Python in batches of ``BATCH_BYTES``, unless it has a bound of its own.
+
+    Else a batch has 10,000 rows, which of whole texts are some 20 MB, held several times by a JVM and its worker.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +62,18 @@ def test_stages_take_nulls_repeats_and_clashing_columns(spark, name, least):
         assert out.filter("_keep <> 7 or rest <> 7 or _ <> 7 or known <> 7 or n_words <> 7").count() == 0
     if name == "near_dedup":  # the two rows of document 1 are one class
         assert out.filter("doc_id = 1").count() == 1 and out.filter("text is null").count() == 2
+
+
+def test_stages_bound_the_bytes_of_batches(spark):
+    """However many rows a task reads, it gets them by the megabyte."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    texts = spark.range(0, 8000, 1, 1).select(F.repeat(F.lit("word "), 400).alias("text"))
+    dict(corpus_pipeline.STAGES)["packing"](spark, texts.withColumn("doc_id", F.lit(1)), SMALL)
+    found = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) >= 8000 * 2000 and max(found) <= 1.1 * corpus_pipeline.storage.BATCH_BYTES
+    assert all(hasattr(stage, "__wrapped__") for _, stage in corpus_pipeline.STAGES)
