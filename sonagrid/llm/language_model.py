@@ -144,24 +144,50 @@ class _Gather:
         return keys, counts
 
 
-def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, training, other) counts, summed within the task."""
+def _unigrams(ranges: int):
+    """Counts of words in training and other texts, summed within the task and dealt by ranges of their hashes."""
 
-    def out(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts[:, 0].copy()), pa.array(counts[:, 1].copy())], names=["word", "training", "other"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            keys, counts = gather.drain()
+            return pa.RecordBatch.from_arrays(_deal(keys, ranges, keys, counts[:, 0], counts[:, 1]), names=["part", "word", "training", "other"])
+
+        gather = _Gather()
+        for batch in batches:
+            held = batch.column(0).to_numpy(zero_copy_only=False)
+            for block in blocks(batch.column(1)):
+                text, key = tokens(block)
+                other = held[block.first + text].astype(np.float64)
+                gather.add(key, np.stack([1 - other, other]))
+                if gather.full():
+                    yield out()
+        if gather.n:
+            yield out()
+
+    return run
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, training, other) counts of one range; its rows are summed each time they have doubled."""
+    held: list[tuple[np.ndarray, ...]] = []
+    n = distinct = 0
+
+    def shrink() -> None:
+        word, *counts = (np.concatenate(x) for x in zip(*held, strict=True))
+        word, _, counts = _summed(word, [], counts)
+        held[:] = [(word, *counts)]
 
-    gather = _Gather()
     for batch in batches:
-        held = batch.column(0).to_numpy(zero_copy_only=False)
-        for block in blocks(batch.column(1)):
-            text, key = tokens(block)
-            other = held[block.first + text].astype(np.float64)
-            gather.add(key, np.stack([1 - other, other]))
-            if gather.full():
-                yield out(*gather.drain())
-    keys, counts = gather.drain()
-    if len(keys):
-        yield out(keys, counts)
+        for word, training, other in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            held.append((np.frombuffer(word, np.uint64), np.frombuffer(training, np.int64), np.frombuffer(other, np.int64)))
+            n += len(held[-1][0])
+            if n > max(GATHERED, 2 * distinct):
+                shrink()
+                n = distinct = len(held[0][0])
+    if held:
+        shrink()
+        key, training, other = held[0]
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(training), pa.array(other)], names=["word", "training", "other"])
 
 
 def gram_keys(first: np.ndarray, second: np.ndarray, order: int) -> np.ndarray:
@@ -420,7 +446,9 @@ def train(docs: DataFrame, held_out: Column, shares: Shares = Shares(), discount
     (c + 1) / (N + V + 1), which leaves one part for all words never seen.
     """
     rows = docs.select(F.coalesce(held_out, F.lit(False)).alias("_held"), "text")
-    unigrams = _written(rows.mapInArrow(_unigrams, "word long, training long, other long").groupBy("word").agg(F.sum("training").alias("training"), F.sum("other").alias("other")), "unigrams")
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as for a grouping: the number of words isn't known yet
+    dealt = rows.mapInArrow(_unigrams(ranges), "part int, word binary, training binary, other binary").repartitionById(ranges, "part")
+    unigrams = _written(dealt.mapInArrow(_word_counts, "word long, training long, other long"), "unigrams")
     sums = unigrams.agg(F.sum("training").alias("n"), F.sum("other").alias("m"), F.count(F.when(F.col("training") > 0, 1)).alias("v")).first()
     n, m, v = sums.n or 0, sums.m or 0, sums.v or 0
     ranges = _ranges(n + m)

@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -692,3 +693,24 @@ def test_sketches_merge(spark):
     a, b = (" ".join(f"{p}{i}" for i in range(900)) for p in "ab")
     parts = spark.createDataFrame([(a,), (b,)], "t string").select(fingerprints.sketch(F.col("t"))["hashes"].alias("s")).agg(fingerprints.merged(F.col("s")).alias("m")).first().m
     assert parts == sorted({*sketch(a)[1], *sketch(b)[1]})
+
+
+def test_words_are_counted_once_a_range(spark, monkeypatch):
+    """A task sends a row a range, however many words it has; sums are those of a plain count, however often they are drained."""
+    monkeypatch.setattr(language_model, "GATHERED", 500)
+    docs = [(i % 3 == 0, " ".join(f"w{i * j % 997}" for j in range(200))) for i in range(60)]
+    schema = pa.schema([("held", pa.bool_()), ("text", pa.string())])
+    batches = [pa.RecordBatch.from_pydict({"held": [h for h, _ in part], "text": [t for _, t in part]}, schema) for part in (docs[:30], docs[30:])]
+    dealt = [b for task in batches for b in language_model._unigrams(7)(iter([task]))]
+    assert all(b.num_rows <= 7 for b in dealt)
+    found = {}
+    for part in range(7):
+        own = (b.filter(pc.equal(b["part"], part)) for b in dealt)
+        for b in language_model._word_counts(own):
+            rows = list(zip(*(c.to_pylist() for c in b.columns), strict=True))
+            assert not found.keys() & {word for word, _, _ in rows}
+            found |= {word: (training, other) for word, training, other in rows}
+    wanted = collections.Counter(), collections.Counter()
+    for held, text in docs:
+        wanted[held].update([*text.split(" "), None])
+    assert sorted(found.values()) == sorted((wanted[0][w], wanted[1][w]) for w in wanted[0] | wanted[1])
