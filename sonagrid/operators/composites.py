@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sonagrid.functions import phi as weights
 from sonagrid.functions.guards import clip
+from sonagrid.functions.sums import rounded_sum
 from sonagrid.operators import quantiles
 from sonagrid.operators.density import compartment_scores
 from sonagrid.operators.statistics import spearman_all
@@ -69,8 +70,11 @@ def rank_stability(components: DataFrame, alphas: tuple[float, ...] = (0.25, 0.5
 
 
 def phi_stability(components: DataFrame, names: tuple[str, ...] = ("linear", "sqrt", "log")) -> DataFrame:
-    """Spearman's rho of note sums between weight functions; all sums in one pass."""
-    scores = components.groupBy("note").agg(*[F.round(F.sum(weights.phi(n, F.col("amp"))), 9).alias(n) for n in names])
+    """Spearman's rho of note sums between weight functions; all sums in one pass.
+
+    The sums don't depend on the order in which components arrive: ranks are joined back by them.
+    """
+    scores = components.groupBy("note").agg(*[rounded_sum(weights.phi(n, F.col("amp"))).alias(n) for n in names])
     return spearman_all(scores, list(names))
 
 
