@@ -75,6 +75,13 @@ def correlations(rows: DataFrame, metrics: list[str], least: int = 3) -> DataFra
     return wide.select(F.explode(out).alias("x")).select("x.*")
 
 
+def sum_in_order(rows: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
+    """(keys, sum of ``value``), a key's values added up one by one in the order given: the same in its last bit however rows are dealt over tasks."""
+    of = Window.partitionBy(*keys).orderBy(*order)
+    upto = F.sum(value).over(of.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select(*keys, upto.alias(value), F.lead(F.lit(True)).over(of).alias("_more")).filter("_more IS NULL").drop("_more")
+
+
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Spearman's rho of two columns: Pearson of average ranks over complete rows."""
     cells = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
