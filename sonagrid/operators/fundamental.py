@@ -10,13 +10,14 @@ prior wins in one aggregation.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonagrid.operators.signal import autocorrelation_f0, autocorrelations_f0
+from sonagrid.operators.signal import autocorrelation_f0, autocorrelation_peaks, autocorrelations_f0
 
 #: Frames whose differences are held at a time.
 FRAMES = 256
@@ -25,6 +26,14 @@ SOUNDS = 32
 #: Thresholds of the vote; their weights fall linearly, so low thresholds count most.
 THRESHOLDS = np.arange(0.01, 0.51, 0.01)
 VOICED = 0.8
+#: By their numbers i and j: the votes of thresholds i up to j, added up one by one.
+_VOTES = np.array([np.concatenate([np.zeros(i), np.cumsum([0.0, *(THRESHOLDS[::-1] / THRESHOLDS.sum())[i:]])]) for i in range(len(THRESHOLDS) + 1)])
+#: Tones of at least so many notes of one f0 and of at most so many orders are heard by tables.
+ALIKE, ORDERS = 128, 16
+#: Products of a multiplication of matrices at a time: so few that it stays on the task's own core.
+PRODUCTS = 1 << 18
+#: Decimals of candidates and confidences; beyond them they depend on how sums are made.
+DIGITS = 8
 
 
 def frames_of(x: np.ndarray, frame: int, hop: int) -> np.ndarray:
@@ -43,9 +52,16 @@ def normalised_difference(frames: np.ndarray, longest: int) -> np.ndarray:
     power = np.concatenate([np.zeros((len(frames), 1)), np.cumsum(frames**2, axis=1)], axis=1)
     at = np.arange(longest + 1)
     energy = power[:, at + window] - power[:, at]
-    d = np.maximum(energy[:, :1] + energy - 2 * cross, 0.0)
+    energy += energy[:, :1].copy()
+    return _by_mean(energy - 2 * cross, energy)
+
+
+def _by_mean(d: np.ndarray, energy: np.ndarray) -> np.ndarray:
+    """Differences at lags 0, 1, ... over the mean of those up to the lag; ``energy``: of both windows of a lag."""
+    at = np.arange(d.shape[1])
+    d = np.maximum(d, 0.0)
     d[:, 0] = 0.0
-    d[d < 1e-10 * (energy[:, :1] + energy)] = 0.0  # rounding of the transform
+    d[d < 1e-10 * energy] = 0.0  # rounding of the sums
     total = np.cumsum(d, axis=1)
     with np.errstate(divide="ignore", invalid="ignore"):
         out = d * at / total
@@ -83,14 +99,11 @@ def first_trough(d: np.ndarray, first: int, threshold: float = 0.1) -> tuple[np.
 def voted_trough(d: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     """Per frame: the lag with most votes, and its share of them. Each threshold votes for its first trough; without one it has no vote."""
     rows = np.arange(len(d))
-    weight = THRESHOLDS[::-1] / THRESHOLDS.sum()
     low = np.where(_troughs(d, first), d, np.inf)
     reached = np.minimum.accumulate(low, axis=1)
+    under = np.searchsorted(THRESHOLDS, reached, side="right")  # thresholds that are not above what is reached
     votes = np.zeros(d.shape)
-    for t, w in zip(THRESHOLDS, weight, strict=True):
-        below = reached < t
-        has = below.any(1)
-        votes[rows[has], below[has].argmax(1)] += w
+    votes[:, 1:] = _VOTES[under[:, 1:], under[:, :-1]]
     lag = votes.argmax(1)
     return _refined(d, rows, np.maximum(lag, 1)), votes[rows, lag]
 
@@ -160,12 +173,19 @@ def tracked_together(x: np.ndarray, rate: float, low: float = 20.0, high: float
 
 _FOUND = ("method", "place", "candidate_hz", "confidence", "counted", "frames")
 _FOUND_SCHEMA = "method string, place int, candidate_hz double, confidence double, counted int, frames int"
+_METHODS = pa.array(["votes", "trough", "autocorrelation"])
 Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
-def _tracking(key: str, low: float, high: float) -> Batches:
-    """Batches of key, samples and rate to batches of candidates."""
+def _found(key: str, keys: pa.Array, at: np.ndarray, columns: list, digits: int | None) -> pa.RecordBatch:
+    """A batch of candidates: of which row each is, and their columns."""
     kinds = (pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.int32())
+    plain = [np.round(np.asarray(c, float), digits) if k == pa.float64() and digits is not None else c for c, k in zip(columns, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(at)), *(pa.array(c, k) for c, k in zip(plain, kinds, strict=True))], names=[key, *_FOUND])
+
+
+def _tracking(key: str, low: float, high: float, digits: int | None = DIGITS) -> Batches:
+    """Batches of key, samples and rate to batches of candidates."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -184,10 +204,9 @@ def _tracking(key: str, low: float, high: float) -> Batches:
                 else:
                     for row in alike.tolist():
                         found[row] = tracked(flat[bounds[row] : bounds[row + 1]], hz, low, high)
-            at = [i for i, tracks in enumerate(found) for _ in tracks]
+            at = np.array([i for i, tracks in enumerate(found) for _ in tracks], np.int64)
             out = [(method, place, hz, sure, counted, n) for tracks in found for place, (method, hz, sure, counted, n) in enumerate(tracks)]
-            columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[key, *_FOUND])
+            yield _found(key, b.column(0), at, list(zip(*out, strict=True)) or [[]] * len(_FOUND), digits)
 
     return task
 
@@ -195,6 +214,8 @@ def _tracking(key: str, low: float, high: float) -> Batches:
 def candidates(sounds: DataFrame, key: str, samples: str, rate: str, low: float = 20.0, high: float = 2000.0) -> DataFrame:
     """(key, method, place, candidate_hz, confidence, counted, frames) of every sound; place 0 is the surest. A map over the rows.
 
+    Frequencies and confidences are rounded to :data:`DIGITS` decimals.
+
     ``samples`` is an array of doubles, ``rate`` a column. Sounds without any candidate have no row.
     """
     kind = sounds.schema[key].dataType.simpleString()
@@ -231,11 +252,89 @@ def tones(notes: DataFrame, key: str, f0: str, amps: str, samples: int, rate: fl
     return _given(notes, key, f0, amps).mapInArrow(_sounding(key, samples, rate), f"{key} {kind}, f0 double, samples array<double>, rate double")
 
 
-def tone_candidates(notes: DataFrame, key: str, f0: str, amps: str, samples: int, rate: float, low: float = 20.0, high: float = 2000.0) -> DataFrame:
-    """:func:`candidates` of :func:`tones`, heard in the task that makes them: no samples go through the JVM."""
-    make, track = _sounding(key, samples, rate), _tracking(key, low, high)
+@lru_cache(64)
+def _tables(f0: float, orders: int, samples: int, rate: float, low: float, high: float) -> tuple[np.ndarray, ...]:
+    """What :func:`tracked_together` sums over samples, by pairs of orders: differences, energies and autocorrelations at every lag.
+
+    A tone is a sum of sines, so each of its sums is that of products of two amplitudes times a sum
+    over two sines, which is the same for all tones of one f0.
+    """
+    longest = min(int(rate / low) + 1, samples // 2)
+    window = samples - longest
+    x = np.sin(np.arange(1, orders + 1)[:, None] * f0 * (2 * np.pi / rate * np.arange(samples)))
+    x -= x.mean(axis=1, keepdims=True)
+    p, q = np.triu_indices(orders)
+    both = np.where(p == q, 1.0, 2.0)
+    head, first = x[:, :window], x[:, :window] @ x[:, :window].T
+    out = np.empty((3, len(p), longest + 1))
+    for lag in range(longest + 1):
+        tail = x[:, lag : lag + window]
+        moved = x[:, : samples - lag] @ x[:, lag:].T
+        for k, sums in enumerate(((head - tail) @ (head - tail).T, first + tail @ tail.T, (moved + moved.T) / 2)):
+            out[k, :, lag] = both * sums[p, q]
+    return p, q, *out
+
+
+def _matmul(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a @ b``, few rows at a time, so that it isn't spread over other tasks' cores."""
+    out, step = np.empty((len(a), b.shape[1])), max(1, PRODUCTS // b.size)
+    for i in range(0, len(a), step):
+        np.matmul(a[i : i + step], b, out=out[i : i + step])
+    return out
+
+
+def heard_together(amps: np.ndarray, f0: float, samples: int, rate: float, low: float, high: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`tracked_together` of tones of one f0 by their orders' amplitudes, without their samples: which of (votes, trough, autocorrelation) each row has, their f0 and confidence."""
+    first = max(2, int(rate / high))
+    p, q, differences, energies, products = _tables(f0, amps.shape[1], samples, rate, low, high)
+    pairs = amps[:, p] * amps[:, q]
+    d = _by_mean(_matmul(pairs, differences), _matmul(pairs, energies))
+    voted, share = voted_trough(d, first)
+    lag, sure = first_trough(d, first)
+    hz = np.stack([rate / voted, rate / lag, autocorrelation_peaks(_matmul(pairs, products), samples, rate, first)], axis=1)
+    has = (hz >= low) & (hz <= high)
+    has[:, 0] &= share > VOICED
+    return has, hz, np.stack([share, sure, np.zeros(len(d))], axis=1)
+
+
+def _hearing(key: str, samples: int, rate: float, low: float, high: float, digits: int | None = DIGITS) -> Batches:
+    """Batches of key, f0 and amplitudes to batches of candidates: notes that share f0 and length by tables, others by their samples."""
+    make, track = _sounding(key, samples, rate), _tracking(key, low, high, digits)
+    longest, first = min(int(rate / low) + 1, samples // 2), max(2, int(rate / high))
+    short = 16 <= samples < frame_length(rate, low) and longest - first >= 3
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists, hz = b.column(2), b.column(1).to_numpy(zero_copy_only=False)
+            bounds, flat = lists.offsets.to_numpy(), np.nan_to_num(lists.values.to_numpy(zero_copy_only=False))
+            size = np.diff(bounds)
+            done = np.zeros(b.num_rows, bool)
+            fits = np.flatnonzero((size > 0) & (size <= ORDERS) & (hz > 0) & (hz <= high)) if short else []
+            kinds, of, count = np.unique(np.stack([hz[fits], size[fits]]), axis=1, return_inverse=True, return_counts=True)
+            for i in np.flatnonzero(count >= ALIKE):
+                rows = fits[of.ravel() == i]
+                f0, n = float(kinds[0, i]), int(kinds[1, i])
+                amps = flat[bounds[rows][:, None] + np.arange(n)]
+                top = np.abs(amps).max(1)
+                done[rows[top == 0]] = True  # silence has no candidate
+                heard = (top > 1e-100) & (top < 1e100)
+                for own in (np.flatnonzero(heard)[k : k + FRAMES] for k in range(0, int(heard.sum()), FRAMES)):
+                    has, tones, sure = heard_together(amps[own], f0, samples, rate, low, high)
+                    row, method = np.nonzero(has)
+                    place = (np.cumsum(has, axis=1) - 1)[row, method]
+                    ones = np.ones(len(row), np.int32)
+                    yield _found(key, b.column(0), rows[own][row], [_METHODS.take(pa.array(method)), place, tones[row, method], sure[row, method], ones, ones], digits)
+                done[rows[heard]] = True
+            if not done.all():
+                yield from track(make(iter([b.take(pa.array(np.flatnonzero(~done)))])))
+
+    return task
+
+
+def tone_candidates(notes: DataFrame, key: str, f0: str, amps: str, samples: int, rate: float, low: float = 20.0, high: float = 2000.0, digits: int | None = DIGITS) -> DataFrame:
+    """:func:`candidates` of :func:`tones`, heard in the task that makes them: no samples go through the JVM, and none are made of notes of few orders that share f0 with others. ``digits`` None rounds nothing."""
     kind = notes.schema[key].dataType.simpleString()
-    return _given(notes, key, f0, amps).mapInArrow(lambda batches: track(make(batches)), f"{key} {kind}, {_FOUND_SCHEMA}")
+    return _given(notes, key, f0, amps).mapInArrow(_hearing(key, samples, rate, low, high, digits), f"{key} {kind}, {_FOUND_SCHEMA}")
 
 
 def _cents(a: Column, b: Column) -> Column:
@@ -253,12 +352,12 @@ def chosen(found: DataFrame, key: str, prior: str, most: int = 6, cents: float =
     """
     usable = F.col("candidate_hz") > 0
     rows = found.select(key, F.when(usable, F.col("place")).alias("place"), F.when(usable, F.col("candidate_hz")).alias("raw"), F.when(F.col(prior) > 0, F.col(prior)).alias("prior"))
-    ratios = F.array(*[F.lit(float(n)) for n in range(1, most + 1)], *[F.lit(1.0 / n) for n in range(2, most + 1)])
-    tried = rows.withColumn("ratio", F.explode(ratios))
-    off = F.round(_cents(F.col("raw") * F.col("ratio"), F.col("prior")), 6)
-    best = F.min(F.when(F.col("raw").isNotNull(), F.struct(F.coalesce(off, F.lit(0.0)).alias("off"), F.round(F.abs(F.log2("ratio")), 6).alias("far"), F.col("ratio"), F.col("place"), F.col("raw")))).alias("best")
+    ratios = [*(float(n) for n in range(1, most + 1)), *(1.0 / n for n in range(2, most + 1))]
+    off = lambda ratio: F.coalesce(F.round(_cents(F.col("raw") * ratio, F.col("prior")), 6), F.lit(0.0))
+    tried = [F.struct(off(x).alias("off"), F.round(F.abs(F.log2(F.lit(x))), 6).alias("far"), F.lit(x).alias("ratio"), F.col("place"), F.col("raw")) for x in ratios]
+    rows = rows.select(key, "place", "raw", "prior", F.when(F.col("raw").isNotNull(), F.least(*tried) if len(tried) > 1 else tried[0]).alias("best"))
     surest = F.min(F.when(F.col("raw").isNotNull(), F.struct("place", "raw"))).alias("surest")
-    met = tried.groupBy(key).agg(best, surest, F.max("prior").alias("prior"), F.min(_cents(F.col("raw"), F.col("prior"))).alias("error_before"))
+    met = rows.groupBy(key).agg(F.min("best").alias("best"), surest, F.max("prior").alias("prior"), F.min(_cents(F.col("raw"), F.col("prior"))).alias("error_before"))
     near = F.col("prior").isNotNull() & F.col("best").isNotNull() & (F.col("best.off") <= cents)
     value = F.when(near, F.col("best.raw") * F.col("best.ratio")).otherwise(F.coalesce("prior", "surest.raw"))
     status = F.when(F.col("prior").isNull() & F.col("surest").isNotNull(), "unchecked").when(near, F.when(F.col("best.ratio") == 1, "direct").otherwise("corrected")).when(F.col("prior").isNotNull(), "prior")

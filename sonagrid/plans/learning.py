@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sonagrid.operators import crossval, forest, fundamental, normality, partials, proximity
 from sonagrid.plans.catalog import query
-from sonagrid.plans.inputs import COMPONENTS, METRICS, SPECTRUM, components, metrics, spectrum, with_ctes
+from sonagrid.plans.inputs import COMPONENTS, METRICS, SPECTRUM, TASK_ROWS, components, metrics, spectrum, table, with_ctes
 from sonagrid.plans.rounding import rounded, rounded_sql
 
 _TREES, _SAMPLE, _LEVELS = 100, 256, 8
@@ -157,17 +157,17 @@ def band_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every note's amplitudes by order."""
-    amps = F.aggregate("parts", F.array_repeat(F.lit(0.0), 7), lambda a, x: F.transform(a, lambda v, i: F.when(i + 1 == x["n"], v + x["amp"]).otherwise(v)))
-    notes = components(spark, sf_dir).groupBy("note").agg(F.max("f0_hz").alias("f0_hz"), F.collect_list(F.struct("n", "amp")).alias("parts"))
-    # Few bytes a note, much work: dealt over all shuffle partitions, which AQE would merge into one.
-    return notes.select("note", "f0_hz", amps.alias("amps")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("note"))
+    """Every note's amplitudes by order; line items are dealt by note once, over tasks that grow in number."""
+    amps = [F.coalesce(F.sum(F.when(F.col("n") == n, F.col("amp"))), F.lit(0.0)) for n in range(1, 8)]
+    # Few bytes a note, much work: over all shuffle partitions at least, which AQE would merge into one.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table(spark, sf_dir, "lineitem").count() // TASK_ROWS))
+    return components(spark, sf_dir).repartition(tasks, "note").groupBy("note").agg(F.max("f0_hz").alias("f0_hz"), F.array(*amps).alias("amps"))
 
 
 @query()
 def fundamental_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quarter of a second of every note's partials at 8 kHz heard, its candidates corrected against the note's nominal fundamental; a Fourier transform has no SQL."""
-    found = fundamental.tone_candidates(_orders(spark, sf_dir), "note", "f0_hz", "amps", 2000, 8000.0, 40.0, 2000.0)
+    found = fundamental.tone_candidates(_orders(spark, sf_dir), "note", "f0_hz", "amps", 2000, 8000.0, 40.0, 2000.0, None)
     nominal = components(spark, sf_dir).groupBy("note").agg(F.max("f0_hz").alias("prior"))
     return rounded(fundamental.chosen(nominal.join(found, "note", "left"), "note", "prior"))
 
